@@ -16,6 +16,9 @@ _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Between tokens: spaces and ASCII punctuation.
+_PUNCTUATED = _SPACE.copy()
+_PUNCTUATED[[b for b in range(128) if not chr(b).isalnum()]] = True
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
@@ -40,17 +43,17 @@ def _table(name: str, base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First byte and end of each word."""
-    word = ~_SPACE[data]
+def spans(data: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of each word; `apart` tells the bytes between words."""
+    word = ~apart[data]
     edge = np.diff(np.concatenate(([False], word, [False])).astype(np.int8))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def words(text: bytes, fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and end of each word; fold lower-cases A to Z first."""
+def words(text: bytes, fold: bool = False, punctuated: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of each word; fold lower-cases A to Z first, punctuated lets ASCII punctuation end words too."""
     data = np.frombuffer(text.translate(_LOWER) if fold else text, np.uint8)
-    start, end = spans(data)
+    start, end = spans(data, _PUNCTUATED if punctuated else _SPACE)
     if not len(start):
         return np.empty(0, np.uint64), start, end
     with np.errstate(over="ignore"):
