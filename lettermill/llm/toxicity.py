@@ -24,6 +24,8 @@ PRIOR_SHARE, LEAST_Z = 0.05, 3.0
 DRIFT = 0.05
 #: A segment is reported below this p-value, and a document predicted toxic from this score.
 SIGNIFICANT, TOXIC = 0.01, 0.7
+#: Lengths of stems, in characters.
+STEMS = (3, 4, 5, 6, 7, 8)
 _EULER = 0.5772156649015329
 _TOP = 20.0
 
@@ -31,8 +33,26 @@ SEGMENT = "struct<first_token: long, end_token: long, score: double, p_value: do
 
 
 def tokens(text: str | None) -> np.ndarray:
-    """Token hashes of a whole text in order: lower-cased, split at spaces and ASCII punctuation."""
-    return wordhash.words(text.lower().encode("utf-8", "surrogatepass"), punctuated=True)[0] if text else np.empty(0, np.uint64)
+    """Hashes of a whole text's tokens in order, and of their stems: one row for the tokens, one for each length in STEMS.
+
+    Tokens are lower-cased runs between spaces and ASCII punctuation; a stem is a token's first characters, 0 where it has no more.
+    """
+    if not text:
+        return np.zeros((1 + len(STEMS), 0), np.uint64)
+    raw = text.lower().encode("utf-8", "surrogatepass")
+    whole, start, end = wordhash.words(raw, punctuated=True)
+    out = np.zeros((1 + len(STEMS), len(whole)), np.uint64)
+    if len(whole):
+        out[0] = whole
+        data = np.frombuffer(raw, np.uint8)
+        first = (data & 0xC0) != 0x80
+        letter = np.cumsum(first) - 1
+        places = np.append(np.flatnonzero(first), len(data))
+        for row, k in enumerate(STEMS, 1):
+            stop = places[np.minimum(letter[start] + k, len(places) - 1)]
+            long = stop < end
+            out[row, long] = wordhash.mix(wordhash.spanned(raw, start[long], stop[long]) + np.uint64(k))
+    return out
 
 
 def maximal_segments(at: np.ndarray, weight: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
@@ -65,7 +85,7 @@ def maximal_segments(at: np.ndarray, weight: np.ndarray, drift: float) -> list[t
 
 @dataclass
 class ToxicModel:
-    """Weighted tokens (sorted hashes), the extreme-value parameters of the best score by chance, and its map to a probability."""
+    """Weighted tokens and stems (sorted hashes; a token weighs as the heaviest of its own), the extreme-value parameters of the best score by chance, and its map to a probability."""
 
     codes: np.ndarray
     weights: np.ndarray
@@ -75,11 +95,12 @@ class ToxicModel:
     slope: float
 
     def segments(self, code: np.ndarray) -> list[tuple[int, int, float]]:
-        if not len(self.codes) or not len(code):
+        if not len(self.codes) or not code.size:
             return []
         i = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        at = np.flatnonzero(self.codes[i] == code)
-        return maximal_segments(at, self.weights[i[at]] - DRIFT, DRIFT) if len(at) else []
+        weight = np.where(self.codes[i] == code, self.weights[i], 0.0).max(axis=0)
+        at = np.flatnonzero(weight)
+        return maximal_segments(at, weight[at] - DRIFT, DRIFT) if len(at) else []
 
     def excess(self, score: float, n: int) -> float:
         """The score on the Gumbel scale, for a text of n tokens."""
@@ -109,7 +130,7 @@ def _counted(sample: DataFrame) -> DataFrame:
         for b in batches:
             parts: dict[int, list[np.ndarray]] = {0: [], 1: []}
             for text, label in zip(b.column("text"), b.column("label").to_pylist(), strict=True):
-                parts[1 if label else 0].append(np.unique(tokens(text.as_py())))
+                parts[1 if label else 0].append(np.unique(tokens(text.as_py())))  # each document counts a token once
             for label, many in parts.items():
                 if many:
                     code, n = np.unique(np.concatenate(many), return_counts=True)
@@ -129,13 +150,14 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> Tox
     """
     sample = _training(docs, labels, F.lit(True) if usable is None else usable)
     counts = written(_counted(sample), "toxic-counts")
-    n0, n1 = (x or 0 for x in counts.agg(F.sum("y0"), F.sum("y1")).first())
+    counts_of = counts.where(F.col("code") != 0)
+    n0, n1 = (x or 0 for x in counts_of.agg(F.sum("y0"), F.sum("y1")).first())
     prior = PRIOR_SHARE * (n0 + n1)
     codes, weights, chance = np.empty(0, np.uint64), np.empty(0), np.empty(0)
     if n0 and n1:
         a = F.lit(prior / (n0 + n1)) * (F.col("y0") + F.col("y1"))
         odds = lambda y, n: F.log((F.col(y) + a) / (F.lit(n + prior) - F.col(y) - a))
-        weighed = counts.select("code", (odds("y1", n1) - odds("y0", n0)).alias("w"), F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a)).alias("sd"), ((F.col("y0") + a) / (n0 + prior)).alias("p"))
+        weighed = counts_of.select("code", (odds("y1", n1) - odds("y0", n0)).alias("w"), F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a)).alias("sd"), ((F.col("y0") + a) / (n0 + prior)).alias("p"))
         kept = weighed.where((F.col("w") > 0) & (F.col("w") / F.col("sd") >= LEAST_Z)).orderBy(F.desc(F.col("w") / F.col("sd")), "code").limit(MAX_FEATURES).toPandas()
         code = kept["code"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(code)
@@ -178,7 +200,7 @@ def _scored(docs: DataFrame, keep: str, model: ToxicModel) -> DataFrame:
             sizes, bests, scores, segments = [], [], [], []
             for text in b.column("text"):
                 code = tokens(text.as_py())
-                found, n = m.segments(code), len(code)
+                found, n = m.segments(code), code.shape[1]
                 top = max((s for _, _, s in found), default=0.0)
                 sizes.append(n)
                 bests.append(top)

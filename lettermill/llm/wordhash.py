@@ -63,6 +63,15 @@ def words(text: bytes, fold: bool = False, punctuated: bool = False) -> tuple[np
         return mix(code + (end - start).astype(np.uint64)), start, end
 
 
+def spanned(text: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span."""
+    data = np.frombuffer(text, np.uint8)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _table("up", _BASE, len(data)), out=sums[1:])
+        return mix((sums[end] - sums[start]) * _table("down", _INVERSE, len(data))[start] + (end - start).astype(np.uint64))
+
+
 def windows(code: np.ndarray, width: int) -> np.ndarray:
     """Hash of each window of `width` consecutive words."""
     n = len(code) - width + 1
