@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .mixing import mix
+from .ngram_join import similar
 from .rules import judged, ledger
 from .sharding import assign_shards
+from .surrogate import QUERY_KEY, with_surrogates
 from .toxicity import toxic_verdicts
 
 
@@ -17,10 +19,18 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(read(spark, sf_dir, "documents"), shards=24)
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_surrogates(read(spark, sf_dir, "documents").select("doc_id", "text"), QUERY_KEY, count="n_values")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar(read(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
@@ -32,7 +42,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op6_pii_surrogates": op6_pii_surrogates,
     "op7_toxicity": op7_toxicity,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
