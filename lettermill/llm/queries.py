@@ -9,16 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 from .mixing import mix
 from .ngram_join import similar
+from .packing import pack
 from .rules import judged, ledger
 from .sharding import assign_shards
 from .surrogate import QUERY_KEY, with_surrogates
 from .toxicity import toxic_verdicts
+from .warczip import archived
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(read(spark, sf_dir, "documents"), shards=24)
 
 
+def op4_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"))
+
+
+def op5_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(read(spark, sf_dir, "pages")).drop("payload")
+
+
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_surrogates(read(spark, sf_dir, "documents").select("doc_id", "text"), QUERY_KEY, count="n_values")
 
@@ -42,6 +52,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op4_retrieval_packing": op4_retrieval_packing,
+    "op5_warc_packages": op5_warc_packages,
     "op6_pii_surrogates": op6_pii_surrogates,
     "op7_toxicity": op7_toxicity,
     "op8_ngram_jaccard": op8_ngram_jaccard,
@@ -49,4 +61,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_warc_packages": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        f AS (SELECT html, min(page_id) AS first FROM p WHERE strlen(html) >= 100 GROUP BY html)
+        SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, sha256(p.html) AS payload_digest,
+               CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM p LEFT JOIN f USING (html)
+    """,
+}
