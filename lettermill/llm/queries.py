@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .mixing import mix
+from .neardup import near_duplicates
 from .ngram_join import similar
 from .packing import pack
 from .rules import judged, ledger
@@ -21,6 +22,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(read(spark, sf_dir, "documents"), shards=24)
 
 
+def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op4_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
@@ -52,6 +57,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_embedding_neardup": op2_embedding_neardup,
     "op4_retrieval_packing": op4_retrieval_packing,
     "op5_warc_packages": op5_warc_packages,
     "op6_pii_surrogates": op6_pii_surrogates,
