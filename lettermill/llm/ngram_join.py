@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from .components import components
 CELLS = 1 << 21
 #: Shingle runs of up to so many groups are paired off at once; of longer ones neighbours first, then what remains unlinked.
 SHORT_RUN = 8
+#: Sets and shingles in a tile, about.
+TILE_SETS, TILE_SHINGLES = 1024, 1 << 18
 #: Candidate rows that a task holds at a time.
 CHUNK = 1 << 20
 
@@ -186,39 +190,111 @@ def _first_round(num: int, den: int):
     return run
 
 
-def _second_round(num: int, den: int):
-    """Of long runs, sorted by s and component: pairs of different components only."""
+def _compare(num: int, den: int):
+    """Of pairs of tiles: links between sets that share a shingle of a long run and are not of one component yet, a spanning forest of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in _runs(batches, ("s", "root", "cid", "n", "pos")):
-            end = _ends(c["s"])
-            own = np.append((c["s"][1:] != c["s"][:-1]) | (c["root"][1:] != c["root"][:-1]), True)
-            edge = np.flatnonzero(own) + 1
-            block = np.repeat(edge, np.diff(np.concatenate(([0], edge))))
-            for i, j in _spread(block, end):
-                ok = _likely(c, i, j, num, den)
-                if ok.any():
-                    yield _pairs(c, i[ok], j[ok])
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x, y = ({c: np.frombuffer(batch.column(f"{c}_{t}")[k].as_py(), dtype) for c, dtype in _TILE.items()} for t in "ab")
+                u, v = _links(x, y, batch.column("tile_a")[k].as_py() == batch.column("tile_b")[k].as_py(), num, den)
+                yield _batch({"a": np.array(u, np.int64), "b": np.array(v, np.int64)})
 
     return run
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs whose sets, built again from the whole texts, reach the threshold."""
-    involved = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    texts = docs.join(involved.join(classes, "cid").select("cid", "doc_id"), "doc_id").select("cid", "text")
+#: What a tile holds, as bytes: its sets' ids, components, sizes and shingles, and their entries in long runs as shingle, set and position.
+_TILE = {"cid": np.int64, "root": np.int64, "n": np.int64, "shingles": np.uint64, "s": np.int64, "at": np.int64, "pos": np.int64}
+
+
+def _links(x: dict[str, np.ndarray], y: dict[str, np.ndarray], same: bool, num: int, den: int) -> tuple[list[int], list[int]]:
+    """Links between the sets of two tiles. What is joined already, or becomes so here, is not compared again."""
+    maybe = np.zeros((len(x["cid"]), len(y["cid"])), bool)
+    shared = np.intersect1d(x["s"], y["s"])
+    for lo_x, hi_x, lo_y, hi_y in zip(*(np.searchsorted(t["s"], shared, side) for t in (x, y) for side in ("left", "right")), strict=True):
+        i, j = x["at"][lo_x:hi_x], y["at"][lo_y:hi_y]
+        n_x, n_y = x["n"][i][:, None], y["n"][j][None, :]
+        left_x, left_y = n_x - x["pos"][lo_x:hi_x][:, None], n_y - y["pos"][lo_y:hi_y][None, :]
+        need = -(-num * (n_x + n_y) // (num + den))
+        near = (den * np.minimum(n_x, n_y) >= num * np.maximum(n_x, n_y)) & (np.minimum(left_x, left_y) >= need)
+        maybe[np.ix_(i, j)] |= near & (x["root"][i][:, None] != y["root"][j][None, :])
+    parent: dict[int, int] = {}
+
+    def root(r: int) -> int:
+        while parent.get(r, r) != r:
+            parent[r] = parent.get(parent[r], parent[r])
+            r = parent[r]
+        return r
+
+    sets_x, sets_y = (np.split(t["shingles"], np.cumsum(t["n"])[:-1]) for t in (x, y))
+    u, v = [], []
+    for i, j in zip(*(c.tolist() for c in np.nonzero(maybe)), strict=True):
+        if same and i >= j:
+            continue
+        p, q = root(int(x["root"][i])), root(int(y["root"][j]))
+        if p != q:
+            both = len(np.intersect1d(sets_x[i], sets_y[j], assume_unique=True))
+            if den * both >= num * (len(sets_x[i]) + len(sets_y[j]) - both):
+                parent[p] = q
+                u.append(int(x["cid"][i]))
+                v.append(int(y["cid"][j]))
+    return u, v
+
+
+def _packed(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("cid", kind="stable").reset_index(drop=True)
+    count = rows["s"].map(len).to_numpy()
+    s, pos = np.concatenate(rows["s"].tolist()).astype(np.int64), np.concatenate(rows["pos"].tolist()).astype(np.int64)
+    at = np.repeat(np.arange(len(rows)), count)
+    order = np.argsort(s, kind="stable")
+    whole = {"cid": rows["cid"].to_numpy(np.int64), "root": rows["root"].to_numpy(np.int64), "n": rows["n"].to_numpy(np.int64), "s": s[order], "at": at[order], "pos": pos[order]}
+    return pd.DataFrame({"tile": rows["tile"].iloc[:1], **{k: [v.tobytes()] for k, v in whole.items()}, "shingles": [b"".join(rows["shingles"])]})
+
+
+def _late_links(late: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links that the first round left out: of sets in long runs (s, cid, n, pos), those of different components.
+
+    Sets meet in tiles: those with the same longest run and similar size, in parts by their hashes so that a tile holds at most about
+    TILE_SETS sets and TILE_SHINGLES shingles. Pairs of tiles are compared in memory if some set of each is in one run and sizes allow a link;
+    so a set travels once for each such pair of tiles, not for each pair of sets, and only links leave a task.
+    """
+    length = late.groupBy("s").agg(F.count(F.lit(1)).alias("length"))
+    entries = late.join(length, "s").groupBy("cid").agg(F.max("n").alias("n"), F.max(F.struct("length", "s"))["s"].alias("home"), F.collect_list(F.struct("s", "pos")).alias("e"))
+    band = F.floor(F.log("n") / math.log(den / num)).cast("int")
+    placed = entries.join(roots, F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("root", "cid").alias("root"), "n", "home", band.alias("band"), F.col("e.s").alias("s"), F.col("e.pos").alias("pos"))
+    placed = written(placed, "shingle-late")
+    parts = placed.groupBy("home", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE_SETS), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("parts"))
+    tiled = placed.join(parts, ["home", "band"]).withColumn("tile", F.concat_ws("/", "home", "band", F.pmod(F.xxhash64("cid"), "parts")))
+    tiled = written(tiled.select("tile", "cid", "root", "n", "band", "s", "pos"), "shingle-late")
+    fields = "tile string, " + ", ".join(f"{k} binary" for k in ("cid", "root", "n", "s", "at", "pos", "shingles"))
+    tiles = written(tiled.join(sets, "cid").select("tile", "cid", "root", "n", "s", "pos", "shingles").groupBy("tile").applyInPandas(_packed, fields), "shingle-tiles")
+    meets = tiled.select("tile", "band", F.explode("s").alias("s")).distinct()
+    a, b = (meets.select("s", F.col("tile").alias(f"tile_{t}"), F.col("band").alias(f"band_{t}")) for t in "ab")
+    pairs = a.join(b, "s").where("tile_a <= tile_b AND abs(band_a - band_b) <= 1").select("tile_a", "tile_b").distinct()
+    side = lambda t: tiles.select(F.col("tile").alias(f"tile_{t}"), *[F.col(k).alias(f"{k}_{t}") for k in _TILE])
+    return pairs.join(side("a"), "tile_a").join(side("b"), "tile_b").mapInArrow(_compare(num, den), "a long, b long")
+
+
+def _sets(cids: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(cid, shingles) of the given sets, built again from their whole texts; shingles are the bytes of their sorted hashes."""
+    texts = docs.join(cids.join(classes, "cid").select("cid", "doc_id"), "doc_id").select("cid", "text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, sets = [], []
             for cid, text in zip(b.column("cid").to_pylist(), b.column("text"), strict=True):
                 s = wordhash.shingle_set(text.as_py(), width)
-                if _signature(s)[0] == cid and cid not in ids[-1:]:
+                if _signature(s)[0] == cid:
                     ids.append(cid)
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["cid", "shingles"])
 
-    sets = texts.mapInArrow(build, "cid long, shingles binary")
+    built = texts.mapInArrow(build, "cid long, shingles binary")
+    return built.groupBy("cid").agg(F.first("shingles").alias("shingles"))  # a doc_id may have several rows
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose sets reach the threshold."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -240,7 +316,7 @@ def similar(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> D
     Sets hold the distinct shingles of `width` words (A to Z lower-cased) of the whole text; a shorter text is one shingle.
     Documents with equal sets are one group from the start. A set's prefix holds its rarest shingles in one global order; sets that
     can be similar share a shingle of their prefixes, so only such groups are compared, behind size and position filters. Long runs
-    of one shingle are linked along neighbours first; what is still apart is then paired off, so no link between components is lost.
+    of one shingle are linked along neighbours first; what is still apart is then compared in tiles, so no link between components is lost.
 
     Columns: doc_id, n_shingles, component_id (smallest doc_id reachable by links). Null or empty texts have no shingles and link
     with nothing, nor does a row whose doc_id is null. Repeated rows are equal sets. An empty table gives no rows; other columns are ignored.
@@ -255,12 +331,13 @@ def similar(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> D
     entries = docs.where("doc_id IS NOT NULL").mapInArrow(_prefixes(width, num, den, sketch), "s long, cid long, n int, pos int")
     form = "kind int, a long, b long, n int, pos int"
     found = written(entries.repartition(4 * tasks_for(spark), "s").sortWithinPartitions("s", "n", "cid").mapInArrow(_first_round(num, den), form), "shingle-pairs")
-    first = written(_verified(found.where("kind = 0").select("a", "b").distinct(), classes, docs, width, num, den), "shingle-links")
-    roots = written(components(first), "shingle-roots")
+    pairs = written(found.where("kind = 0").select("a", "b").distinct(), "shingle-candidates")
     late = found.where("kind = 1").select(F.col("a").alias("s"), F.col("b").alias("cid"), "n", "pos")
-    late = late.join(roots, late["cid"] == roots["node"], "left").select("s", F.coalesce("root", "cid").alias("root"), "cid", "n", "pos")
-    more = late.repartition(tasks_for(spark), "s").sortWithinPartitions("s", "root", "n", "cid").mapInArrow(_second_round(num, den), form)
-    second = written(_verified(more.select("a", "b").distinct(), classes, docs, width, num, den), "shingle-links")
+    involved = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(late.select("cid")).distinct()
+    sets = written(_sets(involved, classes, docs, width), "shingle-sets")
+    first = written(_verified(pairs, sets, num, den), "shingle-links")
+    roots = written(components(first), "shingle-roots")
+    second = written(_late_links(late, roots, sets, num, den), "shingle-links")
     roots = components(first.union(second))
     placed = classes.join(roots, classes["cid"] == roots["node"], "left").select("cid", "doc_id", F.coalesce("root", "cid").alias("root"))
     placed = written(placed, "shingle-placed")
@@ -270,7 +347,10 @@ def similar(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> D
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents with the smallest doc_id of their component, all columns; of repeated rows one stays."""
-    keep = similar(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    nulls = docs.where("doc_id IS NULL")
-    return docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(nulls)
+    """The document with the smallest doc_id of each component, all columns as they are; of repeated rows one stays, rows without doc_id all do."""
+    rows = written(similar(docs, **options).where("doc_id IS NOT NULL"), "shingle-result")
+    keep = rows.where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("kept_n"))
+    stay = docs.where("doc_id IS NOT NULL").join(keep.select("kept_id"), F.col("doc_id") == F.col("kept_id"), "left_semi")
+    if not keep.where("kept_n > 1").isEmpty():
+        stay = stay.dropDuplicates(["doc_id", "text"])
+    return stay.union(docs.where("doc_id IS NULL"))
