@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from .common import read
 from .mixing import mix
 from .neardup import near_duplicates
 from .ngram_join import similar
 from .packing import pack
+from .preference import format_preferences, self_paired
 from .rules import judged, ledger
 from .sharding import assign_shards
 from .surrogate import QUERY_KEY, with_surrogates
@@ -26,6 +29,10 @@ def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_preferences(self_paired(read(spark, sf_dir, "conversations")))
+
+
 def op4_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
@@ -58,6 +65,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_embedding_neardup": op2_embedding_neardup,
+    "op3_preference_format": op3_preference_format,
     "op4_retrieval_packing": op4_retrieval_packing,
     "op5_warc_packages": op5_warc_packages,
     "op6_pii_surrogates": op6_pii_surrogates,
@@ -65,9 +73,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_preference_format": """
+        WITH t AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i, coalesce(role, '') AS role, coalesce(text, '') AS text
+            FROM conversations WHERE conv_id IS NOT NULL),
+        a AS (SELECT conv_id, max(i) FILTER (role = 'assistant') AS last_i, min(i) FILTER (role = 'assistant') AS first_i FROM t GROUP BY conv_id),
+        f AS (SELECT conv_id, last_i, CASE WHEN first_i < last_i THEN t.text ELSE '' END AS other FROM a JOIN t USING (conv_id) WHERE t.i = a.first_i),
+        r AS (SELECT t.*, CASE WHEN i = last_i THEN other ELSE text END AS alt, '<|' || role || '|>' || chr(10) AS head FROM t LEFT JOIN f USING (conv_id)),
+        k AS (SELECT conv_id, coalesce(min(i) FILTER (text <> alt), count(*)) AS k FROM r GROUP BY conv_id),
+        m AS (SELECT r.*, k, '0:' || length(head) || CASE WHEN role = 'assistant' THEN ',1:' ELSE ',0:' END AS run FROM r JOIN k USING (conv_id))
+        SELECT conv_id, CAST(any_value(k) AS INTEGER) AS prefix_turns,
+            coalesce(string_agg(head || text || chr(10), '' ORDER BY i) FILTER (i < k), '') AS prompt,
+            coalesce(string_agg(head || text || chr(10), '' ORDER BY i) FILTER (i >= k), '') AS chosen,
+            coalesce(string_agg(head || alt || chr(10), '' ORDER BY i) FILTER (i >= k), '') AS rejected,
+            coalesce(string_agg(run || (length(text) + 1), ',' ORDER BY i) FILTER (i >= k), '') AS chosen_mask,
+            coalesce(string_agg(run || (length(alt) + 1), ',' ORDER BY i) FILTER (i >= k), '') AS rejected_mask
+        FROM m GROUP BY conv_id
+    """,
     "op5_warc_packages": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         f AS (SELECT html, min(page_id) AS first FROM p WHERE strlen(html) >= 100 GROUP BY html)

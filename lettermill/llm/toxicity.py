@@ -234,3 +234,20 @@ def toxic_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels, usable=fold(F.col("doc_id")) != 1)
     rows = score_toxicity(docs, model)
     return rows.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), F.size("segments").cast("long").alias("n_passages"))
+
+
+def without_toxic(docs: DataFrame, model: ToxicModel) -> DataFrame:
+    """The documents that score below TOXIC, all columns as they are. A document without text stays."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            keep = []
+            for text in b.column("text"):
+                code = tokens(text.as_py())
+                top = max((s for _, _, s in m.segments(code)), default=0.0)
+                keep.append(m.probability(top, code.shape[1]) < TOXIC)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
