@@ -1,10 +1,5 @@
-"""Every registered query with the SQL that states its result."""
+"""Every registered query of the engine with the SQL that states its result."""
 
-from __future__ import annotations
+from .plans.queries import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
