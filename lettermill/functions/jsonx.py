@@ -39,7 +39,8 @@ def analysis_errors(a: Column) -> Column:
 
 def parsed_analysis(df: DataFrame, answer: str) -> DataFrame:
     """df with analysis (unknown keys dropped), errors and ok."""
-    parsed = df.withColumn("analysis", F.from_json(json_payload(F.col(answer)), ANALYSIS))
+    payload = json_payload(F.col(answer))
+    parsed = df.withColumn("analysis", F.when(F.get_json_object(payload, "$").isNotNull(), F.from_json(payload, ANALYSIS)))
     parsed = parsed.withColumn("errors", analysis_errors(F.col("analysis")))
     return parsed.withColumn("ok", F.size("errors") == 0)
 

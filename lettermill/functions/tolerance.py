@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -31,6 +32,7 @@ def _any_of(readings: tuple[str, ...]) -> str:
     return "(?:" + "|".join(map(re.escape, sorted(cased, key=len, reverse=True))) + ")"
 
 
+@lru_cache(maxsize=4096)
 def tolerant_pattern(value: str) -> str:
     """A pattern for the value as it may have been misread; short values only fold the four i's. White space matches any."""
     wide = len(value) >= TOLERANT_FROM

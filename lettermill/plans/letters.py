@@ -35,7 +35,9 @@ def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("o_orderdate", "dd.MM.yyyy").alias("deadline_text"),
         F.concat(F.lit("kunde"), F.col("c_custkey").cast("string"), F.lit("@mail.example")).alias("email"),
     )
-    return rows.withColumn("text", letter(*[F.col(c) for c in ("name", "street", "town", "file_number", "deadline_text", "email")]))
+    # a letter costs far more to read than its row, so rows are spread over all cores however few files they come from
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts, "o_orderkey").withColumn("text", letter(*[F.col(c) for c in ("name", "street", "town", "file_number", "deadline_text", "email")]))
 
 
 def letter(name: Column, street: Column, town: Column, file_number: Column, deadline: Column, email: Column) -> Column:

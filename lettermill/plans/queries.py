@@ -213,7 +213,7 @@ def residue_scan(spark, sf_dir):
 
 
 @query(r"""
-    SELECT o_orderkey, form, CASE WHEN form < 5 THEN CAST(o_orderdate AS DATE) END AS parsed FROM orders, range(7) f(form)""")
+    SELECT o_orderkey, form, CASE WHEN form < 5 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS parsed FROM orders, range(7) f(form)""")
 def parse_german_dates(spark, sf_dir):
     d = F.col("o_orderdate")
     names = ("Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember")
@@ -222,7 +222,7 @@ def parse_german_dates(spark, sf_dir):
         F.concat(F.date_format(d, "d. "), ltr.pick(names, F.month(d) - 1), F.date_format(d, " yyyy")), F.concat(F.lit("31.02."), F.year(d).cast("string")), F.lit("demnächst"),
     )
     rows = tables.table(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(forms).alias("form", "t"))
-    return rows.select("o_orderkey", F.col("form").cast("long").alias("form"), dates.german_date(F.col("t")).alias("parsed"))
+    return rows.select("o_orderkey", F.col("form").cast("long").alias("form"), dates.german_date(F.col("t")).cast("string").alias("parsed"))
 
 
 _RISK = "CASE o_orderpriority WHEN '1-URGENT' THEN 'high' WHEN '2-HIGH' THEN 'high' WHEN '3-MEDIUM' THEN 'medium' ELSE 'low' END"
@@ -264,9 +264,10 @@ def due_reminders(spark, sf_dir):
     return due.join(users, "user_id").join(analyses, "analysis_id", "left").select("id", "s_name", dates.deadline_text(F.col("due_date")).alias("due"), "o_orderstatus")
 
 
-@query(f"SELECT o_orderkey, CAST(o_orderdate AS DATE) AS deadline FROM orders WHERE CAST(o_orderdate AS DATE) <= CAST(TIMESTAMP '{NOW}' AS DATE)")
+@query(f"SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS deadline FROM orders WHERE CAST(o_orderdate AS DATE) <= CAST(TIMESTAMP '{NOW}' AS DATE)")
 def upcoming_deadlines(spark, sf_dir):
-    return store.upcoming(tables.table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("deadline")), now())
+    rows = store.upcoming(tables.table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("deadline")), now())
+    return rows.select("o_orderkey", F.col("deadline").cast("string").alias("deadline"))
 
 
 # ---- records
@@ -352,10 +353,10 @@ def delete_user_cascade(spark, sf_dir):
     return store.cascaded(graph, graph["users"].where("id % 50 = 7"))[1]
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_custkey % 50 <> 7 THEN o_custkey END AS user_id FROM orders")
+@query("SELECT o_orderkey AS id, CASE WHEN o_custkey % 50 <> 7 THEN o_custkey ELSE -1 END AS user_id FROM orders")
 def audit_after_delete(spark, sf_dir):
     graph = _graph(spark, sf_dir)
-    return store.cascaded(graph, graph["users"].where("id % 50 = 7"))[0]["audit_log"].select("id", "user_id")
+    return store.cascaded(graph, graph["users"].where("id % 50 = 7"))[0]["audit_log"].select("id", F.coalesce("user_id", F.lit(-1)).alias("user_id"))
 
 
 @query("""
@@ -410,10 +411,10 @@ def fingerprint_dedupe(spark, sf_dir):
 
 
 @query("""
-    SELECT event_id, CASE event_id % 4 WHEN 2 THEN NULL ELSE CAST(json_extract(props, '$.k') AS INTEGER) END AS k FROM events""")
+    SELECT event_id, CASE event_id % 4 WHEN 2 THEN -1 ELSE CAST(json_extract(props, '$.k') AS INTEGER) END AS k FROM events""")
 def json_extract(spark, sf_dir):
     fenced = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("Hier:\n```json\n"), "props", F.lit("\n```\nfertig"))).when(F.col("event_id") % 4 == 1, F.concat(F.lit("x "), "props", F.lit(" y"))).when(F.col("event_id") % 4 == 2, F.lit("kein Ergebnis")).otherwise(F.col("props"))
-    return tables.table(spark, sf_dir, "events").select("event_id", F.from_json(jsonx.json_payload(fenced), "k int")["k"].alias("k"))
+    return tables.table(spark, sf_dir, "events").select("event_id", F.from_json(jsonx.json_payload(fenced), "k int")["k"].alias("k")).na.fill(-1, ["k"])
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'deadline_token' WHEN 2 THEN 'risk_level,confidence' ELSE 'json,authority,request_type,summary,risk_level,missing_documents,next_steps,confidence,in_scope' END AS errors FROM orders""")
@@ -426,10 +427,10 @@ def json_validate(spark, sf_dir):
 
 @query(f"""
     WITH {LETTERS}, d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS deadline, date_diff('day', DATE '1998-08-02', CAST(o_orderdate AS DATE)) AS days FROM letters)
-    SELECT o_orderkey, deadline, CASE WHEN days <= 3 THEN 'critical' WHEN days <= 7 THEN 'high' ELSE 'medium' END AS risk, true AS ok,
+    SELECT o_orderkey, CAST(deadline AS VARCHAR) AS deadline, CASE WHEN days <= 3 THEN 'critical' WHEN days <= 7 THEN 'high' ELSE 'medium' END AS risk, true AS ok,
         CAST(len(list_filter([14, 7, 3, 1], lambda x: CAST(deadline AS TIMESTAMP) - to_days(CAST(x AS INTEGER)) > TIMESTAMP '{NOW}')) AS INTEGER) AS n_reminders FROM d""")
 def letter_analysis(spark, sf_dir):
-    return ltr.analysed(ltr.letters(spark, sf_dir), now()).select("o_orderkey", "deadline", "risk", "ok", F.size("reminders").alias("n_reminders"))
+    return ltr.analysed(ltr.letters(spark, sf_dir), now()).select("o_orderkey", F.col("deadline").cast("string").alias("deadline"), "risk", "ok", F.size("reminders").alias("n_reminders"))
 
 
 @query(f"""
@@ -485,11 +486,11 @@ def last_analysis_per_user(spark, sf_dir):
     return tables.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("last_analysis"))
 
 
-@query("SELECT doc_id, length(replace(text, chr(10), '')) AS characters, CASE WHEN length(text) <= 4096 THEN 1 END AS parts_if_short FROM documents")
+@query("SELECT doc_id, length(replace(text, chr(10), '')) AS characters, CASE WHEN length(text) <= 4096 THEN 1 ELSE 0 END AS parts_if_short FROM documents")
 def split_messages(spark, sf_dir):
     rows = sinks.message_chunks(tables.table(spark, sf_dir, "documents").select("doc_id", "text"))
     size = F.length(F.replace("chunk", F.lit("\n"), F.lit("")))
-    return rows.groupBy("doc_id").agg(F.sum(size).cast("long").alias("characters"), F.when(F.max(F.length("text")) <= 4096, F.count(F.lit(1)).cast("int")).alias("parts_if_short"))
+    return rows.groupBy("doc_id").agg(F.sum(size).cast("long").alias("characters"), F.when(F.max(F.length("text")) <= 4096, F.count(F.lit(1)).cast("int")).otherwise(0).alias("parts_if_short"))
 
 
 @query("""SELECT p_partkey, ['image/jpeg', 'image/png', 'image/gif', 'image/webp', 'application/pdf', 'image/heic', NULL, NULL][p_partkey % 8 + 1] AS mime FROM part""")
