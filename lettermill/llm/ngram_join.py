@@ -19,6 +19,8 @@ from .components import components
 CELLS = 1 << 21
 #: Shingle runs of up to so many groups are paired off at once; of longer ones neighbours first, then what remains unlinked.
 SHORT_RUN = 8
+#: Bits of the filter that keeps texts nobody needs out of a shuffle.
+FILTER_BITS = 1 << 24
 #: Sets and shingles in a tile, about.
 TILE_SETS, TILE_SHINGLES = 1024, 1 << 18
 #: Candidate rows that a task holds at a time.
@@ -277,20 +279,33 @@ def _late_links(late: DataFrame, roots: DataFrame, sets: DataFrame, num: int, de
 
 def _sets(cids: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """(cid, shingles) of the given sets, built again from their whole texts; shingles are the bytes of their sorted hashes."""
-    texts = docs.join(cids.join(classes, "cid").select("cid", "doc_id"), "doc_id").select("cid", "text")
+    wanted = cids.join(classes, "cid").select("cid", "doc_id")
+    texts = _among(docs, wanted).join(wanted, "doc_id").select("cid", "text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, sets = [], []
             for cid, text in zip(b.column("cid").to_pylist(), b.column("text"), strict=True):
                 s = wordhash.shingle_set(text.as_py(), width)
-                if _signature(s)[0] == cid:
+                if _signature(s)[0] == cid and ids[-1:] != [cid]:  # rows of one doc_id follow each other
                     ids.append(cid)
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["cid", "shingles"])
 
-    built = texts.mapInArrow(build, "cid long, shingles binary")
-    return built.groupBy("cid").agg(F.first("shingles").alias("shingles"))  # a doc_id may have several rows
+    return texts.mapInArrow(build, "cid long, shingles binary")
+
+
+def _among(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs that may be among the wanted, by a bitmap of FILTER_BITS hashed ids: at most FILTER_BITS / 8 bytes are broadcast, whatever the input.
+
+    It only keeps texts out of the shuffle that follows; a text let through by a shared bit is dropped there.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    maps = wanted.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    placed = docs.withColumns({"__bucket": F.bitmap_bucket_number(slot), "__bit": F.bitmap_bit_position(slot)})
+    byte = F.conv(F.hex(F.expr("substring(bits, CAST(__bit DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    hit = F.expr("CAST(__bit % 8 AS INT)")
+    return placed.join(F.broadcast(maps), F.col("__bucket") == F.col("bucket")).where(F.getbit(byte, hit) == 1).select(*docs.columns)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
