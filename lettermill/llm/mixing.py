@@ -153,7 +153,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = 42, cells:
     columns, types = docs.columns, docs.schema
     sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     plan = source_plan(sized.select("source", "size"), block=block, seed=seed, **plan_options)
-    placed = _placed(sized, plan, block, seed, cells).where((F.col("passes") > 0) | (F.size("chosen") > 0))
+    placed = _placed(sized, plan, block, seed, cells).where((F.col("size") > 0) & ((F.col("passes") > 0) | (F.size("chosen") > 0)))
     flat = placed.select(*[F.col("row").getField(c).alias(c) for c in columns], F.col("passes").alias("__passes"), F.col("start").alias("__start"), F.col("size").alias("__size"), F.col("chosen").alias("__chosen"))
     word = re.compile(WORD)
 
