@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.binary import READABLE_IMAGES, mime_or_extension
 from ..functions.text import slot_texts
@@ -41,7 +42,7 @@ def transcribed(files: DataFrame, read: Callable[[bytes, str], str]) -> DataFram
         for b in batches:
             yield b.assign(text=[(read(bytes(c), m) or "").strip() if m in READABLE_IMAGES else None for c, m in zip(b["content"], b["mime"], strict=True)])
 
-    return files.mapInPandas(run, files.schema.add("text", "string"))
+    return files.mapInPandas(run, T.StructType([*files.schema.fields, T.StructField("text", T.StringType())]))
 
 
 def mock_reader(content: bytes, mime: str) -> str:

@@ -6,9 +6,6 @@ from pyspark.sql import functions as F
 from lettermill.functions import binary, dates, jsonx, text, vault
 from lettermill.sources import sinks, tables
 
-NOW = F.lit("2024-06-01 12:00:00").cast("timestamp")
-
-
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
@@ -23,6 +20,7 @@ def test_german_dates(spark, said, want):
 
 
 def test_days_risk_reminders(spark):
+    NOW = F.lit("2024-06-01 12:00:00").cast("timestamp")  # noqa: N806
     day = lambda d: F.lit(d).cast("date")
     assert [one(spark, dates.days_until(day(d), NOW)) for d in ("2024-06-30", "2024-05-30", "2024-06-01")] == [29, -2, 0]
     risk = lambda r, d: one(spark, dates.escalated(F.lit(r), F.date_add(day("2024-06-01"), d) if d is not None else F.lit(None).cast("date"), NOW))
