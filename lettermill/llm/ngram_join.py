@@ -6,8 +6,8 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +22,8 @@ SHORT_RUN = 8
 #: Bits of the filter that keeps texts nobody needs out of a shuffle.
 FILTER_BITS = 1 << 24
 #: Sets and shingles in a tile, about.
-TILE_SETS, TILE_SHINGLES = 1024, 1 << 18
-#: Candidate rows that a task holds at a time.
+TILE_SETS, TILE_SHINGLES = 256, 1 << 16
+#: Candidate rows, or shingles, that a task holds at a time.
 CHUNK = 1 << 20
 
 
@@ -38,27 +38,36 @@ def _batch(columns: dict[str, np.ndarray | pa.Array]) -> pa.RecordBatch:
 
 
 def _profile(width: int):
-    """Of each document its set's size and signature (kind 0); of each batch the sketch cells of shingles that several of its sets hold (kind 1)."""
+    """Of each document its set's size and signature (kind 0); of each CHUNK of shingles the sketch cells of those that several sets hold (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, sets = [], {}
+            none = pa.nulls(1, b.schema.field("doc_id").type)
+            rows, sets, held = [], {}, 0
             for text in b.column("text"):
                 s = wordhash.shingle_set(text.as_py(), width)
                 rows.append((len(s), *_signature(s)))
-                sets[rows[-1][1]] = s
+                if rows[-1][1] not in sets:
+                    sets[rows[-1][1]] = s
+                    held += len(s)
+                if held >= CHUNK:
+                    yield _recurring(sets, none)
+                    sets, held = {}, 0
+            if sets:
+                yield _recurring(sets, none)
             n, h1, h2 = (np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else (np.empty(0, np.int64),) * 3
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), b.column("doc_id"), pa.array(n), pa.array(h1), pa.array(h2)], ["kind", "doc_id", "n", "h1", "h2"])
-            if sets:
-                code, times = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-                code, times = code[times > 1], times[times > 1]
-                cell = (code % np.uint64(CELLS)).astype(np.int64)
-                none = pa.nulls(len(cell), b.schema.field("doc_id").type)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(cell), np.int32)), none, pa.array(times.astype(np.int64)), pa.array(cell), pa.array(np.zeros(len(cell), np.int64))], ["kind", "doc_id", "n", "h1", "h2"])
 
     return run
 
 
+def _recurring(sets: dict[int, np.ndarray], none: pa.Array) -> pa.RecordBatch:
+    code, times = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+    code, times = code[times > 1], times[times > 1]
+    arrays = [np.ones(len(code), np.int32), pa.nulls(len(code), none.type), times.astype(np.int64), (code % np.uint64(CELLS)).astype(np.int64), np.zeros(len(code), np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["kind", "doc_id", "n", "h1", "h2"])
+
+
 def _sketch(spark: SparkSession, profile: DataFrame) -> np.ndarray:
     """log2 of how often shingles of each cell recur: a fixed CELLS bytes. It orders shingles only; any order gives the same links."""
     cells = profile.where("kind = 1").groupBy("h1").agg(F.sum("n").alias("n")).where("n >= 4").select(F.col("h1").cast("int"), F.ceil(F.log2("n")).cast("byte").alias("level")).toPandas()
@@ -198,15 +207,22 @@ def _compare(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                x, y = ({c: np.frombuffer(batch.column(f"{c}_{t}")[k].as_py(), dtype) for c, dtype in _TILE.items()} for t in "ab")
+                x, y = (_unpacked(batch.column(f"sets_{t}")[k].values) for t in "ab")
                 u, v = _links(x, y, batch.column("tile_a")[k].as_py() == batch.column("tile_b")[k].as_py(), num, den)
                 yield _batch({"a": np.array(u, np.int64), "b": np.array(v, np.int64)})
 
     return run
 
 
-#: What a tile holds, as bytes: its sets' ids, components, sizes and shingles, and their entries in long runs as shingle, set and position.
-_TILE = {"cid": np.int64, "root": np.int64, "n": np.int64, "shingles": np.uint64, "s": np.int64, "at": np.int64, "pos": np.int64}
+def _unpacked(sets: pa.StructArray) -> dict[str, np.ndarray]:
+    """A tile's sets with their ids, components, sizes and shingles, and their entries in long runs as shingle, set and position, sorted by shingle."""
+    cid, root, n, s, pos, shingles = sets.flatten()
+    at = np.repeat(np.arange(len(cid)), pc.list_value_length(s).to_numpy())
+    s, pos = s.flatten().to_numpy(), pos.flatten().to_numpy().astype(np.int64)
+    order = np.argsort(s, kind="stable")
+    return {
+        "cid": cid.to_numpy(), "root": root.to_numpy(), "n": n.to_numpy().astype(np.int64), "shingles": np.frombuffer(b"".join(shingles.to_pylist()), np.uint64), "s": s[order], "at": at[order], "pos": pos[order],
+    }
 
 
 def _links(x: dict[str, np.ndarray], y: dict[str, np.ndarray], same: bool, num: int, den: int) -> tuple[list[int], list[int]]:
@@ -243,16 +259,6 @@ def _links(x: dict[str, np.ndarray], y: dict[str, np.ndarray], same: bool, num:
     return u, v
 
 
-def _packed(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("cid", kind="stable").reset_index(drop=True)
-    count = rows["s"].map(len).to_numpy()
-    s, pos = np.concatenate(rows["s"].tolist()).astype(np.int64), np.concatenate(rows["pos"].tolist()).astype(np.int64)
-    at = np.repeat(np.arange(len(rows)), count)
-    order = np.argsort(s, kind="stable")
-    whole = {"cid": rows["cid"].to_numpy(np.int64), "root": rows["root"].to_numpy(np.int64), "n": rows["n"].to_numpy(np.int64), "s": s[order], "at": at[order], "pos": pos[order]}
-    return pd.DataFrame({"tile": rows["tile"].iloc[:1], **{k: [v.tobytes()] for k, v in whole.items()}, "shingles": [b"".join(rows["shingles"])]})
-
-
 def _late_links(late: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links that the first round left out: of sets in long runs (s, cid, n, pos), those of different components.
 
@@ -268,12 +274,12 @@ def _late_links(late: DataFrame, roots: DataFrame, sets: DataFrame, num: int, de
     parts = placed.groupBy("home", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE_SETS), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("parts"))
     tiled = placed.join(parts, ["home", "band"]).withColumn("tile", F.concat_ws("/", "home", "band", F.pmod(F.xxhash64("cid"), "parts")))
     tiled = written(tiled.select("tile", "cid", "root", "n", "band", "s", "pos"), "shingle-late")
-    fields = "tile string, " + ", ".join(f"{k} binary" for k in ("cid", "root", "n", "s", "at", "pos", "shingles"))
-    tiles = written(tiled.join(sets, "cid").select("tile", "cid", "root", "n", "s", "pos", "shingles").groupBy("tile").applyInPandas(_packed, fields), "shingle-tiles")
+    tiles = tiled.join(sets, "cid").groupBy("tile").agg(F.collect_list(F.struct("cid", "root", "n", "s", "pos", "shingles")).alias("sets"))
+    tiles = written(tiles, "shingle-tiles")
     meets = tiled.select("tile", "band", F.explode("s").alias("s")).distinct()
     a, b = (meets.select("s", F.col("tile").alias(f"tile_{t}"), F.col("band").alias(f"band_{t}")) for t in "ab")
     pairs = a.join(b, "s").where("tile_a <= tile_b AND abs(band_a - band_b) <= 1").select("tile_a", "tile_b").distinct()
-    side = lambda t: tiles.select(F.col("tile").alias(f"tile_{t}"), *[F.col(k).alias(f"{k}_{t}") for k in _TILE])
+    side = lambda t: tiles.toDF(f"tile_{t}", f"sets_{t}")
     return pairs.join(side("a"), "tile_a").join(side("b"), "tile_b").mapInArrow(_compare(num, den), "a long, b long")
 
 
