@@ -200,10 +200,10 @@ def ocr_tolerant_match(spark, sf_dir):
     return rows.select("o_orderkey", F.forall("p", lambda p: F.regexp_count(F.col("read"), p) > 0).alias("found"))
 
 
-@query("""SELECT c_custkey, true AS near, false AS far FROM customer WHERE c_custkey <= 50""")
+@query("""SELECT c_custkey, true AS near, false AS far FROM customer""")
 def residue_scan(spark, sf_dir):
-    """Names left in a text with one character changed are found; texts without them are clean. A report over the first fifty customers."""
-    rows = tables.table(spark, sf_dir, "customer").where("c_custkey <= 50").select("c_custkey", F.translate("c_name", "0", "o").alias("value"))
+    """Names left in a text with one character changed are found; texts without them are clean."""
+    rows = tables.table(spark, sf_dir, "customer").repartition(spark.sparkContext.defaultParallelism, "c_custkey").select("c_custkey", F.translate("c_name", "0", "o").alias("value"))
     damaged = F.concat(F.lit("Schreiben an "), F.replace("value", F.lit("C"), F.lit("c")), F.lit("x, bitte. [[NAME_1]]"))
     found = lambda t: tolerance.residue(t, F.col("value")).isNotNull()
     return rows.select("c_custkey", found(damaged).alias("near"), found(F.lit("Das Wetter bleibt heute und morgen gut.")).alias("far"))
@@ -301,13 +301,13 @@ def upsert_users(spark, sf_dir):
 
 
 @query("""
-    SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 3 = 1 THEN 'patched' ELSE o_orderpriority END AS o_orderpriority,
-        CASE WHEN o_orderkey % 3 < 2 THEN TIMESTAMP '1998-08-02 12:00:00' ELSE o_orderdate END AS updated_at FROM orders""")
+    SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderstatus = 'O' THEN 'patched' ELSE o_orderpriority END AS o_orderpriority,
+        CASE WHEN o_orderstatus IN ('F', 'O') THEN TIMESTAMP '1998-08-02 12:00:00' ELSE o_orderdate END AS updated_at FROM orders""")
 def patch_update(spark, sf_dir):
     rows = tables.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", F.col("o_orderdate").cast("timestamp").alias("updated_at"))
     nothing = F.create_map(F.lit("o_orderstatus"), F.lit(None).cast("string"))
-    fields = F.when(F.col("o_orderkey") % 3 == 0, nothing).otherwise(F.create_map(F.lit("o_orderpriority"), F.lit("patched")))
-    patches = rows.where("o_orderkey % 3 < 2").select("o_orderkey", fields.alias("fields"))
+    fields = F.when(F.col("o_orderstatus") == "F", nothing).otherwise(F.create_map(F.lit("o_orderpriority"), F.lit("patched")))
+    patches = rows.where("o_orderstatus IN ('F', 'O')").select("o_orderkey", fields.alias("fields"))
     out = store.patched(rows, patches, "o_orderkey", now())
     return out.withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
 
@@ -336,7 +336,7 @@ def _graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     order, item = tables.table(spark, sf_dir, "orders"), tables.table(spark, sf_dir, "lineitem")
     line = F.concat_ws("-", "l_orderkey", "l_partkey", "l_linenumber")
     return {
-        "users": tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")),
+        "users": tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal"),
         "documents": order.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id")),
         "analyses": order.select((-F.col("o_orderkey")).alias("id"), F.col("o_orderkey").alias("document_id")),
         "drafts": item.select(line.alias("id"), (-F.col("l_orderkey")).alias("analysis_id")),
@@ -345,18 +345,18 @@ def _graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 @query("""
-    WITH d AS (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 50 = 7)
-    SELECT 'users' AS table_name, count(*) AS deleted_count FROM customer WHERE c_custkey % 50 = 7 UNION ALL SELECT 'documents', count(*) FROM d UNION ALL SELECT 'analyses', count(*) FROM d UNION ALL
+    WITH d AS (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < -500)
+    SELECT 'users' AS table_name, count(*) AS deleted_count FROM customer WHERE c_acctbal < -500 UNION ALL SELECT 'documents', count(*) FROM d UNION ALL SELECT 'analyses', count(*) FROM d UNION ALL
     SELECT 'drafts', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM d)""")
 def delete_user_cascade(spark, sf_dir):
     graph = _graph(spark, sf_dir)
-    return store.cascaded(graph, graph["users"].where("id % 50 = 7"))[1]
+    return store.cascaded(graph, graph["users"].where("c_acctbal < -500"))[1]
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_custkey % 50 <> 7 THEN o_custkey ELSE -1 END AS user_id FROM orders")
+@query("SELECT o_orderkey AS id, CASE WHEN c_acctbal < -500 THEN -1 ELSE o_custkey END AS user_id FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
 def audit_after_delete(spark, sf_dir):
     graph = _graph(spark, sf_dir)
-    return store.cascaded(graph, graph["users"].where("id % 50 = 7"))[0]["audit_log"].select("id", F.coalesce("user_id", F.lit(-1)).alias("user_id"))
+    return store.cascaded(graph, graph["users"].where("c_acctbal < -500"))[0]["audit_log"].select("id", F.coalesce("user_id", F.lit(-1)).alias("user_id"))
 
 
 @query("""
