@@ -37,4 +37,6 @@ def components(links: DataFrame) -> DataFrame:
         after = written(_small_star(_large_star(edges)), "links")
         discard(edges)
         edges = after
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
+    out._lettermill_path = edges._lettermill_path  # so that the caller can discard it
+    return out

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import tasks_for, written
+from .common import discard, tasks_for, written
 from .components import components
 
 #: Cells of the frequency sketch: what is broadcast is one byte for each, whatever the input.
@@ -259,8 +259,8 @@ def _links(x: dict[str, np.ndarray], y: dict[str, np.ndarray], same: bool, num:
     return u, v
 
 
-def _late_links(late: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links that the first round left out: of sets in long runs (s, cid, n, pos), those of different components.
+def _late_links(late: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Links that the first round left out: of sets in long runs (s, cid, n, pos), those of different components. Also the tables they are read from.
 
     Sets meet in tiles: those with the same longest run and similar size, in parts by their hashes so that a tile holds at most about
     TILE_SETS sets and TILE_SHINGLES shingles. Pairs of tiles are compared in memory if some set of each is in one run and sizes allow a link;
@@ -273,14 +273,14 @@ def _late_links(late: DataFrame, roots: DataFrame, sets: DataFrame, num: int, de
     placed = written(placed, "shingle-late")
     parts = placed.groupBy("home", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE_SETS), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("parts"))
     tiled = placed.join(parts, ["home", "band"]).withColumn("tile", F.concat_ws("/", "home", "band", F.pmod(F.xxhash64("cid"), "parts")))
-    tiled = written(tiled.select("tile", "cid", "root", "n", "band", "s", "pos"), "shingle-late")
+    tiled = written(tiled.select("tile", "cid", "root", "n", "band", "s", "pos"), "shingle-tiled")
     tiles = tiled.join(sets, "cid").groupBy("tile").agg(F.collect_list(F.struct("cid", "root", "n", "s", "pos", "shingles")).alias("sets"))
     tiles = written(tiles, "shingle-tiles")
     meets = tiled.select("tile", "band", F.explode("s").alias("s")).distinct()
     a, b = (meets.select("s", F.col("tile").alias(f"tile_{t}"), F.col("band").alias(f"band_{t}")) for t in "ab")
     pairs = a.join(b, "s").where("tile_a <= tile_b AND abs(band_a - band_b) <= 1").select("tile_a", "tile_b").distinct()
     side = lambda t: tiles.toDF(f"tile_{t}", f"sets_{t}")
-    return pairs.join(side("a"), "tile_a").join(side("b"), "tile_b").mapInArrow(_compare(num, den), "a long, b long")
+    return pairs.join(side("a"), "tile_a").join(side("b"), "tile_b").mapInArrow(_compare(num, den), "a long, b long"), [placed, tiled, tiles]
 
 
 def _sets(cids: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -357,11 +357,14 @@ def similar(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> D
     involved = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(late.select("cid")).distinct()
     sets = written(_sets(involved, classes, docs, width), "shingle-sets")
     first = written(_verified(pairs, sets, num, den), "shingle-links")
-    roots = written(components(first), "shingle-roots")
-    second = written(_late_links(late, roots, sets, num, den), "shingle-links")
+    early = components(first)
+    links, made = _late_links(late, early, sets, num, den)
+    second = written(links, "shingle-links")
+    discard(early, found, pairs, sets, *made)
     roots = components(first.union(second))
     placed = classes.join(roots, classes["cid"] == roots["node"], "left").select("cid", "doc_id", F.coalesce("root", "cid").alias("root"))
     placed = written(placed, "shingle-placed")
+    discard(roots, first, second, classes)
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     component = placed.join(least, "root").select(F.col("cid").alias("h1"), "component_id")
     return own.join(component, "h1", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
