@@ -25,6 +25,7 @@ FILTER_BITS = 1 << 24
 TILE_SETS, TILE_SHINGLES = 256, 1 << 16
 #: Candidate rows, or shingles, that a task holds at a time.
 CHUNK = 1 << 20
+PROFILE = ["kind", "doc_id", "n", "h1", "h2", "bits"]
 
 
 def _signature(s: np.ndarray) -> tuple[int, int]:
@@ -33,20 +34,34 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
         return int(wordhash.mix(s).sum(dtype=np.uint64).view(np.int64)), int(wordhash.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64))
 
 
+def _bits(s: np.ndarray) -> bytes:
+    """Parity of how many shingles fall on each of 2 to 4 bits a shingle; two such maps differ in no more bits than the sets differ in shingles."""
+    m = max(128, 1 << (2 * len(s)).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The map of `size` bytes of the same set: halves on top of each other."""
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
 def _batch(columns: dict[str, np.ndarray | pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
 
 
 def _profile(width: int):
-    """Of each document its set's size and signature (kind 0); of each CHUNK of shingles the sketch cells of those that several sets hold (kind 1)."""
+    """Of each document its set's size, signature and parity map (kind 0); of each CHUNK of shingles the sketch cells of those that several sets hold (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             none = pa.nulls(1, b.schema.field("doc_id").type)
-            rows, sets, held = [], {}, 0
+            rows, bits, sets, held = [], [], {}, 0
             for text in b.column("text"):
                 s = wordhash.shingle_set(text.as_py(), width)
                 rows.append((len(s), *_signature(s)))
+                bits.append(_bits(s))
                 if rows[-1][1] not in sets:
                     sets[rows[-1][1]] = s
                     held += len(s)
@@ -56,7 +71,7 @@ def _profile(width: int):
             if sets:
                 yield _recurring(sets, none)
             n, h1, h2 = (np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else (np.empty(0, np.int64),) * 3
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), b.column("doc_id"), pa.array(n), pa.array(h1), pa.array(h2)], ["kind", "doc_id", "n", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), b.column("doc_id"), pa.array(n), pa.array(h1), pa.array(h2), pa.array(bits, pa.binary())], PROFILE)
 
     return run
 
@@ -65,7 +80,7 @@ def _recurring(sets: dict[int, np.ndarray], none: pa.Array) -> pa.RecordBatch:
     code, times = np.unique(np.concatenate(list(sets.values())), return_counts=True)
     code, times = code[times > 1], times[times > 1]
     arrays = [np.ones(len(code), np.int32), pa.nulls(len(code), none.type), times.astype(np.int64), (code % np.uint64(CELLS)).astype(np.int64), np.zeros(len(code), np.int64)]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["kind", "doc_id", "n", "h1", "h2"])
+    return pa.RecordBatch.from_arrays([*(pa.array(x) for x in arrays), pa.nulls(len(code), pa.binary())], PROFILE)
 
 
 def _sketch(spark: SparkSession, profile: DataFrame) -> np.ndarray:
@@ -201,33 +216,54 @@ def _first_round(num: int, den: int):
     return run
 
 
+def _tile_pairs(batches: Iterator[pa.RecordBatch], num: int, den: int):
+    """Of rows of two tiles each: both tiles' names and contents, and which pairs of sets may be links."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            x, y = (_unpacked(batch.column(f"sets_{t}")[k].values) for t in "ab")
+            names = [batch.column(f"tile_{t}")[k].as_py() for t in "ab"]
+            yield names, x, y, _maybe(x, y, names[0] == names[1], num, den)
+
+
+def _promising(num: int, den: int):
+    """Pairs of tiles that may hold a link, with the sets of those links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, x, y, (i, j) in _tile_pairs(batches, num, den):
+            if len(i):
+                cids = np.unique(np.concatenate([x["cid"][i], y["cid"][j]]))
+                yield pa.RecordBatch.from_arrays([*(pa.array([t]) for t in names), pa.array([cids])], ["tile_a", "tile_b", "cids"])
+
+    return run
+
+
 def _compare(num: int, den: int):
     """Of pairs of tiles: links between sets that share a shingle of a long run and are not of one component yet, a spanning forest of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                x, y = (_unpacked(batch.column(f"sets_{t}")[k].values) for t in "ab")
-                u, v = _links(x, y, batch.column("tile_a")[k].as_py() == batch.column("tile_b")[k].as_py(), num, den)
-                yield _batch({"a": np.array(u, np.int64), "b": np.array(v, np.int64)})
+        for _, x, y, maybe in _tile_pairs(batches, num, den):
+            u, v = _links(x, y, *maybe, num, den)
+            yield _batch({"a": np.array(u, np.int64), "b": np.array(v, np.int64)})
 
     return run
 
 
-def _unpacked(sets: pa.StructArray) -> dict[str, np.ndarray]:
-    """A tile's sets with their ids, components, sizes and shingles, and their entries in long runs as shingle, set and position, sorted by shingle."""
-    cid, root, n, s, pos, shingles = sets.flatten()
-    at = np.repeat(np.arange(len(cid)), pc.list_value_length(s).to_numpy())
-    s, pos = s.flatten().to_numpy(), pos.flatten().to_numpy().astype(np.int64)
+def _unpacked(sets: pa.StructArray) -> dict:
+    """A tile's sets with their ids, components, sizes, parity maps and, if they are there, shingles; their entries in long runs as shingle, set and position, sorted by shingle."""
+    column = {sets.type.field(i).name: c for i, c in enumerate(sets.flatten())}
+    at = np.repeat(np.arange(len(sets)), pc.list_value_length(column["s"]).to_numpy())
+    s, pos = column["s"].flatten().to_numpy(), column["pos"].flatten().to_numpy().astype(np.int64)
     order = np.argsort(s, kind="stable")
+    bits = [np.frombuffer(x, np.uint8) for x in column["bits"].to_pylist()]
+    shingles = [np.frombuffer(x, np.uint64) for x in column["shingles"].to_pylist()] if "shingles" in column else []
     return {
-        "cid": cid.to_numpy(), "root": root.to_numpy(), "n": n.to_numpy().astype(np.int64), "shingles": np.frombuffer(b"".join(shingles.to_pylist()), np.uint64), "s": s[order], "at": at[order], "pos": pos[order],
+        "cid": column["cid"].to_numpy(), "root": column["root"].to_numpy(), "n": column["n"].to_numpy().astype(np.int64), "bits": bits, "shingles": shingles, "s": s[order], "at": at[order], "pos": pos[order],
     }
 
 
-def _links(x: dict[str, np.ndarray], y: dict[str, np.ndarray], same: bool, num: int, den: int) -> tuple[list[int], list[int]]:
-    """Links between the sets of two tiles. What is joined already, or becomes so here, is not compared again."""
-    maybe = np.zeros((len(x["cid"]), len(y["cid"])), bool)
+def _maybe(x: dict, y: dict, same: bool, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets of two tiles that size, position and parity filters leave and that are not of one component yet."""
+    found = np.zeros((len(x["cid"]), len(y["cid"])), bool)
     shared = np.intersect1d(x["s"], y["s"])
     for lo_x, hi_x, lo_y, hi_y in zip(*(np.searchsorted(t["s"], shared, side) for t in (x, y) for side in ("left", "right")), strict=True):
         i, j = x["at"][lo_x:hi_x], y["at"][lo_y:hi_y]
@@ -235,7 +271,25 @@ def _links(x: dict[str, np.ndarray], y: dict[str, np.ndarray], same: bool, num:
         left_x, left_y = n_x - x["pos"][lo_x:hi_x][:, None], n_y - y["pos"][lo_y:hi_y][None, :]
         need = -(-num * (n_x + n_y) // (num + den))
         near = (den * np.minimum(n_x, n_y) >= num * np.maximum(n_x, n_y)) & (np.minimum(left_x, left_y) >= need)
-        maybe[np.ix_(i, j)] |= near & (x["root"][i][:, None] != y["root"][j][None, :])
+        found[np.ix_(i, j)] |= near & (x["root"][i][:, None] != y["root"][j][None, :])
+    if same:
+        found = np.triu(found, 1)
+    i, j = np.nonzero(found)
+    if not len(i):
+        return i, j
+    size = min(len(bits) for t in (x, y) for bits in t["bits"])
+    maps_x, maps_y = (np.stack([_folded(bits, size) for bits in t["bits"]]).view(np.uint64) for t in (x, y))
+    ok = _parity_allows(maps_x[i], maps_y[j], x["n"][i], y["n"][j], num, den)
+    return i[ok], j[ok]
+
+
+def _parity_allows(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets with these parity maps (rows) can still reach the threshold: they differ in at least as many shingles as their maps in bits."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) <= n_x + n_y - 2 * (-(-num * (n_x + n_y) // (num + den)))
+
+
+def _links(x: dict, y: dict, at_x: np.ndarray, at_y: np.ndarray, num: int, den: int) -> tuple[list[int], list[int]]:
+    """Which of these pairs are links. What becomes joined here is not compared again."""
     parent: dict[int, int] = {}
 
     def root(r: int) -> int:
@@ -244,11 +298,9 @@ def _links(x: dict[str, np.ndarray], y: dict[str, np.ndarray], same: bool, num:
             r = parent[r]
         return r
 
-    sets_x, sets_y = (np.split(t["shingles"], np.cumsum(t["n"])[:-1]) for t in (x, y))
+    sets_x, sets_y = x["shingles"], y["shingles"]
     u, v = [], []
-    for i, j in zip(*(c.tolist() for c in np.nonzero(maybe)), strict=True):
-        if same and i >= j:
-            continue
+    for i, j in zip(at_x.tolist(), at_y.tolist(), strict=True):
         p, q = root(int(x["root"][i])), root(int(y["root"][j]))
         if p != q:
             both = len(np.intersect1d(sets_x[i], sets_y[j], assume_unique=True))
@@ -259,28 +311,36 @@ def _links(x: dict[str, np.ndarray], y: dict[str, np.ndarray], same: bool, num:
     return u, v
 
 
-def _late_links(late: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
+def _late_links(late: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
     """Links that the first round left out: of sets in long runs (s, cid, n, pos), those of different components. Also the tables they are read from.
 
     Sets meet in tiles: those with the same longest run and similar size, in parts by their hashes so that a tile holds at most about
-    TILE_SETS sets and TILE_SHINGLES shingles. Pairs of tiles are compared in memory if some set of each is in one run and sizes allow a link;
-    so a set travels once for each such pair of tiles, not for each pair of sets, and only links leave a task.
+    TILE_SETS sets and TILE_SHINGLES shingles. Pairs of tiles are compared in memory if some set of each is in one run and sizes allow a link,
+    first with parity maps in place of shingles; whole sets travel only where those leave something to compare, and only links leave a task.
     """
     length = late.groupBy("s").agg(F.count(F.lit(1)).alias("length"))
     entries = late.join(length, "s").groupBy("cid").agg(F.max("n").alias("n"), F.max(F.struct("length", "s"))["s"].alias("home"), F.collect_list(F.struct("s", "pos")).alias("e"))
     band = F.floor(F.log("n") / math.log(den / num)).cast("int")
-    placed = entries.join(roots, F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("root", "cid").alias("root"), "n", "home", band.alias("band"), F.col("e.s").alias("s"), F.col("e.pos").alias("pos"))
-    placed = written(placed, "shingle-late")
+    placed = entries.join(roots, F.col("cid") == F.col("node"), "left").join(classes.select("cid", "bits"), "cid")
+    placed = written(placed.select("cid", F.coalesce("root", "cid").alias("root"), "n", "home", band.alias("band"), F.col("e.s").alias("s"), F.col("e.pos").alias("pos"), "bits"), "shingle-late")
     parts = placed.groupBy("home", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE_SETS), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("parts"))
     tiled = placed.join(parts, ["home", "band"]).withColumn("tile", F.concat_ws("/", "home", "band", F.pmod(F.xxhash64("cid"), "parts")))
-    tiled = written(tiled.select("tile", "cid", "root", "n", "band", "s", "pos"), "shingle-tiled")
-    tiles = tiled.join(sets, "cid").groupBy("tile").agg(F.collect_list(F.struct("cid", "root", "n", "s", "pos", "shingles")).alias("sets"))
-    tiles = written(tiles, "shingle-tiles")
+    tiled = written(tiled.select("tile", "cid", "root", "n", "band", "s", "pos", "bits"), "shingle-tiled")
     meets = tiled.select("tile", "band", F.explode("s").alias("s")).distinct()
     a, b = (meets.select("s", F.col("tile").alias(f"tile_{t}"), F.col("band").alias(f"band_{t}")) for t in "ab")
     pairs = a.join(b, "s").where("tile_a <= tile_b AND abs(band_a - band_b) <= 1").select("tile_a", "tile_b").distinct()
+    light = tiled.groupBy("tile").agg(F.collect_list(F.struct("cid", "root", "n", "s", "pos", "bits")).alias("sets"))
+    near = written(_met(pairs, light).mapInArrow(_promising(num, den), "tile_a string, tile_b string, cids array<long>"), "shingle-near")
+    sets = _sets(near.select(F.explode("cids").alias("cid")).distinct(), classes, docs, width)
+    full = tiled.join(sets, "cid").groupBy("tile").agg(F.collect_list(F.struct("cid", "root", "n", "s", "pos", "bits", "shingles")).alias("sets"))
+    full = written(full, "shingle-tiles")
+    return _met(near.select("tile_a", "tile_b"), full).mapInArrow(_compare(num, den), "a long, b long"), [placed, tiled, near, full]
+
+
+def _met(pairs: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Pairs of tile names with the contents of both."""
     side = lambda t: tiles.toDF(f"tile_{t}", f"sets_{t}")
-    return pairs.join(side("a"), "tile_a").join(side("b"), "tile_b").mapInArrow(_compare(num, den), "a long, b long"), [placed, tiled, tiles]
+    return pairs.join(side("a"), "tile_a").join(side("b"), "tile_b")
 
 
 def _sets(cids: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -314,6 +374,23 @@ def _among(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(maps), F.col("__bucket") == F.col("bucket")).where(F.getbit(byte, hit) == 1).select(*docs.columns)
 
 
+def _plausible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that parity maps leave."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y, n_x, n_y in zip(*(b.column(k).to_pylist() for k in ("bits_a", "bits_b", "n_a", "n_b")), strict=True):
+                size = min(len(x), len(y))
+                x, y = (_folded(np.frombuffer(bits, np.uint8), size).view(np.uint64) for bits in (x, y))
+                keep.append(bool(_parity_allows(x, y, n_x, n_y, num, den)))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
+
+    side = lambda t: classes.select(F.col("cid").alias(t), F.col("n").alias(f"n_{t}"), F.col("bits").alias(f"bits_{t}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs whose sets reach the threshold."""
 
@@ -338,6 +415,7 @@ def similar(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> D
     Documents with equal sets are one group from the start. A set's prefix holds its rarest shingles in one global order; sets that
     can be similar share a shingle of their prefixes, so only such groups are compared, behind size and position filters. Long runs
     of one shingle are linked along neighbours first; what is still apart is then compared in tiles, so no link between components is lost.
+    Parity maps of the sets rule out most candidates before any whole set travels.
 
     Columns: doc_id, n_shingles, component_id (smallest doc_id reachable by links). Null or empty texts have no shingles and link
     with nothing, nor does a row whose doc_id is null. Repeated rows are equal sets. An empty table gives no rows; other columns are ignored.
@@ -345,20 +423,20 @@ def similar(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> D
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    profile = written(docs.mapInArrow(_profile(width), f"kind int, doc_id {kind}, n long, h1 long, h2 long"), "shingle-profile")
+    profile = written(docs.mapInArrow(_profile(width), f"kind int, doc_id {kind}, n long, h1 long, h2 long, bits binary"), "shingle-profile")
     sketch = spark.sparkContext.broadcast(_sketch(spark, profile))
     own = profile.where("kind = 0")
-    classes = written(own.where("n > 0 AND doc_id IS NOT NULL").groupBy(F.col("h1").alias("cid")).agg(F.min("doc_id").alias("doc_id")), "shingle-classes")
+    classes = written(own.where("n > 0 AND doc_id IS NOT NULL").groupBy(F.col("h1").alias("cid")).agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "shingle-classes")
     entries = docs.where("doc_id IS NOT NULL").mapInArrow(_prefixes(width, num, den, sketch), "s long, cid long, n int, pos int")
     form = "kind int, a long, b long, n int, pos int"
     found = written(entries.repartition(4 * tasks_for(spark), "s").sortWithinPartitions("s", "n", "cid").mapInArrow(_first_round(num, den), form), "shingle-pairs")
-    pairs = written(found.where("kind = 0").select("a", "b").distinct(), "shingle-candidates")
+    pairs = written(_plausible(found.where("kind = 0").select("a", "b").distinct(), classes, num, den), "shingle-candidates")
     late = found.where("kind = 1").select(F.col("a").alias("s"), F.col("b").alias("cid"), "n", "pos")
-    involved = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(late.select("cid")).distinct()
+    involved = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
     sets = written(_sets(involved, classes, docs, width), "shingle-sets")
     first = written(_verified(pairs, sets, num, den), "shingle-links")
     early = components(first)
-    links, made = _late_links(late, early, sets, num, den)
+    links, made = _late_links(late, early, classes, docs, width, num, den)
     second = written(links, "shingle-links")
     discard(early, found, pairs, sets, *made)
     roots = components(first.union(second))
