@@ -87,7 +87,8 @@ def test_sources_and_sinks(spark, tmp_path):
     html = F.lit('<ul><li class="slot-item">10:00 <b>frei</b></li><li>x</li><li class="a slot-item"> </li></ul>')
     assert one(spark, tables.page_items(html, css_class="slot-item")) == ["10:00 frei"]
     parts = sinks.approval_requests(spark.createDataFrame([("d1", "s", "b" * 5000)], "draft_id string, subject string, body string")).orderBy("part").collect()
-    assert [(p.is_last, p.approve) for p in parts] == [(False, None), (True, "approve:d1")]
+    assert [p.chunk for p in parts] == ["s\n", "b" * 4096, "b" * 904]  # the blank line after the title is the last line end within the limit
+    assert [(p.is_last, p.approve) for p in parts] == [(False, None), (False, None), (True, "approve:d1")]
     with pytest.raises(ValueError):
         tables.Settings.of({"ENVIRONMENT": "production"})
     assert tables.Settings.of({"RETENTION_DAYS": " "}).retention_days == 30
