@@ -11,6 +11,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from .common import written
 WINDOW, SHARD = 1024, 2048
 #: BM25's saturation and length normalisation, and the rarest terms of a seed that are looked up.
 K1, B, QUERY_TERMS = 1.2, 0.75, 24
+#: Heaviest terms of a remainder that say where it is indexed, and the most partitions of the index; one holds as many shards as it needs.
+ROUTE_TERMS, PARTITIONS = 8, 4096
 #: The id that ends a document.
 END = 0
 
@@ -79,10 +82,68 @@ def _cut(name: str, window: int):
     return run
 
 
+def _bag(ids: bytes, length: int) -> np.ndarray:
+    return np.frombuffer(ids, "<u4" if len(ids) > 2 * length else "<u2")
+
+
+def _idf(n: int, df: np.ndarray) -> np.ndarray:
+    return np.log1p((n - df + 0.5) / (df + 0.5))
+
+
+def _counted(bags: Iterator[pa.RecordBatch], terms_of) -> Iterator[pa.RecordBatch]:
+    """Of a task's remainders: how many of them have each term that terms_of gives, a row for each term."""
+    total = np.zeros(0, np.int64)
+    for b in bags:
+        for ids, length in zip(b.column("ids"), b.column("length").to_pylist(), strict=True):
+            terms = terms_of(_bag(ids.as_py(), length))
+            if len(terms) and terms.max() >= len(total):
+                total = np.concatenate([total, np.zeros(int(terms.max()) + 1 - len(total), np.int64)])
+            total[terms] += 1
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["term", "n"])
+
+
+def _per_term(rest: DataFrame, terms_of) -> np.ndarray:
+    """Remainders of the whole table by term: one number for each id of the vocabulary, whatever the input."""
+    rows = rest.select("ids", "length").mapInArrow(lambda bags: _counted(bags, terms_of), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(int(rows["term"].max()) + 1 if len(rows) else 1, np.int64)
+    out[rows["term"].to_numpy()] = rows["n"].to_numpy()
+    return out
+
+
+def heaviest(bag: np.ndarray, df: np.ndarray, n: int, mean: float) -> tuple[np.ndarray, np.ndarray]:
+    """A remainder's ROUTE_TERMS heaviest terms that others of the table have too, and their weights."""
+    terms, tf = np.unique(bag, return_counts=True)
+    keep = df[terms] > 1
+    terms, tf = terms[keep], tf[keep]
+    weight = _idf(n, df[terms]) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(bag) / mean))
+    at = np.argsort(-weight, kind="stable")[:ROUTE_TERMS]
+    return terms[at], weight[at]
+
+
+def _routes(df, n: int, mean: float, sharing, fit: float):
+    """Adds to each remainder its heaviest terms, first the one by which neighbours that fill its window (`fit` of them) can score most: those alike are near each other in that order."""
+
+    def route(bag: np.ndarray) -> bytes:
+        terms, weight = heaviest(bag, df.value, n, mean)
+        gain = weight * np.minimum(sharing.value[terms] - 1, fit)
+        return terms[np.argsort(-gain, kind="stable")].astype(">u4").tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            routes = [route(_bag(ids.as_py(), length)) for ids, length in zip(b.column("ids"), b.column("length").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(routes, pa.binary())], [*b.schema.names, "route"])
+
+    return run
+
+
 class Bm25:
-    """An inverted index of a shard's remainders over their token ids: postings by term, with BM25 weights worked out at once."""
+    """An inverted index of a shard's remainders over their token ids: postings by term, with BM25 weights worked out at once.
 
-    def __init__(self, bags: list[np.ndarray]):
+    table: number of remainders, their mean length and each term's df in the whole table; without it the bags are the table.
+    """
+
+    def __init__(self, bags: list[np.ndarray], table: tuple[int, float, np.ndarray] | None = None):
         size = np.array([len(x) for x in bags], np.int64)
         doc = np.repeat(np.arange(len(bags)), size)
         term = np.concatenate(bags).astype(np.int64) if len(bags) else np.empty(0, np.int64)
@@ -90,8 +151,9 @@ class Bm25:
         term, self.docs = pair // max(1, len(bags)), pair % max(1, len(bags))
         self.terms, self.first, df = np.unique(term, return_index=True, return_counts=True)
         self.last = self.first + df
-        self.idf = np.log1p((len(bags) - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * size / max(1.0, size.mean() if len(size) else 1.0))
+        n, mean, of_term = table or (len(bags), size.mean() if len(size) else 1.0, None)
+        self.idf = _idf(n, df if of_term is None else of_term[self.terms])
+        norm = K1 * (1 - B + B * size / max(1.0, mean))
         self.weight = np.repeat(self.idf, df) * tf * (K1 + 1) / (tf + norm[self.docs])
         self.n = len(bags)
 
@@ -106,10 +168,10 @@ class Bm25:
         return out
 
 
-def fill(bags: list[np.ndarray], window: int) -> Iterator[list[tuple[int, int, int]]]:
+def fill(bags: list[np.ndarray], window: int, table: tuple[int, float, np.ndarray] | None = None) -> Iterator[list[tuple[int, int, int]]]:
     """Sequences as lists of (bag, first id, end): each begins with an unused seed, the longest first, and takes its best unused
     neighbours until it is full. What doesn't fit of the last one stays for later. Without scoring neighbours the longest unused go in."""
-    index = Bm25(bags)
+    index = Bm25(bags, table)
     begin, size = np.zeros(len(bags), np.int64), np.array([len(x) for x in bags], np.int64)
     left = size.copy()
     order = np.argsort(-size, kind="stable")
@@ -150,9 +212,11 @@ def fill(bags: list[np.ndarray], window: int) -> Iterator[list[tuple[int, int, i
 def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", window: int = WINDOW, shard: int = SHARD) -> DataFrame:
     """Cuts documents into pieces and packs these into sequences of at most `window` ids.
 
-    A document's ids end with END. Its full windows are sequences by themselves. Remainders go by a hash to index shards of some
-    `shard` of them; in a shard, a BM25 index over token ids gives each seed's unused neighbours, which fill its window, cut where it
-    is full. So only a shard's last sequence is short, by less than a window.
+    A document's ids end with END. Its full windows are sequences by themselves. Remainders go to index shards of about `shard` of them
+    by content: each is ordered by its heaviest terms under the whole table's BM25 statistics, first that by which its neighbours can score most,
+    and a shard is a stretch of that order, so those alike meet wherever they come from. In a shard, a BM25 index over token ids, with
+    idf and mean length of the whole table, gives each seed's unused neighbours, which fill its window, cut where it is full. So only
+    a shard's last sequence is short, by less than a window.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A null text counts as empty: END alone. Repeated rows
     and null ids are packed as documents of their own. An empty table gives no rows; other columns are ignored.
@@ -163,29 +227,48 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", window: int = WINDOW,
     )
     pieces = written(cut, "pack-pieces")
     full, rest = pieces.where("kind = 0"), pieces.where("kind = 1")
-    shards = max(1, -(-rest.count() // shard))
+    n, total = rest.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    mean, shards = max(1.0, total / max(1, n)), max(1, -(-n // shard))
     fields = PIECE.format(kind)
+    context = docs.sparkSession.sparkContext
+    df = context.broadcast(_per_term(rest, np.unique))
+    sharing = context.broadcast(_per_term(rest, lambda bag: heaviest(bag, df.value, n, mean)[0]))
+    fit = max(1.0, window / mean)
 
-    def pack_shard(rows: pd.DataFrame) -> pd.DataFrame:
+    def pack_shard(rows: pd.DataFrame, first: int) -> pd.DataFrame:
         rows = rows.sort_values(["length", "ids_crc32", "start"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        wide = rows["length"] * 2 < rows["ids"].map(len)
-        bags = [np.frombuffer(x, "<u4" if w else "<u2") for x, w in zip(rows["ids"], wide, strict=True)]
+        bags = [_bag(x, size) for x, size in zip(rows["ids"], rows["length"], strict=True)]
         at, starts, sizes, crcs, sequences, offsets = [], [], [], [], [], []
-        base = (int(rows["shard"].iloc[0]) << 24) * 2 + 1
-        for k, sequence in enumerate(fill(bags, window)):
+        for k, sequence in enumerate(fill(bags, window, (n, mean, df.value))):
             offset = 0
             for i, a, b in sequence:
                 at.append(i)
                 starts.append(a)
                 sizes.append(b - a)
                 crcs.append(zlib.crc32(bags[i][a:b].astype("<u4").tobytes()))
-                sequences.append(base + 2 * k)
+                sequences.append(first + 2 * k)
                 offsets.append(offset)
                 offset += b - a
         out = rows.iloc[at].reset_index(drop=True)
         return pd.DataFrame({"doc_id": out["doc_id"], "start": out["start"] + starts, "length": sizes, "ids_crc32": crcs, "doc_tokens": out["doc_tokens"], "sequence_id": sequences, "offset": offsets})
 
-    dealt = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "ids_crc32", "length", F.monotonically_increasing_id()), F.lit(shards)))
-    packed = dealt.groupBy("shard").applyInPandas(pack_shard, fields)
+    def pack_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The sorted remainders of a partition, a shard at a time; the last ones are shared out evenly."""
+        first = (TaskContext.get().partitionId() << 40) * 2 + 1
+        held = pd.DataFrame()
+        for batch in batches:
+            held = pd.concat([held, batch], ignore_index=True) if len(held) else batch
+            while len(held) >= 3 * shard:
+                yield (out := pack_shard(held[:shard], first))
+                first, held = int(out["sequence_id"].iloc[-1]) + 2, held[shard:]
+        parts = max(1, round(len(held) / shard))
+        for k in range(parts if len(held) else 0):
+            yield (out := pack_shard(held[len(held) * k // parts : len(held) * (k + 1) // parts], first))
+            first = int(out["sequence_id"].iloc[-1]) + 2
+
+    routed = rest.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", F.xxhash64("doc_id", "ids_crc32", "length", F.monotonically_increasing_id()).alias("salt"))
+    routed = routed.mapInArrow(_routes(df, n, mean, sharing, fit), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, ids binary, salt long, route binary")
+    dealt = routed.repartitionByRange(min(shards, PARTITIONS), "route", "salt").sortWithinPartitions("route", "salt")
+    packed = written(dealt.mapInPandas(pack_partition, fields), "pack-sequences")
     alone = full.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.monotonically_increasing_id() * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return alone.union(packed)

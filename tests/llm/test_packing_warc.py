@@ -57,6 +57,24 @@ def test_neighbours_fill_the_window():
     assert np.mean([len({i % 4 for i, _, _ in s}) == 1 for s in sequences]) > 0.6
 
 
+def test_neighbours_from_the_whole_table(spark):
+    """Documents of 40 subjects, dealt over a table of ten index shards, share windows; df and mean length are the table's."""
+    rnd = np.random.default_rng(5)
+    words = [[f"{a}{k}{b}" for a in "bdfgklmn" for b in "aeiou"] for k in range(40)]
+    texts = [(i, " ".join(rnd.choice(words[i % 40], 12))) for i in range(640)]
+    got = pack(spark.createDataFrame(texts, "doc_id long, text string").repartition(7), window=512, shard=64).collect()
+    assert sorted({r.doc_id for r in got}) == list(range(640))
+    of_sequence = {}
+    for r in got:
+        of_sequence.setdefault(r.sequence_id, []).append(r.doc_id % 40)
+    assert np.mean([max(s.count(k) for k in s) / len(s) for s in of_sequence.values()]) > 0.6
+    bags = [rnd.integers(0, 30, 20) for _ in range(6)]
+    df = np.full(30, 500)
+    index = Bm25(bags[:3], (1000, 40.0, df))
+    want = [sum(np.log1p(500.5 / 500.5) * (tf := int((b == t).sum())) * 2.2 / (tf + 1.2 * (0.25 + 0.75 * 20 / 40)) for t in set(bags[0].tolist()) if sum(t in x for x in bags[:3]) > 1) for b in bags[:3]]
+    assert np.allclose(index.scores(bags[0]), want)
+
+
 def test_packages_with_zip64():
     raw = io.BytesIO()
     with zipfile.ZipFile(raw, "w") as z:
