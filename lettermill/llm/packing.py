@@ -19,7 +19,7 @@ from .common import written
 
 #: Tokens in a sequence, and remainders in a shard of the index.
 WINDOW, SHARD = 1024, 2048
-#: BM25's saturation and length normalisation, and the rarest terms of a seed that are looked up.
+#: BM25's saturation and length normalisation, and the rarest terms that Bm25.scores looks up unless it is told otherwise; packing looks up all.
 K1, B, QUERY_TERMS = 1.2, 0.75, 24
 #: Heaviest terms of a remainder that say where it is indexed, and the most partitions of the index; one holds as many shards as it needs.
 ROUTE_TERMS, PARTITIONS = 8, 4096
@@ -156,15 +156,22 @@ class Bm25:
         norm = K1 * (1 - B + B * size / max(1.0, mean))
         self.weight = np.repeat(self.idf, df) * tf * (K1 + 1) / (tf + norm[self.docs])
         self.n = len(bags)
+        self.whole = {}
+        for t in np.flatnonzero(4 * df > self.n):  # common terms as one weight for each remainder: no more than four times their postings
+            row = self.whole[int(t)] = np.zeros(self.n)
+            row[self.docs[self.first[t] : self.last[t]]] = self.weight[self.first[t] : self.last[t]]
 
-    def scores(self, bag: np.ndarray) -> np.ndarray:
-        """BM25 scores of all remainders for the seed's QUERY_TERMS rarest shared terms."""
+    def scores(self, bag: np.ndarray, terms: int | None = QUERY_TERMS) -> np.ndarray:
+        """BM25 scores of all remainders for the seed's rarest shared terms, or, with None, for all of them."""
         out = np.zeros(self.n)
         i = np.searchsorted(self.terms, np.unique(bag).astype(np.int64))
         i = i[self.last[i] - self.first[i] > 1]
-        for t in i[np.argsort(-self.idf[i], kind="stable")[:QUERY_TERMS]]:
-            at = slice(self.first[t], self.last[t])
-            out[self.docs[at]] += self.weight[at]
+        for t in i[np.argsort(-self.idf[i], kind="stable")[:terms]].tolist():
+            if t in self.whole:
+                out += self.whole[t]
+            else:
+                at = slice(self.first[t], self.last[t])
+                out[self.docs[at]] += self.weight[at]
         return out
 
 
@@ -194,7 +201,7 @@ def fill(bags: list[np.ndarray], window: int, table: tuple[int, float, np.ndarra
 
         take(first)
         if room:
-            score = index.scores(bags[first])
+            score = index.scores(bags[first], None)
             score[left == 0] = 0
             near = np.flatnonzero(score)
             for i in near[np.argsort(-score[near], kind="stable")]:

@@ -75,6 +75,17 @@ def test_neighbours_from_the_whole_table(spark):
     assert np.allclose(index.scores(bags[0]), want)
 
 
+def test_all_terms_of_a_seed_count():
+    """A neighbour that shares 30 terms with the seed, none of them among its 24 rarest, comes before longer remainders that share none."""
+    near, far, other = np.arange(24), np.arange(24, 54), np.arange(200, 251)
+    bags = [np.arange(54), near, far, far, far, other, other]
+    n, mean = len(bags), np.mean([len(b) for b in bags])
+    df = [sum(t in b for b in bags) for t in range(54)]
+    want = [sum(np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(b) / mean)) for t in range(54) if t in b) for b in bags]
+    assert np.allclose(Bm25(bags).scores(bags[0], None), want) and min(want[:5]) > 0
+    assert [i for i, _, _ in next(fill(bags, 108))] == [0, 1, 2]
+
+
 def test_packages_with_zip64():
     raw = io.BytesIO()
     with zipfile.ZipFile(raw, "w") as z:
