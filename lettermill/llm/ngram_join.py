@@ -216,20 +216,20 @@ def _first_round(num: int, den: int):
     return run
 
 
-def _tile_pairs(batches: Iterator[pa.RecordBatch], num: int, den: int):
+def _tile_pairs(batches: Iterator[pa.RecordBatch], num: int, den: int, every: bool):
     """Of rows of two tiles each: both tiles' names and contents, and which pairs of sets may be links."""
     for batch in batches:
         for k in range(batch.num_rows):
             x, y = (_unpacked(batch.column(f"sets_{t}")[k].values) for t in "ab")
             names = [batch.column(f"tile_{t}")[k].as_py() for t in "ab"]
-            yield names, x, y, _maybe(x, y, names[0] == names[1], num, den)
+            yield names, x, y, _maybe(x, y, names[0] == names[1], num, den, every)
 
 
-def _promising(num: int, den: int):
+def _promising(num: int, den: int, every: bool):
     """Pairs of tiles that may hold a link, with the sets of those links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for names, x, y, (i, j) in _tile_pairs(batches, num, den):
+        for names, x, y, (i, j) in _tile_pairs(batches, num, den, every):
             if len(i):
                 cids = np.unique(np.concatenate([x["cid"][i], y["cid"][j]]))
                 yield pa.RecordBatch.from_arrays([*(pa.array([t]) for t in names), pa.array([cids])], ["tile_a", "tile_b", "cids"])
@@ -237,17 +237,93 @@ def _promising(num: int, den: int):
     return run
 
 
-def _compare(num: int, den: int):
-    """Of pairs of tiles: links between sets that share a shingle of a long run and are not of one component yet, a spanning forest of them."""
+def _compare(num: int, den: int, every: bool):
+    """Of pairs of tiles: a spanning forest of the links between sets that share a shingle of a long run and are not of one component yet (kind 0).
+
+    every: all links there are verified, and of each set the documents at their other ends counted (kind 1: a is the set), summed over a task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, x, y, maybe in _tile_pairs(batches, num, den):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = 0
+        for _, x, y, maybe in _tile_pairs(batches, num, den, every):
+            if every:
+                i, j = maybe
+                both = _overlaps(x["shingles"], y["shingles"], i, j)
+                linked = den * both >= num * (x["n"][i] + y["n"][j] - both)
+                i, j = maybe = i[linked], j[linked]
+                held += [(x["cid"][i], y["copies"][j]), (y["cid"][j], x["copies"][i])]
+                rows += 2 * len(i)
+                if rows >= CHUNK:
+                    held = [_summed(held)]
+                    rows = len(held[0][0]) if 2 * len(held[0][0]) < CHUNK else 0
+                    if not rows:
+                        yield _counts(*held.pop())
             u, v = _links(x, y, *maybe, num, den)
-            yield _batch({"a": np.array(u, np.int64), "b": np.array(v, np.int64)})
+            yield _batch({"kind": np.zeros(len(u), np.int32), "a": np.array(u, np.int64), "b": np.array(v, np.int64), "n": np.zeros(len(u), np.int64)})
+        if held:
+            yield _counts(*_summed(held))
 
     return run
 
 
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    cid, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+    total = np.zeros(len(cid), np.int64)
+    np.add.at(total, at, np.concatenate([n for _, n in held]))
+    return cid, total
+
+
+def _counts(cid: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+    return _batch({"kind": np.ones(len(cid), np.int32), "a": cid, "b": np.zeros(len(cid), np.int64), "n": total})
+
+
+def _overlaps(sets_x: list[np.ndarray], sets_y: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Common shingles of each pair of sets: one by one, or, of many pairs, by products of incidence matrices over 4096 shingles at a time."""
+    if len(i) < 64:
+        return np.array([len(np.intersect1d(sets_x[a], sets_y[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+    sides = []
+    for sets, at in ((sets_x, i), (sets_y, j)):
+        rows = np.unique(at)
+        sides.append((rows, np.repeat(np.arange(len(rows)), [len(sets[r]) for r in rows]), np.concatenate([sets[r] for r in rows])))
+    shared = np.intersect1d(sides[0][2], sides[1][2])
+    out = np.zeros((len(sides[0][0]), len(sides[1][0])), np.float32)
+    for lo in range(0, len(shared), 4096):
+        part = shared[lo : lo + 4096]
+        maps = []
+        for rows, owner, s in sides:
+            k = np.searchsorted(part, s)
+            hit = part[np.minimum(k, len(part) - 1)] == s
+            maps.append(np.zeros((len(rows), len(part)), np.float32))
+            maps[-1][owner[hit], k[hit]] = 1
+        out += maps[0] @ maps[1].T
+    return out[np.searchsorted(sides[0][0], i), np.searchsorted(sides[1][0], j)].astype(np.int64)
+
+
+def _met_in_tiles(num: int, den: int):
+    """Of links with both sets' entries in long runs: those that tiles don't compare, since no such entry that both have passes the filters there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for n_a, s_a, pos_a, n_b, s_b, pos_b in zip(*(b.column(f"{k}_{t}").to_pylist() for t in "ab" for k in ("n", "s", "pos")), strict=True):
+                at = dict(zip(s_a or (), pos_a or (), strict=True))
+                keep.append(not any(s in at and min(n_a - at[s], n_b - pos) >= -(-num * (n_a + n_b) // (num + den)) for s, pos in zip(s_b or (), pos_b or (), strict=True)))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
+
+    return run
+
+
+def _linked(first: DataFrame, second: DataFrame, late: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(cid, others): documents linked with each set's, apart from its own copies. Links of the first round count where tiles did not count them."""
+    side = lambda t: late.select(F.col("cid").alias(t), F.col("n").alias(f"n_{t}"), F.col("s").alias(f"s_{t}"), F.col("pos").alias(f"pos_{t}"))
+    apart = first.join(side("a"), "a", "left").join(side("b"), "b", "left").mapInArrow(_met_in_tiles(num, den), "a long, b long")
+    ends = apart.select(F.col("a").alias("node"), F.col("b").alias("cid")).union(apart.select(F.col("b"), F.col("a")))
+    early = ends.join(classes.select("cid", "copies"), "cid").select(F.col("node").alias("cid"), F.col("copies").alias("n"))
+    return early.union(second.where("kind = 1").select("a", "n")).groupBy("cid").agg(F.sum("n").alias("others"))
+
+
 def _unpacked(sets: pa.StructArray) -> dict:
     """A tile's sets with their ids, components, sizes, parity maps and, if they are there, shingles; their entries in long runs as shingle, set and position, sorted by shingle."""
     column = {sets.type.field(i).name: c for i, c in enumerate(sets.flatten())}
@@ -256,13 +332,14 @@ def _unpacked(sets: pa.StructArray) -> dict:
     order = np.argsort(s, kind="stable")
     bits = [np.frombuffer(x, np.uint8) for x in column["bits"].to_pylist()]
     shingles = [np.frombuffer(x, np.uint64) for x in column["shingles"].to_pylist()] if "shingles" in column else []
+    copies = column["copies"].to_numpy() if "copies" in column else None
     return {
-        "cid": column["cid"].to_numpy(), "root": column["root"].to_numpy(), "n": column["n"].to_numpy().astype(np.int64), "bits": bits, "shingles": shingles, "s": s[order], "at": at[order], "pos": pos[order],
+        "copies": copies, "cid": column["cid"].to_numpy(), "root": column["root"].to_numpy(), "n": column["n"].to_numpy().astype(np.int64), "bits": bits, "shingles": shingles, "s": s[order], "at": at[order], "pos": pos[order],
     }
 
 
-def _maybe(x: dict, y: dict, same: bool, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets of two tiles that size, position and parity filters leave and that are not of one component yet."""
+def _maybe(x: dict, y: dict, same: bool, num: int, den: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets of two tiles that size, position and parity filters leave and, unless every pair is asked for, that are not of one component yet."""
     found = np.zeros((len(x["cid"]), len(y["cid"])), bool)
     shared = np.intersect1d(x["s"], y["s"])
     for lo_x, hi_x, lo_y, hi_y in zip(*(np.searchsorted(t["s"], shared, side) for t in (x, y) for side in ("left", "right")), strict=True):
@@ -271,7 +348,7 @@ def _maybe(x: dict, y: dict, same: bool, num: int, den: int) -> tuple[np.ndarray
         left_x, left_y = n_x - x["pos"][lo_x:hi_x][:, None], n_y - y["pos"][lo_y:hi_y][None, :]
         need = -(-num * (n_x + n_y) // (num + den))
         near = (den * np.minimum(n_x, n_y) >= num * np.maximum(n_x, n_y)) & (np.minimum(left_x, left_y) >= need)
-        found[np.ix_(i, j)] |= near & (x["root"][i][:, None] != y["root"][j][None, :])
+        found[np.ix_(i, j)] |= near if every else near & (x["root"][i][:, None] != y["root"][j][None, :])
     if same:
         found = np.triu(found, 1)
     i, j = np.nonzero(found)
@@ -311,8 +388,9 @@ def _links(x: dict, y: dict, at_x: np.ndarray, at_y: np.ndarray, num: int, den:
     return u, v
 
 
-def _late_links(late: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Links that the first round left out: of sets in long runs (s, cid, n, pos), those of different components. Also the tables they are read from.
+def _late_links(late: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, width: int, num: int, den: int, every: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """Links that the first round left out: of sets in long runs (s, cid, n, pos), those of different components, and, with every, how many each set has (see _compare).
+    Also the tables they are read from, first that of the sets in long runs.
 
     Sets meet in tiles: those with the same longest run and similar size, in parts by their hashes so that a tile holds at most about
     TILE_SETS sets and TILE_SHINGLES shingles. Pairs of tiles are compared in memory if some set of each is in one run and sizes allow a link,
@@ -321,20 +399,20 @@ def _late_links(late: DataFrame, roots: DataFrame, classes: DataFrame, docs: Dat
     length = late.groupBy("s").agg(F.count(F.lit(1)).alias("length"))
     entries = late.join(length, "s").groupBy("cid").agg(F.max("n").alias("n"), F.max(F.struct("length", "s"))["s"].alias("home"), F.collect_list(F.struct("s", "pos")).alias("e"))
     band = F.floor(F.log("n") / math.log(den / num)).cast("int")
-    placed = entries.join(roots, F.col("cid") == F.col("node"), "left").join(classes.select("cid", "bits"), "cid")
-    placed = written(placed.select("cid", F.coalesce("root", "cid").alias("root"), "n", "home", band.alias("band"), F.col("e.s").alias("s"), F.col("e.pos").alias("pos"), "bits"), "shingle-late")
+    placed = entries.join(roots, F.col("cid") == F.col("node"), "left").join(classes.select("cid", "bits", "copies"), "cid")
+    placed = written(placed.select("cid", F.coalesce("root", "cid").alias("root"), "n", "home", band.alias("band"), F.col("e.s").alias("s"), F.col("e.pos").alias("pos"), "bits", "copies"), "shingle-late")
     parts = placed.groupBy("home", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE_SETS), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("parts"))
     tiled = placed.join(parts, ["home", "band"]).withColumn("tile", F.concat_ws("/", "home", "band", F.pmod(F.xxhash64("cid"), "parts")))
-    tiled = written(tiled.select("tile", "cid", "root", "n", "band", "s", "pos", "bits"), "shingle-tiled")
+    tiled = written(tiled.select("tile", "cid", "root", "n", "band", "s", "pos", "bits", "copies"), "shingle-tiled")
     meets = tiled.select("tile", "band", F.explode("s").alias("s")).distinct()
     a, b = (meets.select("s", F.col("tile").alias(f"tile_{t}"), F.col("band").alias(f"band_{t}")) for t in "ab")
     pairs = a.join(b, "s").where("tile_a <= tile_b AND abs(band_a - band_b) <= 1").select("tile_a", "tile_b").distinct()
     light = tiled.groupBy("tile").agg(F.collect_list(F.struct("cid", "root", "n", "s", "pos", "bits")).alias("sets"))
-    near = written(_met(pairs, light).mapInArrow(_promising(num, den), "tile_a string, tile_b string, cids array<long>"), "shingle-near")
+    near = written(_met(pairs, light).mapInArrow(_promising(num, den, every), "tile_a string, tile_b string, cids array<long>"), "shingle-near")
     sets = _sets(near.select(F.explode("cids").alias("cid")).distinct(), classes, docs, width)
-    full = tiled.join(sets, "cid").groupBy("tile").agg(F.collect_list(F.struct("cid", "root", "n", "s", "pos", "bits", "shingles")).alias("sets"))
+    full = tiled.join(sets, "cid").groupBy("tile").agg(F.collect_list(F.struct("cid", "root", "n", "s", "pos", "bits", "copies", "shingles")).alias("sets"))
     full = written(full, "shingle-tiles")
-    return _met(near.select("tile_a", "tile_b"), full).mapInArrow(_compare(num, den), "a long, b long"), [placed, tiled, near, full]
+    return _met(near.select("tile_a", "tile_b"), full).mapInArrow(_compare(num, den, every), "kind int, a long, b long, n long"), [placed, tiled, near, full]
 
 
 def _met(pairs: DataFrame, tiles: DataFrame) -> DataFrame:
@@ -408,16 +486,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return joined.mapInArrow(check, "a long, b long")
 
 
-def similar(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """Links documents whose shingle sets have den * common >= num * united, and returns each one's component.
+def similar(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, links: bool = True) -> DataFrame:
+    """Links documents whose shingle sets have den * common >= num * united, and returns each one's component and number of links.
 
     Sets hold the distinct shingles of `width` words (A to Z lower-cased) of the whole text; a shorter text is one shingle.
     Documents with equal sets are one group from the start. A set's prefix holds its rarest shingles in one global order; sets that
     can be similar share a shingle of their prefixes, so only such groups are compared, behind size and position filters. Long runs
-    of one shingle are linked along neighbours first; what is still apart is then compared in tiles, so no link between components is lost.
+    of one shingle are linked along neighbours first, which gives components early; then all pairs of long runs are compared in tiles, where
+    links are counted, so none is lost and none leaves a task that joins nothing new. Without `links` only sets still apart are compared.
     Parity maps of the sets rule out most candidates before any whole set travels.
 
-    Columns: doc_id, n_shingles, component_id (smallest doc_id reachable by links). Null or empty texts have no shingles and link
+    Columns: doc_id, n_shingles, component_id (smallest doc_id reachable by links) and, with `links`, n_links (other documents, copies
+    among them, that reach the threshold with this one). Null or empty texts have no shingles and link
     with nothing, nor does a row whose doc_id is null. Repeated rows are equal sets. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -426,7 +506,7 @@ def similar(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> D
     profile = written(docs.mapInArrow(_profile(width), f"kind int, doc_id {kind}, n long, h1 long, h2 long, bits binary"), "shingle-profile")
     sketch = spark.sparkContext.broadcast(_sketch(spark, profile))
     own = profile.where("kind = 0")
-    classes = written(own.where("n > 0 AND doc_id IS NOT NULL").groupBy(F.col("h1").alias("cid")).agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "shingle-classes")
+    classes = written(own.where("n > 0 AND doc_id IS NOT NULL").groupBy(F.col("h1").alias("cid")).agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("copies")), "shingle-classes")
     entries = docs.where("doc_id IS NOT NULL").mapInArrow(_prefixes(width, num, den, sketch), "s long, cid long, n int, pos int")
     form = "kind int, a long, b long, n int, pos int"
     found = written(entries.repartition(4 * tasks_for(spark), "s").sortWithinPartitions("s", "n", "cid").mapInArrow(_first_round(num, den), form), "shingle-pairs")
@@ -436,21 +516,28 @@ def similar(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> D
     sets = written(_sets(involved, classes, docs, width), "shingle-sets")
     first = written(_verified(pairs, sets, num, den), "shingle-links")
     early = components(first)
-    links, made = _late_links(late, early, classes, docs, width, num, den)
-    second = written(links, "shingle-links")
+    found_late, made = _late_links(late, early, classes, docs, width, num, den, links)
+    second = written(found_late, "shingle-links")
+    others = written(_linked(first, second, made[0], classes, num, den), "shingle-counts") if links else None
     discard(early, found, pairs, sets, *made)
-    roots = components(first.union(second))
-    placed = classes.join(roots, classes["cid"] == roots["node"], "left").select("cid", "doc_id", F.coalesce("root", "cid").alias("root"))
-    placed = written(placed, "shingle-placed")
-    discard(roots, first, second, classes)
+    roots = components(first.union(second.where("kind = 0").select("a", "b")))
+    placed = classes.join(roots, classes["cid"] == roots["node"], "left")
+    n_links = []
+    if links:
+        placed = placed.join(others, "cid", "left")
+        n_links = [(F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")]
+    placed = written(placed.select("cid", "doc_id", F.coalesce("root", "cid").alias("root"), *n_links), "shingle-placed")
+    discard(roots, first, second, classes, *([others] if links else []))
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    component = placed.join(least, "root").select(F.col("cid").alias("h1"), "component_id")
-    return own.join(component, "h1", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    component = placed.join(least, "root").select(F.col("cid").alias("h1"), "component_id", *(["n_links"] if links else []))
+    linkable = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    counted = [F.when(linkable, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links")] if links else []
+    return own.join(component, "h1", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(linkable, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *counted)
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The document with the smallest doc_id of each component, all columns as they are; of repeated rows one stays, rows without doc_id all do."""
-    rows = written(similar(docs, **options).where("doc_id IS NOT NULL"), "shingle-result")
+    rows = written(similar(docs, **{"links": False, **options}).where("doc_id IS NOT NULL"), "shingle-result")
     keep = rows.where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("kept_n"))
     stay = docs.where("doc_id IS NOT NULL").join(keep.select("kept_id"), F.col("doc_id") == F.col("kept_id"), "left_semi")
     if not keep.where("kept_n > 1").isEmpty():

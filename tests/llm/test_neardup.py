@@ -93,3 +93,27 @@ def test_jaccard_join(spark):
     assert sorted(x for x in left if x is not None) == sorted(i for i in want if want[i] == i) and left.count(None) == 1
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert similar(empty).count() == 0 and one_of_each(empty).count() == 0
+
+
+def test_every_link_is_counted(spark):
+    rnd = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    near = rnd.sample(words, 80)
+    rows = [(i, " ".join(rnd.sample(words, 40)), "e") for i in range(60)]
+    for i in range(90):  # a large group with long runs, some of it copies
+        w = near[:]
+        for _ in range(rnd.choice([0, 1, 2, 3])):
+            w[rnd.randrange(80)] = rnd.choice(words)
+        rows.append((100 + i, " ".join(w), "e"))
+    for i in range(20):  # small groups, and such whose first half is in long runs
+        w = (near[:40] if i % 2 else []) + rnd.sample(words, 60)
+        rows += [(1000 + 10 * i + k, " ".join(w[: len(w) - k]), "e") for k in range(4)]
+    rows += [(3000, None, "e"), (3001, "a b", "e"), (3002, "A b", "e")]
+    sets = {i: shingles(t) for i, t, _ in rows}
+    count = dict.fromkeys(sets, 0)
+    for a, b in itertools.combinations(sets, 2):
+        if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            count[a] += 1
+            count[b] += 1
+    got = {r.doc_id: r.n_links for r in similar(spark.createDataFrame(rows, "doc_id long, text string, n_links string")).collect()}
+    assert got == count and max(count.values()) > 20
