@@ -87,7 +87,10 @@ def _plausible(kind: str, value: str) -> bool:
 
 
 def find(text: str | None) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, extra) of the personal data in a text, without overlaps: earliest first, then longest. extra: a name's gender."""
+    """(start, end, kind, extra) of the personal data in a text, without overlaps: earliest first, then longest.
+
+    extra: a titled name's gender; of a further mention of a part of such a name, what that part is.
+    """
     if not text or not _ANY.search(text):
         return []
     found = []
@@ -107,7 +110,28 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
     for x in found:
         if not out or x[0] >= out[-1][1]:
             out.append(x)
-    return out
+    return _with_mentions(text, out)
+
+
+def _with_mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """found and every other place where a part of a found name stands as a capitalised word of its own."""
+    known: dict[str, str] = {}
+    for start, end, kind, extra in found:
+        if kind == "NAME":
+            for what, canon, _ in units(text[start:end], kind, extra):
+                known.setdefault(canon, what)
+    if not known:
+        return found
+    parts = {p for start, end, kind, _ in found if kind == "NAME" for p in text[start:end].split(" ")}
+    pattern = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(parts, key=lambda p: (-len(p), p))))})(?!\w)", re.IGNORECASE)
+    out, k = [], 0
+    for m in pattern.finditer(text):
+        while k < len(found) and found[k][1] <= m.start():
+            k += 1
+        apart = k == len(found) or m.end() <= found[k][0]
+        if apart and m[0][0].isupper() and m[0].casefold() in known:
+            out.append((*m.span(), "NAME", known[m[0].casefold()]))
+    return sorted(found + out)
 
 
 def units(value: str, kind: str, extra: str) -> list[tuple[str, str, str]]:
@@ -115,6 +139,8 @@ def units(value: str, kind: str, extra: str) -> list[tuple[str, str, str]]:
 
     Equal canonical forms refer to the same thing, however they are written.
     """
+    if kind == "NAME" and extra not in TITLES:  # a part by itself
+        return [(extra, value.casefold(), value)]
     if kind == "NAME":
         parts = value.split(" ")
         return [(f"GIVEN_{extra}" if i < len(parts) - 1 else "FAMILY", p.casefold(), p) for i, p in enumerate(parts)]
@@ -258,8 +284,8 @@ def attempts_for(values: DataFrame, key: bytes) -> DataFrame:
 def with_surrogates(docs: DataFrame, key: bytes, count: str | None = None) -> DataFrame:
     """docs with every detected value in `text` replaced; n_chars, where present, follows. count: a column for the number of values.
 
-    Found are mail and IP addresses, phone, card, account and social-security numbers, secrets and titled names; numbers with a check
-    digit only if it is right. A value has one surrogate throughout the corpus and no two values share one (see attempts_for); names
+    Found are mail and IP addresses, phone, card, account and social-security numbers, secrets, titled names and all
+    capitalised mentions of these names' parts in the same text; numbers with a check digit only if it is right. A value has one surrogate throughout the corpus and no two values share one (see attempts_for); names
     keep their gender and script, other values their lengths, separators, character classes and check digits.
     Null and empty texts stay as they are. Repeated rows are rewritten alike; other columns pass through; an empty table gives none.
     """

@@ -110,6 +110,15 @@ def test_surrogates(spark):
     assert rewrite("a@b.example", b"key", {})[0] != rewrite("a@b.example", b"other", {})[0]
 
 
+def test_later_mentions_of_names():
+    text = "Mr John Smith wrote. Smith said John's dog met SMITH and Smithson; a smith came. smith@a.example, Frau Meier: Meier"
+    new, n = rewrite(text, b"key", {})
+    m = re.match(r"Mr (\w+) (\w+) wrote\. (\w+) said (\w+)'s dog met (\w+) and Smithson; a smith came\. \S+@\S+, Frau (\w+): (\w+)$", new)
+    assert m and (m[3], m[4], m[5], m[7]) == (m[2], m[1], m[2].upper(), m[6]) and n == 7
+    assert not re.search(r"\b(John|Smith|SMITH|Meier)\b", new)
+    assert rewrite("Smith and Meier", b"key", {}) == ("Smith and Meier", 0)
+
+
 def test_surrogates_stay_distinct(spark):
     """Far more one-letter mailboxes and family names than first tries can tell apart."""
     values = [("MAILBOX", f"{a}{b}@x.example") for a in "abcdefghij" for b in "0123456789"] + [("FAMILY", f"name{i}") for i in range(500)]
