@@ -1,4 +1,8 @@
-"""Exact Jaccard self-join of documents on word shingles: grouped prefix join."""
+"""Exact Jaccard self-join of documents on word shingles: grouped prefix join.
+
+Documents with equal sets are one *set*; sets with the same size and the same ordered prefix are one *group*. Groups, not sets, are
+indexed by the shingles of their prefix; pairs of groups are filtered, then expanded to their sets and verified.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,21 +20,35 @@ from .components import components
 
 #: Cells of the frequency sketch: what is broadcast is one byte for each, whatever the input.
 CELLS = 1 << 21
-#: Shingle runs of up to so many groups are paired off at once; of longer ones neighbours first, then what remains unlinked.
+#: A prefix shingle shared by up to so many groups has its groups paired off at once; those of longer runs meet in tiles. Groups of more sets do too.
 SHORT_RUN = 8
+#: From this level of the sketch on (shingles that recurred some 2 ** HOT times) a run is not gathered: its entries go to the tiles where they are.
+HOT = 12
 #: Bits of the filter that keeps texts nobody needs out of a shuffle.
 FILTER_BITS = 1 << 24
 #: Sets and shingles in a tile, about.
-TILE_SETS, TILE_SHINGLES = 256, 1 << 16
-#: Candidate rows, or shingles, that a task holds at a time.
+TILE_SETS, TILE_SHINGLES = 2048, 1 << 20
+#: Rows, shingles or pairs that a task holds at a time.
 CHUNK = 1 << 20
-PROFILE = ["kind", "doc_id", "n", "h1", "h2", "bits"]
+#: Bytes of a shingle in a prefix. Different shingles that agree in them only add candidates.
+KEPT = 6
+PROFILE = ["kind", "doc_id", "n", "h1", "h2"]
 
 
-def _signature(s: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit hashes of a shingle set."""
+def _mixed(flat: np.ndarray, sizes: np.ndarray, salt: int) -> np.ndarray:
+    """One 64-bit hash for each of the sets that lie side by side in flat."""
+    first = np.cumsum(sizes) - sizes
+    out = np.zeros(len(sizes), np.uint64)
+    some = sizes > 0
     with np.errstate(over="ignore"):
-        return int(wordhash.mix(s).sum(dtype=np.uint64).view(np.int64)), int(wordhash.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64))
+        if some.any():
+            out[some] = np.add.reduceat(wordhash.mix(flat ^ np.uint64(salt)), first[some])
+        return wordhash.mix(out + sizes.astype(np.uint64)).view(np.int64)
+
+
+def _signatures(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that stand for each set."""
+    return _mixed(flat, sizes, 0), _mixed(flat, sizes, 0x5851F42D4C957F2D)
 
 
 def _bits(s: np.ndarray) -> bytes:
@@ -51,40 +68,52 @@ def _batch(columns: dict[str, np.ndarray | pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
 
 
+def _least(n, num: int, den: int):
+    """Shingles of a set's prefix: n - ceil(t n) + 1."""
+    return n + (-num * n) // den + 1
+
+
+def _need(x, y, num: int, den: int):
+    """Common shingles that sets of these sizes need."""
+    return -(-num * (x + y) // (num + den))
+
+
+# ---- sets, groups and their prefixes
+
+
 def _profile(width: int):
-    """Of each document its set's size, signature and parity map (kind 0); of each CHUNK of shingles the sketch cells of those that several sets hold (kind 1)."""
+    """Of each document its set's size and signature (kind 0); of each CHUNK of shingles the sketch cells of those that several sets hold (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            none = pa.nulls(1, b.schema.field("doc_id").type)
-            rows, bits, sets, held = [], [], {}, 0
-            for text in b.column("text"):
-                s = wordhash.shingle_set(text.as_py(), width)
-                rows.append((len(s), *_signature(s)))
-                bits.append(_bits(s))
-                if rows[-1][1] not in sets:
-                    sets[rows[-1][1]] = s
-                    held += len(s)
-                if held >= CHUNK:
-                    yield _recurring(sets, none)
-                    sets, held = {}, 0
-            if sets:
-                yield _recurring(sets, none)
-            n, h1, h2 = (np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else (np.empty(0, np.int64),) * 3
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), b.column("doc_id"), pa.array(n), pa.array(h1), pa.array(h2), pa.array(bits, pa.binary())], PROFILE)
+            ids, held, rows = b.column("doc_id"), [], 0
+            seen: set[int] = set()
+            for row, sizes, flat in wordhash.shingle_sets(b.column("text"), width):
+                h1, h2 = _signatures(flat, sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), ids.slice(row, len(sizes)), pa.array(sizes), pa.array(h1), pa.array(h2)], PROFILE)
+                new = np.array([not (h in seen or seen.add(h)) for h in h1.tolist()], bool)
+                held.append(flat[np.repeat(new, sizes)])
+                rows += len(held[-1])
+                if rows >= CHUNK:
+                    yield _recurring(held, ids.type)
+                    held, rows, seen = [], 0, set()
+            if held:
+                yield _recurring(held, ids.type)
 
     return run
 
 
-def _recurring(sets: dict[int, np.ndarray], none: pa.Array) -> pa.RecordBatch:
-    code, times = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-    code, times = code[times > 1], times[times > 1]
-    arrays = [np.ones(len(code), np.int32), pa.nulls(len(code), none.type), times.astype(np.int64), (code % np.uint64(CELLS)).astype(np.int64), np.zeros(len(code), np.int64)]
-    return pa.RecordBatch.from_arrays([*(pa.array(x) for x in arrays), pa.nulls(len(code), pa.binary())], PROFILE)
+def _recurring(held: list[np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
+    s = np.sort(np.concatenate(held))
+    edge = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.empty(0, np.int64)
+    times = np.diff(np.append(edge, len(s)))
+    code, times = s[edge[times > 1]], times[times > 1]
+    arrays = [np.ones(len(code), np.int32), pa.nulls(len(code), kind), times.astype(np.int64), (code % np.uint64(CELLS)).astype(np.int64), np.zeros(len(code), np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in arrays], PROFILE)
 
 
-def _sketch(spark: SparkSession, profile: DataFrame) -> np.ndarray:
-    """log2 of how often shingles of each cell recur: a fixed CELLS bytes. It orders shingles only; any order gives the same links."""
+def _sketch(profile: DataFrame) -> np.ndarray:
+    """log2 of how often shingles of each cell recur: a fixed CELLS bytes. It orders shingles and tells hot ones; links don't depend on it."""
     cells = profile.where("kind = 1").groupBy("h1").agg(F.sum("n").alias("n")).where("n >= 4").select(F.col("h1").cast("int"), F.ceil(F.log2("n")).cast("byte").alias("level")).toPandas()
     out = np.zeros(CELLS, np.uint8)
     out[cells["h1"].to_numpy()] = cells["level"].to_numpy()
@@ -92,190 +121,293 @@ def _sketch(spark: SparkSession, profile: DataFrame) -> np.ndarray:
 
 
 def _prefixes(width: int, num: int, den: int, sketch):
-    """Rows (s, cid, n, pos) of each distinct set's prefix: its n - ceil(t n) + 1 rarest shingles in one global order."""
+    """Of each set, once in a task: signature, size, the hash of its prefix in order (g1, g2), the prefix itself, and its parity map.
+
+    A prefix is the set's n - ceil(t n) + 1 rarest shingles in one global order, so sets that can be similar share one of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = sketch.value
+        seen: set[tuple[int, int]] = set()
         for b in batches:
-            seen, parts, rows = set(), [], 0
-            for text in b.column("text"):
-                s = wordhash.shingle_set(text.as_py(), width)
-                if not len(s):
+            for _, sizes, flat in wordhash.shingle_sets(b.column("text"), width):
+                key = (level[(flat % np.uint64(CELLS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (flat >> np.uint64(8))
+                stop = np.cumsum(sizes)
+                prefixes, bits, at = [], [], []
+                h1, h2 = _signatures(flat, sizes)
+                for i, (x, y) in enumerate(zip(h1.tolist(), h2.tolist(), strict=True)):
+                    n = int(sizes[i])
+                    if not n or (x, y) in seen:
+                        continue
+                    seen.add((x, y))
+                    s, k = flat[stop[i] - n : stop[i]], key[stop[i] - n : stop[i]]
+                    p = _least(n, num, den)
+                    first = np.argpartition(k, p - 1)[:p] if p < n else np.arange(n)
+                    first = first[np.lexsort((s[first], k[first]))]
+                    prefixes.append(s[first])
+                    bits.append(_bits(s))
+                    at.append(i)
+                if not at:
                     continue
-                cid, _ = _signature(s)
-                if cid in seen:
-                    continue
-                seen.add(cid)
-                n = len(s)
-                p = n - -(-num * n // den) + 1
-                key = (level[(s % np.uint64(CELLS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
-                first = np.argpartition(key, p - 1)[:p] if p < n else np.arange(n)
-                first = first[np.lexsort((s[first], key[first]))]
-                parts.append((s[first].view(np.int64), cid, n))
-                rows += p
-                if rows >= CHUNK:
-                    yield _entries(parts)
-                    parts, rows = [], 0
-            if parts:
-                yield _entries(parts)
+                size = np.array([len(x) for x in prefixes])
+                whole = np.concatenate(prefixes)
+                place = (np.arange(len(whole)) - np.repeat(np.cumsum(size) - size, size)).astype(np.uint64)
+                with np.errstate(over="ignore"):
+                    ordered = whole + place * np.uint64(0x9E3779B97F4A7C15)
+                g1, g2 = _signatures(ordered, size)
+                packed = whole.view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes()
+                stops = KEPT * np.cumsum(size)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h1[at]), pa.array(h2[at]), pa.array(sizes[at].astype(np.int32)), pa.array(g1), pa.array(g2), pa.array([packed[e - KEPT * k : e] for e, k in zip(stops.tolist(), size.tolist(), strict=True)], pa.binary()), pa.array(bits, pa.binary())],
+                    ["h1", "h2", "n", "g1", "g2", "prefix", "bits"],
+                )
+
+    return run
+
+
+def _entries(sketch):
+    """Rows (s, gid, n, pos, wide, spread) of each group's prefix. spread is 0 but for hot shingles, whose entries it keeps apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = sketch.value
+        for b in batches:
+            for lo, packed, at in wordhash.stretches(b.column("prefix"), KEPT * CHUNK):
+                part = np.diff(at) // KEPT
+                eight = np.zeros((len(packed) // KEPT, 8), np.uint8)
+                eight[:, :KEPT] = packed.reshape(-1, KEPT)
+                s = eight.view(np.uint64).ravel()
+                hot = level[(s % np.uint64(CELLS)).astype(np.int64)] >= HOT
+                gid, n, wide = (np.repeat(b.column(k).slice(lo, len(part)).to_numpy(zero_copy_only=False), part) for k in ("id", "n", "wide"))
+                pos = np.arange(len(s)) - np.repeat(np.cumsum(part) - part, part)
+                yield _batch({"s": s.view(np.int64), "gid": gid, "n": n, "pos": pos.astype(np.int32), "wide": wide, "spread": np.where(hot, 1 + gid % 65_521, 0).astype(np.int32)})
 
     return run
 
 
-def _entries(parts: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
-    size = np.array([len(s) for s, _, _ in parts])
-    return _batch(
-        {
-            "s": np.concatenate([s for s, _, _ in parts]),
-            "cid": np.repeat(np.array([c for _, c, _ in parts], np.int64), size),
-            "n": np.repeat(np.array([n for _, _, n in parts], np.int32), size),
-            "pos": np.concatenate([np.arange(k, dtype=np.int32) for k in size]),
-        }
-    )
+# ---- runs of one shingle
 
 
-def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
-    """Whole runs of equal s from batches sorted by s. A run longer than a batch is held together; it has a row of some 24 bytes for each set."""
-    held: list[dict[str, np.ndarray]] = []
+def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """Rows of batches sorted by s and for each how many its run has. Runs of over SHORT_RUN rows may come in parts, each row with a length over it, so a task never holds one whole."""
+    held = {k: np.empty(0) for k in names}
+    open_s = None
     for b in batches:
-        c = {k: b.column(k).to_numpy() for k in names}
-        if not len(c["s"]):
+        c = {k: b.column(k).to_numpy(zero_copy_only=False) for k in names}
+        if not b.num_rows:
             continue
+        if len(held["s"]):
+            c = {k: np.concatenate([held[k], c[k]]) for k in names}
         cut = int(np.searchsorted(c["s"], c["s"][-1], "left"))
-        if cut:
-            yield {k: np.concatenate([*(h[k] for h in held), c[k][:cut]]) for k in names}
-            held = [{k: v[cut:] for k, v in c.items()}]
-        elif held and held[0]["s"][0] != c["s"][0]:
-            yield {k: np.concatenate([h[k] for h in held]) for k in names}
-            held = [c]
+        if len(c["s"]) - cut > SHORT_RUN or c["s"][-1] == open_s:  # the last run is known to be long
+            cut, held = len(c["s"]), {k: np.empty(0) for k in names}
         else:
-            held.append(c)
-    if held:
-        yield {k: np.concatenate([h[k] for h in held]) for k in names}
+            held = {k: v[cut:] for k, v in c.items()}
+        if cut:
+            c = {k: v[:cut] for k, v in c.items()}
+            yield c, _lengths(c["s"], open_s)
+            open_s = c["s"][-1] if not len(held["s"]) else None
+    if len(held["s"]):
+        yield held, _lengths(held["s"], open_s)
+
+
+def _lengths(s: np.ndarray, open_s: int | None) -> np.ndarray:
+    edge = np.concatenate(([0], np.flatnonzero(s[1:] != s[:-1]) + 1, [len(s)]))
+    size = np.diff(edge)
+    out = np.repeat(size, size)
+    if open_s is not None:
+        out[s == open_s] = SHORT_RUN + 1
+    return out
+
+
+def _likely(n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs of groups can still reach the threshold if this is their first common shingle: size and position filters, the second of which implies the shorter prefix of the smaller one."""
+    x, y = n[i].astype(np.int64), n[j].astype(np.int64)
+    return (den * np.minimum(x, y) >= num * np.maximum(x, y)) & (np.minimum(x - pos[i], y - pos[j]) >= _need(x, y, num, den))
+
+
+def _first_round(num: int, den: int):
+    """Of sorted entries: pairs of groups that share a short run (kind 0), and the entries of long runs, of hot shingles and of runs with a wide group (kind 1: a is s, b is the group)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, length in _runs(batches, ("s", "gid", "n", "pos", "wide", "spread")):
+            late = (length > SHORT_RUN) | (c["spread"] > 0)
+            if c["wide"].any():
+                late |= np.isin(c["s"], np.unique(c["s"][c["wide"].astype(bool)])) & (length > 1)
+            if late.any():
+                yield _batch({"kind": np.ones(int(late.sum()), np.int32), "a": c["s"][late], "b": c["gid"][late]})
+            pairs = []
+            for step in range(1, SHORT_RUN):  # groups of a run that are `step` places apart
+                i = np.flatnonzero((c["s"][step:] == c["s"][:-step]) & ~late[step:]) if len(c["s"]) > step else np.empty(0, np.int64)
+                if not len(i):
+                    break
+                j = i + step
+                ok = _likely(c["n"], c["pos"], i, j, num, den)
+                pairs.append(np.stack([np.minimum(c["gid"][i[ok]], c["gid"][j[ok]]), np.maximum(c["gid"][i[ok]], c["gid"][j[ok]])], axis=1))
+            if pairs:
+                both = np.unique(np.concatenate(pairs), axis=0)
+                yield _batch({"kind": np.zeros(len(both), np.int32), "a": both[:, 0].copy(), "b": both[:, 1].copy()})
+
+    return run
 
 
-def _likely(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which pairs can still reach the threshold if this is their first common shingle: size, prefix and position filters; n[i] <= n[j]."""
-    swap = (c["n"][i] > c["n"][j]) | ((c["n"][i] == c["n"][j]) & (c["cid"][i] > c["cid"][j]))
-    i, j = np.where(swap, j, i), np.where(swap, i, j)
-    x, y, px, py = (c[k][at].astype(np.int64) for k, at in (("n", i), ("n", j), ("pos", i), ("pos", j)))
-    need = -(-num * (x + y) // (num + den))
-    return (den * x >= num * y) & (px <= x + (-2 * num * x) // (num + den)) & (1 + np.minimum(x - px, y - py) - 1 >= need)
+def _plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs of sets that parity maps leave."""
 
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y, n_x, n_y in zip(*(b.column(k).to_pylist() for k in ("bits_a", "bits_b", "n_a", "n_b")), strict=True):
+                size = min(len(x), len(y))
+                x, y = (_folded(np.frombuffer(bits, np.uint8), size).view(np.uint64) for bits in (x, y))
+                keep.append(bool(_parity_allows(x, y, n_x, n_y, num, den)))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
-def _spread(first: np.ndarray, stop: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) with first[i] <= j < stop[i], CHUNK of them at a time."""
-    count = np.maximum(stop - first, 0)
-    total = np.cumsum(count)
-    lo = 0
-    while lo < len(count):
-        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + CHUNK, "right")))
-        n = count[lo:hi]
-        i = np.repeat(np.arange(lo, hi), n)
-        yield i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[lo:hi], n)
-        lo = hi
+    side = lambda t: sets.select(F.col("id").alias(t), F.col("n").alias(f"n_{t}"), F.col("bits").alias(f"bits_{t}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long")
 
 
-def _ends(s: np.ndarray) -> np.ndarray:
-    """For each row, the end of its run of equal values."""
-    edge = np.append(np.flatnonzero(s[1:] != s[:-1]) + 1, len(s))
-    return np.repeat(edge, np.diff(np.concatenate(([0], edge))))
+def _parity_allows(x: np.ndarray, y: np.ndarray, n_x, n_y, num: int, den: int) -> np.ndarray:
+    """Whether sets with these parity maps (rows) can still reach the threshold: they differ in at least as many shingles as their maps in bits."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) <= n_x + n_y - 2 * _need(n_x, n_y, num, den)
 
 
-def _pairs(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-    a, b = np.minimum(c["cid"][i], c["cid"][j]), np.maximum(c["cid"][i], c["cid"][j])
-    both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-    return _batch({"kind": np.zeros(len(both), np.int32), "a": both[:, 0].copy(), "b": both[:, 1].copy(), "n": np.zeros(len(both), np.int32), "pos": np.zeros(len(both), np.int32)})
+# ---- tiles
 
 
-def _first_round(num: int, den: int):
-    """Of sorted entries: candidate pairs (kind 0), and the entries of long runs for the second round (kind 1: a is s, b is cid)."""
+def _housed(sketch):
+    """Adds to each group with late shingles its home, a frequent one of them that similar sets likely have too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in _runs(batches, ("s", "cid", "n", "pos")):
-            once = np.append(True, (c["s"][1:] != c["s"][:-1]) | (c["cid"][1:] != c["cid"][:-1]))  # copies in other batches
-            c = {k: v[once] for k, v in c.items()}
-            end = _ends(c["s"])
-            begin = np.searchsorted(end, end, "left")
-            shared = end - begin > 1
-            c, end, begin = {k: v[shared] for k, v in c.items()}, None, None
-            if not len(c["s"]):
-                continue
-            end = _ends(c["s"])
-            size = end - np.searchsorted(end, end, "left")
-            here = np.arange(len(end))
-            stop = np.where(size <= SHORT_RUN, end, np.minimum(end, here + 2))
-            for i, j in _spread(here + 1, stop):
-                ok = _likely(c, i, j, num, den)
-                if ok.any():
-                    yield _pairs(c, i[ok], j[ok])
-            long = size > SHORT_RUN
-            if long.any():
-                yield _batch({"kind": np.ones(int(long.sum()), np.int32), "a": c["s"][long], "b": c["cid"][long], "n": c["n"][long], "pos": c["pos"][long]})
+        level = sketch.value
+        for b in batches:
+            homes = []
+            for many in b.column("s"):
+                s = many.values.to_numpy()
+                of = level[(s.view(np.uint64) % np.uint64(CELLS)).astype(np.int64)]
+                homes.append(int(s[of >= int(of.max()) - 1].min()))
+            yield pa.RecordBatch.from_arrays([b.column("gid"), b.column("s"), pa.array(homes, pa.int64())], ["gid", "s", "home"])
 
     return run
 
 
-def _tile_pairs(batches: Iterator[pa.RecordBatch], num: int, den: int, every: bool):
-    """Of rows of two tiles each: both tiles' names and contents, and which pairs of sets may be links."""
+def _tiled(late: DataFrame, members: DataFrame, sets: DataFrame, sketch, num: int, den: int) -> DataFrame:
+    """(tile, id, n, band, copies, bits, s) of the sets in long runs. A tile holds sets with one home and similar sizes, at most about TILE_SETS and TILE_SHINGLES."""
+    wide = members.where(F.col("m") > SHORT_RUN)
+    own = wide.select(F.xxhash64("gid").alias("s"), "gid").distinct()  # the sets of a wide group meet too
+    shingles = late.union(own).groupBy("gid").agg(F.collect_set("s").alias("s"))
+    housed = shingles.mapInArrow(_housed(sketch), "gid long, s array<long>, home long")
+    band = F.floor(F.log("n") / math.log(den / num)).cast("int")
+    placed = housed.join(members.select("gid", "id", "n", "copies"), "gid").withColumn("band", band)
+    placed = written(placed, "shingle-placed")
+    parts = placed.groupBy("home", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE_SETS), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("parts")).where("parts > 1")
+    tile = F.concat_ws("/", "home", "band", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))))
+    tiled = placed.join(parts, ["home", "band"], "left").withColumn("tile", tile)
+    out = written(tiled.join(sets.select("id", "bits"), "id").select("tile", "id", "n", "band", "copies", "s", "bits"), "shingle-tiled")
+    discard(placed)
+    return out
+
+
+def _tile_pairs(tiled: DataFrame) -> DataFrame:
+    """Tiles that share a shingle of a long run, and whose sizes allow a link."""
+    meets = tiled.select("tile", "band", F.explode("s").alias("s")).distinct()
+    a, b = (meets.select("s", F.col("tile").alias(f"tile_{t}"), F.col("band").alias(f"band_{t}")) for t in "ab")
+    return a.join(b, "s").where("tile_a <= tile_b AND abs(band_a - band_b) <= 1").select("tile_a", "tile_b").distinct()
+
+
+def _met(pairs: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Pairs of tile names with the contents of both."""
+    side = lambda t: tiles.toDF(f"tile_{t}", f"sets_{t}")
+    return pairs.join(side("a"), "tile_a").join(side("b"), "tile_b")
+
+
+def _both(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], dict, dict]]:
     for batch in batches:
         for k in range(batch.num_rows):
-            x, y = (_unpacked(batch.column(f"sets_{t}")[k].values) for t in "ab")
-            names = [batch.column(f"tile_{t}")[k].as_py() for t in "ab"]
-            yield names, x, y, _maybe(x, y, names[0] == names[1], num, den, every)
+            yield [batch.column(f"tile_{t}")[k].as_py() for t in "ab"], *(_unpacked(batch.column(f"sets_{t}")[k].values) for t in "ab")
 
 
-def _promising(num: int, den: int, every: bool):
+def _unpacked(sets: pa.StructArray) -> dict:
+    """A tile's sets: ids, sizes, parity maps folded to one length and, where they are there, numbers of copies and shingles."""
+    column = {sets.type.field(i).name: c for i, c in enumerate(sets.flatten())}
+    bits = [np.frombuffer(x, np.uint8) for x in column["bits"].to_pylist()]
+    size = min(map(len, bits))
+    out = {"id": column["id"].to_numpy(), "n": column["n"].to_numpy().astype(np.int64), "bits": np.stack([_folded(x, size) for x in bits])}
+    if "shingles" in column:
+        out["copies"] = column["copies"].to_numpy()
+        out["shingles"] = [np.frombuffer(x, np.uint64) for x in column["shingles"].to_pylist()]
+    return out
+
+
+def _maybe(x: dict, y: dict, same: bool, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sets of two tiles that sizes and parity maps leave, some CHUNK bytes of maps at a time."""
+    size = min(x["bits"].shape[1], y["bits"].shape[1])
+    maps_x, maps_y = (np.stack([_folded(r, size) for r in t["bits"]]).view(np.uint64) for t in (x, y))
+    rows = max(1, 8 * CHUNK // (size * len(y["id"])))
+    for lo in range(0, len(x["id"]), rows):
+        n_x, n_y = x["n"][lo : lo + rows, None], y["n"][None, :]
+        near = den * np.minimum(n_x, n_y) >= num * np.maximum(n_x, n_y)
+        if same:
+            near &= (lo + np.arange(near.shape[0]))[:, None] < np.arange(near.shape[1])[None, :]
+        i, j = np.nonzero(near)
+        i += lo
+        ok = _parity_allows(maps_x[i], maps_y[j], x["n"][i], y["n"][j], num, den)
+        yield i[ok], j[ok]
+
+
+def _promising(num: int, den: int):
     """Pairs of tiles that may hold a link, with the sets of those links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for names, x, y, (i, j) in _tile_pairs(batches, num, den, every):
-            if len(i):
-                cids = np.unique(np.concatenate([x["cid"][i], y["cid"][j]]))
-                yield pa.RecordBatch.from_arrays([*(pa.array([t]) for t in names), pa.array([cids])], ["tile_a", "tile_b", "cids"])
+        for names, x, y in _both(batches):
+            hit_x, hit_y = np.zeros(len(x["id"]), bool), np.zeros(len(y["id"]), bool)
+            for i, j in _maybe(x, y, names[0] == names[1], num, den):
+                hit_x[i], hit_y[j] = True, True
+            if hit_x.any():
+                ids = np.unique(np.concatenate([x["id"][hit_x], y["id"][hit_y]]))
+                yield pa.RecordBatch.from_arrays([*(pa.array([t]) for t in names), pa.array([ids])], ["tile_a", "tile_b", "ids"])
 
     return run
 
 
-def _compare(num: int, den: int, every: bool):
-    """Of pairs of tiles: a spanning forest of the links between sets that share a shingle of a long run and are not of one component yet (kind 0).
-
-    every: all links there are verified, and of each set the documents at their other ends counted (kind 1: a is the set), summed over a task.
-    """
+def _compare(num: int, den: int):
+    """Of pairs of tiles: of each set how many documents its links there lead to (kind 1: a, n), and what joins the linked ones (kind 0: a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        rows = 0
-        for _, x, y, maybe in _tile_pairs(batches, num, den, every):
-            if every:
-                i, j = maybe
-                both = _overlaps(x["shingles"], y["shingles"], i, j)
-                linked = den * both >= num * (x["n"][i] + y["n"][j] - both)
-                i, j = maybe = i[linked], j[linked]
-                held += [(x["cid"][i], y["copies"][j]), (y["cid"][j], x["copies"][i])]
-                rows += 2 * len(i)
-                if rows >= CHUNK:
-                    held = [_summed(held)]
-                    rows = len(held[0][0]) if 2 * len(held[0][0]) < CHUNK else 0
-                    if not rows:
-                        yield _counts(*held.pop())
-            u, v = _links(x, y, *maybe, num, den)
-            yield _batch({"kind": np.zeros(len(u), np.int32), "a": np.array(u, np.int64), "b": np.array(v, np.int64), "n": np.zeros(len(u), np.int64)})
-        if held:
-            yield _counts(*_summed(held))
+        for names, x, y in _both(batches):
+            i, j = (np.concatenate(side) for side in zip(*_maybe(x, y, names[0] == names[1], num, den), strict=True))
+            both = _overlaps(x["shingles"], y["shingles"], i, j)
+            ok = den * both >= num * (x["n"][i] + y["n"][j] - both)
+            i, j = i[ok], j[ok]
+            if not len(i):
+                continue
+            ids, at = np.unique(np.concatenate([x["id"][i], y["id"][j]]), return_inverse=True)
+            u, v = at[: len(i)], at[len(i) :]
+            others = np.bincount(u, weights=y["copies"][j], minlength=len(ids)) + np.bincount(v, weights=x["copies"][i], minlength=len(ids))
+            root = _labels(len(ids), u, v)
+            apart = np.flatnonzero(root != np.arange(len(ids)))
+            yield _batch(
+                {
+                    "kind": np.repeat(np.array([1, 0], np.int32), [len(ids), len(apart)]), "a": np.concatenate([ids, ids[apart]]),
+                    "b": np.concatenate([ids, ids[root[apart]]]), "n": np.concatenate([others.astype(np.int64), np.zeros(len(apart), np.int64)]),
+                }
+            )
 
     return run
 
 
-def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    cid, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-    total = np.zeros(len(cid), np.int64)
-    np.add.at(total, at, np.concatenate([n for _, n in held]))
-    return cid, total
-
-
-def _counts(cid: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
-    return _batch({"kind": np.ones(len(cid), np.int32), "a": cid, "b": np.zeros(len(cid), np.int64), "n": total})
+def _labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least place that links u - v reach from each of n places."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[u], label[v])
+        after = label.copy()
+        for at in (u, v, label[u], label[v]):
+            np.minimum.at(after, at, low)
+        after = after[after]
+        if (after == label).all():
+            return label
+        label = after
 
 
 def _overlaps(sets_x: list[np.ndarray], sets_y: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -300,143 +432,30 @@ def _overlaps(sets_x: list[np.ndarray], sets_y: list[np.ndarray], i: np.ndarray,
     return out[np.searchsorted(sides[0][0], i), np.searchsorted(sides[1][0], j)].astype(np.int64)
 
 
-def _met_in_tiles(num: int, den: int):
-    """Of links with both sets' entries in long runs: those that tiles don't compare, since no such entry that both have passes the filters there."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for n_a, s_a, pos_a, n_b, s_b, pos_b in zip(*(b.column(f"{k}_{t}").to_pylist() for t in "ab" for k in ("n", "s", "pos")), strict=True):
-                at = dict(zip(s_a or (), pos_a or (), strict=True))
-                keep.append(not any(s in at and min(n_a - at[s], n_b - pos) >= -(-num * (n_a + n_b) // (num + den)) for s, pos in zip(s_b or (), pos_b or (), strict=True)))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
-
-    return run
-
-
-def _linked(first: DataFrame, second: DataFrame, late: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """(cid, others): documents linked with each set's, apart from its own copies. Links of the first round count where tiles did not count them."""
-    side = lambda t: late.select(F.col("cid").alias(t), F.col("n").alias(f"n_{t}"), F.col("s").alias(f"s_{t}"), F.col("pos").alias(f"pos_{t}"))
-    apart = first.join(side("a"), "a", "left").join(side("b"), "b", "left").mapInArrow(_met_in_tiles(num, den), "a long, b long")
-    ends = apart.select(F.col("a").alias("node"), F.col("b").alias("cid")).union(apart.select(F.col("b"), F.col("a")))
-    early = ends.join(classes.select("cid", "copies"), "cid").select(F.col("node").alias("cid"), F.col("copies").alias("n"))
-    return early.union(second.where("kind = 1").select("a", "n")).groupBy("cid").agg(F.sum("n").alias("others"))
-
+# ---- whole sets
 
-def _unpacked(sets: pa.StructArray) -> dict:
-    """A tile's sets with their ids, components, sizes, parity maps and, if they are there, shingles; their entries in long runs as shingle, set and position, sorted by shingle."""
-    column = {sets.type.field(i).name: c for i, c in enumerate(sets.flatten())}
-    at = np.repeat(np.arange(len(sets)), pc.list_value_length(column["s"]).to_numpy())
-    s, pos = column["s"].flatten().to_numpy(), column["pos"].flatten().to_numpy().astype(np.int64)
-    order = np.argsort(s, kind="stable")
-    bits = [np.frombuffer(x, np.uint8) for x in column["bits"].to_pylist()]
-    shingles = [np.frombuffer(x, np.uint64) for x in column["shingles"].to_pylist()] if "shingles" in column else []
-    copies = column["copies"].to_numpy() if "copies" in column else None
-    return {
-        "copies": copies, "cid": column["cid"].to_numpy(), "root": column["root"].to_numpy(), "n": column["n"].to_numpy().astype(np.int64), "bits": bits, "shingles": shingles, "s": s[order], "at": at[order], "pos": pos[order],
-    }
-
-
-def _maybe(x: dict, y: dict, same: bool, num: int, den: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets of two tiles that size, position and parity filters leave and, unless every pair is asked for, that are not of one component yet."""
-    found = np.zeros((len(x["cid"]), len(y["cid"])), bool)
-    shared = np.intersect1d(x["s"], y["s"])
-    for lo_x, hi_x, lo_y, hi_y in zip(*(np.searchsorted(t["s"], shared, side) for t in (x, y) for side in ("left", "right")), strict=True):
-        i, j = x["at"][lo_x:hi_x], y["at"][lo_y:hi_y]
-        n_x, n_y = x["n"][i][:, None], y["n"][j][None, :]
-        left_x, left_y = n_x - x["pos"][lo_x:hi_x][:, None], n_y - y["pos"][lo_y:hi_y][None, :]
-        need = -(-num * (n_x + n_y) // (num + den))
-        near = (den * np.minimum(n_x, n_y) >= num * np.maximum(n_x, n_y)) & (np.minimum(left_x, left_y) >= need)
-        found[np.ix_(i, j)] |= near if every else near & (x["root"][i][:, None] != y["root"][j][None, :])
-    if same:
-        found = np.triu(found, 1)
-    i, j = np.nonzero(found)
-    if not len(i):
-        return i, j
-    size = min(len(bits) for t in (x, y) for bits in t["bits"])
-    maps_x, maps_y = (np.stack([_folded(bits, size) for bits in t["bits"]]).view(np.uint64) for t in (x, y))
-    ok = _parity_allows(maps_x[i], maps_y[j], x["n"][i], y["n"][j], num, den)
-    return i[ok], j[ok]
-
-
-def _parity_allows(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Whether sets with these parity maps (rows) can still reach the threshold: they differ in at least as many shingles as their maps in bits."""
-    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) <= n_x + n_y - 2 * (-(-num * (n_x + n_y) // (num + den)))
-
-
-def _links(x: dict, y: dict, at_x: np.ndarray, at_y: np.ndarray, num: int, den: int) -> tuple[list[int], list[int]]:
-    """Which of these pairs are links. What becomes joined here is not compared again."""
-    parent: dict[int, int] = {}
-
-    def root(r: int) -> int:
-        while parent.get(r, r) != r:
-            parent[r] = parent.get(parent[r], parent[r])
-            r = parent[r]
-        return r
-
-    sets_x, sets_y = x["shingles"], y["shingles"]
-    u, v = [], []
-    for i, j in zip(at_x.tolist(), at_y.tolist(), strict=True):
-        p, q = root(int(x["root"][i])), root(int(y["root"][j]))
-        if p != q:
-            both = len(np.intersect1d(sets_x[i], sets_y[j], assume_unique=True))
-            if den * both >= num * (len(sets_x[i]) + len(sets_y[j]) - both):
-                parent[p] = q
-                u.append(int(x["cid"][i]))
-                v.append(int(y["cid"][j]))
-    return u, v
-
-
-def _late_links(late: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, width: int, num: int, den: int, every: bool) -> tuple[DataFrame, list[DataFrame]]:
-    """Links that the first round left out: of sets in long runs (s, cid, n, pos), those of different components, and, with every, how many each set has (see _compare).
-    Also the tables they are read from, first that of the sets in long runs.
-
-    Sets meet in tiles: those with the same longest run and similar size, in parts by their hashes so that a tile holds at most about
-    TILE_SETS sets and TILE_SHINGLES shingles. Pairs of tiles are compared in memory if some set of each is in one run and sizes allow a link,
-    first with parity maps in place of shingles; whole sets travel only where those leave something to compare, and only links leave a task.
-    """
-    length = late.groupBy("s").agg(F.count(F.lit(1)).alias("length"))
-    entries = late.join(length, "s").groupBy("cid").agg(F.max("n").alias("n"), F.max(F.struct("length", "s"))["s"].alias("home"), F.collect_list(F.struct("s", "pos")).alias("e"))
-    band = F.floor(F.log("n") / math.log(den / num)).cast("int")
-    placed = entries.join(roots, F.col("cid") == F.col("node"), "left").join(classes.select("cid", "bits", "copies"), "cid")
-    placed = written(placed.select("cid", F.coalesce("root", "cid").alias("root"), "n", "home", band.alias("band"), F.col("e.s").alias("s"), F.col("e.pos").alias("pos"), "bits", "copies"), "shingle-late")
-    parts = placed.groupBy("home", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE_SETS), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("parts"))
-    tiled = placed.join(parts, ["home", "band"]).withColumn("tile", F.concat_ws("/", "home", "band", F.pmod(F.xxhash64("cid"), "parts")))
-    tiled = written(tiled.select("tile", "cid", "root", "n", "band", "s", "pos", "bits", "copies"), "shingle-tiled")
-    meets = tiled.select("tile", "band", F.explode("s").alias("s")).distinct()
-    a, b = (meets.select("s", F.col("tile").alias(f"tile_{t}"), F.col("band").alias(f"band_{t}")) for t in "ab")
-    pairs = a.join(b, "s").where("tile_a <= tile_b AND abs(band_a - band_b) <= 1").select("tile_a", "tile_b").distinct()
-    light = tiled.groupBy("tile").agg(F.collect_list(F.struct("cid", "root", "n", "s", "pos", "bits")).alias("sets"))
-    near = written(_met(pairs, light).mapInArrow(_promising(num, den, every), "tile_a string, tile_b string, cids array<long>"), "shingle-near")
-    sets = _sets(near.select(F.explode("cids").alias("cid")).distinct(), classes, docs, width)
-    full = tiled.join(sets, "cid").groupBy("tile").agg(F.collect_list(F.struct("cid", "root", "n", "s", "pos", "bits", "copies", "shingles")).alias("sets"))
-    full = written(full, "shingle-tiles")
-    return _met(near.select("tile_a", "tile_b"), full).mapInArrow(_compare(num, den, every), "kind int, a long, b long, n long"), [placed, tiled, near, full]
 
-
-def _met(pairs: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Pairs of tile names with the contents of both."""
-    side = lambda t: tiles.toDF(f"tile_{t}", f"sets_{t}")
-    return pairs.join(side("a"), "tile_a").join(side("b"), "tile_b")
-
-
-def _sets(cids: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(cid, shingles) of the given sets, built again from their whole texts; shingles are the bytes of their sorted hashes."""
-    wanted = cids.join(classes, "cid").select("cid", "doc_id")
-    texts = _among(docs, wanted).join(wanted, "doc_id").select("cid", "text")
+def _shingles(ids: DataFrame, members: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(id, shingles) of the given sets, built again from their whole texts; shingles are the bytes of their sorted hashes."""
+    wanted = ids.join(members.select("id", "doc_id", "h1", "h2"), "id")
+    texts = _among(docs, wanted).join(wanted, "doc_id").select("id", "h1", "h2", "text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, sets = [], []
-            for cid, text in zip(b.column("cid").to_pylist(), b.column("text"), strict=True):
-                s = wordhash.shingle_set(text.as_py(), width)
-                if _signature(s)[0] == cid and ids[-1:] != [cid]:  # rows of one doc_id follow each other
-                    ids.append(cid)
-                    sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["cid", "shingles"])
-
-    return texts.mapInArrow(build, "cid long, shingles binary")
+            id_, x, y = (b.column(k).to_numpy() for k in ("id", "h1", "h2"))
+            for row, sizes, flat in wordhash.shingle_sets(b.column("text"), width):
+                h1, h2 = _signatures(flat, sizes)
+                stop = np.cumsum(sizes)
+                same = np.flatnonzero((h1 == x[row : row + len(sizes)]) & (h2 == y[row : row + len(sizes)]))
+                ids, sets = id_[row + same], [flat[stop[k] - sizes[k] : stop[k]].tobytes() for k in same.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "shingles"])
+
+    out = written(texts.mapInArrow(build, "id long, shingles binary"), "shingle-whole")
+    if out.groupBy("id").count().where("count > 1").isEmpty():
+        return out
+    once = written(out.dropDuplicates(["id"]), "shingle-whole")  # repeated rows
+    discard(out)
+    return once
 
 
 def _among(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -452,92 +471,115 @@ def _among(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(maps), F.col("__bucket") == F.col("bucket")).where(F.getbit(byte, hit) == 1).select(*docs.columns)
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs that parity maps leave."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y, n_x, n_y in zip(*(b.column(k).to_pylist() for k in ("bits_a", "bits_b", "n_a", "n_b")), strict=True):
-                size = min(len(x), len(y))
-                x, y = (_folded(np.frombuffer(bits, np.uint8), size).view(np.uint64) for bits in (x, y))
-                keep.append(bool(_parity_allows(x, y, n_x, n_y, num, den)))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
-
-    side = lambda t: classes.select(F.col("cid").alias(t), F.col("n").alias(f"n_{t}"), F.col("bits").alias(f"bits_{t}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, shingles: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs whose sets reach the threshold."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for x, y in zip(b.column("sa"), b.column("sb"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
-    joined = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    joined = pairs.join(shingles.toDF("a", "sa"), "a").join(shingles.toDF("b", "sb"), "b")
     return joined.mapInArrow(check, "a long, b long")
 
 
-def similar(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, links: bool = True) -> DataFrame:
+# ---- the join
+
+
+def _grouped(docs: DataFrame, profile: DataFrame, width: int, num: int, den: int, sketch) -> tuple[DataFrame, DataFrame]:
+    """The distinct sets (id, n, prefix, bits), and of each set (members) its group, the number m of sets in that, its smallest doc_id and its copies.
+
+    A group is named by the smallest id of its sets.
+    """
+    rows = docs.where("doc_id IS NOT NULL").mapInArrow(_prefixes(width, num, den, sketch), "h1 long, h2 long, n int, g1 long, g2 long, prefix binary, bits binary")
+    sets = written(rows.dropDuplicates(["h1", "h2"]).withColumn("id", F.monotonically_increasing_id()), "shingle-sets")
+    classes = profile.where("kind = 0 AND n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    light = sets.select("id", "h1", "h2", "n", "g1", "g2")
+    groups = light.groupBy("n", "g1", "g2").agg(F.min("id").alias("gid"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = light.join(classes, ["h1", "h2"]).join(groups, ["n", "g1", "g2"], "left")
+    members = members.select("id", "h1", "h2", "n", "doc_id", "copies", F.coalesce("gid", "id").alias("gid"), F.coalesce("m", F.lit(1)).alias("m"))
+    return sets, written(members, "shingle-members")
+
+
+def similar(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """Links documents whose shingle sets have den * common >= num * united, and returns each one's component and number of links.
 
     Sets hold the distinct shingles of `width` words (A to Z lower-cased) of the whole text; a shorter text is one shingle.
-    Documents with equal sets are one group from the start. A set's prefix holds its rarest shingles in one global order; sets that
-    can be similar share a shingle of their prefixes, so only such groups are compared, behind size and position filters. Long runs
-    of one shingle are linked along neighbours first, which gives components early; then all pairs of long runs are compared in tiles, where
-    links are counted, so none is lost and none leaves a task that joins nothing new. Without `links` only sets still apart are compared.
-    Parity maps of the sets rule out most candidates before any whole set travels.
-
-    Columns: doc_id, n_shingles, component_id (smallest doc_id reachable by links) and, with `links`, n_links (other documents, copies
-    among them, that reach the threshold with this one). Null or empty texts have no shingles and link
-    with nothing, nor does a row whose doc_id is null. Repeated rows are equal sets. An empty table gives no rows; other columns are ignored.
+    A set's prefix holds its rarest shingles in one global order, so sets that can be similar share a shingle of their prefixes. Sets
+    with the same size and prefix form a group, which is indexed once. Groups that share a short run of a shingle are paired behind
+    size, prefix and position filters and expanded to their sets; what parity maps leave is verified. Sets in long runs, and those
+    of groups with many sets, meet in tiles: those with a frequent shingle in common and similar sizes, compared tile by tile in
+    memory, first by parity maps. All links are verified and counted; only counts and what joins the linked leaves a task.
+
+    Columns: doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links (other documents, copies among them, that
+    reach the threshold with this one). Null or empty texts have no shingles and link with nothing, nor does a row whose
+    doc_id is null (its component_id is null). Repeated rows are equal sets. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    profile = written(docs.mapInArrow(_profile(width), f"kind int, doc_id {kind}, n long, h1 long, h2 long, bits binary"), "shingle-profile")
-    sketch = spark.sparkContext.broadcast(_sketch(spark, profile))
-    own = profile.where("kind = 0")
-    classes = written(own.where("n > 0 AND doc_id IS NOT NULL").groupBy(F.col("h1").alias("cid")).agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("copies")), "shingle-classes")
-    entries = docs.where("doc_id IS NOT NULL").mapInArrow(_prefixes(width, num, den, sketch), "s long, cid long, n int, pos int")
-    form = "kind int, a long, b long, n int, pos int"
-    found = written(entries.repartition(4 * tasks_for(spark), "s").sortWithinPartitions("s", "n", "cid").mapInArrow(_first_round(num, den), form), "shingle-pairs")
-    pairs = written(_plausible(found.where("kind = 0").select("a", "b").distinct(), classes, num, den), "shingle-candidates")
-    late = found.where("kind = 1").select(F.col("a").alias("s"), F.col("b").alias("cid"), "n", "pos")
-    involved = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    sets = written(_sets(involved, classes, docs, width), "shingle-sets")
-    first = written(_verified(pairs, sets, num, den), "shingle-links")
-    early = components(first)
-    found_late, made = _late_links(late, early, classes, docs, width, num, den, links)
-    second = written(found_late, "shingle-links")
-    others = written(_linked(first, second, made[0], classes, num, den), "shingle-counts") if links else None
-    discard(early, found, pairs, sets, *made)
+    profile = written(docs.mapInArrow(_profile(width), f"kind int, doc_id {kind}, n long, h1 long, h2 long"), "shingle-profile")
+    sketch = spark.sparkContext.broadcast(_sketch(profile))
+    sets, members = _grouped(docs, profile, width, num, den, sketch)
+
+    marked = members.where("m > 1").select("id", F.col("gid").alias("of"), (F.col("m") > SHORT_RUN).alias("wide"))
+    indexed = sets.select("id", "n", "prefix").join(marked, "id", "left").where("of IS NULL OR of = id").select("id", "n", "prefix", F.coalesce("wide", F.lit(False)).alias("wide"))
+    entries = indexed.mapInArrow(_entries(sketch), "s long, gid long, n int, pos int, wide boolean, spread int")
+    dealt = entries.repartition(4 * tasks_for(spark), "s", "spread").sortWithinPartitions("s", "n", "gid")
+    found = written(dealt.mapInArrow(_first_round(num, den), "kind int, a long, b long"), "shingle-pairs")
+    of = lambda t: members.where(F.col("m") <= SHORT_RUN).select(F.col("gid").alias(f"g{t}"), F.col("id").alias(t))
+    across = found.where("kind = 0").select(F.col("a").alias("ga"), F.col("b").alias("gb")).distinct().join(of("a"), "ga").join(of("b"), "gb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    small = members.where(F.col("m").between(2, SHORT_RUN))
+    inside = small.select("gid", F.col("id").alias("a")).join(small.select("gid", F.col("id").alias("b")), "gid").where("a < b").select("a", "b")
+    pairs = written(_plausible(across.union(inside).distinct(), sets, num, den), "shingle-candidates")
+
+    tiled = _tiled(found.where("kind = 1").select(F.col("a").alias("s"), F.col("b").alias("gid")), members, sets, sketch, num, den)
+    meeting = written(_tile_pairs(tiled), "shingle-meeting")
+    light = tiled.groupBy("tile").agg(F.collect_list(F.struct("id", "n", "bits")).alias("sets"))
+    near = written(_met(meeting, light).mapInArrow(_promising(num, den), "tile_a string, tile_b string, ids array<long>"), "shingle-near")
+
+    needed = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(near.select(F.explode("ids"))).distinct(), "shingle-needed")
+    shingles = _shingles(needed, members, docs, width)
+    first = written(_verified(pairs, shingles, num, den), "shingle-links")
+    full = tiled.join(near.select(F.explode("ids").alias("id")).distinct(), "id").join(shingles, "id").groupBy("tile").agg(F.collect_list(F.struct("id", "n", "bits", "copies", "shingles")).alias("sets"))
+    second = written(_met(near.select("tile_a", "tile_b"), full).mapInArrow(_compare(num, den), "kind int, a long, b long, n long"), "shingle-links")
+
+    tile = lambda t: tiled.select(F.col("id").alias(t), F.col("tile").alias(f"of_{t}"))
+    named = first.join(tile("a"), "a", "left").join(tile("b"), "b", "left").withColumns({"tile_a": F.least("of_a", "of_b"), "tile_b": F.greatest("of_a", "of_b")})
+    both = F.col("of_a").isNotNull() & F.col("of_b").isNotNull()
+    apart = named.where(~both).select("a", "b").union(named.where(both).join(meeting, ["tile_a", "tile_b"], "left_anti").select("a", "b"))  # tiles count the others
+    copies = members.select(F.col("id").alias("b"), "copies")
+    ends = apart.union(apart.select("b", "a")).join(copies, "b").select("a", F.col("copies").alias("n"))
+    others = written(ends.union(second.where("kind = 1").select("a", "n")).groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others")), "shingle-counts")
+
     roots = components(first.union(second.where("kind = 0").select("a", "b")))
-    placed = classes.join(roots, classes["cid"] == roots["node"], "left")
-    n_links = []
-    if links:
-        placed = placed.join(others, "cid", "left")
-        n_links = [(F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")]
-    placed = written(placed.select("cid", "doc_id", F.coalesce("root", "cid").alias("root"), *n_links), "shingle-placed")
-    discard(roots, first, second, classes, *([others] if links else []))
+    placed = members.join(roots, members["id"] == roots["node"], "left").join(others, "id", "left")
+    placed = written(placed.select("h1", "h2", "doc_id", F.coalesce("root", "id").alias("root"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "shingle-placed")
+    discard(sets, members, found, pairs, tiled, meeting, near, needed, shingles, first, second, others, roots)
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    component = placed.join(least, "root").select(F.col("cid").alias("h1"), "component_id", *(["n_links"] if links else []))
+    component = placed.join(least, "root").select("h1", "h2", "component_id", "n_links")
     linkable = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    counted = [F.when(linkable, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links")] if links else []
-    return own.join(component, "h1", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(linkable, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *counted)
+    return (
+        profile.where("kind = 0")
+        .join(component, ["h1", "h2"], "left")
+        .select(
+            "doc_id", F.col("n").alias("n_shingles"), F.when(linkable, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+            F.when(linkable, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
+        )
+    )
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The document with the smallest doc_id of each component, all columns as they are; of repeated rows one stays, rows without doc_id all do."""
-    rows = written(similar(docs, **{"links": False, **options}).where("doc_id IS NOT NULL"), "shingle-result")
+    """The document with the smallest doc_id of each component, all columns as they are; of repeated rows one stays, rows without doc_id all do.
+
+    Documents without words are in no group and stay. An empty table gives no rows.
+    """
+    rows = written(similar(docs, **options).where("doc_id IS NOT NULL"), "shingle-result")
     keep = rows.where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("kept_n"))
     stay = docs.where("doc_id IS NOT NULL").join(keep.select("kept_id"), F.col("doc_id") == F.col("kept_id"), "left_semi")
     if not keep.where("kept_n > 1").isEmpty():

@@ -14,36 +14,42 @@ from . import wordhash
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
+_APART = np.zeros(256, bool)
+_APART[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
-def measure(text: str | None) -> tuple[int, ...]:
+def measure(text: pa.Scalar | str | None) -> tuple[int, ...]:
     """MEASURES of one whole text; a null text has no words and no lines."""
-    if not text:
-        return (0,) * len(MEASURES)
-    raw = text.encode("utf-8", "surrogatepass")
-    data = np.frombuffer(raw, np.uint8)
-    code, start, end = wordhash.words(raw)
-    n = len(code)
-    follow = np.zeros(len(data) + 1, np.int64)
-    np.cumsum((data & 0xC0) != 0x80, out=follow[1:])
-    lines = [x for x in raw.split(b"\n") if x.strip()]
-    repeat = 0
-    if n >= 5:
-        w = wordhash.windows(code, 5)
-        order = np.argsort(w, kind="stable")
-        same = w[order[1:]] == w[order[:-1]]
-        if same.any():
-            twice = np.zeros(len(w), bool)
-            twice[order[1:][same]] = True
-            twice[order[:-1][same]] = True
-            at = np.flatnonzero(twice)
-            cover = np.zeros(n + 1, np.int64)
-            np.add.at(cover, at, 1)
-            np.add.at(cover, at + 5, -1)
-            repeat = int((np.cumsum(cover) > 0).sum())
-    return n, int((follow[end] - follow[start]).sum()) if n else 0, int(_SYMBOL[data].sum()), len(lines) - len(set(lines)), repeat, len(lines)
+    data = wordhash.raw(text)
+    code, _, _ = wordhash.words(data)
+    chars = symbols = 0
+    for lo in range(0, len(data), wordhash.BLOCK):
+        part = data[lo : lo + wordhash.BLOCK]
+        chars += int(np.count_nonzero(((part & 0xC0) != 0x80) & ~_APART[part]))
+        symbols += int(np.count_nonzero(_SYMBOL[part]))
+    lines = [x for x in data.tobytes().split(b"\n") if x.strip()]
+    return len(code), chars, symbols, len(lines) - len(set(lines)), _in_repeated(code), len(lines)
+
+
+def _in_repeated(code: np.ndarray, width: int = 5) -> int:
+    """Words in windows of `width` words that are found more than once. Windows whose hashes meet count only if their words are equal too."""
+    w = wordhash.windows(code, width)
+    if not len(w):
+        return 0
+    order = np.argsort(w, kind="stable")
+    a, b = order[:-1], order[1:]
+    same = np.flatnonzero(w[a] == w[b])
+    for k in range(width):
+        same = same[code[a[same] + k] == code[b[same] + k]]
+    if not len(same):
+        return 0
+    cover = np.zeros(len(code) + 1, np.int64)
+    at = np.unique(np.concatenate([a[same], b[same]]))
+    cover[at] += 1
+    cover[at + width] -= 1
+    return int((np.cumsum(cover) > 0).sum())
 
 
 @dataclass(frozen=True)
@@ -86,7 +92,7 @@ def ledger(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [measure(t.as_py()) for t in b.column("text")]
+            rows = [measure(t) for t in b.column("text")]
             columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(MEASURES))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", *MEASURES])
 

@@ -39,19 +39,18 @@ def tokens(text: str | None) -> np.ndarray:
     """
     if not text:
         return np.zeros((1 + len(STEMS), 0), np.uint64)
-    raw = text.lower().encode("utf-8", "surrogatepass")
-    whole, start, end = wordhash.words(raw, punctuated=True)
+    data = wordhash.raw(text.lower())
+    whole, start, end = wordhash.words(data, punctuated=True)
     out = np.zeros((1 + len(STEMS), len(whole)), np.uint64)
     if len(whole):
         out[0] = whole
-        data = np.frombuffer(raw, np.uint8)
         first = (data & 0xC0) != 0x80
         letter = np.cumsum(first) - 1
         places = np.append(np.flatnonzero(first), len(data))
         for row, k in enumerate(STEMS, 1):
             stop = places[np.minimum(letter[start] + k, len(places) - 1)]
             long = stop < end
-            out[row, long] = wordhash.mix(wordhash.spanned(raw, start[long], stop[long]) + np.uint64(k))
+            out[row, long] = wordhash.mix(wordhash.spanned(data, start[long], stop[long]) + np.uint64(k))
     return out
 
 
