@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,41 +33,55 @@ _TOP = 20.0
 SEGMENT = "struct<first_token: long, end_token: long, score: double, p_value: double>"
 
 
-def tokens(text: str | None) -> np.ndarray:
-    """Hashes of a whole text's tokens in order, and of their stems: one row for the tokens, one for each length in STEMS.
+def _vocabularies(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Tokens of a column of whole texts, in stretches: the first row, where each text's tokens begin and the last's end, each token's place in the stretch's vocabulary, and the vocabulary.
 
-    Tokens are lower-cased runs between spaces and ASCII punctuation; a stem is a token's first characters, 0 where it has no more.
+    Tokens are lower-cased runs between spaces and ASCII punctuation. The vocabulary has a column for each distinct token: its hash, and
+    that of its first characters for each length in STEMS, 0 where it has no more. A text longer than a block comes in several stretches.
     """
-    if not text:
-        return np.zeros((1 + len(STEMS), 0), np.uint64)
-    data = wordhash.raw(text.lower())
-    whole, start, end = wordhash.words(data, punctuated=True)
-    out = np.zeros((1 + len(STEMS), len(whole)), np.uint64)
-    if len(whole):
-        out[0] = whole
-        first = (data & 0xC0) != 0x80
-        letter = np.cumsum(first) - 1
-        places = np.append(np.flatnonzero(first), len(data))
-        for row, k in enumerate(STEMS, 1):
-            stop = places[np.minimum(letter[start] + k, len(places) - 1)]
-            long = stop < end
-            out[row, long] = wordhash.mix(wordhash.spanned(data, start[long], stop[long]) + np.uint64(k))
-    return out
+    for row, data, at in wordhash.stretches(pc.utf8_lower(texts)):
+        for part, places in [(data, at)] if len(at) > 2 else [(x, np.array([0, len(x)])) for x in list(wordhash.pieces(data)) or [data]]:
+            whole, first, start, end = wordhash.words_of(part, places, punctuated=True)
+            _, where, of = np.unique(whole, return_index=True, return_inverse=True)
+            start, end = start[where], end[where]
+            known = np.zeros((1 + len(STEMS), len(where)), np.uint64)
+            known[0] = whole[where]
+            head = (part & 0xC0) != 0x80
+            letter = np.cumsum(head) - 1
+            ends = np.append(np.flatnonzero(head), len(part))
+            order = np.argsort(start)
+            for k, length in enumerate(STEMS, 1) if len(where) else ():
+                stop = ends[np.minimum(letter[start] + length, len(ends) - 1)]
+                long = order[(stop < end)[order]]
+                known[k, long] = wordhash.mix(wordhash.spanned(part, start[long], stop[long]) + np.uint64(length))
+            yield row, first, of, known
+
+
+def _by_text(stretches: Iterator[tuple[int, list]]) -> Iterator[tuple[int, list]]:
+    """Puts the parts of each text together: (row, its parts) from (first row, a part of each text)."""
+    row, held = 0, []
+    for first, parts in stretches:
+        for k, part in enumerate(parts):
+            if held and first + k != row:
+                yield row, held
+                held = []
+            row = first + k
+            held.append(part)
+    if held:
+        yield row, held
 
 
 def maximal_segments(at: np.ndarray, weight: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments, in one pass, of a sequence that scores weight at the places `at` and -drift elsewhere.
+    """All maximal-scoring segments, in one pass, of a sequence that scores weight (of either sign) at the places `at` and -drift elsewhere.
 
     Returns (first place, end, score). Each candidate keeps the sum before it, the sum at its end and a link to the last earlier one with a
-    lower sum before it; a new one is merged with those as long as that raises the score. The links keep the pass linear. Only places with a weight can begin or end a segment.
+    lower sum before it; a new one is merged with those as long as that raises the score. The links keep the pass linear. Only places with a
+    positive weight can begin or end a segment.
     """
+    after = np.cumsum(weight) - drift * (at - np.arange(len(at)))
+    up = np.flatnonzero(weight > 0)
     found: list[list[float]] = []
-    total, place = 0.0, -1
-    for p, w in zip(at.tolist(), weight.tolist(), strict=True):
-        total -= drift * (p - place - 1)
-        place = p
-        begin = total
-        total += w
+    for p, begin, total in zip(at[up].tolist(), (after - weight)[up].tolist(), after[up].tolist(), strict=True):
         item = [p, p + 1, begin, total, -1]
         j = len(found) - 1
         while True:
@@ -84,7 +99,10 @@ def maximal_segments(at: np.ndarray, weight: np.ndarray, drift: float) -> list[t
 
 @dataclass
 class ToxicModel:
-    """Weighted tokens and stems (sorted hashes; a token weighs as the heaviest of its own), the extreme-value parameters of the best score by chance, and its map to a probability."""
+    """Weighted tokens and stems (sorted hashes), the extreme-value parameters of the best score by chance, and its map to a probability.
+
+    A token weighs as the strongest of its own hash and its stems', for or against; one without any weighs nothing.
+    """
 
     codes: np.ndarray
     weights: np.ndarray
@@ -93,14 +111,29 @@ class ToxicModel:
     intercept: float
     slope: float
 
-    def segments(self, code: np.ndarray) -> list[tuple[int, int, float]]:
-        if not len(self.codes) or not code.size:
-            return []
-        i = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        weight = np.where(self.codes[i] == code, self.weights[i], 0.0).max(axis=0)
+    def weigh(self, known: np.ndarray) -> np.ndarray:
+        """Weights of the tokens of a vocabulary."""
+        if not len(self.codes) or not known.size:
+            return np.zeros(known.shape[1])
+        i = np.minimum(np.searchsorted(self.codes, known), len(self.codes) - 1)
+        weight = np.where(self.codes[i] == known, self.weights[i], 0.0)
+        return weight[np.abs(weight).argmax(axis=0), np.arange(known.shape[1])]
+
+    def segments(self, weight: np.ndarray) -> list[tuple[int, int, float]]:
         at = np.flatnonzero(weight)
         return maximal_segments(at, weight[at] - DRIFT, DRIFT) if len(at) else []
 
+    def read(self, texts: pa.Array) -> Iterator[tuple[int, int, list[tuple[int, int, float]]]]:
+        """Row, number of tokens and segments of each text of a column."""
+
+        def weighed() -> Iterator[tuple[int, list]]:
+            for row, first, of, known in _vocabularies(texts):
+                yield row, np.split(self.weigh(known)[of], first[1:-1])
+
+        for row, parts in _by_text(weighed()):
+            weight = np.concatenate(parts) if len(parts) > 1 else parts[0]
+            yield row, len(weight), self.segments(weight)
+
     def excess(self, score: float, n: int) -> float:
         """The score on the Gumbel scale, for a text of n tokens."""
         return self.scale * score - math.log(self.k * max(1, n))
@@ -121,15 +154,21 @@ def _training(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
     if n > SAMPLE_DOCS:
         known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")  # at most SAMPLE_DOCS rows of two numbers
+    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))  # repeated ids count once
     return written(sample.dropDuplicates(["text", "label"]), "toxic-sample")
 
 
 def _counted(sample: DataFrame) -> DataFrame:
+    def features(texts: pa.Array) -> Iterator[tuple[int, list]]:
+        for row, first, of, known in _vocabularies(texts):
+            yield row, [known[:, np.unique(x)].ravel() for x in np.split(of, first[1:-1])]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts: dict[int, list[np.ndarray]] = {0: [], 1: []}
-            for text, label in zip(b.column("text"), b.column("label").to_pylist(), strict=True):
-                parts[1 if label else 0].append(np.unique(tokens(text.as_py())))  # each document counts a token once
+            labels = b.column("label").to_pylist()
+            for row, many in _by_text(features(b.column("text"))):
+                parts[1 if labels[row] else 0].append(np.unique(np.concatenate(many)))  # each document counts a token once
             for label, many in parts.items():
                 if many:
                     code, n = np.unique(np.concatenate(many), return_counts=True)
@@ -143,8 +182,8 @@ def _counted(sample: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> ToxicModel:
     """Learns token weights and their calibration. `usable` tells, of a label's row, whether it may be learned from.
 
-    A token's weight is its log-odds in toxic against other documents with an informative Dirichlet prior; those with a z below
-    LEAST_Z weigh nothing. The scale of chance scores solves sum(p * exp(scale * weight)) = 1 over the tokens of other documents;
+    A token's weight is its log-odds in toxic against other documents with an informative Dirichlet prior, for or against; those whose
+    z is within LEAST_Z of 0 weigh nothing. The scale of chance scores solves sum(p * exp(scale * weight)) = 1 over the tokens of other documents;
     K follows from their observed best scores by the mean of a Gumbel variable. Without labels of both kinds nothing weighs.
     """
     sample = _training(docs, labels, F.lit(True) if usable is None else usable)
@@ -157,7 +196,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> Tox
         a = F.lit(prior / (n0 + n1)) * (F.col("y0") + F.col("y1"))
         odds = lambda y, n: F.log((F.col(y) + a) / (F.lit(n + prior) - F.col(y) - a))
         weighed = counts_of.select("code", (odds("y1", n1) - odds("y0", n0)).alias("w"), F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a)).alias("sd"), ((F.col("y0") + a) / (n0 + prior)).alias("p"))
-        kept = weighed.where((F.col("w") > 0) & (F.col("w") / F.col("sd") >= LEAST_Z)).orderBy(F.desc(F.col("w") / F.col("sd")), "code").limit(MAX_FEATURES).toPandas()
+        z = F.abs(F.col("w") / F.col("sd"))
+        kept = weighed.where(z >= LEAST_Z).orderBy(F.desc(z), "code").limit(MAX_FEATURES).toPandas()
         code = kept["code"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(code)
         codes, weights, chance = code[order], kept["w"].to_numpy()[order], kept["p"].to_numpy()[order]
@@ -197,9 +237,7 @@ def _scored(docs: DataFrame, keep: str, model: ToxicModel) -> DataFrame:
         m = shared.value
         for b in batches:
             sizes, bests, scores, segments = [], [], [], []
-            for text in b.column("text"):
-                code = tokens(text.as_py())
-                found, n = m.segments(code), code.shape[1]
+            for _, n, found in m.read(b.column("text")):
                 top = max((s for _, _, s in found), default=0.0)
                 sizes.append(n)
                 bests.append(top)
@@ -236,17 +274,13 @@ def toxic_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: ToxicModel) -> DataFrame:
-    """The documents that score below TOXIC, all columns as they are. A document without text stays."""
+    """The documents that score below TOXIC, all columns as they are. A document without text stays, repeated rows stay or go alike; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            keep = []
-            for text in b.column("text"):
-                code = tokens(text.as_py())
-                top = max((s for _, _, s in m.segments(code)), default=0.0)
-                keep.append(m.probability(top, code.shape[1]) < TOXIC)
+            keep = [m.probability(max((s for _, _, s in found), default=0.0), n) < TOXIC for _, n, found in m.read(b.column("text"))]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -128,17 +128,32 @@ def stretches(texts: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, np.nda
         lo = hi
 
 
-def words_of(data: np.ndarray, at: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of texts that lie side by side, and the first word of each text, the end of the last one behind them."""
+def pieces(data: np.ndarray) -> Iterator[np.ndarray]:
+    """A text's bytes in parts of about BLOCK, cut at spaces; words stay whole."""
+    lo = 0
+    while lo < len(data):
+        hi = lo + BLOCK
+        while hi < len(data):
+            near = np.flatnonzero(_SPACE[data[hi : hi + BLOCK]])
+            hi += int(near[0]) if len(near) else BLOCK
+            if len(near):
+                break
+        yield data[lo:hi]
+        lo = hi
+
+
+def words_of(data: np.ndarray, at: np.ndarray, fold: bool = False, punctuated: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of texts that lie side by side: their hashes, the first word of each text and the end of the last one's, and each word's first byte and end."""
     if fold:
         data = _LOWER[data]
-    start, end = spans(data)
+    apart = _PUNCTUATED if punctuated else _SPACE
+    start, end = spans(data, apart)
     inner = at[1:-1]
     inner = inner[(inner > 0) & (inner < len(data))]
-    torn = np.unique(inner[~_SPACE[data[inner]] & ~_SPACE[data[inner - 1]]])  # no space between two texts
+    torn = np.unique(inner[~apart[data[inner]] & ~apart[data[inner - 1]]])  # nothing between two texts
     if len(torn):
         start, end = np.sort(np.concatenate([start, torn])), np.sort(np.concatenate([end, torn]))
-    return spanned(data, start, end), np.searchsorted(start, at)
+    return spanned(data, start, end), np.searchsorted(start, at), start, end
 
 
 def _short(code: np.ndarray) -> np.ndarray:
@@ -156,7 +171,7 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> Iterator[tuple[int, np.ndar
     A text of fewer words than `width` is one shingle, one without words has none.
     """
     for row, data, at in stretches(texts):
-        code, first = words_of(data, at, fold=True)
+        code, first, _, _ = words_of(data, at, fold=True)
         w = windows(code, width)
         parts, sizes = [], np.zeros(len(at) - 1, np.int64)
         for i in range(len(at) - 1):
