@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -54,7 +55,7 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read(spark, sf_dir, "documents"))
+    return mix(read(spark, sf_dir, "documents")).withColumn("n_shards", F.size("shard_words").cast("long")).drop("shard_words")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 import math
 import zlib
 
+import numpy as np
 import pytest
 
-from lettermill.llm.mixing import apportion, mix, mixed_documents, shard_quotas, targets_for
+from lettermill.llm.mixing import apportion, mix, mixed_documents, shard_quotas, source_plan, takes, targets_for
 from lettermill.llm.sharding import assign_shards
 
 
@@ -104,3 +105,60 @@ def test_mix(spark):
     for r in got:
         by_id[r.doc_id] = by_id.get(r.doc_id, 0) + r.taken
     assert whole == {k: v for k, v in by_id.items() if v}
+
+
+def test_each_shard_meets_its_quotas(spark):
+    """Every shard has the blocks that its quotas give it, in the counts and in the texts; a plain walk over the picks says which."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(i % 97)), ["a", "b", "c", None][i % 4 if i % 3 else 0], "", "") for i in range(500)]
+    docs = docs_of(spark, rows)
+    got = mix(docs, block=16, shards=5).collect()
+    words = {}
+    for r in got:
+        assert r.taken == sum(w.words for w in r.shard_words) and len({w.shard for w in r.shard_words}) == len(r.shard_words)
+        for w in r.shard_words:
+            words[rows[r.doc_id][2], w.shard] = words.get((rows[r.doc_id][2], w.shard), 0) + w.words
+    sized = docs.selectExpr("source", "CAST(regexp_count(text, '[^ ]+') AS BIGINT) AS size")
+    plan = {p["source"]: p for p in source_plan(sized, block=16, shards=5)}
+    for (source, shard), n in words.items():
+        assert abs(n - 16 * plan[source]["quotas"][shard]) <= 16 * 2  # but for the source's last, shorter block
+    for shard in range(5):
+        total = sum(n for (_, k), n in words.items() if k == shard)
+        for source in ("a", "b", "c", None):
+            assert abs(words[source, shard] / total - plan[source]["target"] / sum(p["target"] for p in plan.values())) < 0.03
+    in_texts = {}
+    for r in mixed_documents(docs, block=16, shards=5, shard="of_shard").collect():
+        in_texts[r.source, r.of_shard] = in_texts.get((r.source, r.of_shard), 0) + len(r.text.split())
+    assert in_texts == words
+
+
+def test_takes_against_a_plain_walk():
+    rnd = np.random.default_rng(6)
+    size = rnd.integers(0, 40, 60)
+    start = np.cumsum(size) - size
+    total = int(size.sum())
+    blocks = -(-total // 8)
+    ends = np.array([blocks // 3, blocks // 3 + 1, blocks + 5, 2 * blocks - 7])
+    a, c = next(k for k in range(20, 99) if math.gcd(k, blocks) == 1), 11
+    want = {}
+    for pick in range(int(ends[-1])):
+        t, k = divmod(pick, blocks)
+        b = k if t < ends[-1] // blocks else next(b for b in range(blocks) if (a * b + c) % blocks == k)
+        shard = next(s for s, e in enumerate(ends) if pick < e)
+        for w in range(b * 8, min(total, b * 8 + 8)):
+            want[w, t] = shard
+    n = len(size)
+    got = takes(start, size, np.full(n, blocks), np.full(n, a), np.full(n, c), np.tile(ends, (n, 1)), 8)
+    found = {}
+    for row, t, shard, lo, hi in zip(*(got[k].tolist() for k in ("row", "time", "shard", "first", "end")), strict=True):
+        for w in range(start[row] + lo, start[row] + hi):
+            assert (w, t) not in found
+            found[w, t] = shard
+    assert found == want
+
+
+def test_mix_with_clashing_names(spark):
+    columns = "doc_id long, text string, source string, size long, __start string, __row int, start string, n_chars int"
+    docs = spark.createDataFrame([(i, "a b c d e f" if i % 3 else None, "s", 5, "x", 6, "y", 11) for i in range(30)] + [(None, "a b", None, 1, "", 2, "", 3)], columns)
+    out = mixed_documents(docs)
+    assert out.schema == docs.schema and {r.source for r in out.collect()} <= {"s", None} and all(r.text and r.n_chars == len(r.text) for r in out.collect())
+    assert mix(docs).count() == 31
