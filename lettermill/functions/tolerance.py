@@ -7,6 +7,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,31 +27,36 @@ TOLERANT_FROM = 5
 RESIDUE_FROM = 0.8
 
 
-def _any_of(readings: tuple[str, ...]) -> str:
-    """The readings as alternatives in any letter case, longest first."""
-    cased = dict.fromkeys(v for r in readings for v in (r, r.lower() if r not in I_FAMILY else r, r.upper() if len(r.upper()) == len(r) and r not in I_FAMILY else r))
-    return "(?:" + "|".join(map(re.escape, sorted(cased, key=len, reverse=True))) + ")"
+def _cased(options: tuple[str, ...]) -> tuple[str, ...]:
+    """The readings in any letter case, longest first."""
+    cased = dict.fromkeys(v for r in options for v in (r, r.lower() if r not in I_FAMILY else r, r.upper() if len(r.upper()) == len(r) and r not in I_FAMILY else r))
+    return tuple(sorted(cased, key=len, reverse=True))
 
 
-@lru_cache(maxsize=4096)
-def tolerant_pattern(value: str) -> str:
-    """A pattern for the value as it may have been misread; short values only fold the four i's. White space matches any."""
+@lru_cache(maxsize=1 << 16)
+def readings(value: str) -> tuple[tuple[str, ...] | None, ...]:
+    """What each piece of the value may have been read as, in order of preference; None for white space, which matches any. Short values only fold the four i's."""
     wide = len(value) >= TOLERANT_FROM
     unit = re.compile(r"\s+|" + ("(?i:" + "|".join(DIGRAPHS) + ")|" if wide else "") + ".", re.S)
 
-    def piece(m: re.Match) -> str:
-        x = m[0]
+    def piece(x: str) -> tuple[str, ...] | None:
         if x.isspace():
-            return f"{WS}+"
+            return None
         if len(x) == 2:
-            return _any_of(DIGRAPHS[x.lower()])
+            return _cased(DIGRAPHS[x.lower()])
         if wide:
             known = next((CONFUSIONS[k] for k in (x, x.lower(), x.upper()) if k in CONFUSIONS), None)
         else:
             known = I_FAMILY if x in I_FAMILY else None
-        return _any_of(known or (x,))
+        return _cased(known or (x,))
+
+    return tuple(piece(m[0]) for m in unit.finditer(value))
 
-    return unit.sub(piece, value)
+
+@lru_cache(maxsize=4096)
+def tolerant_pattern(value: str) -> str:
+    """A pattern for the value as it may have been misread (see readings)."""
+    return "".join(f"{WS}+" if unit is None else "(?:" + "|".join(map(re.escape, unit)) + ")" for unit in readings(value))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -59,9 +65,10 @@ def tolerant_patterns(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else [tolerant_pattern(x) for x in v])
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+@F.arrow_udf(T.StringType())
+def nfkc(text: pa.Array) -> pa.Array:
+    """Compatibility forms (full-width letters, ligatures) as what they stand for."""
+    return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in text.to_pylist()], pa.string())
 
 
 def folded(text: Column) -> Column:

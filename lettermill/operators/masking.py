@@ -1,21 +1,24 @@
 """Finding personal data, replacing it by numbered tokens, and proving that nothing was left.
 
-Spans are arrays of structs, worked on with Spark's own functions; Python only turns a known value into its tolerant pattern.
+Texts are searched once, in Arrow batches with patterns compiled once for each worker; all else is Spark's own functions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.patterns import PARTICLES, RECOGNISERS, Recogniser
-from ..functions.tolerance import folded, nfkc, tolerant_patterns
+from ..functions import finding
+from ..functions.patterns import PARTICLES, RECOGNISERS
 
 TOKEN = r"\[\[([A-Z]+)_([0-9]+)\]\]"
 SPAN = "struct<start:int,end:int,original:string,type:string,strategy:string,ord:int>"
 NO_SPANS = f"array<{SPAN}>"
+MATCHES = "array<struct<token:string,original:string,type:string,strategy:string>>"
 #: Profile fields with the type that their values get, in the order they are looked for.
 PROFILE_FIELDS = {
     "full_name": "NAME", "given_name": "NAME", "family_name": "NAME", "date_of_birth": "DOB", "address": "ADDRESS", "city": "ADDRESS", "postal_code": "POSTALCODE",
@@ -23,14 +26,6 @@ PROFILE_FIELDS = {
 }
 
 
-def settled(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with further columns that are worked out once for each row, however often they are used later.
-
-    Spark would otherwise repeat a column's expression wherever a later one mentions it. A generator's output is never repeated.
-    """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
-
-
 def neutralised(text: Column) -> Column:
     """Token-like text of the input loses its brackets, so it can never stand for a value."""
     return F.regexp_replace(text, TOKEN, "⟦⟧$1_$2⟦⟧")
@@ -40,46 +35,23 @@ def has_tokens(text: Column) -> Column:
     return text.rlike(TOKEN)
 
 
-def _found(text: Column, pattern: Column) -> Column:
-    """array<struct<at, match>> of all matches, left to right; at counts characters from 0.
-
-    What lies between matches tells where each begins: the text split at the pattern has one part more than there are matches.
-    """
-    # the array around both is there to name them: a lambda's variable is worked out once
-    both = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("matches"), F.split(text, pattern, -1).alias("gaps"))
-
-    def walk(b: Column) -> Column:
-        return F.aggregate(
-            F.zip_with(F.slice(b["gaps"], F.lit(1), F.size(b["matches"])), b["matches"], lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("match"))),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,match:string>>").alias("out")),
-            lambda acc, x: F.struct(
-                (acc["at"] + x["gap"] + F.length(x["match"])).alias("at"),
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("at"), x["match"].alias("match")))).alias("out"),
-            ),
-            lambda acc: acc["out"],
-        )
-
-    return F.transform(F.array(both), walk)[0]
-
-
-def _spans_of(text: Column, r: Recogniser, place: int) -> Column:
-    def span(x: Column) -> Column:
-        value = F.regexp_extract(x["match"], r.pattern, r.group) if r.group else x["match"]
-        start = x["at"] + (F.instr(x["match"], value) - 1 if r.group else F.lit(0))
-        value = F.rtrim(value)
-        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("original"), F.lit(r.kind).alias("type"), F.lit("pattern").alias("strategy"), F.lit(1000 + place).alias("ord"))
-
-    spans = F.transform(_found(text, F.lit(r.pattern)), span)
-    spans = F.filter(spans, lambda s: (s["original"] != "") & (r.valid(s["original"]) if r.valid else F.lit(True)))
-    return F.when(text.rlike(r.pattern), spans).otherwise(F.array().cast(NO_SPANS))
+def _chosen(types: Sequence[str] | None) -> list[tuple]:
+    """The recognisers there are now, of those types if given, as the helpers take them."""
+    check = {None: None} | {f.__name__: f for f in (finding.plausible_name, finding.plausible_tax_id, finding.readable_iban, finding.phone_length)}
+    return [(i, r.kind, r.pattern, r.group, check[r.check], r.hints) for i, r in enumerate(RECOGNISERS) if types is None or r.kind in types]
 
 
 def pattern_spans(text: Column, types: Sequence[str] | None = None) -> Column:
     """All spans that the recognisers find, in their order; only those of `types`, if given. A null text has none."""
-    chosen = [(i, r) for i, r in enumerate(RECOGNISERS) if types is None or r.kind in types]
-    if not chosen:
-        return F.array().cast(NO_SPANS)
-    return F.coalesce(F.concat(*[_spans_of(text, r, i).cast(NO_SPANS) for i, r in chosen]), F.array().cast(NO_SPANS))
+    chosen = _chosen(types)
+
+    @F.arrow_udf(NO_SPANS)
+    def found(texts: pa.Array) -> pa.Array:
+        rows = [[s._asdict() for s in finding.pattern_spans(t, chosen)] if t else [] for t in texts.to_pylist()]
+        kind = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("original", pa.string()), ("type", pa.string()), ("strategy", pa.string()), ("ord", pa.int32())])
+        return pa.array(rows, pa.list_(kind))
+
+    return found(text)
 
 
 def name_parts(name: Column) -> Column:
@@ -107,31 +79,6 @@ def known_values(profile: Column, fields: Sequence[str]) -> Column:
     return F.transform(F.array_sort(ranked), lambda r: r["e"])
 
 
-def _searched(text: Column, values: Column, patterns: Column) -> Column:
-    """Spans of all values (structs with type, strategy) by their patterns, in order."""
-
-    def each(x: Column, i: Column) -> Column:
-        return F.transform(_found(text, x["pattern"]), lambda m: F.struct(m["at"].alias("start"), (m["at"] + F.length(m["match"])).alias("end"), m["match"].alias("original"), x["type"].alias("type"), x["strategy"].alias("strategy"), i.alias("ord")))
-
-    paired = F.zip_with(values, patterns, lambda v, p: F.struct(p.alias("pattern"), v["type"].alias("type"), v["strategy"].alias("strategy")))
-    return F.flatten(F.transform(paired, each)).cast(NO_SPANS)
-
-
-def resolved(spans: Column) -> Column:
-    """Spans without overlaps: earliest start first, then the longer one, then known values, then the order they were found in."""
-    keyed = F.transform(
-        spans,
-        lambda s, i: F.struct(s["start"].alias("start"), (s["start"] - s["end"]).alias("shorter"), (s["strategy"] != "known-value").alias("pattern"), s["ord"].alias("ord"), i.alias("i"), s.alias("span")),
-    )
-    fold = F.aggregate(
-        F.array_sort(keyed),
-        F.struct(F.lit(-1).alias("last"), F.array().cast(NO_SPANS).alias("out")),
-        lambda acc, k: F.when(k["start"] < acc["last"], acc).otherwise(F.struct(k["span"]["end"].alias("last"), F.concat(acc["out"], F.array(k["span"])).alias("out"))),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.size(spans) > 1, fold).otherwise(spans)
-
-
 def masked(df: DataFrame, text: str = "text", profile: str | None = None, only: Sequence[str] | None = None) -> DataFrame:
     """df with masked_text, matches and n_masked.
 
@@ -140,52 +87,26 @@ def masked(df: DataFrame, text: str = "text", profile: str | None = None, only:
     resolved again; equal values of a type share a numbered token. A null text is masked to an empty one.
     """
     columns = [c for c in df.columns if c not in ("masked_text", "matches", "n_masked")]
-    work = settled(df.select(*[F.col(f"`{c}`") for c in columns]), __t=F.coalesce(neutralised(F.col(text)), F.lit("")))
-    spans = pattern_spans(F.col("__t"), only)
+    known = F.array().cast("array<struct<value:string,type:string>>")
     if profile:
         known = known_values(F.col(profile), df.schema[profile].dataType.names)
         if only is not None:
             known = F.filter(known, lambda e: e["type"].isin(list(only)))
-        work = settled(work, __known=F.transform(known, lambda e: F.struct(e["value"].alias("value"), e["type"].alias("type"), F.lit("known-value").alias("strategy"))))
-        work = work.withColumn("__wanted", tolerant_patterns(F.transform("__known", lambda e: e["value"])))
-        work = settled(work, __found=F.coalesce(_searched(F.col("__t"), F.col("__known"), F.col("__wanted")), F.array().cast(NO_SPANS)))
-        work = settled(work, __all=F.concat("__found", spans))
-    else:
-        work = settled(work, __all=spans)
-    work = settled(work, __first_spans=resolved(F.col("__all")))
-
-    # each value found looks for its kind in the whole text; of one key the first span tells type and spelling
-    keyed = F.transform("__first_spans", lambda s: F.struct(folded(s["original"]).alias("key"), s["original"].alias("original"), s["type"].alias("type"), s["strategy"].alias("strategy")))
-    work = settled(work, __keyed=F.filter(keyed, lambda k: F.length(k["key"]) > 3))
-    keys = F.array_distinct(F.transform("__keyed", lambda k: k["key"]))
-    work = settled(work, __first=F.transform(keys, lambda key: F.filter("__keyed", lambda k: k["key"] == key)[0]))
-    work = work.withColumn("__again", tolerant_patterns(F.transform("__first", lambda k: k["original"])))
-    again = F.transform(_searched(F.col("__t"), F.col("__first"), F.col("__again")), lambda s: F.struct(s["start"], s["end"], s["original"], s["type"], s["strategy"], (s["ord"] + 100_000).alias("ord"))).cast(NO_SPANS)
-    work = settled(work, __both=F.when(F.size("__first") > 0, F.concat("__first_spans", again)).otherwise(F.col("__first_spans")))
-    work = settled(work, __spans=resolved(F.col("__both")))
-    return _tokenised(work, columns)
-
-
-def _tokenised(work: DataFrame, columns: list[str]) -> DataFrame:
-    named = F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["original"].alias("original"), s["type"].alias("type"), s["strategy"].alias("strategy"), F.concat(s["type"], F.lit("::"), folded(s["original"])).alias("key")))
-    work = settled(work, __named=named)
-    work = settled(work, __keys=F.array_distinct(F.transform("__named", lambda s: s["key"])))
-
-    def token(key: Column) -> Column:
-        kind = F.substring_index(key, "::", 1)
-        same = F.filter("__keys", lambda k: F.substring_index(k, "::", 1) == kind)
-        return F.concat(F.lit("[["), kind, F.lit("_"), F.array_position(same, key).cast("string"), F.lit("]]"))
-
-    work = settled(work, __tokens=F.map_from_arrays("__keys", F.transform("__keys", token)))
-    spliced = F.aggregate(
-        "__named",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substr("__t", acc["at"] + 1, s["start"] - acc["at"]), F.col("__tokens")[s["key"]]).alias("out")),
-        lambda acc: F.concat(acc["out"], F.substr("__t", acc["at"] + 1)),
-    )
-    firsts = F.transform("__keys", lambda key: F.filter("__named", lambda s: s["key"] == key)[0])
-    matches = F.transform(firsts, lambda s: F.struct(F.col("__tokens")[s["key"]].alias("token"), s["original"].alias("original"), s["type"].alias("type"), s["strategy"].alias("strategy")))
-    return settled(work, masked_text=spliced, matches=matches, n_masked=F.size("__keys")).select(*columns, "masked_text", "matches", "n_masked")
+    chosen = _chosen(only)
+    match = pa.struct([(k, pa.string()) for k in ("token", "original", "type", "strategy")])
+
+    @F.arrow_udf(f"struct<masked_text:string,matches:{MATCHES},n_masked:int>")
+    def run(texts: pa.Array, values: pa.Array) -> pa.Array:
+        out, found = [], []
+        for t, known in zip(texts.to_pylist(), values.to_pylist(), strict=True):
+            new, tokens = finding.masked(t, chosen, [(e["value"], e["type"]) for e in known or ()])
+            out.append(new)
+            found.append([dict(zip(("token", "original", "type", "strategy"), x, strict=True)) for x in tokens])
+        sizes = pa.array([len(x) for x in found], pa.int32())
+        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(found, pa.list_(match)), sizes], ["masked_text", "matches", "n_masked"])
+
+    made = df.select(*[F.col(f"`{c}`") for c in columns], run(F.coalesce(neutralised(F.col(text)), F.lit("")), known).alias("__made"))
+    return made.select(*[F.col(f"`{c}`") for c in columns], "__made.masked_text", "__made.matches", "__made.n_masked")
 
 
 def unmasked(text: Column, matches: Column) -> Column:
@@ -195,8 +116,6 @@ def unmasked(text: Column, matches: Column) -> Column:
 
 def unmasked_deep(value: Column, kind: object, matches: Column) -> Column:
     """unmasked for every string in a nested value; map keys and other types stay. kind: the value's DataType."""
-    from pyspark.sql import types as T
-
     if isinstance(kind, T.StringType):
         return F.when(value.isNotNull(), unmasked(value, matches))
     if isinstance(kind, T.ArrayType):
@@ -208,16 +127,19 @@ def unmasked_deep(value: Column, kind: object, matches: Column) -> Column:
     return value
 
 
-def leaks(text: Column, matches: Column) -> Column:
-    """The distinct types of originals of more than three characters that the text still holds, letter case and spacing aside."""
-    hay = folded(text)
-    left = F.filter(matches, lambda m: (F.length(folded(m["original"])) > 3) & F.contains(hay, folded(m["original"])))
-    return F.array_distinct(F.transform(left, lambda m: m["type"]))
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _left(texts: pa.Array, matches: pa.Array) -> pa.Array:
+    out = []
+    for text, many in zip(texts.to_pylist(), matches.to_pylist(), strict=True):
+        hay = finding.folded(text or "")
+        wanted = {(m["type"], finding.folded(m["original"] or "")): None for m in many or ()}
+        out.append(None if many is None else list(dict.fromkeys(kind for kind, value in wanted if len(value) > 3 and value in hay)))
+    return pa.array(out, pa.list_(pa.string()))
 
 
-def leaks_nfkc(df: DataFrame, text: str, matches: str) -> DataFrame:
-    """df with `leaks`, with compatibility forms (full-width letters, ligatures) folded too."""
-    return df.withColumn("leaks", leaks(nfkc(F.col(text)), F.col(matches)))
+def leaks(text: Column, matches: Column) -> Column:
+    """The distinct types of originals of more than three characters that the text still holds; compatibility forms, letter case and spacing aside."""
+    return _left(text, F.transform(matches, lambda m: F.struct(m["original"].alias("original"), m["type"].alias("type"))))
 
 
 def gated(df: DataFrame, text: str = "masked_text", matches: str = "matches") -> tuple[DataFrame, DataFrame]:
