@@ -39,9 +39,14 @@ def german_date(text: Column) -> Column:
     )
 
 
+def utc_date(at: Column) -> Column:
+    """The date of a moment in UTC, whatever the session's zone."""
+    return F.to_date(F.to_utc_timestamp(at, F.current_timezone()))
+
+
 def days_until(deadline: Column, now: Column) -> Column:
     """Whole days from now's UTC date to the deadline, negative once it has passed."""
-    return F.datediff(deadline, F.to_date(now))
+    return F.datediff(deadline, utc_date(now))
 
 
 def risk_rank(risk: Column) -> Column:

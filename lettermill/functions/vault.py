@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.masking import PROFILE_FIELDS
+from .tolerance import nfkc
 
 KEY_VERSION = 1
 
@@ -32,10 +33,11 @@ def scope(user: Column, document: Column, token: Column) -> Column:
 
 
 def seal(value: Column, key: bytes, bound: Column) -> Column:
-    """struct(iv, ciphertext, auth_tag, key_version), in base64; a new random iv for each value."""
-    raw = F.aes_encrypt(value.cast("binary"), F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), F.unhex(F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 24)), bound.cast("binary"))
-    part = lambda start, n: F.base64(F.substring(raw, start, n) if isinstance(n, int) else F.substr(raw, F.lit(start), n))
-    return F.struct(part(1, 12).alias("iv"), part(13, F.octet_length(raw) - 28).alias("ciphertext"), F.base64(F.substr(raw, F.octet_length(raw) - 15, F.lit(16))).alias("auth_tag"), F.lit(KEY_VERSION).alias("key_version"))
+    """struct(iv, ciphertext, auth_tag, key_version), in base64. Spark draws a new random iv for each value, each time."""
+    raw = F.aes_encrypt(value.cast("binary"), F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), bound.cast("binary"))
+    part = lambda r, start, n: F.base64(F.substr(r, start if isinstance(start, Column) else F.lit(start), n if isinstance(n, Column) else F.lit(n)))
+    cut = lambda r: F.struct(part(r, 1, 12).alias("iv"), part(r, 13, F.octet_length(r) - 28).alias("ciphertext"), part(r, F.octet_length(r) - 15, 16).alias("auth_tag"), F.lit(KEY_VERSION).alias("key_version"))
+    return F.transform(F.array(raw), cut)[0]  # the array names the sealed bytes, which must be drawn once
 
 
 def opened(sealed: Column, key: bytes, bound: Column) -> Column:
@@ -45,10 +47,10 @@ def opened(sealed: Column, key: bytes, bound: Column) -> Column:
 
 
 def fingerprint(value: Column, key: bytes) -> Column:
-    """The first 32 hexadecimal digits of HMAC-SHA256 over the lower-cased value; nothing of the value can be read off it."""
+    """The first 32 hexadecimal digits of HMAC-SHA256 over the value in lower case, compatibility forms folded; nothing of the value can be read off it."""
     block = key.ljust(64, b"\0")
     inner, outer = bytes(b ^ 0x36 for b in block), bytes(b ^ 0x5C for b in block)
-    first = F.unhex(F.sha2(F.concat(F.lit(inner), F.lower(value).cast("binary")), 256))
+    first = F.unhex(F.sha2(F.concat(F.lit(inner), F.lower(nfkc(value)).cast("binary")), 256))
     return F.substring(F.sha2(F.concat(F.lit(outer), first), 256), 1, 32)
 
 
@@ -84,7 +86,7 @@ def opened_profiles(vault: DataFrame, key: bytes, fields: Sequence[str]) -> Data
 def rotated(vault: DataFrame, old: bytes, new: bytes) -> tuple[DataFrame, DataFrame]:
     """(vault under the new key with key_version one higher, check): check has total, unreadable and unverified counts.
 
-    Nothing may be written unless both counts are zero: a row that does not open, or does not open again under the new key, stops it all.
+    The first is only to be written through rotated_checked, which looks at the counts.
     """
     bound = scope(F.col("user_id"), F.col("document_id"), F.col("token"))
     plain = vault.withColumn("__plain", opened(F.struct("iv", "ciphertext", "auth_tag"), old, bound))
@@ -95,3 +97,24 @@ def rotated(vault: DataFrame, old: bytes, new: bytes) -> tuple[DataFrame, DataFr
     )
     out = again.select("user_id", "document_id", "token", "entity_type", "__new.iv", "__new.ciphertext", "__new.auth_tag", (F.col("key_version") + 1).alias("key_version"))
     return out, check
+
+
+def rotated_checked(vault: DataFrame, old: bytes, new: bytes, path: str) -> int:
+    """Writes the vault under the new key to path, in order of user, document and token, and returns its number of rows.
+
+    A row that does not open under the old key stops it before anything is written; one that does not open again under the new key, as
+    written, is an error as well, and the old vault is still what counts.
+    """
+    out, check = rotated(vault, old, new)
+    before = check.first()
+    if before["unreadable"]:
+        raise ValueError(f"{before['unreadable']} of {before['total']} rows do not open; nothing was written")
+    out.orderBy("user_id", "document_id", "token").write.parquet(path)
+    made = out.sparkSession.read.parquet(path)
+    keys = ["user_id", "document_id", "token"]
+    side = lambda df, key, name: df.select(*[F.col(k).alias(f"{name}_{k}") for k in keys], opened(F.struct("iv", "ciphertext", "auth_tag"), key, scope(*map(F.col, keys))).alias(name))
+    same = [F.col(f"was_{k}").eqNullSafe(F.col(f"is_{k}")) for k in keys]
+    lost = side(vault, old, "was").join(side(made, new, "is"), [*same, F.col("was").eqNullSafe(F.col("is")) & F.col("is").isNotNull()], "left_anti").count()
+    if lost:
+        raise ValueError(f"{lost} rows do not open under the new key")
+    return before["total"]

@@ -7,10 +7,15 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dates import utc_date
+
 #: Tables in the order in which expired rows go; watches are left alone unless asked for.
 PURGE_ORDER = ("pii_vault", "drafts", "analyses", "reminders", "documents", "users")
-#: Child tables with the column that names their parent, parents first. Audit rows stay and lose their user.
-CASCADE = (("documents", "user_id", "users"), ("analyses", "document_id", "documents"), ("drafts", "analysis_id", "analyses"), ("reminders", "user_id", "users"), ("pii_vault", "user_id", "users"), ("watches", "user_id", "users"))
+#: Every foreign key as child table, column and parent table, parents first. Audit rows stay and lose their user.
+CASCADE = (
+    ("documents", "user_id", "users"), ("analyses", "document_id", "documents"), ("drafts", "analysis_id", "analyses"), ("reminders", "user_id", "users"), ("reminders", "analysis_id", "analyses"),
+    ("pii_vault", "user_id", "users"), ("pii_vault", "document_id", "documents"), ("watches", "user_id", "users"),
+)
 
 
 #: The record tables' columns.
@@ -46,7 +51,7 @@ def by_all(table: DataFrame, **values: object) -> DataFrame:
 
 def upcoming(analyses: DataFrame, before: Column, deadline: str = "deadline") -> DataFrame:
     """Rows whose deadline's date is not after before's UTC date, soonest first."""
-    return analyses.where(F.col(deadline).isNotNull() & (F.col(deadline) <= F.to_date(before))).orderBy(deadline)
+    return analyses.where(F.col(deadline).isNotNull() & (F.col(deadline) <= utc_date(before))).orderBy(deadline)
 
 
 def due(reminders: DataFrame, now: Column) -> DataFrame:
@@ -54,6 +59,33 @@ def due(reminders: DataFrame, now: Column) -> DataFrame:
     return reminders.where((F.col("status") == "scheduled") & (F.col("due_date") <= now)).orderBy("due_date")
 
 
+def sent(reminders: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(reminders with those due marked as sent at now, those that were due): what a tick of the clock does."""
+    is_due = (F.col("status") == "scheduled") & (F.col("due_date") <= now)
+    hit = F.coalesce(is_due, F.lit(False))
+    return reminders.withColumns({"sent_at": F.when(hit, now).otherwise(F.col("sent_at")), "status": F.when(hit, "sent").otherwise(F.col("status"))}), due(reminders, now)
+
+
+def decided(drafts: DataFrame, decisions: DataFrame, now: Column) -> DataFrame:
+    """drafts after decisions (draft_id, approve): one that is pending gets its state and the time of it; any other stays as it is."""
+    d = decisions.groupBy("draft_id").agg(F.bool_and("approve").alias("__approve"))
+    joined = drafts.join(d, F.col("id") == F.col("draft_id"), "left")
+    hit = F.coalesce((F.col("status") == "pending_approval") & F.col("__approve").isNotNull(), F.lit(False))
+    return joined.withColumns(
+        {
+            "approved_at": F.when(hit & F.col("__approve"), now).otherwise(F.col("approved_at")), "rejected_at": F.when(hit & ~F.col("__approve"), now).otherwise(F.col("rejected_at")),
+            "status": F.when(hit, F.when(F.col("__approve"), "approved").otherwise("rejected")).otherwise(F.col("status")),
+        }
+    ).drop("draft_id", "__approve")
+
+
+def profile_replaced(vault: DataFrame, incoming: DataFrame, user: str = "user_id") -> DataFrame:
+    """The vault with the profile rows of the users in incoming replaced by incoming; rows of documents and of other users stay."""
+    users = incoming.select(user).distinct().withColumn("__new", F.lit(True))
+    old = vault.join(users, user, "left").where(F.col("__new").isNull() | ~F.col("token").startswith("profile:")).select(*vault.columns)
+    return old.unionByName(incoming.select(*vault.columns))
+
+
 def newest_first(table: DataFrame, user: object, column: str = "created_at", then: str | None = None) -> DataFrame:
     return table.where(F.col("user_id") == user).orderBy(F.desc(column), *([F.desc(then)] if then else []))
 
@@ -131,15 +163,17 @@ def purged(tables: Mapping[str, DataFrame], now: Column, include_watches: bool =
 def cascaded(tables: Mapping[str, DataFrame], users: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     """(tables without those users and all that hangs on them, counts as table_name, deleted_count). users: a column `id`.
 
-    Doomed keys are followed from parents to children by semi-joins; audit rows stay, their user_id becomes null.
+    Doomed keys are followed from parents to children by semi-joins, along every foreign key that a table has; audit rows stay, their
+    user_id becomes null.
     """
     doomed = {"users": users.select("id")}
     out, counts = dict(tables), []
     for child, column, parent in CASCADE:
-        if child in tables:
-            doomed[child] = tables[child].join(doomed[parent].select(F.col("id").alias(column)), column, "left_semi").select("id")
-    for name in ("users", *(c for c, _, _ in CASCADE)):
-        if name in tables:
+        if child in tables and parent in doomed and column in tables[child].columns:
+            hit = tables[child].join(doomed[parent].select(F.col("id").alias(column)), column, "left_semi").select("id")
+            doomed[child] = doomed[child].union(hit) if child in doomed else hit
+    for name in dict.fromkeys(("users", *(c for c, _, _ in CASCADE))):
+        if name in tables and name in doomed:
             hit = tables[name].join(doomed[name], "id", "left_semi")
             counts.append(hit.agg(F.count(F.lit(1)).alias("deleted_count")).select(F.lit(name).alias("table_name"), "deleted_count"))
             out[name] = without(tables[name], doomed[name], "id")

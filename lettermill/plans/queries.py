@@ -165,6 +165,36 @@ def leak_audit(spark, sf_dir):
     return rows.select("o_orderkey", F.size(masking.leaks(F.col("masked_text"), F.col("matches"))).alias("n_leaks"), F.array_join(masking.leaks(slipped, F.col("matches")), ",").alias("leaked"))
 
 
+@query(f"WITH {LETTERS} SELECT o_orderkey % 2 = 0 AS slipped, o_orderkey % 2 = 1 AS passes, count(*) AS n FROM letters GROUP BY 1, 2")
+def leak_gate_fullwidth(spark, sf_dir):
+    """Masked letters, into every other of which the name slips back in full-width letters: the gate stops those and no others."""
+    plain = "".join(chr(c) for c in [*range(65, 91), *range(97, 123)])
+    wide = F.translate(F.upper("name"), plain, "".join(chr(ord(c) + 0xFEE0) for c in plain))
+    rows = masking.masked(ltr.letters(spark, sf_dir)).withColumn("slipped", F.col("o_orderkey") % 2 == 0)
+    rows = rows.withColumn("masked_text", F.concat("masked_text", F.when(F.col("slipped"), F.concat(F.lit(" "), wide)).otherwise("")))
+    good, bad = masking.gated(rows)
+    both = good.select("slipped", F.lit(True).alias("passes")).unionAll(bad.select("slipped", F.lit(False).alias("passes")))
+    return both.groupBy("slipped", "passes").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+    SELECT c_custkey, 'Ausländernummer: [[AUSLNR_1]]' || chr(10) || 'Versichertennummer: [[INSURANCE_1]]' || chr(10) || 'Reisepass: [[PASSPORT_1]]' || chr(10) || 'Telefon [[PHONE_1]]' || chr(10) ||
+        'Geboren am [[DATE_1]]' || chr(10) || 'Konto [[IBAN_1]]' || chr(10) || 'Steuer-ID: [[STEUERID_1]]' AS masked_text,
+        lpad(CAST(c_custkey AS VARCHAR), 9, '7') || '|' || 'A' || lpad(CAST(c_custkey AS VARCHAR), 9, '5') || '|' || 'C' || lpad(CAST(c_custkey AS VARCHAR), 8, '6') || '|' ||
+        '+49 30 ' || lpad(CAST(c_custkey AS VARCHAR), 7, '4') || '|' || (c_custkey % 28 + 1) || '. Juni 1984' || '|' || 'DE89 3704 0044 0532 0130 00' || '|' || '98 765 432 1' || lpad(CAST(c_custkey % 90 AS VARCHAR), 2, '0') AS originals
+    FROM customer""")
+def letter_numbers(spark, sf_dir):
+    """Every kind of number that letters have: foreigners', insurance and passport numbers, phones, written dates, accounts and tax ids."""
+    key = F.col("c_custkey").cast("string")
+    values = [
+        ("Ausländernummer: ", F.lpad(key, 9, "7")), ("Versichertennummer: ", F.concat(F.lit("A"), F.lpad(key, 9, "5"))), ("Reisepass: ", F.concat(F.lit("C"), F.lpad(key, 8, "6"))),
+        ("Telefon ", F.concat(F.lit("+49 30 "), F.lpad(key, 7, "4"))), ("Geboren am ", F.concat((F.col("c_custkey") % 28 + 1).cast("string"), F.lit(". Juni 1984"))), ("Konto ", F.lit("DE89 3704 0044 0532 0130 00")),
+        ("Steuer-ID: ", F.concat(F.lit("98 765 432 1"), F.lpad((F.col("c_custkey") % 90).cast("string"), 2, "0"))),
+    ]
+    rows = tables.table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws("\n", *[F.concat(F.lit(label), v) for label, v in values]).alias("text"))
+    return masking.masked(rows).select("c_custkey", "masked_text", F.array_join(F.transform("matches", lambda m: m["original"]), "|").alias("originals"))
+
+
 @query(f"WITH {LETTERS} SELECT o_orderkey, CAST(6 AS DOUBLE) / len(regexp_extract_all({MASKED}, '[^ \\n]+')) AS density, true AS within FROM letters")
 def mask_density(spark, sf_dir):
     rows = masking.masked(ltr.letters(spark, sf_dir))
@@ -353,6 +383,19 @@ def delete_user_cascade(spark, sf_dir):
     return store.cascaded(graph, graph["users"].where("c_acctbal < -500"))[1]
 
 
+@query("""
+    WITH d AS (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < -500), l AS (SELECT count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM d))
+    SELECT 'users' AS table_name, count(*) AS deleted_count FROM customer WHERE c_acctbal < -500 UNION ALL SELECT 'documents', count(*) FROM d UNION ALL SELECT 'analyses', count(*) FROM d UNION ALL
+    SELECT 'drafts', n FROM l UNION ALL SELECT 'reminders', n FROM l UNION ALL SELECT 'pii_vault', n FROM l""")
+def cascade_all_edges(spark, sf_dir):
+    """Reminders that hang on an analysis alone, and vault rows that hang on a document alone, go with their user too."""
+    graph = _graph(spark, sf_dir)
+    item = tables.table(spark, sf_dir, "lineitem").withColumn("id", F.concat_ws("-", "l_orderkey", "l_partkey", "l_linenumber"))
+    nobody = F.lit(None).cast("long").alias("user_id")
+    graph |= {"reminders": item.select("id", nobody, (-F.col("l_orderkey")).alias("analysis_id")), "pii_vault": item.select("id", nobody, F.col("l_orderkey").alias("document_id"))}
+    return store.cascaded(graph, graph["users"].where("c_acctbal < -500"))[1]
+
+
 @query("SELECT o_orderkey AS id, CASE WHEN c_acctbal < -500 THEN -1 ELSE o_custkey END AS user_id FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
 def audit_after_delete(spark, sf_dir):
     graph = _graph(spark, sf_dir)
@@ -385,6 +428,15 @@ def vault_roundtrip(spark, sf_dir):
     return rows.join(plain, "document_id").groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.contains("text", "original")).alias("all_open"))
 
 
+@query(f"WITH {LETTERS} SELECT 12 * count(*) AS n, 12 * count(*) AS n_ivs FROM letters")
+def vault_nonce_unique(spark, sf_dir):
+    """Sealing two tables with one and the same column gives no iv twice."""
+    rows = masking.masked(ltr.letters(spark, sf_dir)).select("c_custkey", "o_orderkey", F.explode("matches").alias("m")).select("c_custkey", "o_orderkey", "m.token", F.col("m.original").alias("value"))
+    one = vault.seal(F.col("value"), KEY, vault.scope(F.col("c_custkey"), F.col("o_orderkey"), F.col("token"))).alias("sealed")
+    both = rows.select(one).unionAll(rows.withColumn("value", F.upper("value")).select(one))
+    return both.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sealed.iv").alias("n_ivs"))
+
+
 @query("SELECT 0 AS opened")
 def vault_wrong_owner(spark, sf_dir):
     return vault.opened_vault(_vault(spark, sf_dir).withColumn("user_id", F.lit("another")), KEY).agg(F.count(F.lit(1)).cast("int").alias("opened"))
@@ -468,14 +520,39 @@ def watch_fsm(spark, sf_dir):
     return ev.watch_states(checks).select("watch", "status", "check_count")
 
 
-@query()
+def _move(state: str) -> str:
+    return f"""CASE WHEN command = 'present' AND {state} = 'draft' THEN 'pending_approval' WHEN command = 'approve' AND {state} IN ('draft', 'pending_approval', 'approved') THEN 'approved'
+            WHEN command = 'reject' AND {state} IN ('draft', 'pending_approval', 'rejected') THEN 'rejected' WHEN command = 'send' AND {state} = 'approved' THEN 'sent' END"""
+
+
+@query(f"""
+    WITH RECURSIVE c AS (
+        SELECT l_orderkey AS draft, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS seq,
+            CASE WHEN l_returnflag = 'A' THEN 'approve' WHEN l_returnflag = 'R' THEN 'reject' WHEN l_linestatus = 'F' THEN 'send' ELSE 'present' END AS command FROM lineitem),
+    s AS (
+        SELECT draft, seq, command, 'draft' AS before, {_move("'draft'")} AS moved, coalesce({_move("'draft'")}, 'draft') AS after FROM c WHERE seq = 1
+        UNION ALL
+        SELECT c.draft, c.seq, c.command, s.after, {_move("s.after").replace("command =", "c.command =")}, coalesce({_move("s.after").replace("command =", "c.command =")}, s.after) FROM s JOIN c ON c.draft = s.draft AND c.seq = s.seq + 1)
+    SELECT draft, seq, command, before, after, CASE WHEN moved IS NULL THEN command || ' from ' || before END AS error FROM s""")
 def draft_fsm(spark, sf_dir):
     cmd = F.when(F.col("l_returnflag") == "A", "approve").when(F.col("l_returnflag") == "R", "reject").when(F.col("l_linestatus") == "F", "send").otherwise("present")
     seq = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")).cast("long")
     return ev.draft_states(tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("draft"), seq.alias("seq"), cmd.alias("command")))
 
 
-@query()
+@query("""
+    WITH RECURSIVE a AS (
+        SELECT CAST(user_id AS VARCHAR) AS u, event_id AS seq, CASE event_type WHEN 'view' THEN '' WHEN 'click' THEN 'ab' ELSE event_type END AS said,
+            row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+    s AS (
+        SELECT u, seq, k, 'name' AS asked, CASE WHEN said = '' OR length(said) >= 3 THEN 'address' ELSE 'name' END AS step, said = '' OR length(said) >= 3 AS accepted,
+            CASE WHEN length(said) >= 3 THEN said END AS name, CAST(NULL AS VARCHAR) AS address, CAST(NULL AS VARCHAR) AS city FROM a WHERE k = 1
+        UNION ALL
+        SELECT a.u, a.seq, a.k, s.step, CASE WHEN NOT (said = '' OR length(said) >= 3) THEN s.step WHEN s.step = 'name' THEN 'address' WHEN s.step = 'address' THEN 'city' ELSE 'done' END,
+            said = '' OR length(said) >= 3, CASE WHEN length(said) >= 3 AND s.step = 'name' THEN said ELSE s.name END,
+            CASE WHEN length(said) >= 3 AND s.step = 'address' THEN said ELSE s.address END, CASE WHEN length(said) >= 3 AND s.step = 'city' THEN said ELSE s.city END
+        FROM s JOIN a ON a.u = s.u AND a.k = s.k + 1 WHERE s.step <> 'done')
+    SELECT u AS "user", seq, asked, step, accepted, name, address, city FROM s""")
 def onboarding_fsm(spark, sf_dir):
     rows = tables.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "view", "").when(F.col("event_type") == "click", "ab").otherwise(F.col("event_type")).alias("answer"))
     return ev.onboarding_batch(rows)
