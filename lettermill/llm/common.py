@@ -47,6 +47,11 @@ def discard(*frames: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows (a few numbers each); else Spark picks the join. df is a stored table or a filter of one."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

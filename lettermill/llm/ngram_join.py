@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import discard, tasks_for, written
+from .common import discard, if_small, tasks_for, written
 from .components import components
 
 #: Cells of the frequency sketch: what is broadcast is one byte for each, whatever the input.
@@ -52,8 +52,8 @@ def _signatures(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _bits(s: np.ndarray) -> bytes:
-    """Parity of how many shingles fall on each of 2 to 4 bits a shingle; two such maps differ in no more bits than the sets differ in shingles."""
-    m = max(128, 1 << (2 * len(s)).bit_length())
+    """Parity of how many shingles fall on each of 1 to 2 bits a shingle; two such maps differ in no more bits than the sets differ in shingles."""
+    m = max(128, 1 << len(s).bit_length())
     return np.packbits((np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -166,20 +166,21 @@ def _prefixes(width: int, num: int, den: int, sketch):
 
 
 def _entries(sketch):
-    """Rows (s, gid, n, pos, wide, spread) of each group's prefix. spread is 0 but for hot shingles, whose entries it keeps apart."""
+    """Rows (s, gid, at, spread) of each group's prefix; at is place << 32 | size << 1 | wide. spread is 0 but for hot shingles, whose entries it keeps apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = sketch.value
         for b in batches:
-            for lo, packed, at in wordhash.stretches(b.column("prefix"), KEPT * CHUNK):
-                part = np.diff(at) // KEPT
+            for lo, packed, ends in wordhash.stretches(b.column("prefix"), KEPT * CHUNK):
+                part = np.diff(ends) // KEPT
                 eight = np.zeros((len(packed) // KEPT, 8), np.uint8)
                 eight[:, :KEPT] = packed.reshape(-1, KEPT)
                 s = eight.view(np.uint64).ravel()
                 hot = level[(s % np.uint64(CELLS)).astype(np.int64)] >= HOT
                 gid, n, wide = (np.repeat(b.column(k).slice(lo, len(part)).to_numpy(zero_copy_only=False), part) for k in ("id", "n", "wide"))
                 pos = np.arange(len(s)) - np.repeat(np.cumsum(part) - part, part)
-                yield _batch({"s": s.view(np.int64), "gid": gid, "n": n, "pos": pos.astype(np.int32), "wide": wide, "spread": np.where(hot, 1 + gid % 65_521, 0).astype(np.int32)})
+                at = pos << 32 | n.astype(np.int64) << 1 | wide.astype(np.int64)
+                yield _batch({"s": s.view(np.int64), "gid": gid, "at": at, "spread": np.where(hot, 1 + gid % 65_521, 0).astype(np.int32)})
 
     return run
 
@@ -221,7 +222,7 @@ def _lengths(s: np.ndarray, open_s: int | None) -> np.ndarray:
 
 def _likely(n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
     """Which pairs of groups can still reach the threshold if this is their first common shingle: size and position filters, the second of which implies the shorter prefix of the smaller one."""
-    x, y = n[i].astype(np.int64), n[j].astype(np.int64)
+    x, y = n[i], n[j]
     return (den * np.minimum(x, y) >= num * np.maximum(x, y)) & (np.minimum(x - pos[i], y - pos[j]) >= _need(x, y, num, den))
 
 
@@ -229,10 +230,11 @@ def _first_round(num: int, den: int):
     """Of sorted entries: pairs of groups that share a short run (kind 0), and the entries of long runs, of hot shingles and of runs with a wide group (kind 1: a is s, b is the group)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c, length in _runs(batches, ("s", "gid", "n", "pos", "wide", "spread")):
+        for c, length in _runs(batches, ("s", "gid", "at", "spread")):
             late = (length > SHORT_RUN) | (c["spread"] > 0)
-            if c["wide"].any():
-                late |= np.isin(c["s"], np.unique(c["s"][c["wide"].astype(bool)])) & (length > 1)
+            pos, n, wide = c["at"] >> 32, (c["at"] & 0xFFFFFFFF) >> 1, (c["at"] & 1).astype(bool)
+            if wide.any():
+                late |= np.isin(c["s"], np.unique(c["s"][wide])) & (length > 1)
             if late.any():
                 yield _batch({"kind": np.ones(int(late.sum()), np.int32), "a": c["s"][late], "b": c["gid"][late]})
             pairs = []
@@ -241,7 +243,7 @@ def _first_round(num: int, den: int):
                 if not len(i):
                     break
                 j = i + step
-                ok = _likely(c["n"], c["pos"], i, j, num, den)
+                ok = _likely(n, pos, i, j, num, den)
                 pairs.append(np.stack([np.minimum(c["gid"][i[ok]], c["gid"][j[ok]]), np.maximum(c["gid"][i[ok]], c["gid"][j[ok]])], axis=1))
             if pairs:
                 both = np.unique(np.concatenate(pairs), axis=0)
@@ -301,18 +303,19 @@ def _tiled(late: DataFrame, members: DataFrame, sets: DataFrame, sketch, num: in
     placed = housed.join(members.select("gid", "id", "n", "copies"), "gid").withColumn("band", band)
     placed = written(placed, "shingle-placed")
     parts = placed.groupBy("home", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE_SETS), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("parts")).where("parts > 1")
+    parts = written(parts, "shingle-parts")
     tile = F.concat_ws("/", "home", "band", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))))
-    tiled = placed.join(parts, ["home", "band"], "left").withColumn("tile", tile)
+    tiled = placed.join(if_small(parts), ["home", "band"], "left").withColumn("tile", tile)
     out = written(tiled.join(sets.select("id", "bits"), "id").select("tile", "id", "n", "band", "copies", "s", "bits"), "shingle-tiled")
-    discard(placed)
+    discard(placed, parts)
     return out
 
 
 def _tile_pairs(tiled: DataFrame) -> DataFrame:
     """Tiles that share a shingle of a long run, and whose sizes allow a link."""
-    meets = tiled.select("tile", "band", F.explode("s").alias("s")).distinct()
-    a, b = (meets.select("s", F.col("tile").alias(f"tile_{t}"), F.col("band").alias(f"band_{t}")) for t in "ab")
-    return a.join(b, "s").where("tile_a <= tile_b AND abs(band_a - band_b) <= 1").select("tile_a", "tile_b").distinct()
+    meets = tiled.select("tile", "band", F.explode("s").alias("s")).groupBy("tile", "band", "s").agg(F.count(F.lit(1)).alias("n"))
+    a, b = (meets.select("s", *[F.col(c).alias(f"{c}_{t}") for c in ("tile", "band", "n")]) for t in "ab")
+    return a.join(b, "s").where("(tile_a < tile_b OR tile_a = tile_b AND n_a > 1) AND abs(band_a - band_b) <= 1").select("tile_a", "tile_b").distinct()
 
 
 def _met(pairs: DataFrame, tiles: DataFrame) -> DataFrame:
@@ -324,7 +327,9 @@ def _met(pairs: DataFrame, tiles: DataFrame) -> DataFrame:
 def _both(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], dict, dict]]:
     for batch in batches:
         for k in range(batch.num_rows):
-            yield [batch.column(f"tile_{t}")[k].as_py() for t in "ab"], *(_unpacked(batch.column(f"sets_{t}")[k].values) for t in "ab")
+            names = [batch.column(f"tile_{t}")[k].as_py() for t in "ab"]
+            x = _unpacked(batch.column("sets_a")[k].values)
+            yield names, x, x if names[0] == names[1] else _unpacked(batch.column("sets_b")[k].values)  # a tile's sets come in any order
 
 
 def _unpacked(sets: pa.StructArray) -> dict:
@@ -528,9 +533,9 @@ def similar(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> D
     sets, members = _grouped(docs, profile, width, num, den, sketch)
 
     marked = members.where("m > 1").select("id", F.col("gid").alias("of"), (F.col("m") > SHORT_RUN).alias("wide"))
-    indexed = sets.select("id", "n", "prefix").join(marked, "id", "left").where("of IS NULL OR of = id").select("id", "n", "prefix", F.coalesce("wide", F.lit(False)).alias("wide"))
-    entries = indexed.mapInArrow(_entries(sketch), "s long, gid long, n int, pos int, wide boolean, spread int")
-    dealt = entries.repartition(4 * tasks_for(spark), "s", "spread").sortWithinPartitions("s", "n", "gid")
+    indexed = sets.select("id", "n", "prefix").join(if_small(marked), "id", "left").where("of IS NULL OR of = id").select("id", "n", "prefix", F.coalesce("wide", F.lit(False)).alias("wide"))
+    entries = indexed.mapInArrow(_entries(sketch), "s long, gid long, at long, spread int")
+    dealt = entries.repartition(4 * tasks_for(spark), "s", "spread").sortWithinPartitions("s", "gid")
     found = written(dealt.mapInArrow(_first_round(num, den), "kind int, a long, b long"), "shingle-pairs")
     of = lambda t: members.where(F.col("m") <= SHORT_RUN).select(F.col("gid").alias(f"g{t}"), F.col("id").alias(t))
     across = found.where("kind = 0").select(F.col("a").alias("ga"), F.col("b").alias("gb")).distinct().join(of("a"), "ga").join(of("b"), "gb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
