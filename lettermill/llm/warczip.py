@@ -12,14 +12,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path, tasks_for, written
 
-#: Names of the two stored members of a package.
-ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+#: Where a package has its archives and indexes, and the names of the two stored members that are written.
+ARCHIVES, INDEXES = "archive/", "indexes/"
+ARCHIVE, INDEX = f"{ARCHIVES}data.warc.gz", f"{INDEXES}index.cdxj"
 #: Shorter payloads are never revisits.
 LEAST_REVISIT = 100
 #: Bytes of neighbouring records that one range read covers, unless a record is longer.
@@ -37,6 +39,7 @@ class Member:
     size: int
     packed: int
     header: int
+    encrypted: bool = False
 
 
 def _range(f, start: int, n: int) -> bytes:
@@ -47,22 +50,36 @@ def _range(f, start: int, n: int) -> bytes:
     return out
 
 
+def _is_end(f, tail: bytes, at: int, tail_at: int) -> bool:
+    """Whether the end record at that place of the tail has a comment that ends with the file, and a directory where it says."""
+    if at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+        return False
+    if at >= 20 and tail[at - 20 : at - 16] == _LOCATOR:
+        return True
+    count, length, start = struct.unpack_from("<HII", tail, at + 10)
+    if not count:
+        return length == 0 and start == tail_at + at
+    return start + length <= tail_at + at and length >= 46 and _range(f, start, 4) == _CENTRAL or 0xFFFFFFFF in (length, start)
+
+
 def directory(f, size: int) -> dict[str, Member]:
     """The central directory of a ZIP of `size` bytes, ZIP64 included, from reads at its end only."""
     tail_at = max(0, size - 65_557)
     tail = _range(f, tail_at, size - tail_at)
     at = tail.rfind(_EOCD)
+    while at >= 0 and not _is_end(f, tail, at, tail_at):  # the signature may stand in the comment too
+        at = tail.rfind(_EOCD, 0, at)
     if at < 0:
         raise ValueError("no end of central directory")
     count, length, start = struct.unpack_from("<HII", tail, at + 10)
-    if 0xFFFF == count or 0xFFFFFFFF in (length, start):
-        if at < 20 or tail[at - 20 : at - 16] != _LOCATOR:
-            raise ValueError("no ZIP64 locator")
+    if at >= 20 and tail[at - 20 : at - 16] == _LOCATOR:
         (end64,) = struct.unpack_from("<Q", tail, at - 20 + 8)
         record = _range(f, end64, 56)
         if record[:4] != _EOCD64:
             raise ValueError("no ZIP64 end of central directory")
         count, length, start = struct.unpack_from("<QQQ", record, 32)
+    elif 0xFFFFFFFF in (length, start):
+        raise ValueError("no ZIP64 locator")
     raw, p, out = _range(f, start, length), 0, {}
     for _ in range(count):
         if raw[p : p + 4] != _CENTRAL:
@@ -80,13 +97,15 @@ def directory(f, size: int) -> dict[str, Member]:
                 packed = next(wide) if packed == 0xFFFFFFFF else packed
                 header = next(wide) if header == 0xFFFFFFFF else header
             q += 4 + n
-        out[name] = Member(name, method, full, packed, header)
+        out[name] = Member(name, method, full, packed, header, bool(flags & 1))
         p += 46 + n_name + n_extra + n_comment
     return out
 
 
 def data_start(f, member: Member) -> int:
     """Where a member's bytes begin, behind its local header."""
+    if member.encrypted:
+        raise ValueError(f"{member.name} is encrypted")
     if member.method != zipfile.ZIP_STORED:
         raise ValueError(f"{member.name} is compressed; only stored members can be read by ranges")
     head = _range(f, member.header, 30)
@@ -127,6 +146,32 @@ def _page(urn: str | None) -> int | None:
     return int(value) if value else None
 
 
+def index_line(url: str | None, digest: str, offset: int, length: int) -> str:
+    """A record's line in the index: the URL with its host reversed, the time, and where the record is."""
+    plain = " ".join((url or "").split())
+    host, slash, path = plain.partition("://")[2].partition("/")
+    key = ",".join(reversed(host.lower().split("."))) + ")/" + path.lower() if host else plain.lower()
+    fields = {"url": plain, "digest": f"sha256:{digest}", "length": str(length), "offset": str(offset), "filename": ARCHIVE[len(ARCHIVES) :]}
+    return f"{key.replace(' ', '%20') or '-'} 19700101000000 {json.dumps(fields)}"
+
+
+def gzip_ends(f, start: int, size: int, step: int = 1 << 20) -> Iterator[int]:
+    """Lengths of the gzip members that follow each other in a stretch of a file, read bit by bit."""
+    made, length, at, rest = zlib.decompressobj(31), 0, start, b""
+    while at < start + size or rest:
+        if not rest:
+            rest = _range(f, at, min(step, start + size - at))
+            at += len(rest)
+        made.decompress(rest)
+        length += len(rest) - len(made.unused_data)
+        rest = made.unused_data
+        if made.eof:
+            yield length
+            made, length = zlib.decompressobj(31), 0
+    if length:
+        raise ValueError("an archive ends within a record")
+
+
 # ---- Spark jobs
 
 
@@ -137,9 +182,9 @@ def write_packages(records: DataFrame, folder: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = _store(folder)
         store.create_dir(base, recursive=True)
-        name, out, index, offset, n = f"{uuid.uuid4().hex}.wacz", None, io.StringIO(), 0, 0
+        name, out, index, offset, n = f"{uuid.uuid4().hex}.wacz", None, [], 0, 0
         for b in batches:
             for x in b.itertuples(index=False):
                 if out is None:
@@ -149,12 +194,12 @@ def write_packages(records: DataFrame, folder: str) -> DataFrame:
                 page, refers = (None if pd.isna(v) else int(v) for v in (x.page_id, x.refers_to))
                 raw = record(x.record_type, page, x.url, (x.html or "").encode("utf-8", "surrogatepass"), x.digest, refers)
                 out.write(raw)
-                index.write(json.dumps({"page_id": page, "offset": offset, "length": len(raw)}) + "\n")
+                index.append(index_line(x.url, x.digest, offset, len(raw)) + "\n")
                 offset, n = offset + len(raw), n + 1
         if out is not None:
             out.close()
             with package.open(zipfile.ZipInfo(INDEX), "w", force_zip64=True) as m:
-                m.write(index.getvalue().encode())
+                m.write("".join(sorted(index)).encode("utf-8", "surrogatepass"))
             package.close()
             stream.close()
             yield pd.DataFrame({"path": [f"{folder}/{name}"], "records": [n]})
@@ -186,16 +231,68 @@ class _Forward(io.RawIOBase):
         pass
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, and the path there."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return fs.LocalFileSystem(), path
+    if scheme in ("s3a", "s3n"):  # Hadoop's names of one and the same store
+        path = f"s3:{rest}"
+    try:
+        return fs.FileSystem.from_uri(path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError) as e:
+        raise ValueError(f"tasks can't open files of scheme {scheme} by ranges here ({e}); set spark.checkpoint.dir to a store that they can") from e
+
+
 def _open(path: str):
-    store, inside = fs.FileSystem.from_uri(path)
+    store, inside = _store(path)
     return store.open_input_file(inside), store.get_file_info(inside).size
 
 
+def _ranges(f, size: int) -> Iterator[tuple[int, list[int]]]:
+    """Stretches of neighbouring records of all archives of a package: where each begins and its records' lengths.
+
+    They come from the indexes; an archive, or what is left of one, that no index names is read through to find its records.
+    """
+    members = directory(f, size)
+    lines: dict[str, set[tuple[int, int]]] = {}
+    for m in members.values():
+        if m.name.startswith(INDEXES) and m.name.endswith(".cdxj"):
+            for line in _range(f, data_start(f, m), m.size).decode("utf-8", "surrogatepass").splitlines():
+                x = json.loads(line[line.index("{") :])
+                lines.setdefault(x["filename"], set()).add((int(x["offset"]), int(x["length"])))
+    for m in members.values():
+        if not m.name.startswith(ARCHIVES) or not m.name.endswith(".warc.gz"):
+            continue
+        begin, at, group = data_start(f, m), 0, []
+        known = sorted(lines.get(m.name[len(ARCHIVES) :], ()))
+        gaps = []
+        for offset, length in known:
+            if offset > at:
+                gaps.append((at, offset))
+            at = max(at, offset + length)
+        for lo, hi in [*gaps, *([(at, m.size)] if at < m.size else [])]:
+            for length in gzip_ends(f, begin + lo, hi - lo):
+                known.append((lo, length))
+                lo += length
+        start = 0
+        for offset, length in sorted(known):
+            if group and (offset != start + sum(group) or sum(group) + length > RANGE):
+                yield begin + start, group
+                group = []
+            if not group:
+                start = offset
+            group.append(length)
+        if group:
+            yield begin + start, group
+
+
 def read_packages(spark: SparkSession, paths: DataFrame) -> DataFrame:
     """Every record of the packages named in `path`: page_id, payload_bytes, payload_digest, record_type, refers_to, payload (null in revisits).
 
-    First each package's directory and index are read, which gives ranges of neighbouring records; these are dealt out anew and read,
-    so a large package is read by many tasks. Responses' digests are checked against their payloads. Damaged packages raise an error.
+    First each package's directory and indexes are read, which gives ranges of neighbouring records of all of its archives; these are dealt
+    out anew and read, so a large package is read by many tasks. Responses' digests are checked against their payloads. Damaged,
+    encrypted or compressed packages raise an error; no paths give no rows.
     """
 
     def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,21 +300,7 @@ def read_packages(spark: SparkSession, paths: DataFrame) -> DataFrame:
             for path in b["path"]:
                 f, size = _open(path)
                 with f:
-                    members = directory(f, size)
-                    begin = data_start(f, members[ARCHIVE])
-                    lines = _range(f, data_start(f, members[INDEX]), members[INDEX].size).decode().splitlines()
-                group: list[int] = []
-                out = []
-                start = 0
-                for line in lines:
-                    x = json.loads(line)
-                    if group and sum(group) + x["length"] > RANGE:
-                        out.append((path, begin + start, group))
-                        start, group = x["offset"], []
-                    group.append(x["length"])
-                if group:
-                    out.append((path, begin + start, group))
-                yield pd.DataFrame(out, columns=["path", "start", "lengths"])
+                    yield pd.DataFrame([(path, start, group) for start, group in _ranges(f, size)], columns=["path", "start", "lengths"])
 
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib

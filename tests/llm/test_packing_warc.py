@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from lettermill.llm.packing import Bm25, fill, pack
-from lettermill.llm.warczip import archived, directory, data_start, parse, record
+from lettermill.llm.warczip import _store, archived, data_start, directory, index_line, parse, read_packages, record
 
 
 def test_pack(spark):
@@ -110,6 +110,52 @@ def test_packages_with_zip64():
     assert len(found) == 65_600 and found["65599"].header > 0
 
 
+def test_directories_at_their_limits():
+    # as many members as a plain directory can count, and a comment with the end record's own signature
+    for n, comment in ((65_535, b""), (3, b"PK\x05\x06" + b"x" * 30), (2, b"x" * 40 + b"PK\x05\x06" + b"\0" * 18)):
+        raw = io.BytesIO()
+        with zipfile.ZipFile(raw, "w") as z:
+            for i in range(n):
+                z.writestr(str(i), b"")
+            z.comment = comment
+        assert len(directory(raw, len(raw.getvalue()))) == n
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("a", b"x")
+    locked = bytearray(raw.getvalue())
+    locked[locked.rfind(b"PK\x01\x02") + 8] |= 1
+    raw = io.BytesIO(bytes(locked))
+    with pytest.raises(ValueError, match="encrypted"):
+        data_start(raw, directory(raw, len(locked))["a"])
+
+
+def test_every_archive_of_a_package(spark, tmp_path):
+    """Two archives with indexes of their own, one that no index names, and one that is named in part."""
+    import json
+
+    def made(i):
+        body = f"seite {i} ".encode() * 30
+        return record("response", i, "http://a.example/x y", body, hashlib.sha256(body).hexdigest(), None)
+
+    with zipfile.ZipFile(tmp_path / "p.wacz", "w") as z:
+        i = 0
+        for name, known in (("a", 3), ("b", 2), ("c", 0), ("d", 1)):
+            data, lines = b"", []
+            for k in range(3):
+                raw = made(i)
+                if k < known:
+                    lines.append("key 1970 " + json.dumps({"filename": f"{name}.warc.gz", "offset": str(len(data)), "length": len(raw)}))
+                data, i = data + raw, i + 1
+            z.writestr(f"archive/{name}.warc.gz", data)
+            if lines:
+                z.writestr(f"indexes/{name}.cdxj", "\n".join(lines))
+    got = read_packages(spark, spark.createDataFrame([(str(tmp_path / "p.wacz"),)], "path string")).collect()
+    assert sorted((r.page_id, r.payload) for r in got) == [(i, f"seite {i} " * 30) for i in range(12)]
+    assert index_line("http://Www.a.example/B c", "d", 5, 7).split(" ")[:2] == ["example,a,www)/b%20c", "19700101000000"]
+    with pytest.raises(ValueError, match="scheme viewfs"):
+        _store("viewfs://store/x")
+
+
 def test_record_round_trip():
     r = parse(record("response", 3, "http://a b", "é\r\n\r\n".encode(), hashlib.sha256("é\r\n\r\n".encode()).hexdigest(), None))
     assert r["payload"] == "é\r\n\r\n".encode() and r["length"] == 6
