@@ -11,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, if_small, written
 
+#: Surrogates that a value tries at most.
+MOST_TRIES = 64
 #: The key that the registered queries use; real runs pass their own secret.
 QUERY_KEY = b"surrogates for registered queries"
 
@@ -236,7 +238,7 @@ def rewrite(text: str | None, key: bytes, attempts: dict[tuple[str, str], int])
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """(of, kind, canon) of all values; `of` is a hash of the text they are in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -246,9 +248,10 @@ def _occurrences(docs: DataFrame) -> DataFrame:
                     at.append(i)
                     kinds.append(k)
                     canons.append(canon)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(kinds, pa.string()), pa.array(canons, pa.string())], ["doc_id", "kind", "canon"])
+            yield pa.RecordBatch.from_arrays([b.column("of").take(pa.array(at, pa.int64())), pa.array(kinds, pa.string()), pa.array(canons, pa.string())], ["of", "kind", "canon"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, kind string, canon string")
+    text = F.col("text").cast("string")
+    return docs.select(F.xxhash64(text).alias("of"), text.alias("text")).mapInArrow(run, "of long, kind string, canon string")
 
 
 def _with_surrogate(values: DataFrame, key: bytes) -> DataFrame:
@@ -263,22 +266,37 @@ def _with_surrogate(values: DataFrame, key: bytes) -> DataFrame:
 def attempts_for(values: DataFrame, key: bytes) -> DataFrame:
     """(kind, canon, attempt) of the values whose first surrogate is another's too, or equals a value of the corpus.
 
-    Of those that share a surrogate the smallest value keeps it, settled ones first; the others try again until all differ.
+    Of those that share a surrogate the smallest value keeps it, settled ones first; the others try again until all differ. Only they are
+    worked on in further rounds. A kind whose shape has too few surrogates for its values is an error after MOST_TRIES of them.
     """
     values = written(values.select("kind", "canon").distinct(), "pii-values")
-    settled = written(_with_surrogate(values.withColumn("attempt", F.lit(0)), key), "pii-surrogates")
-    real = values.where(~F.col("kind").isin("MAILBOX", "DOMAIN")).select("kind", F.col("canon").alias("surrogate"))
-    family = F.when(F.col("kind") == "MAILBOX", F.regexp_extract("canon", "@(.*)$", 1)).otherwise("")  # a mailbox has to differ from others of its domain
-    while True:
-        keyed = settled.withColumn("of", family)
-        owner = keyed.groupBy("kind", "of", "surrogate").agg(F.min(F.struct("attempt", "canon")).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        double = keyed.join(owner, ["kind", "of", "surrogate"]).where(F.col("owner.canon") != F.col("canon")).select("kind", "canon", "attempt")
-        taken = settled.join(real, ["kind", "surrogate"]).select("kind", "canon", "attempt")
-        again = written(double.union(taken).distinct(), "pii-again")
-        if again.isEmpty():
-            return settled.where("attempt > 0").select("kind", "canon", "attempt")
-        retried = _with_surrogate(again.withColumn("attempt", F.col("attempt") + 1), key)
-        settled = written(settled.join(again.select("kind", "canon"), ["kind", "canon"], "left_anti").union(retried), "pii-surrogates")
+    # no surrogate domain is a real one, so no surrogate address can be
+    real = values.where(F.col("kind") != "MAILBOX").select("kind", F.col("canon").alias("surrogate")).distinct()
+    within = F.when(F.col("kind") == "MAILBOX", F.regexp_extract("canon", "@(.*)$", 1)).otherwise("")  # a mailbox has to differ from others of its domain
+    cell, value = ["kind", "within", "surrogate"], ["kind", "canon"]
+    settled: list[DataFrame] = []
+    pending, made = values, [values]
+    for attempt in range(MOST_TRIES):
+        tried = written(_with_surrogate(pending.withColumn("attempt", F.lit(attempt)), key).withColumn("within", within), "pii-tried")
+        owner = tried.groupBy(*cell).agg(F.min("canon").alias("owner"))
+        clash = tried.join(owner, cell).where("owner <> canon").select(*value).union(tried.join(real, ["kind", "surrogate"], "left_semi").select(*value))
+        for earlier in settled:
+            clash = clash.union(tried.join(earlier, cell, "left_semi").select(*value))
+        pending = written(clash.distinct(), "pii-again")
+        done = written(tried.join(pending, value, "left_anti"), "pii-settled")
+        discard(tried)
+        made += [pending, done]
+        settled.append(done)
+        if pending.isEmpty():
+            break
+    else:
+        raise ValueError(f"more values of kind {pending.first()['kind']} than {MOST_TRIES} surrogates each can tell apart")
+    out = settled[0].where("attempt > 0").select("kind", "canon", "attempt")
+    for part in settled[1:]:
+        out = out.union(part.select("kind", "canon", "attempt"))
+    out = written(out, "pii-retried")
+    discard(*made)
+    return out
 
 
 def with_surrogates(docs: DataFrame, key: bytes, count: str | None = None) -> DataFrame:
@@ -294,10 +312,11 @@ def with_surrogates(docs: DataFrame, key: bytes, count: str | None = None) -> Da
     columns = docs.columns
     tried = None
     if not retried.isEmpty():
+        tried = next(name for name in (f"__tried{i}" for i in range(len(columns) + 1)) if name not in columns)
         entry = F.struct(F.concat_ws("\x00", "kind", "canon").alias("k"), "attempt")
-        of_doc = occurrences.join(retried, ["kind", "canon"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_set(entry)).alias("__tried")).withColumnRenamed("doc_id", "__id")
-        docs = docs.join(of_doc, F.col("doc_id").eqNullSafe(F.col("__id")), "left").select(*[F.col(f"`{c}`") for c in columns], "__tried")
-        tried = "__tried"
+        of_text = occurrences.join(if_small(retried), ["kind", "canon"]).groupBy(F.col("of").alias(f"{tried}of")).agg(F.map_from_entries(F.collect_set(entry)).alias(tried))
+        of_text = if_small(written(of_text, "pii-maps"))
+        docs = docs.join(of_text, F.xxhash64(docs["text"].cast("string")) == F.col(f"{tried}of"), "left").select(*[docs[f"`{c}`"] for c in columns], tried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -3,11 +3,12 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lettermill.llm.preference import conversations, format_preferences
 from lettermill.llm.rules import POLICIES, ablations, judged, ledger, mask_of
-from lettermill.llm.surrogate import attempts_for, find, rewrite, surrogate, with_surrogates
+from lettermill.llm.surrogate import attempts_for, find, rewrite, surrogate, units, with_surrogates
 from lettermill.llm.toxicity import fit, fold, maximal_segments, score_toxicity, toxic_verdicts, without_toxic
 
 SPACES = r"[^\x20\x09-\x0D]+"
@@ -145,3 +146,39 @@ def test_preferences(spark):
             runs = [x.split(":") for x in r[f"{side}_mask"].split(",") if x]
             assert sum(int(n) for _, n in runs) == len(r[side])
     assert format_preferences(spark.createDataFrame([], pair)).count() == 0
+
+
+def test_surrogates_against_a_plain_version(spark):
+    """The same texts with surrogates settled one value after another: no two values share one, none is a real one, and every text agrees."""
+    rnd = random.Random(13)
+    box = lambda: rnd.choice("abcdefghijkl") + rnd.choice(["", "", "1"])
+    parts = [lambda: f"{box()}@{rnd.choice('xyz')}.example", lambda: f"10.0.0.{rnd.randrange(1, 9)}", lambda: f"Tel. +1 (01{rnd.randrange(3)}) 555-77{rnd.randrange(10)}3", lambda: f"Herr {rnd.choice(['Karl', 'Otto'])} {rnd.choice(['Meier', 'Adler', 'Adlermann'])} und Meier", lambda: "nur Text"]
+    texts = ["; ".join(rnd.choice(parts)() for _ in range(rnd.randrange(1, 6))) for _ in range(120)]
+    docs = spark.createDataFrame([(i if i % 9 else None, t, "x", 1) for i, t in enumerate(texts)] + [(5, "a@x.example", "x", 1), (None, None, "x", 1)], "doc_id long, text string, __tried0 string, `of` int")
+    values = sorted({u[:2] for t in [*texts, "a@x.example"] for a, b, kind, extra in find(t) for u in units(t[a:b], kind, extra)})
+    settled, taken, attempt = {}, set(), 0
+    pending = values
+    cell = lambda kind, canon, new: (kind, canon.partition("@")[2] if kind == "MAILBOX" else "", new)
+    while pending:
+        again, now = [], {}
+        for kind, canon in pending:
+            now.setdefault(cell(kind, canon, surrogate(b"key", kind, canon, attempt)), []).append((kind, canon))
+        for c, many in now.items():
+            real = c[0] != "MAILBOX" and (c[0], c[2]) in values
+            first = min(many)
+            if c not in taken and not real:
+                settled[first] = attempt
+            again += [v for v in many if v not in settled]
+        taken |= {cell(k, c, surrogate(b"key", k, c, n)) for (k, c), n in settled.items()}
+        pending, attempt = again, attempt + 1
+    assert attempt > 1
+    want = sorted((t and rewrite(t, b"key", settled)[0]) or "" for t in [*texts, "a@x.example", None])
+    got = with_surrogates(docs, b"key")
+    assert got.columns == docs.columns and sorted(r.text or "" for r in got.collect()) == want
+
+
+def test_too_few_surrogates_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr("lettermill.llm.surrogate.MOST_TRIES", 2)
+    values = spark.createDataFrame([("SSN", f"{a}") for a in range(10)], "kind string, canon string")
+    with pytest.raises(ValueError, match="SSN"):
+        attempts_for(values, b"key")
