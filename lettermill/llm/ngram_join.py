@@ -28,6 +28,8 @@ HOT = 12
 FILTER_BITS = 1 << 24
 #: Sets and shingles in a tile, about.
 TILE_SETS, TILE_SHINGLES = 2048, 1 << 20
+#: Pairs of one tile that are compared in one place.
+HUB = 32
 #: Rows, shingles or pairs that a task holds at a time.
 CHUNK = 1 << 20
 #: Bytes of a shingle in a prefix. Different shingles that agree in them only add candidates.
@@ -319,9 +321,16 @@ def _tile_pairs(tiled: DataFrame) -> DataFrame:
 
 
 def _met(pairs: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Pairs of tile names with the contents of both."""
-    side = lambda t: tiles.toDF(f"tile_{t}", f"sets_{t}")
-    return pairs.join(side("a"), "tile_a").join(side("b"), "tile_b")
+    """Pairs of tile names (a stored table) with the contents of both. The pairs of a tile with more than HUB of them are spread over several tasks, which all get it."""
+    stored = pairs
+    for t in "ab":
+        name = f"tile_{t}"
+        hubs = if_small(written(stored.groupBy(name).agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("hub")).where("hub > 1"), "shingle-hubs"))
+        of = F.coalesce("hub", F.lit(1))
+        spread = pairs.join(hubs, name, "left").withColumn("part", F.pmod(F.xxhash64("tile_a", "tile_b"), of).cast("int")).drop("hub")
+        side = tiles.toDF(name, f"sets_{t}").join(hubs, name, "left").select(name, f"sets_{t}", F.explode(F.sequence(F.lit(0), of - 1)).alias("part"))
+        pairs = spread.join(side, [name, "part"]).drop("part")
+    return pairs
 
 
 def _both(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], dict, dict]]:
