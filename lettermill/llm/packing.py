@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 #: Tokens in a sequence, and remainders in a shard of the index.
 WINDOW, SHARD = 1024, 2048
@@ -57,11 +57,13 @@ PIECE = "doc_id {0}, start long, length long, ids_crc32 long, doc_tokens long, s
 
 
 def _cut(name: str, window: int):
-    """Of each document: its full windows (kind 0), and what is left of it with its ids (kind 1)."""
+    """Of each document: its full windows (kind 0), and what is left of it with its ids (kind 1). Of each task: how many of its remainders have each id (kind 2: start is the id, length the number)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(name)
+        held, none = np.zeros(0, np.int64), None
         for b in batches:
+            none = b.column("doc_id").type
             at, kinds, starts, sizes, crcs, totals, rest = [], [], [], [], [], [], []
             for i, text in enumerate(b.column("text")):
                 ids = np.array([*encode(text.as_py() or ""), END], "<u4")
@@ -75,13 +77,28 @@ def _cut(name: str, window: int):
                     crcs.append(zlib.crc32(piece.tobytes()))
                     totals.append(len(ids))
                     rest.append(None if k < full else piece.astype("<u2" if ids.max() < 1 << 16 else "<u4").tobytes())
+                    if k >= full:
+                        held = _added(held, np.unique(piece))
             docs = b.column("doc_id").take(pa.array(at, pa.int64()))
             longs = [pa.array(x, pa.int64()) for x in (starts, sizes, crcs, totals)]
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), docs, *longs, pa.array(rest, pa.binary())], ["kind", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), docs, *longs, pa.array(rest, pa.binary())], names)
+        at = np.flatnonzero(held)
+        if len(at):
+            nothing = pa.array(np.zeros(len(at), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), 2, np.int32)), pa.nulls(len(at), none), pa.array(at), pa.array(held[at]), nothing, nothing, pa.nulls(len(at), pa.binary())], names)
 
+    names = ["kind", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
     return run
 
 
+def _added(held: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """held with one more for each of the distinct terms."""
+    if len(terms) and terms.max() >= len(held):
+        held = np.concatenate([held, np.zeros(int(terms.max()) + 1 - len(held), np.int64)])
+    held[terms] += 1
+    return held
+
+
 def _bag(ids: bytes, length: int) -> np.ndarray:
     return np.frombuffer(ids, "<u4" if len(ids) > 2 * length else "<u2")
 
@@ -90,49 +107,70 @@ def _idf(n: int, df: np.ndarray) -> np.ndarray:
     return np.log1p((n - df + 0.5) / (df + 0.5))
 
 
-def _counted(bags: Iterator[pa.RecordBatch], terms_of) -> Iterator[pa.RecordBatch]:
-    """Of a task's remainders: how many of them have each term that terms_of gives, a row for each term."""
-    total = np.zeros(0, np.int64)
-    for b in bags:
-        for ids, length in zip(b.column("ids"), b.column("length").to_pylist(), strict=True):
-            terms = terms_of(_bag(ids.as_py(), length))
-            if len(terms) and terms.max() >= len(total):
-                total = np.concatenate([total, np.zeros(int(terms.max()) + 1 - len(total), np.int64)])
-            total[terms] += 1
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["term", "n"])
-
-
-def _per_term(rest: DataFrame, terms_of) -> np.ndarray:
-    """Remainders of the whole table by term: one number for each id of the vocabulary, whatever the input."""
-    rows = rest.select("ids", "length").mapInArrow(lambda bags: _counted(bags, terms_of), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+def _by_term(counts: DataFrame) -> np.ndarray:
+    """Sums of (term, n) by term: one number for each id of the vocabulary, whatever the input."""
+    rows = counts.groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(int(rows["term"].max()) + 1 if len(rows) else 1, np.int64)
     out[rows["term"].to_numpy()] = rows["n"].to_numpy()
     return out
 
 
-def heaviest(bag: np.ndarray, df: np.ndarray, n: int, mean: float) -> tuple[np.ndarray, np.ndarray]:
-    """A remainder's ROUTE_TERMS heaviest terms that others of the table have too, and their weights."""
-    terms, tf = np.unique(bag, return_counts=True)
-    keep = df[terms] > 1
-    terms, tf = terms[keep], tf[keep]
-    weight = _idf(n, df[terms]) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(bag) / mean))
-    at = np.argsort(-weight, kind="stable")[:ROUTE_TERMS]
-    return terms[at], weight[at]
+def heaviest(bags: list[np.ndarray], df: np.ndarray, n: int, mean: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each remainder: its ROUTE_TERMS heaviest terms that others of the table have too, and their weights, the heaviest first."""
+    size = np.array([len(x) for x in bags], np.int64)
+    if not size.sum():
+        return [(np.empty(0, np.int64), np.empty(0))] * len(bags)
+    vocabulary = len(df)
+    pair = np.sort(np.repeat(np.arange(len(bags)) * vocabulary, size) + np.concatenate(bags))
+    edge = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+    tf = np.diff(np.append(edge, len(pair)))
+    doc, term = np.divmod(pair[edge], vocabulary)
+    keep = df[term] > 1
+    doc, term, tf = doc[keep], term[keep], tf[keep]
+    weight = _idf(n, df[term]) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
+    order = np.argsort(doc - weight / 1024, kind="stable")  # weights stay far below that
+    first = np.searchsorted(doc, np.arange(len(bags) + 1))
+    tops = (order[lo : min(hi, lo + ROUTE_TERMS)] for lo, hi in zip(first[:-1], first[1:], strict=True))
+    return [(term[at], weight[at]) for at in tops]
+
+
+def _tops(df, n: int, mean: float):
+    """Adds to each remainder its heaviest terms (as bytes of uint32) and their weights (of float32)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bags = [_bag(ids.as_buffer(), length) for ids, length in zip(b.column("ids"), b.column("length").to_pylist(), strict=True)]
+            found = [x for k in range(0, len(bags), SHARD) for x in heaviest(bags[k : k + SHARD], df.value, n, mean)]
+            terms, weights = (pa.array([x[k].astype(kind).tobytes() for x in found], pa.binary()) for k, kind in ((0, "<u4"), (1, "<f4")))
+            yield pa.RecordBatch.from_arrays([*b.columns, terms, weights], [*b.schema.names, "terms", "weights"])
+
+    return run
+
 
+def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's remainders: how many have each term among their heaviest."""
+    held = np.zeros(0, np.int64)
+    for b in batches:
+        terms = np.frombuffer(b"".join(b.column("terms").to_pylist()), "<u4")
+        n = np.bincount(terms, minlength=len(held))
+        n[: len(held)] += held
+        held = n
+    at = np.flatnonzero(held)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at], pa.int64())], ["term", "n"])
 
-def _routes(df, n: int, mean: float, sharing, fit: float):
-    """Adds to each remainder its heaviest terms, first the one by which neighbours that fill its window (`fit` of them) can score most: those alike are near each other in that order."""
 
-    def route(bag: np.ndarray) -> bytes:
-        terms, weight = heaviest(bag, df.value, n, mean)
-        gain = weight * np.minimum(sharing.value[terms] - 1, fit)
-        return terms[np.argsort(-gain, kind="stable")].astype(">u4").tobytes()
+def _routes(sharing, fit: float):
+    """Puts a remainder's heaviest terms in the order of what neighbours that fill its window (`fit` of them) can score by them: those alike are near each other in that order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            routes = [route(_bag(ids.as_py(), length)) for ids, length in zip(b.column("ids"), b.column("length").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(routes, pa.binary())], [*b.schema.names, "route"])
+            routes = []
+            for t, w in zip(b.column("terms"), b.column("weights"), strict=True):
+                terms = np.frombuffer(t.as_buffer(), "<u4")
+                gain = np.frombuffer(w.as_buffer(), "<f4") * np.minimum(sharing.value[terms] - 1, fit)
+                routes.append(terms[np.argsort(-gain, kind="stable")].astype(">u4").tobytes())
+            names = [k for k in b.schema.names if k not in ("terms", "weights")]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names), pa.array(routes, pa.binary())], [*names, "route"])
 
     return run
 
@@ -156,25 +194,39 @@ class Bm25:
         norm = K1 * (1 - B + B * size / max(1.0, mean))
         self.weight = np.repeat(self.idf, df) * tf * (K1 + 1) / (tf + norm[self.docs])
         self.n = len(bags)
-        self.whole = {}
-        for t in np.flatnonzero(4 * df > self.n):  # common terms as one weight for each remainder: no more than four times their postings
-            row = self.whole[int(t)] = np.zeros(self.n)
-            row[self.docs[self.first[t] : self.last[t]]] = self.weight[self.first[t] : self.last[t]]
+        common = np.flatnonzero(16 * df > self.n)  # these have a row of weights for all remainders: at most 16 times their postings
+        self.row = np.full(len(self.terms), -1)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), self.n), np.float32)
+        many = np.repeat(self.row, df)
+        self.rows[many[many >= 0], self.docs[many >= 0]] = self.weight[many >= 0]
 
     def scores(self, bag: np.ndarray, terms: int | None = QUERY_TERMS) -> np.ndarray:
         """BM25 scores of all remainders for the seed's rarest shared terms, or, with None, for all of them."""
-        out = np.zeros(self.n)
         i = np.searchsorted(self.terms, np.unique(bag).astype(np.int64))
         i = i[self.last[i] - self.first[i] > 1]
-        for t in i[np.argsort(-self.idf[i], kind="stable")[:terms]].tolist():
-            if t in self.whole:
-                out += self.whole[t]
-            else:
-                at = slice(self.first[t], self.last[t])
-                out[self.docs[at]] += self.weight[at]
+        if terms is not None:
+            i = i[np.argsort(-self.idf[i], kind="stable")[:terms]]
+        row = self.row[i]
+        out = self.rows[row[row >= 0]].sum(axis=0, dtype=np.float64)
+        for t in i[row < 0].tolist():
+            at = slice(self.first[t], self.last[t])
+            out[self.docs[at]] += self.weight[at]
         return out
 
 
+def _best_first(score: np.ndarray, few: int = 64) -> Iterator[int]:
+    """Places with a score, the highest first, of equal ones the earlier: first the best few, so that the rest is only sorted if it is asked for."""
+    near = np.flatnonzero(score)
+    best = score[near]
+    if len(near) > 4 * few:
+        least = np.partition(best, len(best) - few)[len(best) - few]
+        top = near[best >= least]
+        yield from top[np.argsort(-score[top], kind="stable")].tolist()
+        near = near[best < least]
+    yield from near[np.argsort(-score[near], kind="stable")].tolist()
+
+
 def fill(bags: list[np.ndarray], window: int, table: tuple[int, float, np.ndarray] | None = None) -> Iterator[list[tuple[int, int, int]]]:
     """Sequences as lists of (bag, first id, end): each begins with an unused seed, the longest first, and takes its best unused
     neighbours until it is full. What doesn't fit of the last one stays for later. Without scoring neighbours the longest unused go in."""
@@ -203,8 +255,7 @@ def fill(bags: list[np.ndarray], window: int, table: tuple[int, float, np.ndarra
         if room:
             score = index.scores(bags[first], None)
             score[left == 0] = 0
-            near = np.flatnonzero(score)
-            for i in near[np.argsort(-score[near], kind="stable")]:
+            for i in _best_first(score):
                 if not room:
                     break
                 take(i)
@@ -238,8 +289,9 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", window: int = WINDOW,
     mean, shards = max(1.0, total / max(1, n)), max(1, -(-n // shard))
     fields = PIECE.format(kind)
     context = docs.sparkSession.sparkContext
-    df = context.broadcast(_per_term(rest, np.unique))
-    sharing = context.broadcast(_per_term(rest, lambda bag: heaviest(bag, df.value, n, mean)[0]))
+    df = context.broadcast(_by_term(pieces.where("kind = 2").select(F.col("start").alias("term"), F.col("length").alias("n"))))
+    tops = written(rest.drop("kind").mapInArrow(_tops(df, n, mean), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, ids binary, terms binary, weights binary"), "pack-tops")
+    sharing = context.broadcast(_by_term(tops.select("terms").mapInArrow(_sharing, "term long, n long")))
     fit = max(1.0, window / mean)
 
     def pack_shard(rows: pd.DataFrame, first: int) -> pd.DataFrame:
@@ -273,9 +325,10 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", window: int = WINDOW,
             yield (out := pack_shard(held[len(held) * k // parts : len(held) * (k + 1) // parts], first))
             first = int(out["sequence_id"].iloc[-1]) + 2
 
-    routed = rest.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", F.xxhash64("doc_id", "ids_crc32", "length", F.monotonically_increasing_id()).alias("salt"))
-    routed = routed.mapInArrow(_routes(df, n, mean, sharing, fit), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, ids binary, salt long, route binary")
+    salted = tops.withColumn("salt", F.xxhash64("doc_id", "ids_crc32", "length", F.monotonically_increasing_id()))
+    routed = salted.mapInArrow(_routes(sharing, fit), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, ids binary, salt long, route binary")
     dealt = routed.repartitionByRange(min(shards, PARTITIONS), "route", "salt").sortWithinPartitions("route", "salt")
     packed = written(dealt.mapInPandas(pack_partition, fields), "pack-sequences")
+    discard(tops)
     alone = full.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.monotonically_increasing_id() * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return alone.union(packed)
