@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import tasks_for, written
+from .common import if_small, tasks_for, written
 from .components import components
 
 #: Vectors in a tile, leading dimensions compared first, and bins of the first principal axis.
 TILE, LEAD, BINS = 1024, 16, 512
+#: Principal axes along which tiles are cut, and along which they find their neighbours.
+CUT_AXES, CELL_AXES = 6, 2
 #: Rounding that the bounds allow for; the check that decides works on the given vectors in double precision.
 SLACK = 1e-9
 
@@ -45,22 +47,34 @@ def _rotated(vectors: DataFrame, axes: np.ndarray, dims: int) -> DataFrame:
         for b in batches:
             x = np.ascontiguousarray(_matrix(b.column("unit"), dims) @ axes)
             rows = [r.tobytes() for r in x]
-            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("cls"), b.column("n"), b.column("raw"), pa.array(rows, pa.binary()), pa.array(x[:, 0].copy())], ["label", "cls", "n", "raw", "turned", "axis"])
+            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("cls"), b.column("n"), b.column("raw"), pa.array(rows, pa.binary()), pa.array(list(x[:, :CUT_AXES].copy()), pa.list_(pa.float64()))], ["label", "cls", "n", "raw", "turned", "axes"])
 
     kind = vectors.schema["label"].dataType.simpleString()
-    return vectors.select("label", "cls", "n", "raw", "unit").mapInArrow(run, f"label {kind}, cls long, n long, raw binary, turned binary, axis double")
+    return vectors.select("label", "cls", "n", "raw", "unit").mapInArrow(run, f"label {kind}, cls long, n long, raw binary, turned binary, axes array<double>")
 
 
 def _tile_pairs(tiles: DataFrame, reach: float) -> DataFrame:
-    """Tiles of one label whose stretches of the first axis, and of every leading axis, come within reach."""
-    a = tiles.select("label", *[F.col(c).alias(f"{c}_a") for c in ("tile", "lo", "hi")])
-    b = tiles.select(F.col("label").alias("label_b"), *[F.col(c).alias(f"{c}_b") for c in ("tile", "lo", "hi")])
+    """Tiles of one label whose boxes come within reach along the leading axes together.
+
+    They meet in cells as wide as the reach along the first axes, a box and what is around it, so one label's pairs are found in many tasks.
+    """
+    width = max(reach, 1.0 / 64)
+    cells = lambda lo, hi, k, more: F.sequence(F.floor((F.element_at(lo, k) - more) / width), F.floor((F.element_at(hi, k) + more) / width))
+    axes = range(1, CELL_AXES + 1)
+
+    def side(t: str, more: float) -> DataFrame:
+        out = tiles.select("label", *[F.col(c).alias(f"{c}_{t}") for c in ("tile", "lo", "hi")])
+        for k in axes:
+            dims = F.size(f"lo_{t}")
+            out = out.withColumn(f"cell{k}", F.explode(F.when(dims >= k, cells(F.col(f"lo_{t}"), F.col(f"hi_{t}"), k, more)).otherwise(F.array(F.lit(0).cast("long")))))
+        return out
+
     gap = F.aggregate(
         F.zip_with(F.arrays_zip("lo_a", "hi_a"), F.arrays_zip("lo_b", "hi_b"), lambda x, y: F.greatest(F.lit(0.0), x["lo_a"] - y["hi_b"], y["lo_b"] - x["hi_a"])),
         F.lit(0.0), lambda acc, g: acc + g * g,
     )
-    near = (F.col("label") == F.col("label_b")) & (F.col("tile_a") <= F.col("tile_b")) & (gap <= (reach + SLACK) ** 2)
-    return a.join(b, near).select("label", "tile_a", "tile_b")
+    both = side("a", 0.0).join(side("b", reach + SLACK), ["label", *[f"cell{k}" for k in axes]])
+    return both.where((F.col("tile_a") <= F.col("tile_b")) & (gap <= (reach + SLACK) ** 2)).select("label", "tile_a", "tile_b").distinct()
 
 
 def _compare(threshold: float, dims: int):
@@ -130,7 +144,7 @@ def _forest(offset: int, i: np.ndarray, j: np.ndarray) -> tuple[list[int], list[
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, tile: int = TILE) -> DataFrame:
     """Links vectors of one label whose cosine reaches the threshold.
 
-    Equal vectors form one class. Vectors are turned to their principal axes and cut into tiles along the first; tiles farther
+    Equal vectors form one class. Vectors are turned to their principal axes and cut into tiles along the first, full ones along further axes; tiles farther
     apart than sqrt(2 - 2 * threshold) are never compared. In a pair of tiles the leading dimensions are multiplied first; with the norms of
     what follows they bound the cosine, and only pairs that can still reach the threshold go on. Links are counted, and a spanning
     forest of them is kept, so neither tasks nor tables hold all pairs.
@@ -185,17 +199,22 @@ def _linked(classes: DataFrame, dims: int, threshold: float, tile: int) -> DataF
     _, axes = np.linalg.eigh(moments)
     turned = written(_rotated(vectors, np.ascontiguousarray(axes[:, ::-1]), dims), "vector-turned")
 
-    binned = turned.withColumn("bin", F.floor((F.col("axis") + 1) / 2 * BINS).cast("int"))
-    full = binned.groupBy("label", "bin").count()
-    before = W.partitionBy("label").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-    # a bin with more than a tile's vectors is split by their hashes; smaller ones share tiles with their neighbours
-    plan = full.select(
-        F.col("label").alias("plan_label"), F.col("bin").alias("plan_bin"), F.ceil(F.col("count") / tile).alias("parts"),
-        (F.floor(F.coalesce(F.sum("count").over(before), F.lit(0)) / tile)).alias("place"),
-    )
-    tiled = binned.join(plan, (F.col("label") == F.col("plan_label")) & (F.col("bin") == F.col("plan_bin")))
-    name = F.when(F.col("parts") > 1, F.concat_ws("/", F.col("bin"), F.pmod("cls", "parts"))).otherwise(F.concat_ws("/", F.lit("-"), F.col("place")))
-    tiled = tiled.select("label", name.alias("tile"), "cls", "n", "raw", "turned")
+    # along each axis in turn, what is still too full is cut where its running number of vectors passes a tile's; only equal stretches are cut by hash
+    cut = turned.withColumn("tile", F.lit(""))
+    for k in range(min(CUT_AXES, dims)):
+        full = written(cut.groupBy("label", "tile").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > (0 if k == 0 else 2 * tile)), "vector-full")
+        if full.isEmpty():
+            break
+        binned = cut.withColumn("bin", F.floor((F.element_at("axes", k + 1) + 1) / 2 * BINS).cast("int")).join(if_small(full), ["label", "tile"], "left")
+        before = W.partitionBy("label", "tile").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+        places = binned.where("held IS NOT NULL").groupBy("label", "tile", "bin").agg(F.count(F.lit(1)).alias("n"))
+        places = places.select("label", "tile", "bin", F.when(F.col("n") > tile, F.concat(F.lit("="), "bin")).otherwise(F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / tile).cast("string")).alias("place"))
+        placed = binned.join(if_small(written(places, "vector-places")), ["label", "tile", "bin"], "left")
+        cut = placed.withColumn("tile", F.when(F.col("held").isNull(), F.col("tile")).otherwise(F.concat_ws("/", "tile", "place"))).drop("bin", "held", "place")
+        cut = written(cut, "vector-cut")
+    full = written(cut.groupBy("label", "tile").agg(F.ceil(F.count(F.lit(1)) / tile).alias("parts")).where("parts > 2"), "vector-full")
+    tiled = cut.join(if_small(full), ["label", "tile"], "left").withColumn("tile", F.concat_ws("#", "tile", F.when(F.col("parts").isNotNull(), F.pmod("cls", "parts"))))
+    tiled = tiled.select("label", "tile", "cls", "n", "raw", "turned")
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
         x = np.frombuffer(b"".join(rows["turned"]), np.float64).reshape(-1, dims)[:, :LEAD]

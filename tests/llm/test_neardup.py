@@ -2,6 +2,8 @@ import itertools
 import math
 import random
 
+import numpy as np
+
 from lettermill.llm.components import components
 from lettermill.llm.neardup import near_duplicates
 from lettermill.llm.ngram_join import one_of_each, similar
@@ -55,6 +57,19 @@ def test_vectors(spark):
     assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+def test_one_label_has_most_vectors(spark):
+    """A label with far more vectors than its first axis can tell apart: tiles are cut along further axes, and links are those of brute force."""
+    rnd = np.random.default_rng(8)
+    centres = rnd.normal(size=(30, 12)) * [0.001, *[1.0] * 11]
+    x = centres[rnd.integers(0, 30, 900)] + rnd.normal(size=(900, 12)) * rnd.choice([0.0, 0.05, 0.15], (900, 1))
+    label = np.where(rnd.random(900) < 0.9, 7, 8)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = (unit @ unit.T >= 0.98) & (label[:, None] == label[None, :])
+    got = near_duplicates(spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<double>, label int"), tile=32).collect()
+    want = union(range(900), np.argwhere(np.triu(link, 1)).tolist())
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (int(link[i].sum()) - 1, want[i]) for i in range(900)}
+
+
 def shingles(text):
     w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     for c in "\t\n\x0b\f\r":
