@@ -123,12 +123,17 @@ class Places:
         """Start and end of the value's places, left to right, without overlaps."""
         units = readings(value)
         out, last = [], 0
-        for at in sorted({i for pair in _beginnings(value) for i in self.pairs.get(pair, ())}):
+        for at in sorted({i for begin in _beginnings(value) for i in self._where(begin)}):
             if at >= last and (end := self._end(units, 0, at)) is not None and end > at:
                 out.append((at, end))
                 last = end
         return out
 
+    def _where(self, begin: str) -> Iterable[int]:
+        if len(begin) == 2:
+            return self.pairs.get(begin, ())
+        return (i for pair, at in self.pairs.items() if pair[:1] == begin for i in at)
+
     def _end(self, units: tuple[tuple[str, ...] | None, ...], k: int, at: int) -> int | None:
         """Where a match of units from the k-th on ends that begins at `at`; the first reading that leads to the end counts, white space is taken whole."""
         text = self.text
@@ -153,7 +158,7 @@ class Places:
 
 @lru_cache(maxsize=1 << 16)
 def _beginnings(value: str) -> frozenset[str]:
-    """The first two characters that a place of the value can have; of a shorter place, all of it and any that may follow are left to the caller's look-up."""
+    """The first two characters that a place of the value can have, or the one that is all of it."""
     heads = {""}
     done: set[str] = set()
     for unit in readings(value):

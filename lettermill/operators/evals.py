@@ -42,3 +42,14 @@ def token_parity(clean: DataFrame, damaged: DataFrame) -> DataFrame:
     """type, n_clean, n_damaged, lost: how many tokens of each type damage cost. Both: (type, n)."""
     both = clean.select("type", F.col("n").alias("n_clean")).join(damaged.select("type", F.col("n").alias("n_damaged")), "type", "full_outer").na.fill(0, ["n_clean", "n_damaged"])
     return both.withColumn("lost", F.greatest(F.col("n_clean") - F.col("n_damaged"), F.lit(0)))
+
+
+def name_differences(cases: DataFrame, expected: str = "expected", got: str = "got") -> DataFrame:
+    """cases with missed (expected names that no hit overlaps) and spurious (hits that overlap no expected name)."""
+    apart = lambda a, b: F.filter(F.col(a), lambda x: ~F.exists(F.col(b), lambda y: names_overlap(x, y)))
+    return cases.withColumns({"missed": apart(expected, got), "spurious": apart(got, expected)})
+
+
+def residue_total(residues: DataFrame, column: str = "residue") -> DataFrame:
+    """total: how many residues were found."""
+    return residues.agg(F.count(F.col(column)).alias("total"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.text import MESSAGE_LIMIT, message_parts
@@ -57,3 +57,35 @@ class Recorder:
 
     def __call__(self, df: DataFrame, batch: int) -> None:
         self.batches.append((batch, df.collect()))
+
+
+class Channel:
+    """A foreachBatch sink: hands rows to a port's send(kind, row) where their tasks run, so nothing passes through the driver.
+
+    kind is the row's own column, or the one given. A row that can't be sent doesn't keep others back; a task with such rows fails after
+    all are tried, so that Spark sends it again: send has to bear repeats, as with any such sink.
+    """
+
+    def __init__(self, send: Callable[[str, dict], None], kind: str | None = None) -> None:
+        self.send, self.kind = send, kind
+
+    def __call__(self, df: DataFrame, batch: int) -> None:
+        send, kind = self.send, self.kind
+
+        def each(rows: Iterator[Row]) -> None:
+            errors = []
+            for r in rows:
+                try:
+                    send(kind or r["kind"], r.asDict(recursive=True))
+                except Exception as e:  # one row's error is not the others'
+                    errors.append(repr(e))
+            if errors:
+                raise RuntimeError(f"{len(errors)} rows were not sent, the first for {errors[0]}")
+
+        df.foreachPartition(each)
+
+
+def document_messages(documents: DataFrame, caption: str = "caption") -> DataFrame:
+    """What a channel needs to send documents: kind, user, name, mime, content, caption. Documents without content are no messages."""
+    named = F.coalesce("name", F.concat(F.lit("document."), F.coalesce(F.element_at(F.split("mime", "/"), -1), F.lit("bin"))))
+    return documents.where(F.octet_length("content") > 0).select(F.lit("document").alias("kind"), "user", named.alias("name"), "mime", "content", F.coalesce(caption, F.lit("")).alias("caption"))

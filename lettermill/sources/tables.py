@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from ..functions.binary import READABLE_IMAGES, mime_or_extension
 from ..functions.text import slot_texts
@@ -77,3 +78,49 @@ class Settings:
         if out.environment == "production" and (out.mock_model or not out.master_key):
             raise ValueError("production needs a real model and a master key")
         return out
+
+
+def polled(spark: SparkSession, fetch: Callable[[int], list[tuple[int, str]]], name: str = "polled") -> DataFrame:
+    """A stream of (update_id, value) from a service that is asked for what follows an offset.
+
+    fetch(offset) gives the updates from that offset on, as (update_id, JSON), in order, and bears being asked again. Asking is one
+    poller's work by the service's own terms, so it runs on the driver; what it gives is dealt out like any stream. Offsets are kept in
+    the stream's checkpoint, so no update is lost or taken twice.
+    """
+
+    class Reader(SimpleDataSourceStreamReader):
+        def initialOffset(self) -> dict:  # noqa: N802
+            return {"next": 0}
+
+        def read(self, start: dict) -> tuple[Iterator[tuple[int, str]], dict]:
+            found = fetch(start["next"])
+            return iter(found), {"next": max((i + 1 for i, _ in found), default=start["next"])}
+
+        def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple[int, str]]:  # noqa: N802
+            return (u for u in fetch(start["next"]) if u[0] < end["next"])
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def schema(self) -> str:
+            return "update_id long, value string"
+
+        def simpleStreamReader(self, schema: T.StructType) -> Reader:  # noqa: N802
+            return Reader()
+
+    spark.dataSource.register(Source)
+    return spark.readStream.format(name).load()
+
+
+def with_files(events: DataFrame, files: DataFrame) -> DataFrame:
+    """events with the bytes of the file that each names: content and, where the event tells none, the file's mime. files: file_id, content, mime.
+
+    An event whose file is not there keeps a null content. Only events with a file are joined, so those without are no hot key.
+    """
+    f = files.select(F.col("file_id").alias("__file"), "content", F.col("mime").alias("__mime"))
+    named = events.where(F.col("file.file_id").isNotNull()).join(f, F.col("file.file_id") == F.col("__file"), "left")
+    named = named.withColumn("mime", F.coalesce("file.mime", "__mime")).drop("__file", "__mime")
+    none = events.where(F.col("file.file_id").isNull()).withColumns({"content": F.lit(None).cast("binary"), "mime": F.lit(None).cast("string")})
+    return named.unionByName(none)

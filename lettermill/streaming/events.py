@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import ANSWER_LIMIT, approval, command, command_meaning
 
@@ -58,6 +60,29 @@ def route(kind: Column, text: Column, in_onboarding: Column) -> Column:
     )
 
 
+def handled(events: DataFrame, handlers: Mapping[str, Callable[[dict], str | None]], route: str = "route") -> DataFrame:
+    """events with result and error, from the handler of each one's route. An event that its handler fails on, or that has none, doesn't stop others."""
+    columns = events.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            results, errors = [], []
+            for row in b.to_pylist():
+                handler, result, error = handlers.get(row[route]), None, None
+                if handler is None:
+                    error = f"no handler for {row[route]}"
+                else:
+                    try:
+                        result = handler(row)
+                    except Exception as e:  # one event's error is not the others'
+                        error = f"{type(e).__name__}: {e}"
+                results.append(result)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(results, pa.string()), pa.array(errors, pa.string())], [*columns, "result", "error"])
+
+    return events.mapInArrow(run, StructType([*events.schema.fields, StructField("result", StringType()), StructField("error", StringType())]))
+
+
 def stored_with_status(documents: DataFrame, outcome: DataFrame) -> DataFrame:
     """Documents with status analyzed or failed by their outcome (document_id, ok); those without one are still processing."""
     o = outcome.select(F.col("document_id").alias("id"), "ok")

@@ -76,6 +76,38 @@ def test_leaks_and_gate(spark):
     assert [r.i for r in good.collect()] == [2] and [(r.i, r.leaks) for r in bad.collect()] == [(1, ["EMAIL"])]
 
 
+def test_gate_folds_compatibility_forms(spark):
+    df = masking.masked(spark.createDataFrame([(1, "Herr Schulz und \uff33\uff23\uff28\uff35\uff2c\uff3a"), (2, "Herr Schulz")], "i int, text string"))
+    good, bad = masking.gated(df)
+    assert [r.i for r in good.collect()] == [2] and [(r.i, r.leaks) for r in bad.collect()] == [(1, ["NAME"])]
+
+
+def test_checks_agree_with_their_columns(spark):
+    from lettermill.functions import finding
+    from lettermill.functions.patterns import phone_length, plausible_name
+
+    values = ["Herr", "Schulz", "SCHULZ", "Anna SCHULZ", "Max Amt", " ab", "Damen und Herren", "12345678903", "1 2 3", "11223344556", "DE89370400440532013000", "DEB9370400440532013000", "DE8937O4OO44O532O13O", "+49 30 123", "030 1234567", ""]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    pairs = [(plausible_name, finding.plausible_name), (plausible_tax_id, finding.plausible_tax_id), (iban_readable, finding.readable_iban), (phone_length, finding.phone_length)]
+    for column, check in pairs:
+        assert {r.v: bool(r.ok) for r in df.select("v", column(F.col("v")).alias("ok")).collect()} == {v: bool(check(v)) for v in values}, check.__name__
+
+
+def test_places_are_those_of_the_pattern():
+    import random
+    import re
+
+    from lettermill.functions.finding import Places
+
+    rnd = random.Random(3)
+    letters = "Sslß5BOo0Il1i rnmaä\n"
+    for _ in range(400):
+        value = "".join(rnd.choice(letters) for _ in range(rnd.randrange(2, 9))).strip()
+        text = "".join(rnd.choice(letters) for _ in range(rnd.randrange(0, 30))) + value + " " + value.swapcase() + "".join(rnd.choice(letters) for _ in range(5))
+        if value:
+            assert Places(text).of(value) == [m.span() for m in re.finditer(tolerant_pattern(value), text)], (value, text)
+
+
 def test_unmask_nested(spark):
     from pyspark.sql import types as T
 

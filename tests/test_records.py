@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from lettermill.operators import evals, joins, store
@@ -80,3 +81,126 @@ def test_joins(spark):
     v = spark.createDataFrame([("d1", "t1", "NAME", "c", "i", "g")], "document_id string, token string, entity_type string, ciphertext string, iv string, auth_tag string")
     got = {x.id: (x.authority, x.vault and len(x.vault)) for x in joins.reminder_context(r, u, a, v).collect()}
     assert got == {"r1": ("Amt", 1), "r2": (None, None)}
+
+
+def test_cascade_along_every_key(spark):
+    t = lambda rows, schema: spark.createDataFrame(rows, schema)
+    graph = {
+        "users": t([(1,), (2,)], "id long"), "documents": t([(10, 1), (20, 2)], "id long, user_id long"), "analyses": t([(100, 10), (200, 20)], "id long, document_id long"),
+        "reminders": t([(5, None, 100), (6, 2, 100), (7, 2, 200), (8, 1, None)], "id long, user_id long, analysis_id long"), "pii_vault": t([(1, None, 10), (2, None, 20), (3, 1, None)], "id long, user_id long, document_id long"),
+    }
+    left, counts = store.cascaded(graph, graph["users"].where("id = 1"))
+    assert {n: sorted(r.id for r in df.collect()) for n, df in left.items()} == {"users": [2], "documents": [20], "analyses": [200], "reminders": [7], "pii_vault": [2]}
+    assert {r.table_name: r.deleted_count for r in counts.collect()} == {"users": 1, "documents": 1, "analyses": 1, "reminders": 3, "pii_vault": 2}
+
+
+def test_sealed_values_never_share_a_nonce(spark):
+    from lettermill.functions import vault
+
+    key = bytes(range(32))
+    one = vault.seal(F.col("v"), key, F.lit("x"))
+    a, b = (spark.createDataFrame([(v,)] * 50, "v string").select(one.alias("s")) for v in ("secret", "other"))
+    ivs = [r.s.iv for df in (a, b, a) for r in df.collect()]
+    assert len(set(ivs)) == 150
+    back = a.select(vault.opened(F.col("s"), key, F.lit("x")).alias("v")).distinct().collect()
+    assert [r.v for r in back] == ["secret"]
+    prints = spark.createDataFrame([("SCHULZ",), ("\uff33\uff43\uff48\uff55\uff4c\uff5a",)], "v string").select(vault.fingerprint(F.col("v"), key).alias("f")).distinct()
+    assert prints.count() == 1
+
+
+def test_rotation_stops_before_it_writes(spark, tmp_path):
+    from lettermill.functions import vault
+
+    old, new = bytes(range(32)), bytes(range(1, 33))
+    rows = spark.createDataFrame([("u2", "d", [("[[NAME_1]]", "NAME", "Schulz")]), ("u1", "d", [("[[NAME_1]]", "NAME", "Braun")])], "user_id string, document_id string, matches array<struct<token:string,type:string,original:string>>")
+    path = str(tmp_path / "vault")
+    sealed = vault.sealed_matches(rows, old)
+    sealed.write.parquet(path)
+    sealed = spark.read.parquet(path)
+    assert vault.rotated_checked(sealed, old, new, str(tmp_path / "new")) == 2
+    again = spark.read.parquet(str(tmp_path / "new"))
+    assert sorted(r.original for r in vault.opened_vault(again, new).collect()) == ["Braun", "Schulz"] and again.select("key_version").distinct().count() == 1
+    with pytest.raises(ValueError, match="nothing was written"):
+        vault.rotated_checked(sealed.withColumn("user_id", F.lit("u1")), old, new, str(tmp_path / "bad"))
+    assert not (tmp_path / "bad").exists()
+
+
+def test_profiles_decisions_and_sent_reminders(spark):
+    vault = spark.createDataFrame([("u", "profile:city", "a"), ("u", "[[NAME_1]]", "b"), ("v", "profile:city", "c")], "user_id string, token string, ciphertext string")
+    new = spark.createDataFrame([("u", "profile:email", "d")], "user_id string, token string, ciphertext string")
+    assert sorted(r.ciphertext for r in store.profile_replaced(vault, new).collect()) == ["b", "c", "d"]
+    now = F.lit("2024-05-05 10:00:00").cast("timestamp")
+    drafts = spark.createDataFrame([("a", "pending_approval"), ("b", "pending_approval"), ("c", "draft")], "id string, status string").withColumns({"approved_at": F.lit(None).cast("timestamp"), "rejected_at": F.lit(None).cast("timestamp")})
+    out = {r.id: r for r in store.decided(drafts, spark.createDataFrame([("a", True), ("b", False), ("c", True)], "draft_id string, approve boolean"), now).collect()}
+    assert (out["a"].status, out["b"].status, out["c"].status) == ("approved", "rejected", "draft")
+    assert out["a"].approved_at and out["b"].rejected_at and not (out["a"].rejected_at or out["c"].approved_at)
+    reminders = spark.createDataFrame([(1, "scheduled", "2024-05-05 09:00:00"), (2, "scheduled", "2024-05-06 09:00:00"), (3, "cancelled", "2024-01-01 00:00:00")], "id int, status string, due string").select("id", "status", F.col("due").cast("timestamp").alias("due_date"), F.lit(None).cast("timestamp").alias("sent_at"))
+    table, hit = store.sent(reminders, now)
+    assert [r.id for r in hit.collect()] == [1] and {r.id: r.status for r in table.collect()} == {1: "sent", 2: "scheduled", 3: "cancelled"}
+
+
+def test_days_are_counted_in_utc(spark):
+    from lettermill.functions.dates import utc_date
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert str(spark.range(1).select(utc_date(F.lit("2024-05-05 22:00:00").cast("timestamp"))).first()[0]) == "2024-05-06"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_one_failing_event_stops_no_other(spark):
+    def handle(row):
+        return {"a": 1}[row["text"]] and "done"
+
+    rows = spark.createDataFrame([(1, "x", "a"), (2, "x", "b"), (3, "y", "a")], "id int, route string, text string")
+    got = {r.id: (r.result, r.error) for r in events.handled(rows, {"x": handle}).collect()}
+    assert got == {1: ("done", None), 2: (None, "KeyError: 'b'"), 3: (None, "no handler for y")}
+
+
+def test_polled_updates_and_files(spark, tmp_path):
+    from lettermill.sources import tables
+
+    log = [(i, f'{{"update_id": {i}}}') for i in range(7)]
+    stream = tables.polled(spark, lambda offset: log[offset : offset + 3])
+    rows = []
+    query = stream.writeStream.foreachBatch(lambda df, batch: rows.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        for _ in range(60):
+            query.processAllAvailable()
+            if len(rows) >= 7:
+                break
+    finally:
+        query.stop()
+    assert [r.update_id for r in rows] == list(range(7))
+    asked = spark.createDataFrame([(1, ("f", None)), (2, ("g", "image/png")), (3, None)], "id int, file struct<file_id:string,mime:string>")
+    files = spark.createDataFrame([("f", bytearray(b"abc"), "application/pdf")], "file_id string, content binary, mime string")
+    got = {r.id: (r.content and bytes(r.content), r.mime) for r in tables.with_files(asked, files).collect()}
+    assert got == {1: (b"abc", "application/pdf"), 2: (None, "image/png"), 3: (None, None)}
+
+
+def test_channel_sends_what_it_can(spark, tmp_path):
+    from lettermill.sources.sinks import Channel, document_messages
+
+    folder = str(tmp_path)
+    docs = spark.createDataFrame([("u", None, "application/pdf", bytearray(b"x"), None), ("u", "leer", "text/plain", bytearray(b""), None)], "user string, name string, mime string, content binary, caption string")
+
+    def send(kind, row):
+        if row["name"] == "bad":
+            raise OSError("no")
+        with open(f"{folder}/{kind}-{row['name']}", "wb") as f:
+            f.write(row["content"])
+
+    messages = document_messages(docs)
+    Channel(send)(messages, 0)
+    assert (tmp_path / "document-document.pdf").read_bytes() == b"x" and len(list(tmp_path.iterdir())) == 1
+    with pytest.raises(Exception, match="1 rows were not sent"):
+        Channel(send)(messages.unionByName(messages.withColumn("name", F.lit("bad"))).coalesce(1), 1)
+
+
+def test_differences_and_residues(spark):
+    cases = spark.createDataFrame([("c", ["Anna Schulz", "Max"], ["Schulz", "Otto"])], "category string, expected array<string>, got array<string>")
+    r = evals.name_differences(cases).first()
+    assert (r.missed, r.spurious) == (["Max"], ["Otto"])
+    assert evals.residue_total(spark.createDataFrame([("a",), (None,)], "residue string")).first().total == 1
