@@ -19,31 +19,49 @@ from lettermill.shipping import ship
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go; it learns from the labels of folds 0 and 2."""
+    """Documents that the toxicity model rejects go; it learns from the labels of folds 0 and 2.
+
+    Documents without text stay, repeated rows stay or go alike, without labels all stay; an empty table gives no rows, other columns pass through.
+    """
     ship(spark)
     return without_toxic(docs, fit(docs, read(spark, sf_dir, "labels"), usable=fold(F.col("doc_id")) != 1))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones stays."""
+    """One document of each group of similar ones stays: the one with the smallest doc_id.
+
+    Of repeated rows one stays. Documents without words and rows without doc_id are in no group and stay; an empty table gives no rows, other
+    columns pass through.
+    """
     ship(spark)
     return one_of_each(docs)
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts becomes surrogates."""
+    """Personal data in the texts becomes surrogates; all rows stay.
+
+    Null and empty texts stay as they are, repeated rows change alike; an empty table gives no rows, other columns pass through.
+    """
     ship(spark)
     return with_surrogates(docs, QUERY_KEY)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are mixed to their target weights: documents are repeated, cut or left out."""
+    """Sources are mixed to their target weights: documents are repeated, cut or left out.
+
+    Null sources form one source, documents without words go, repeated rows are documents of their own; an empty table gives no rows, other
+    columns pass through.
+    """
     ship(spark)
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed texts become sequences of tokens."""
+    """The mixed texts become sequences of tokens, as pieces of documents.
+
+    A null text is its end token alone, repeated rows and null ids are documents of their own; an empty table gives no rows, other columns are
+    ignored.
+    """
     ship(spark)
     return pack(docs)
 
