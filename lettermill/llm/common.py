@@ -16,9 +16,11 @@ WORD = rf"[^{SPACE}]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where all runs in one process may it be unset; then it is one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="lettermill-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = "file://" + own

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
@@ -52,16 +51,6 @@ def _in_repeated(code: np.ndarray, width: int = 5) -> int:
     return int((np.cumsum(cover) > 0).sum())
 
 
-@dataclass(frozen=True)
-class Rule:
-    name: str
-    fails: Column
-
-    @staticmethod
-    def of(name: str, sql: str) -> Rule:
-        return Rule(name, F.expr(sql))
-
-
 #: Each rule has the bit of its place; places never change, new rules are added at the end.
 RULE_SQL = {
     "few_words": "n_words < 10",
@@ -105,15 +94,23 @@ def ledger(docs: DataFrame) -> DataFrame:
 
 
 def judged(rows: DataFrame, version: int = 2) -> DataFrame:
-    """The ledger with base_failed (policy 1 rejects) and kept (the given policy does not reject)."""
+    """The ledger with base_failed (policy 1 rejects), kept (neither it nor the given policy rejects) and sole_rule.
+
+    sole_rule is the policy's only rule that the document fails, without which it would pass; null if it passes or fails several.
+    Works on a stored ledger of any number of rows, repeated ones too; nothing is read or measured again.
+    """
     failed = lambda v: F.col("failures").bitwiseAND(F.lit(mask_of(POLICIES[v]))) != 0
-    return rows.withColumns({"base_failed": failed(1), "kept": ~failed(1) & ~failed(version)})
+    bits = F.col("failures").bitwiseAND(F.lit(mask_of(POLICIES[version])))
+    sole = F.lit(None).cast("string")
+    for name in POLICIES[version]:
+        sole = F.when(bits == mask_of((name,)), F.lit(name)).otherwise(sole)
+    return rows.withColumns({"base_failed": failed(1), "kept": ~failed(1) & ~failed(version), "sole_rule": sole})
 
 
 def ablations(rows: DataFrame, version: int = 2) -> DataFrame:
     """For each rule of a policy: rule, failed (documents), only (documents that no other rule of it rejects), kept_without.
 
-    Documents are first counted by their failure bits, so what follows works on at most 2 ** rules rows.
+    Documents are first counted by their failure bits, so what follows works on at most 2 ** rules rows. An empty ledger gives no rows.
     """
     mask = mask_of(POLICIES[version])
     counts = rows.groupBy(F.col("failures").bitwiseAND(F.lit(mask)).alias("bits")).agg(F.count(F.lit(1)).alias("n"))

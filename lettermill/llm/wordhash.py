@@ -115,8 +115,9 @@ def windows(code: np.ndarray, width: int) -> np.ndarray:
         return mix(out)
 
 
-def stretches(texts: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """A column of texts in stretches of about `limit` bytes, or one longer text: its first row, its bytes, and where each of its texts begins and the last ends."""
+def stretches(texts: pa.Array, limit: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """A column of texts in stretches of about `limit` bytes (BLOCK unless told), or one longer text: its first row, its bytes, and where each of its texts begins and the last ends."""
+    limit = limit or BLOCK
     _, places, data = texts.buffers()
     kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
     at = np.frombuffer(places, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)

@@ -1,15 +1,18 @@
 import collections
+import math
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lettermill.llm import wordhash
 from lettermill.llm.preference import conversations, format_preferences
-from lettermill.llm.rules import POLICIES, ablations, judged, ledger, mask_of
+from lettermill.llm.rules import POLICIES, ablations, judged, ledger, mask_of, measure
 from lettermill.llm.surrogate import attempts_for, find, rewrite, surrogate, units, with_surrogates
-from lettermill.llm.toxicity import fit, fold, maximal_segments, score_toxicity, toxic_verdicts, without_toxic
+from lettermill.llm.toxicity import ToxicModel, _vocabularies, fit, fold, maximal_segments, score_toxicity, toxic_verdicts, without_toxic
 
 SPACES = r"[^\x20\x09-\x0D]+"
 
@@ -182,3 +185,68 @@ def test_too_few_surrogates_are_an_error(spark, monkeypatch):
     values = spark.createDataFrame([("SSN", f"{a}") for a in range(10)], "kind string, canon string")
     with pytest.raises(ValueError, match="SSN"):
         attempts_for(values, b"key")
+
+
+def test_words_are_told_apart():
+    """Words that a polynomial modulo 2 ** 64 takes for equal, whatever its base."""
+    x = "a"
+    while len(x) < 1024:
+        x += x.translate(str.maketrans("ab", "ba"))
+    y = x.translate(str.maketrans("ab", "ba"))
+    assert not np.intersect1d(wordhash.shingle_set(f"{x} p q r t"), wordhash.shingle_set(f"{y} p q r t")).size
+    assert measure(f"{x} 1 2 3 4 {y} 1 2 3 4")[4] == 0 and measure(f"{x} 1 2 3 4 {x} 1 2 3 4")[4] == 10
+    rnd = random.Random(1)
+    for _ in range(200):
+        texts = ["".join(rnd.choice("ab c\n\té\u65e5") for _ in range(rnd.randrange(0, 40))) + "q" * rnd.choice([0, 0, 9, 300]) if rnd.random() < 0.9 else None for _ in range(5)]
+        alone = [wordhash.shingle_set(t, 3) for t in texts]
+        (row, sizes, flat), = wordhash.shingle_sets(pa.array(texts, pa.string()), 3)
+        assert row == 0 and np.array_equal(flat, np.concatenate(alone)) and sizes.tolist() == [len(x) for x in alone]
+        words = [re.findall(SPACES, t or "") for t in texts]
+        assert sizes.tolist() == [len({tuple(w[k : k + 3]) for k in range(len(w) - 2)}) or bool(w) for w in words]
+
+
+def test_a_very_long_text():
+    text = " ".join(f"w{i % 200_000}" for i in range(14_000_000))  # over 100 MB
+    assert len(text) > 100_000_000
+    assert len(wordhash.shingle_set(text)) == 200_000
+    n, chars, symbols, dup, repeat, lines = measure(text)
+    assert (n, symbols, dup, lines) == (14_000_000, 0, 0, 1) and repeat == n and chars == len(text) - n + 1
+
+
+def test_long_texts_are_scored_in_parts(monkeypatch):
+    rnd = random.Random(2)
+    texts = pa.array([" ".join(rnd.choice(["gut", "Schuft", "lump!", "und", "Ä-b", "x" * 40]) for _ in range(n)) for n in (0, 3, 400, 1, 90)] + [None])
+    codes = np.sort(np.concatenate([k[:, 0] for t in ("schuft", "lump", "gut") for _, _, _, k in _vocabularies(pa.array([t]))]))
+    codes = codes[codes != 0]
+    model = ToxicModel(codes, np.linspace(-1, 2, len(codes)), 1.0, 1.0, 0.0, 1.0)
+    whole = list(model.read(texts))
+    monkeypatch.setattr(wordhash, "BLOCK", 50)
+    parts = list(model.read(texts))
+    assert [r[:2] for r in parts] == [r[:2] for r in whole] and [r[0] for r in whole] == list(range(6))
+    for a, b in zip(parts, whole, strict=True):
+        assert np.allclose(a[2], b[2]) if b[2] else not a[2]
+
+
+def test_fitted_weights_against_plain_log_odds(spark):
+    """Weights of both signs, as the Dirichlet prior gives them word by word."""
+    rnd = random.Random(5)
+    rows = []
+    for i in range(400):
+        toxic = int(i % 4 == 0)
+        w = [rnd.choice(["eins", "zwei", "drei"]) for _ in range(4)] + (["bös"] if toxic and rnd.random() < 0.9 else []) + (["lieb"] if not toxic and rnd.random() < 0.9 else []) + [f"n{i}"]
+        rows.append((i, " ".join(w), toxic))
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = fit(docs, labels)
+    counts = [collections.Counter(), collections.Counter()]
+    for text, label in {(t, x) for _, t, x in rows}:
+        counts[label].update({w[:k] for w in text.split() for k in (3, 4, 5, 6, 7, 8, 99) if k == 99 or k < len(w)} | set())
+    # a token and a stem that read alike are features of their own, so only whole words without a like stem are compared
+    n = [sum(len({(w, 0) for w in t.split()} | {(w[:k], k) for w in t.split() for k in (3, 4, 5, 6, 7, 8) if k < len(w)}) for t, x in {(t, x) for _, t, x in rows} if x == label) for label in (0, 1)]
+    share = 0.05
+    for word, sign in (("bös", 1), ("lieb", -1)):
+        y = [counts[k][word] for k in (0, 1)]
+        a = share * sum(y)
+        odds = [math.log((y[k] + a) / (n[k] + share * sum(n) - y[k] - a)) for k in (0, 1)]
+        code = next(k for _, _, _, k in _vocabularies(pa.array([word])))[0, 0]
+        got = model.weights[np.searchsorted(model.codes, code)]
+        assert sign * got > 0 and math.isclose(got, odds[1] - odds[0], rel_tol=1e-9), word
