@@ -27,7 +27,7 @@ _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8
 #: The first k bytes of a little-endian number.
 _FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 #: Bytes that are looked at together, and words longer than this are hashed one by one.
-BLOCK, LONG = 1 << 22, 256
+BLOCK, LONG = 1 << 20, 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
