@@ -18,6 +18,10 @@ from lettermill.llm.toxicity import fit, fold, without_toxic
 from lettermill.shipping import ship
 
 
+#: Words in a block of the mix: about a document, so that what shards take of one stays in few pieces.
+MIX_BLOCK = 512
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go; it learns from the labels of folds 0 and 2.
 
@@ -53,7 +57,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns pass through.
     """
     ship(spark)
-    return mixed_documents(docs)
+    return mixed_documents(docs, block=MIX_BLOCK)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
