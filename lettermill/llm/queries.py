@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
+from .bytepair import decoded, digests, encoded
+from .centroids import clustered, with_inertia
 from .common import read, written
+from .middle import fill_in_middle, restored
 from .mixing import mix
 from .neardup import near_duplicates
 from .ngram_join import similar
@@ -63,6 +66,46 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures", "sole_rule")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_in_middle(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(decoded(encoded(read(spark, sf_dir, "documents"))))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_inertia(*clustered(read(spark, sf_dir, "embeddings")))
+
+
+def _rounds_sql(rounds: int = 5, k: int = 40) -> str:
+    """Centroid clustering as SQL: each round compares all vectors with all centroids."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+        a{r} AS MATERIALIZED (
+            SELECT r, c, d FROM (SELECT r, c, sum((p.x - z.x) * (p.x - z.x)) AS d FROM p JOIN c{r} z USING (i) GROUP BY r, c)
+            QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)""")
+        if r < rounds:
+            steps.append(f"""
+        c{r + 1} AS MATERIALIZED (
+            SELECT z.c, z.i, coalesce((s - ((s % n) + n) % n) // n, z.x) AS x
+            FROM c{r} z LEFT JOIN (SELECT c, i, sum(x) AS s, count(*) AS n FROM a{r} JOIN p USING (r) GROUP BY c, i) USING (c, i))""")
+    return f"""
+        WITH v AS (
+            SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+        p AS MATERIALIZED (SELECT r, unnest(range(64)) AS i, CAST(floor(256 * unnest(e)) AS BIGINT) AS x FROM v),
+        c0 AS MATERIALIZED (SELECT c, i, x FROM (SELECT r, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c FROM v WHERE vec_id IS NOT NULL QUALIFY c < {k}) JOIN p USING (r)),
+        {",".join(steps)},
+        named AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+        SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+            CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+        FROM a{rounds} JOIN v USING (r) JOIN named USING (c)
+    """
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_embedding_neardup": op2_embedding_neardup,
@@ -74,6 +117,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_centroid_clustering": op13_centroid_clustering,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -123,4 +169,21 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id <> first THEN first END AS refers_to
         FROM p LEFT JOIN f USING (html)
     """,
+    "op11_fill_in_middle": """
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        h AS (
+            SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS x, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS y,
+                CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+                     WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM d),
+        c AS (
+            SELECT *, coalesce(array_to_string(u[1 : least(x, y)], ''), '') AS p, coalesce(array_to_string(u[least(x, y) + 1 : greatest(x, y)], ''), '') AS m,
+                coalesce(array_to_string(u[greatest(x, y) + 1 : n], ''), '') AS s
+            FROM h)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+        FROM c
+    """,
+    "op13_centroid_clustering": _rounds_sql(),
 }
