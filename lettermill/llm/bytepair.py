@@ -88,8 +88,15 @@ def _ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def _ranges(chars: set[str]) -> str:
+    """Characters as the ranges of a pattern's set."""
+    points = np.array(sorted(map(ord, chars)))
+    runs = np.split(points, np.flatnonzero(np.diff(points) > 1) + 1) if len(points) else []
+    return "".join(f"\\U{run[0]:08x}-\\U{run[-1]:08x}" for run in runs)
+
+
 @lru_cache(maxsize=1)
-def _classes() -> tuple[dict[str, str], re.Pattern]:
+def _classes() -> tuple[dict[str, str], set[str]]:
     """Class escapes with the sets that the tokenizer library means by them, whose Unicode is another version's than that of `regex`; and the characters that they differ in."""
     import tiktoken
 
@@ -98,27 +105,33 @@ def _classes() -> tuple[dict[str, str], re.Pattern]:
     for escape in (r"\p{L}", r"\p{N}"):
         found = tiktoken.Encoding("class", pat_str=escape, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={}).encode_ordinary(text)
         theirs, ours = set(bytes(found).decode()), set(regex.findall(escape, text))
-        less, more = (re.escape("".join(sorted(x))) for x in (ours - theirs, theirs - ours))
-        sets[escape] = "[" + (f"[{escape}--[{less}]]" if less else escape) + more + "]"
+        less = _ranges(ours - theirs)
+        sets[escape] = "[" + (f"[{escape}--[{less}]]" if less else escape) + _ranges(theirs - ours) + "]"
         differ |= ours ^ theirs
-    return sets, re.compile(f"[{re.escape(''.join(sorted(differ)))}]" if differ else "(?!)")
+    return sets, differ
 
 
 class BytePairs:
     """Encoder and decoder of a vocabulary file of ranks; texts are first split by a pattern into pieces that no merge crosses."""
 
     def __init__(self, path: str, pattern: str):
-        self.ranks, self.pattern = _ranks(path), regex.compile(pattern)
-        sets, self.differ = _classes()
+        self.ranks, self.plain = _ranks(path), regex.compile(pattern)
+        sets, differ = _classes()
         for escape, chars in sets.items():
             pattern = pattern.replace(escape, chars)
-        self.exact = regex.compile(pattern, regex.VERSION1)  # much slower: only for texts with characters that the libraries class differently
+        self.exact = regex.compile(pattern, regex.VERSION1)
+        # Python's own engine looks up the first 65,536 characters in a table, so most texts are cleared by one fast search
+        self.suspect = re.compile(f"[{_ranges({c for c in differ if c < chr(0x10000)})}\\U00010000-\\U0010FFFF]")
+        self.differ = re.compile(f"[{_ranges(differ)}]" if differ else "(?!)")
         self.parts = {v: k for k, v in self.ranks.items()}
         self._remembered = lru_cache(REMEMBERED)(lambda piece: merged(piece.encode(), self.ranks))
 
+    def splitter(self, text: str) -> regex.Pattern:
+        """The pattern as it is, unless the text has a character that the two libraries class differently: then one with exact sets, which is slower."""
+        return self.exact if not text.isascii() and self.suspect.search(text) and self.differ.search(text) else self.plain
+
     def _pieces(self, text: str) -> Iterator[list[int]]:
-        pattern = self.pattern if text.isascii() or not self.differ.search(text) else self.exact
-        for m in pattern.finditer(text):
+        for m in self.splitter(text).finditer(text):
             piece = m[0]
             yield self._remembered(piece) if len(piece) <= SHORT else merged(piece.encode(), self.ranks)
 
