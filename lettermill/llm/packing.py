@@ -25,6 +25,8 @@ K1, B, QUERY_TERMS = 1.2, 0.75, 24
 ROUTE_TERMS, PARTITIONS = 8, 4096
 #: The id that ends a document.
 END = 0
+#: A run of so much white space is encoded by the tokenizer file.
+LONG_SPACE = 10_000
 
 
 @lru_cache(maxsize=4)
@@ -32,7 +34,8 @@ def _encoder(name: str):
     """A function from texts to id lists: the byte-level BPE of the vocabulary file `name`.json.
 
     Where the same vocabulary lies beside it as ranks, those are used: the ids are the same and come four times as fast. A text in
-    which a special token is spelled out goes through the tokenizer file itself.
+    which a special token is spelled out, or which has a run of LONG_SPACE blanks, goes through the tokenizer file itself: the other
+    library looks back over such runs step by step and has no room for a million steps.
     """
     import public_tokenizers
     import tiktoken
@@ -43,10 +46,10 @@ def _encoder(name: str):
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    spelled = re.compile("|".join(map(re.escape, special)) or "(?!)")
+    careful = re.compile("|".join([*map(re.escape, special), rf"\s{{{LONG_SPACE}}}"]))
 
     def encode(text: str) -> list[int]:
-        if spelled.search(text):
+        if careful.search(text):
             return whole.encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 

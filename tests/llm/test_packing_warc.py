@@ -174,3 +174,20 @@ def test_archived(spark):
         assert (r.payload_bytes, r.payload_digest) == (len(html.encode()), hashlib.sha256(html.encode()).hexdigest())
         assert (r.record_type, r.refers_to, r.payload) == (("revisit", 3, None) if again else ("response", None, html))
     assert archived(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_long_runs_of_white_space(spark):
+    """Two megabytes of blanks, line ends and tabs: the ids of the tokenizer file, each in exactly one piece."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [c * 2_000_000 for c in (" ", "\n", "\t")] + ["Wort " + " " * 9_999 + "x", "a" + "\u2003" * 12_000 + "b", "kurz"]
+    rows = pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for i, text in enumerate(texts):
+        ids = np.array([*whole.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        at = 0
+        for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
