@@ -18,8 +18,8 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from .common import WORD, discard, written
 
 WEIGHTS = (5, 2, 1)
-#: Words in a block.
-BLOCK = 64
+#: Words in a block, and the fewest blocks of a source: those of a small one are shorter, down to a word.
+BLOCK, FEWEST = 64, 16
 #: Cells into which a source's documents are dealt, so that its running word count needs no single task.
 CELLS = 1024
 #: Shards into which a mix is dealt; each has quotas of its own.
@@ -95,7 +95,10 @@ def _shuffle_of(seed: int, source: str | None, n: int) -> tuple[int, int]:
 
 
 def source_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = BLOCK, seed: int = 42, shards: int = SHARDS) -> list[dict]:
-    """One entry per source, in code-point order with null last: size, target, quotas per shard and its block rearrangement."""
+    """One entry per source, in code-point order with null last: size, target, words in a block, quotas per shard and its block rearrangement.
+
+    Blocks are equal, but a source of fewer than FEWEST of them is cut into FEWEST shorter ones, so that its quota can come near its target.
+    """
     by_source = written(docs.groupBy("source").agg(F.sum("size").alias("size")), "mix-sources")
     if by_source.count() > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -104,13 +107,15 @@ def source_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
     sizes = [r["size"] for r in found]
     goal = targets_for(sizes, [weights[i % len(weights)] for i in range(len(found))], share, most)
-    blocks = [-(-n // block) for n in sizes]
-    quotas = shard_quotas(goal, round(sum(goal) / block), shards, [math.ceil(most) * n for n in blocks])
+    words = [max(1, min(block, -(-n // FEWEST))) for n in sizes]
+    blocks = [-(-n // w) for n, w in zip(sizes, words, strict=True)]
+    votes = [g / w for g, w in zip(goal, words, strict=True)]
+    quotas = shard_quotas(votes, round(sum(votes)), shards, [math.ceil(most) * n for n in blocks])
     plan = []
     for i, r in enumerate(found):
         own = [q[i] for q in quotas]
         a, c = _shuffle_of(seed, r["source"], max(1, blocks[i]))
-        plan.append({"source": r["source"], "source_size": sizes[i], "target": goal[i], "quotas": own, "ends": np.cumsum(own).tolist(), "blocks": max(1, blocks[i]), "a": a, "c": c})
+        plan.append({"source": r["source"], "source_size": sizes[i], "target": goal[i], "block": words[i], "quotas": own, "ends": np.cumsum(own).tolist(), "blocks": max(1, blocks[i]), "a": a, "c": c})
     return plan
 
 
@@ -120,7 +125,7 @@ def _placed(docs: DataFrame, plan: list[dict], seed: int, cells: int) -> DataFra
     Rows are dealt by source and cell once, for both the numbering within a cell and the join with the cells' offsets.
     """
     spark = docs.sparkSession
-    fields = {"source": "string", "source_size": "long", "target": "double", "blocks": "long", "a": "long", "c": "long", "ends": "array<long>"}
+    fields = {"source": "string", "source_size": "long", "target": "double", "block": "long", "blocks": "long", "a": "long", "c": "long", "ends": "array<long>"}
     plans = spark.createDataFrame([tuple(p[k] for k in fields) for p in plan], ", ".join(f"{k} {v}" for k, v in fields.items()))
     plans = plans.select(_named(F.col("source")).alias("__named"), *[F.col(k).alias(f"__{k}") for k in list(fields)[1:]])
     plans = F.broadcast(plans) if len(plan) <= BROADCAST_SOURCES else plans
@@ -137,16 +142,17 @@ def _named(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
 
 
-def takes(start: np.ndarray, size: np.ndarray, blocks: np.ndarray, a: np.ndarray, c: np.ndarray, ends: np.ndarray, block: int) -> dict[str, np.ndarray]:
-    """What a mix takes of documents: runs of words (row, time, shard, first, end), in order.
+def takes(start: np.ndarray, size: np.ndarray, blocks: np.ndarray, a: np.ndarray, c: np.ndarray, ends: np.ndarray, block: np.ndarray | int) -> dict[str, np.ndarray]:
+    """What a mix takes of documents: runs of words (row, time, shard, first, end), in order. block: words in a block of each one's source.
 
     A source's picks are numbered: whole passes over its stream in order, then blocks by its rearrangement (rank b -> (a * b + c) mod
     blocks). ends[k] is the number of picks that shards 0 to k take, so a pick's number gives its shard.
     """
+    block = np.broadcast_to(block, size.shape)
     n = np.where(size > 0, (start + size - 1) // block - start // block + 1, 0)
     row = np.repeat(np.arange(len(size)), n)
     b = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + (start // block)[row]
-    lo, hi = np.maximum(0, b * block - start[row]), np.minimum(size[row], (b + 1) * block - start[row])
+    lo, hi = np.maximum(0, b * block[row] - start[row]), np.minimum(size[row], (b + 1) * block[row] - start[row])
     passes, rest = ends[:, -1] // blocks, ends[:, -1] % blocks
     picks = [(np.flatnonzero(passes[row] > t), t) for t in range(int(passes.max(initial=0)))]
     parts = [(at, np.full(len(at), t), t * blocks[row[at]] + b[at]) for at, t in picks]
@@ -167,8 +173,8 @@ def takes(start: np.ndarray, size: np.ndarray, blocks: np.ndarray, a: np.ndarray
     return {"row": row[edge], "time": time[edge], "shard": shard[edge], "first": lo[edge], "end": hi[np.append(edge[1:], len(at))[: len(edge)] - 1]}
 
 
-def _taken(b: pa.RecordBatch, block: int) -> dict[str, np.ndarray]:
-    start, size, blocks, a, c = (b.column(k).to_numpy() for k in ("__start", "__size", "__blocks", "__a", "__c"))
+def _taken(b: pa.RecordBatch) -> dict[str, np.ndarray]:
+    start, size, block, blocks, a, c = (b.column(k).to_numpy() for k in ("__start", "__size", "__block", "__blocks", "__a", "__c"))
     ends = b.column("__ends")
     ends = ends.flatten().to_numpy().reshape(len(start), -1) if len(start) else np.zeros((0, 1), np.int64)
     return takes(start, size, blocks, a, c, ends, block)
@@ -193,7 +199,7 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 42, cells: int = CELLS,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t = _taken(b, block)
+            t = _taken(b)
             words = t["end"] - t["first"]
             taken = np.bincount(t["row"], weights=words, minlength=b.num_rows).astype(np.int64)
             shards = int(t["shard"].max(initial=0)) + 1
@@ -226,7 +232,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = 42, cells:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t = _taken(b, block)
+            t = _taken(b)
             if not len(t["row"]):
                 continue
             rows = b.column("__row")

@@ -162,3 +162,21 @@ def test_mix_with_clashing_names(spark):
     out = mixed_documents(docs)
     assert out.schema == docs.schema and {r.source for r in out.collect()} <= {"s", None} and all(r.text and r.n_chars == len(r.text) for r in out.collect())
     assert mix(docs).count() == 31
+
+
+def test_many_small_sources(spark):
+    """Sources smaller than a block come near their targets too, in counts and in texts."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(7)), f"s{i:03}", "", "") for i in range(200)]
+    rows += [(1000 + i, " ".join(f"v{i}x{k}" for k in range(65 * (i + 1))), f"t{i}", "", "") for i in range(4)] + [(2000, "ein", "u", "", ""), (2001, "", "leer", "", ""), (2002, None, "nichts", "", "")]
+    docs = docs_of(spark, rows)
+    got = mix(docs).collect()
+    assert sum(r.taken for r in got if r.size == 7) == pytest.approx(sum(r.target for r in got if r.size == 7), rel=0.05)
+    for r in got:
+        assert abs(r.taken - r.target) <= max(1, -(-r.source_size // 16)) and r.taken <= 2 * r.size, r
+    taken = {r.doc_id: r.taken for r in got}
+    for block in (64, 512):
+        words = {}
+        for r in mixed_documents(docs, block=block).collect():
+            words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())
+        assert all(abs(words.get(r.doc_id, 0) - r.target) <= max(1, -(-r.source_size // 16)) for r in got)
+        assert block != 64 or words == {k: n for k, n in taken.items() if n}
