@@ -17,8 +17,6 @@ from .common import discard, written
 
 #: Labelled documents that the model is fitted on at most, taken by a hash of their ids.
 SAMPLE_DOCS = 20_000
-#: Tokens with a weight, at most: what is broadcast is below 2 MB.
-MAX_FEATURES = 65_536
 #: Prior mass, as a share of all counted tokens, and the z that a token's log-odds must reach.
 PRIOR_SHARE, LEAST_Z = 0.05, 3.0
 #: What each token costs a segment, so that segments end.
@@ -197,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> Tox
         odds = lambda y, n: F.log((F.col(y) + a) / (F.lit(n + prior) - F.col(y) - a))
         weighed = counts_of.select("code", (odds("y1", n1) - odds("y0", n0)).alias("w"), F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a)).alias("sd"), ((F.col("y0") + a) / (n0 + prior)).alias("p"))
         z = F.abs(F.col("w") / F.col("sd"))
-        kept = weighed.where(z >= LEAST_Z).orderBy(F.desc(z), "code").limit(MAX_FEATURES).toPandas()
+        kept = weighed.where(z >= LEAST_Z).toPandas()  # tokens of at most SAMPLE_DOCS documents
         code = kept["code"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(code)
         codes, weights, chance = code[order], kept["w"].to_numpy()[order], kept["p"].to_numpy()[order]
