@@ -13,11 +13,12 @@ from typing import NamedTuple
 
 import regex
 
-from .patterns import IBAN_REPAIR_SITES, IBAN_REPAIRS, NOT_A_NAME, WB, WS
+from .patterns import IBAN_REPAIR_SITES, IBAN_REPAIRS, NOT_A_NAME, ODD_FOLDS, WS
 from .tolerance import readings
 
 _SPACES = re.compile(f"{WS}+")
 _STOP = re.compile(f"(?:^|{WS})(?:{'|'.join(NOT_A_NAME)})[.,;:]?(?:{WS}|$)")
+_ODD = re.compile(f"[{ODD_FOLDS}]")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}")
 _BLANK = frozenset(chr(c) for c in range(0x10000) if _SPACES.fullmatch(chr(c)))
 
@@ -52,15 +53,16 @@ def plausible_tax_id(value: str) -> bool:
     return len(d) == 11 and d[0] != "0" and len(set(first)) >= 8 and sum(first.count(c) > 1 for c in set(first)) <= 1
 
 
-def _valid_iban(compact: str) -> bool:
-    compact = compact.upper()
+def valid_iban(value: str) -> bool:
+    """Shape and remainder 1 modulo 97, without spaces and dashes, in any case."""
+    compact = _SPACES.sub("", value).replace("-", "").upper()
     return _IBAN.fullmatch(compact) is not None and int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
 
 
 def readable_iban(value: str) -> bool:
     """Valid as it stands, or with some of its few misread glyphs read otherwise."""
     compact = _SPACES.sub("", value).replace("-", "")
-    if _valid_iban(compact):
+    if valid_iban(compact):
         return True
     body = compact[2:]
     if len(compact) < 5 or not 0 < sum(c in IBAN_REPAIRS for c in body) <= IBAN_REPAIR_SITES:
@@ -68,7 +70,7 @@ def readable_iban(value: str) -> bool:
     read = [compact[:2]]
     for c in body:
         read = [r + x for r in read for x in c + IBAN_REPAIRS.get(c, "")]
-    return any(map(_valid_iban, read))
+    return any(map(valid_iban, read))
 
 
 def phone_length(value: str) -> bool:
@@ -80,7 +82,7 @@ def phone_length(value: str) -> bool:
 
 @lru_cache(maxsize=256)
 def _compiled(pattern: str) -> regex.Pattern:
-    return regex.compile(pattern.replace(WB, r"(?a:\b)"))
+    return regex.compile(pattern)
 
 
 def pattern_spans(text: str, recognisers: Iterable[tuple[int, str, str, int, Callable[[str], bool] | None, tuple[str, ...]]]) -> list[Span]:
@@ -94,6 +96,8 @@ def pattern_spans(text: str, recognisers: Iterable[tuple[int, str, str, int, Cal
             if value is None:
                 continue
             start = m.start() + (m[0].find(value) if group else 0)
+            if group and _ODD.search(text, m.start(), m.start(group)):
+                continue
             value = value.rstrip(" ")
             if value and (check is None or check(value)):
                 out.append(Span(start, start + len(value), value, kind, "pattern", 1000 + place))
@@ -110,77 +114,160 @@ def resolved(spans: list[Span]) -> list[Span]:
     return out
 
 
-class Places:
-    """Where values stand in a text as they may have been misread. The text's pairs of characters say where a value can begin at all."""
-
-    def __init__(self, text: str):
-        self.text = text
-        self.pairs: dict[str, list[int]] = {}
-        for i in range(len(text)):
-            self.pairs.setdefault(text[i : i + 2], []).append(i)
-
-    def of(self, value: str) -> list[tuple[int, int]]:
-        """Start and end of the value's places, left to right, without overlaps."""
-        units = readings(value)
-        out, last = [], 0
-        for at in sorted({i for begin in _beginnings(value) for i in self._where(begin)}):
-            if at >= last and (end := self._end(units, 0, at)) is not None and end > at:
-                out.append((at, end))
-                last = end
-        return out
-
-    def _where(self, begin: str) -> Iterable[int]:
-        if len(begin) == 2:
-            return self.pairs.get(begin, ())
-        return (i for pair, at in self.pairs.items() if pair[:1] == begin for i in at)
-
-    def _end(self, units: tuple[tuple[str, ...] | None, ...], k: int, at: int) -> int | None:
-        """Where a match of units from the k-th on ends that begins at `at`; the first reading that leads to the end counts, white space is taken whole."""
-        text = self.text
-        while k < len(units):
-            unit = units[k]
-            if unit is None:
-                stop = at
-                while stop < len(text) and text[stop] in _BLANK:
-                    stop += 1
-                if stop == at:
-                    return None
-                k, at = k + 1, stop
-                continue
-            fit = [r for r in unit if text.startswith(r, at)]
-            if not fit:
+def _end(text: str, units: tuple[tuple[str, ...] | None, ...], k: int, at: int) -> int | None:
+    """Where a match of units from the k-th on ends that begins at `at`; the first reading that leads to the end counts, white space is taken whole."""
+    while k < len(units):
+        unit = units[k]
+        if unit is None:
+            stop = at
+            while stop < len(text) and text[stop] in _BLANK:
+                stop += 1
+            if stop == at:
                 return None
-            if len(fit) > 1:
-                return next((end for r in fit if (end := self._end(units, k + 1, at + len(r))) is not None), None)
-            k, at = k + 1, at + len(fit[0])
-        return at
-
-
-@lru_cache(maxsize=1 << 16)
-def _beginnings(value: str) -> frozenset[str]:
-    """The first two characters that a place of the value can have, or the one that is all of it."""
-    heads = {""}
-    done: set[str] = set()
-    for unit in readings(value):
-        heads = {h + r for h in heads for r in (_BLANK if unit is None else unit)}
-        done |= {h[:2] for h in heads if len(h) >= 2}
-        heads = {h for h in heads if len(h) < 2}
-        if not heads:
-            break
-    return frozenset(done | heads)
+            k, at = k + 1, stop
+            continue
+        fit = [r for r in unit if text.startswith(r, at)]
+        if not fit:
+            return None
+        if len(fit) > 1:
+            return next((end for r in fit if (end := _end(text, units, k + 1, at + len(r))) is not None), None)
+        k, at = k + 1, at + len(fit[0])
+    return at
+
+
+@lru_cache(maxsize=1 << 14)
+def _head(units: tuple[tuple[str, ...] | None, ...]) -> re.Pattern:
+    """Finds where a value that begins with these one or two units can begin: at a first character of the one, before a first character of the other."""
+    sets = ["[" + re.escape("".join(sorted({r[0] for r in unit}))) + "]" if unit else WS for unit in units]
+    alone = len(sets) > 1 and units[0] and all(len(r) == 1 for r in units[0])
+    return re.compile(f"{sets[0]}(?={sets[1]})" if alone else sets[0])
+
+
+def _apart(text: str, value: str, starts: Iterable[int]) -> list[tuple[int, int]]:
+    """The value's places among ascending starts, left to right, without overlaps."""
+    units, out, last = readings(value), [], 0
+    for at in starts:
+        if at < last:
+            continue
+        # no reading of a piece begins like the piece itself, so the value as it is written is the only match where it stands
+        end = at + len(value) if text.startswith(value, at) else _end(text, units, 0, at)
+        if end is not None and end > at:
+            out.append((at, end))
+            last = end
+    return out
+
+
+class Automaton:
+    """Finds where any of many values stands in a text, however it may have been misread, in one run over the text.
+
+    Values are entered from their end into a trie whose edges are what a piece may have been read as, character by character, so a run from the
+    text's end stops where values begin. The sets of trie nodes that are alive at the same time are the automaton's states; they are made when a
+    text first leads to them, and each next character is then one look-up, whatever the number of values.
+    """
+
+    #: States kept; an automaton with more begins anew from the set that it is in.
+    MOST = 1 << 16
+
+    def __init__(self, values: Iterable[str]):
+        self.values = list(values)
+        self.edges: list[dict[str, set[int]]] = [{}]  # of each node of the trie: characters to nodes
+        self.begins: dict[int, list[int]] = {}  # nodes at which values are complete
+        children: dict[tuple[int, tuple[str, ...] | None], int] = {}
+        for i, value in enumerate(self.values):
+            at = 0
+            for unit in reversed(readings(value)):
+                if (at, unit) not in children:
+                    children[at, unit] = self._grown(at, unit)
+                at = children[at, unit]
+            if at:
+                self.begins.setdefault(at, []).append(i)
+        self._forget()
+
+    def _grown(self, parent: int, unit: tuple[str, ...] | None) -> int:
+        child = len(self.edges)
+        self.edges.append({})
+        if unit is None:  # one blank or more
+            for c in _BLANK:
+                self.edges[parent].setdefault(c, set()).add(child)
+                self.edges[child][c] = {child}
+            return child
+        for reading in unit:
+            at = parent
+            for k in range(len(reading) - 1, -1, -1):
+                to = child
+                if k:
+                    to = len(self.edges)
+                    self.edges.append({})
+                self.edges[at].setdefault(reading[k], set()).add(to)
+                at = to
+        return child
+
+    def _forget(self) -> None:
+        self.number: dict[frozenset[int], int] = {frozenset({0}): 0}
+        self.nodes: list[frozenset[int]] = [frozenset({0})]
+        self.steps: list[dict[str, int]] = [{}]
+        self.ended: list[list[int]] = [[]]
+
+    def _step(self, state: int, char: str) -> int:
+        to = frozenset().union({0}, *(self.edges[n].get(char, ()) for n in self.nodes[state]))
+        if len(self.nodes) > self.MOST and to not in self.number:
+            self._forget()
+            state = None
+        if to not in self.number:
+            self.number[to] = len(self.nodes)
+            self.nodes.append(to)
+            self.steps.append({})
+            self.ended.append(sorted(i for n in to for i in self.begins.get(n, ())))
+        if state is not None:
+            self.steps[state][char] = self.number[to]
+        return self.number[to]
+
+    def found(self, text: str) -> dict[int, list[tuple[int, int]]]:
+        """Of the values that stand in the text, by number: their places, left to right, without overlaps of one value."""
+        starts: dict[int, list[int]] = {}
+        state = 0
+        for at in range(len(text) - 1, -1, -1):
+            char = text[at]
+            following = self.steps[state].get(char)
+            state = self._step(state, char) if following is None else following
+            for i in self.ended[state]:
+                starts.setdefault(i, []).append(at)
+        return {i: _apart(text, self.values[i], reversed(many)) for i, many in sorted(starts.items())}
+
+    def places(self, text: str) -> list[list[tuple[int, int]]]:
+        """The places of each value."""
+        found = self.found(text)
+        return [found.get(i, []) for i in range(len(self.values))]
+
+
+#: From so many values on an automaton looks for all of them at once.
+MANY = 24
+
+
+@lru_cache(maxsize=16)
+def automaton(values: tuple[str, ...]) -> Automaton:
+    return Automaton(values)
+
+
+def places(text: str, values: tuple[str, ...], again: bool = False) -> list[list[tuple[int, int]]]:
+    """Of each value its places in the text. again: the values come with other texts too, so what is built for them is kept."""
+    if len(values) >= MANY:
+        return (automaton(values) if again else Automaton(values)).places(text)
+    return [_apart(text, v, (m.start() for m in _head(units[:2]).finditer(text))) if (units := readings(v)) else [] for v in values]
 
 
 def masked(text: str, recognisers: list, known: list[tuple[str, str]]) -> tuple[str, list[tuple[str, str, str, str]]]:
     """The text with tokens, and (token, original, type, strategy) of each in order of first appearance."""
-    places = Places(text)
-    spans = [Span(a, b, text[a:b], kind, "known-value", i) for i, (value, kind) in enumerate(known) for a, b in places.of(value)]
+    where = places(text, tuple(value for value, _ in known), again=True)
+    spans = [Span(a, b, text[a:b], kind, "known-value", i) for i, ((_, kind), many) in enumerate(zip(known, where, strict=True)) for a, b in many]
     first = resolved(spans + pattern_spans(text, recognisers))
     # each value found is looked for in the whole text; of one key the first span tells type and spelling
     keyed: dict[str, Span] = {}
     for s in first:
         if len(key := folded(s.original)) > 3:
             keyed.setdefault(key, s)
-    again = [Span(a, b, text[a:b], s.type, s.strategy, 100_000 + i) for i, s in enumerate(keyed.values()) for a, b in places.of(s.original)]
+    where = places(text, tuple(s.original for s in keyed.values()))
+    again = [Span(a, b, text[a:b], s.type, s.strategy, 100_000 + i) for i, (s, many) in enumerate(zip(keyed.values(), where, strict=True)) for a, b in many]
     tokens: dict[tuple[str, str], tuple[str, str, str, str]] = {}
     numbers: dict[str, int] = {}
     out, at = [], 0

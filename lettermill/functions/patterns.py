@@ -1,4 +1,4 @@
-"""Recognisers of personal data in German letters, as patterns that Spark's regular expressions run.
+"""Recognisers of personal data in German letters, as patterns that `finding` runs on each text.
 
 The word lists, tables and shapes below are fixed values: results depend on them exactly.
 """
@@ -7,12 +7,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-#: The white space and word boundary that the shapes mean, whatever the engine's own classes are.
+#: The white space and the ASCII word boundary that the shapes mean, whatever the engine's own classes are.
 WS = r"[ \t\n\x0B\f\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
-WB = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+WB = r"(?a:\b)"
 GAP = r"[ \t]*\n?[ \t]*"
 TITLE = r"(?:(?:Dr|Prof|Dipl)\.[ \t]*(?:med\.[ \t]*|jur\.[ \t]*|Ing\.[ \t]*)?)?"
 PHRASE = r"\p{Lu}[\p{L}'’\-]+(?:[ \t]+\p{Lu}[\p{L}'’\-]+){0,2}"
@@ -37,75 +34,13 @@ IBAN_REPAIR_SITES = 6
 ENTITY_TYPES = ("NAME", "ADDRESS", "DOB", "DATE", "STEUERID", "IBAN", "EMAIL", "PHONE", "AUSLNR", "AKTENZEICHEN", "INSURANCE", "PASSPORT", "POSTALCODE")
 
 
-def any_case(label: str) -> str:
-    """A label in any letter case, letter by letter, since engines fold letters differently."""
-    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() and len(c.upper()) == 1 else c for c in label)
-
-
-def labels(*names: str) -> str:
-    """Labels as alternatives; what is between < and > in a label is a pattern already."""
-    out = []
-    for name in names:
-        parts = name.replace(">", "<").split("<")
-        out.append("".join(p if i % 2 else any_case(p.replace(".", r"\.")) for i, p in enumerate(parts)))
-    return f"(?:{'|'.join(out)}){WS}*[:.]?{WS}*"
-
-
-def digits_of(value: Column) -> Column:
-    return F.regexp_replace(value, "[^0-9]", "")
-
-
-STOP_WORD = f"(?:^|{WS})(?:{'|'.join(NOT_A_NAME)})[.,;:]?(?:{WS}|$)"
-
-
-def plausible_name(value: Column) -> Column:
-    """At least three characters, no word of the stop list, not one word in capitals."""
-    name = F.trim(value)
-    one_in_capitals = ~name.rlike(WS) & (name == F.upper(name))
-    return (F.length(name) >= 3) & ~F.lower(name).rlike(STOP_WORD) & ~one_in_capitals
-
-
-def plausible_tax_id(value: Column) -> Column:
-    """Eleven digits, no leading zero; of the first ten at least eight differ and at most one repeats."""
-    d = digits_of(value)
-    first = F.split(F.substring(d, 1, 10), "")
-    first = F.filter(first, lambda c: c != "")
-    kinds = F.array_distinct(first)
-    repeated = F.filter(kinds, lambda c: F.size(F.filter(first, lambda x: x == c)) > 1)
-    return (F.length(d) == 11) & ~d.startswith("0") & (F.size(kinds) >= 8) & (F.size(repeated) <= 1)
-
-
-def iban_valid(value: Column) -> Column:
-    """Shape and remainder 1 modulo 97, without spaces and dashes, in any case."""
-    compact = F.upper(F.regexp_replace(value, rf"{WS}|-", ""))
-    turned = F.concat(F.substring(compact, 5, 34), F.substring(compact, 1, 4))
-    # a letter stands for two digits, so it moves the remainder on by 100
-    rest = F.aggregate(
-        F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0),
-        lambda acc, c: F.when(c.rlike("[0-9]"), (acc * 10 + F.ascii(c) - 48) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97),
-    )
-    return compact.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}$") & (rest == 1)
-
-
-def iban_variants(value: Column) -> Column:
-    """The value and, if it has few enough misread glyphs, what they may have been; the country code stays."""
-    compact = F.regexp_replace(value, rf"{WS}|-", "")
-    repairs = F.create_map(*[F.lit(x) for k, v in IBAN_REPAIRS.items() for x in (k, v)])
-    body = F.filter(F.split(F.substring(compact, 3, 60), ""), lambda c: c != "")
-    sites = F.size(F.filter(body, lambda c: c.isin(list(IBAN_REPAIRS))))
-    # grows the list of readings glyph by glyph: at most 3 ** IBAN_REPAIR_SITES of them
-    options = F.transform(body, lambda c: F.concat(F.array(c), F.filter(F.split(F.coalesce(repairs[c], F.lit("")), ""), lambda x: x != "")))
-    read = F.aggregate(options, F.array(F.upper(F.substring(compact, 1, 2))), lambda acc, o: F.flatten(F.transform(o, lambda c: F.transform(acc, lambda a: F.concat(a, F.upper(c))))))
-    return F.when((sites > 0) & (sites <= IBAN_REPAIR_SITES) & (F.length(compact) >= 5), read).otherwise(F.array(compact))
-
-
-def iban_readable(value: Column) -> Column:
-    """Valid as it stands, or in one of its readings."""
-    return F.when(iban_valid(value), True).otherwise(F.exists(iban_variants(value), iban_valid))
+#: Letters that an engine takes for i, s or k when it ignores case, but that are none in a label.
+ODD_FOLDS = "ıİſ\u212a"
 
 
-def phone_length(value: Column) -> Column:
-    return F.length(digits_of(value)).between(7, 15)
+def labels(names: str) -> str:
+    """Labels, as alternatives of a pattern, in any letter case, with what may stand behind them."""
+    return f"(?i:{names}){WS}*[:.]?{WS}*"
 
 
 @dataclass(frozen=True)
@@ -133,11 +68,11 @@ RECOGNISERS: list[Recogniser] = [
     Recogniser("NAME", rf"{_KIN}{GAP}{TITLE}({PHRASE})", 1, "plausible_name"),
     Recogniser("EMAIL", rf"{WB}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}{WB}", hints=("@",)),
     Recogniser("IBAN", rf"{WB}[A-Z]{{2}}[0-9GgOoQDLlIi|SsBZzTq]{{2}}(?:[ ]?[A-Z0-9gioqdlszt|]{{4}}){{2,7}}(?:[ ]?[A-Z0-9gioqdlszt|]{{1,4}})?{WB}", 0, "readable_iban"),
-    Recogniser("AUSLNR", labels("Ausländernummer", "Auslaendernummer", "AZR-Nummer", "ZAR-Nummer") + r"([A-Za-z0-9][A-Za-z0-9\-/ ]{4,20}[A-Za-z0-9])", 1),
-    Recogniser("AKTENZEICHEN", labels("Aktenzeichen", "Az.", "Gesch.-Z.", "Geschäftszeichen", "Vorgangsnummer", "Kundennummer") + r"([A-Za-z0-9][A-Za-z0-9\-/. ]{3,25}[A-Za-z0-9])", 1),
-    Recogniser("STEUERID", labels("Steuer<-?>ID", "Steuer<-?>Identifikationsnummer", r"IdNr<\.?>", "Steuernummer") + r"([0-9 ]{11,17})", 1),
-    Recogniser("INSURANCE", labels("Krankenversicherungsnummer", "Versichertennummer", "Sozialversicherungsnummer") + r"([A-Za-z]?[0-9 ]{8,14}[A-Za-z]?)", 1),
-    Recogniser("PASSPORT", labels("Passnummer", "Reisepassnummer", "Reisepass", "Ausweisnummer") + r"([A-Za-z0-9]{6,12})", 1),
+    Recogniser("AUSLNR", labels("Ausländernummer|Auslaendernummer|AZR-Nummer|ZAR-Nummer") + r"([A-Za-z0-9][A-Za-z0-9\-/ ]{4,20}[A-Za-z0-9])", 1),
+    Recogniser("AKTENZEICHEN", labels(r"Aktenzeichen|Az\.|Gesch\.-Z\.|Geschäftszeichen|Vorgangsnummer|Kundennummer") + r"([A-Za-z0-9][A-Za-z0-9\-/. ]{3,25}[A-Za-z0-9])", 1),
+    Recogniser("STEUERID", labels(r"Steuer-?ID|Steuer-?Identifikationsnummer|IdNr\.?|Steuernummer") + r"([0-9 ]{11,17})", 1),
+    Recogniser("INSURANCE", labels("Krankenversicherungsnummer|Versichertennummer|Sozialversicherungsnummer") + r"([A-Za-z]?[0-9 ]{8,14}[A-Za-z]?)", 1),
+    Recogniser("PASSPORT", labels("Passnummer|Reisepassnummer|Reisepass|Ausweisnummer") + r"([A-Za-z0-9]{6,12})", 1),
     Recogniser("STEUERID", rf"{WB}[0-9]{{2}}[ ]?[0-9]{{3}}[ ]?[0-9]{{3}}[ ]?[0-9]{{3}}{WB}", 0, "plausible_tax_id"),
     Recogniser("PHONE", rf"(?:(?:\+|00)49|\(0\)|{WB}0)(?:{WS}|[\-/])?[0-9]{{2,5}}(?:{WS}|[\-/])?[0-9]{{3,9}}(?:(?:{WS}|[\-/])?[0-9]{{1,6}})?{WB}", 0, "phone_length"),
     Recogniser("ADDRESS", rf"{WB}[0-9]{{5}}{WS}+{UPPER}{LOWER}+(?:[ -]{UPPER}{LOWER}+)*"),

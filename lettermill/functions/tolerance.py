@@ -1,10 +1,11 @@
-"""Patterns that find a known value in text that was read by a machine, and an independent similarity scan for what they miss."""
+"""Patterns that find a known value in text that was read by a machine."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import product
 
 import pandas as pd
 import pyarrow as pa
@@ -24,33 +25,37 @@ CONFUSIONS = {
 }
 I_FAMILY = ("i", "ı", "I", "İ")
 TOLERANT_FROM = 5
-RESIDUE_FROM = 0.8
 
 
 def _cased(options: tuple[str, ...]) -> tuple[str, ...]:
-    """The readings in any letter case, longest first."""
-    cased = dict.fromkeys(v for r in options for v in (r, r.lower() if r not in I_FAMILY else r, r.upper() if len(r.upper()) == len(r) and r not in I_FAMILY else r))
+    """The readings with each letter in either case, longest first; a single i stands for itself, as its family is spelled out."""
+    either = lambda c: dict.fromkeys(x for x in (c, c.lower(), c.upper()) if len(x) == 1)
+    cased = dict.fromkeys("".join(v) for r in options for v in ([r] if r in I_FAMILY else product(*map(either, r))))
     return tuple(sorted(cased, key=len, reverse=True))
 
 
+_PIECE = re.compile(r"\s+|.", re.S)
+_WIDE_PIECE = re.compile(rf"\s+|(?i:{'|'.join(DIGRAPHS)})|.", re.S)
+
+
+@lru_cache(maxsize=1 << 14)
+def _read(piece: str, wide: bool) -> tuple[str, ...] | None:
+    if piece.isspace():
+        return None
+    if len(piece) == 2:
+        return _cased(DIGRAPHS[piece.lower()])
+    if wide:
+        known = next((CONFUSIONS[k] for k in (piece, piece.lower(), piece.upper()) if k in CONFUSIONS), None)
+    else:
+        known = I_FAMILY if piece in I_FAMILY else None
+    return _cased(known or (piece,))
+
+
 @lru_cache(maxsize=1 << 16)
 def readings(value: str) -> tuple[tuple[str, ...] | None, ...]:
     """What each piece of the value may have been read as, in order of preference; None for white space, which matches any. Short values only fold the four i's."""
     wide = len(value) >= TOLERANT_FROM
-    unit = re.compile(r"\s+|" + ("(?i:" + "|".join(DIGRAPHS) + ")|" if wide else "") + ".", re.S)
-
-    def piece(x: str) -> tuple[str, ...] | None:
-        if x.isspace():
-            return None
-        if len(x) == 2:
-            return _cased(DIGRAPHS[x.lower()])
-        if wide:
-            known = next((CONFUSIONS[k] for k in (x, x.lower(), x.upper()) if k in CONFUSIONS), None)
-        else:
-            known = I_FAMILY if x in I_FAMILY else None
-        return _cased(known or (x,))
-
-    return tuple(piece(m[0]) for m in unit.finditer(value))
+    return tuple(_read(x, wide) for x in (_WIDE_PIECE if wide else _PIECE).findall(value))
 
 
 @lru_cache(maxsize=4096)
@@ -80,24 +85,3 @@ def similarity(a: Column, b: Column) -> Column:
     """1 less the edit distance over the longer length; 1 for two empty strings."""
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
-
-
-def residue(masked: Column, value: Column, least: float = RESIDUE_FROM) -> Column:
-    """struct(value, window, score) of the stretch of masked text most like the value, null if none reaches `least`.
-
-    Windows have three quarters to five quarters of the value's length, 4 at least. Those that hold too many characters foreign to the value
-    can't reach the threshold and are dropped before distances are computed. Of equal scores the shorter, then the leftmost window wins.
-    """
-    hay = F.regexp_replace(masked, r"\[\[[A-Z]+_[0-9]+\]\]", " ")
-    needle, w = F.lower(value), F.length(value)
-    low = F.lower(hay)
-    sizes = F.sequence(F.greatest(F.lit(4), F.floor(w * 0.75).cast("int")), F.ceil(w * 1.25).cast("int"))
-    places = lambda n: F.when(F.length(hay) >= n, F.sequence(F.lit(1), F.length(hay) - n + 1)).otherwise(F.array().cast("array<int>"))
-    alphabet = F.concat(F.lit("[^"), F.regexp_replace(needle, r"([\\\]\[^&\-])", r"\\$1"), F.lit("]"))
-
-    def windows(n: Column) -> Column:
-        likely = F.filter(places(n), lambda i: F.length(F.regexp_replace(F.substr(low, i, n), alphabet, "")) >= n - (1 - least) * F.greatest(n, w))
-        return F.transform(likely, lambda i: F.struct(F.round(similarity(F.substr(low, i, n), needle), 12).alias("score"), (-n).alias("short"), (-i).alias("left"), F.substr(hay, i, n).alias("window")))
-
-    best = F.array_max(F.flatten(F.transform(sizes, windows)))
-    return F.when((w > 0) & (best["score"] >= least), F.struct(value.alias("value"), best["window"].alias("window"), best["score"].alias("score")))

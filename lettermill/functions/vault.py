@@ -44,12 +44,17 @@ def _random(values: pa.Array) -> pa.Array:
 _fresh = F.arrow_udf(_random, T.BinaryType()).asNondeterministic()
 
 
+def once(value: Column) -> Column:
+    """value, worked out once for a row however often a plan uses it: Spark repeats nothing that depends on the task, and lets no filter on it sink."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def seal(value: Column, key: bytes, bound: Column) -> Column:
     """struct(iv, ciphertext, auth_tag, key_version), in base64; a new random iv for each value, drawn where and when its row is made."""
     raw = F.aes_encrypt(value.cast("binary"), F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), _fresh(value), bound.cast("binary"))
     part = lambda r, start, n: F.base64(F.substr(r, start if isinstance(start, Column) else F.lit(start), n if isinstance(n, Column) else F.lit(n)))
     cut = lambda r: F.struct(part(r, 1, 12).alias("iv"), part(r, 13, F.octet_length(r) - 28).alias("ciphertext"), part(r, F.octet_length(r) - 15, 16).alias("auth_tag"), F.lit(KEY_VERSION).alias("key_version"))
-    return F.transform(F.array(raw), cut)[0]  # the array names the sealed bytes, which are worked out once
+    return F.transform(F.array(once(raw)), cut)[0]  # the array names the sealed bytes
 
 
 def opened(sealed: Column, key: bytes, bound: Column) -> Column:
@@ -77,7 +82,7 @@ def sealed_matches(df: DataFrame, key: bytes, user: str = "user_id", document: s
 def opened_vault(vault: DataFrame, key: bytes) -> DataFrame:
     """The vault with `original`; rows that do not open are left out."""
     sealed = F.struct("iv", "ciphertext", "auth_tag")
-    return vault.withColumn("original", opened(sealed, key, scope(F.col("user_id"), F.col("document_id"), F.col("token")))).where(F.col("original").isNotNull())
+    return vault.withColumn("original", once(opened(sealed, key, scope(F.col("user_id"), F.col("document_id"), F.col("token"))))).where(F.col("original").isNotNull())
 
 
 def sealed_profiles(users: DataFrame, key: bytes, fields: Sequence[str], user: str = "user_id") -> DataFrame:
@@ -101,7 +106,7 @@ def rotated(vault: DataFrame, old: bytes, new: bytes) -> tuple[DataFrame, DataFr
     The first is only to be written through rotated_checked, which looks at the counts.
     """
     bound = scope(F.col("user_id"), F.col("document_id"), F.col("token"))
-    plain = vault.withColumn("__plain", opened(F.struct("iv", "ciphertext", "auth_tag"), old, bound))
+    plain = vault.withColumn("__plain", once(opened(F.struct("iv", "ciphertext", "auth_tag"), old, bound)))
     again = plain.withColumn("__new", seal(F.col("__plain"), new, bound))
     check = again.agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("__plain").isNull()).alias("unreadable"),

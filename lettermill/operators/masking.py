@@ -5,8 +5,9 @@ Texts are searched once, in Arrow batches with patterns compiled once for each w
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,23 @@ PROFILE_FIELDS = {
 }
 
 
+def _checked(check: Callable[[str], bool]) -> Callable[[Column], Column]:
+    """What the recognisers check of a value, for a column of values; null for null."""
+
+    def column(value: Column) -> Column:
+        @F.arrow_udf(T.BooleanType())
+        def run(values: pa.Array) -> pa.Array:
+            return pa.array([None if v is None else check(v) for v in values.to_pylist()], pa.bool_())
+
+        return run(value)
+
+    return column
+
+
+plausible_name, plausible_tax_id, phone_length = map(_checked, (finding.plausible_name, finding.plausible_tax_id, finding.phone_length))
+iban_valid, iban_readable = map(_checked, (finding.valid_iban, finding.readable_iban))
+
+
 def neutralised(text: Column) -> Column:
     """Token-like text of the input loses its brackets, so it can never stand for a value."""
     return F.regexp_replace(text, TOKEN, "⟦⟧$1_$2⟦⟧")
@@ -79,6 +97,15 @@ def known_values(profile: Column, fields: Sequence[str]) -> Column:
     return F.transform(F.array_sort(ranked), lambda r: r["e"])
 
 
+def _lists(rows: Iterable[Sequence[tuple[str, ...]]], names: Sequence[str]) -> tuple[pa.Array, pa.Array]:
+    """Lists of tuples of strings as an array of lists of structs, and their lengths."""
+    rows = list(rows)
+    sizes = np.fromiter(map(len, rows), np.int32, len(rows))
+    flat = [x for row in rows for x in row]
+    structs = pa.StructArray.from_arrays([pa.array([x[k] for x in flat], pa.string()) for k in range(len(names))], list(names))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), structs), pa.array(sizes)
+
+
 def masked(df: DataFrame, text: str = "text", profile: str | None = None, only: Sequence[str] | None = None) -> DataFrame:
     """df with masked_text, matches and n_masked.
 
@@ -93,22 +120,69 @@ def masked(df: DataFrame, text: str = "text", profile: str | None = None, only:
         if only is not None:
             known = F.filter(known, lambda e: e["type"].isin(list(only)))
     chosen = _chosen(only)
-    match = pa.struct([(k, pa.string()) for k in ("token", "original", "type", "strategy")])
 
     @F.arrow_udf(f"struct<masked_text:string,matches:{MATCHES},n_masked:int>")
     def run(texts: pa.Array, values: pa.Array) -> pa.Array:
-        out, found = [], []
-        for t, known in zip(texts.to_pylist(), values.to_pylist(), strict=True):
-            new, tokens = finding.masked(t, chosen, [(e["value"], e["type"]) for e in known or ()])
-            out.append(new)
-            found.append([dict(zip(("token", "original", "type", "strategy"), x, strict=True)) for x in tokens])
-        sizes = pa.array([len(x) for x in found], pa.int32())
-        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(found, pa.list_(match)), sizes], ["masked_text", "matches", "n_masked"])
-
-    made = df.select(*[F.col(f"`{c}`") for c in columns], run(F.coalesce(neutralised(F.col(text)), F.lit("")), known).alias("__made"))
+        ends = values.offsets.to_numpy()
+        kinds = list(zip(*(values.values.field(k).to_pylist() for k in ("value", "type")), strict=True))
+        rows = [finding.masked(t, chosen, kinds[a:b]) for t, a, b in zip(texts.to_pylist(), ends[:-1], ends[1:], strict=True)]
+        matches, sizes = _lists((tokens for _, tokens in rows), ("token", "original", "type", "strategy"))
+        return pa.StructArray.from_arrays([pa.array([new for new, _ in rows], pa.string()), matches, sizes], ["masked_text", "matches", "n_masked"])
+
+    # not deterministic for Spark, which then neither repeats it nor pulls a filter on what it makes below an exchange, and so masks a text once
+    made = df.select(*[F.col(f"`{c}`") for c in columns], run.asNondeterministic()(F.coalesce(neutralised(F.col(text)), F.lit("")), known).alias("__made"))
     return made.select(*[F.col(f"`{c}`") for c in columns], "__made.masked_text", "__made.matches", "__made.n_masked")
 
 
+PLACES = T.ArrayType(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
+
+
+@F.arrow_udf(PLACES)
+def value_places(texts: pa.Array, values: pa.Array) -> pa.Array:
+    """For each value of an array, the places (start, end) of a text at which it stands, however it may have been misread. Null without text or values; a null value stands nowhere."""
+    out = []
+    for text, many in zip(texts.to_pylist(), values.to_pylist(), strict=True):
+        found = None if text is None or many is None else finding.places(text, tuple(v or "" for v in many))
+        out.append(found and [[{"start": a, "end": b} for a, b in places] for places in found])
+    return pa.array(out, pa.list_(pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
+
+
+#: Values that one automaton looks for; of more, several are made and the texts are read once for each.
+MOST_VALUES = 50_000
+
+
+def known_places(df: DataFrame, values: DataFrame, key: str, text: str = "text", most: int = MOST_VALUES) -> DataFrame:
+    """key, value, start, end: where the values (a column `value`) stand in the texts, however they may have been misread.
+
+    Each of the distinct values is looked for, whatever their number: at most `most` at a time reach the driver and go to the tasks, where one
+    automaton finds them in one run over each text. Null texts hold nothing; null and empty values stand nowhere; without values there are no rows.
+    """
+    spark = df.sparkSession
+    kind = df.schema[key].dataType.simpleString()
+    distinct = values.select(F.col("value").cast("string").alias("value")).where("value <> ''").distinct()
+    parts = max(1, -(-distinct.count() // (most // 2)))  # half as many as may be, so that no part by hash comes near the most
+    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where("text <> ''")
+
+    def looked_for(part: int) -> DataFrame:
+        own = tuple(sorted(r.value for r in distinct.where(F.pmod(F.xxhash64("value"), F.lit(parts)) == part).collect()))
+        shared = spark.sparkContext.broadcast(own)
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+            machine = finding.automaton(shared.value)
+            for b in batches:
+                hits = [(row, i, a, e) for row, text in enumerate(b.column("text").to_pylist()) for i, places in machine.found(text).items() for a, e in places]
+                at, found, starts, ends = zip(*hits, strict=True) if hits else ((), (), (), ())
+                columns = [b.column("key").take(pa.array(at, pa.int64())), pa.array([shared.value[i] for i in found], pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "value", "start", "end"])
+
+        return rows.mapInArrow(run, f"key {kind}, value string, start int, end int")
+
+    out = looked_for(0)
+    for part in range(1, parts):
+        out = out.union(looked_for(part))
+    return out.withColumnRenamed("key", key)
+
+
 def unmasked(text: Column, matches: Column) -> Column:
     """Tokens back to originals; a token that has none stays. Tokens end in brackets and originals hold none, so order does not matter."""
     return F.aggregate(matches, F.coalesce(text, F.lit("")), lambda acc, m: F.replace(acc, m["token"], m["original"]))
@@ -143,9 +217,10 @@ def leaks(text: Column, matches: Column) -> Column:
 
 
 def gated(df: DataFrame, text: str = "masked_text", matches: str = "matches") -> tuple[DataFrame, DataFrame]:
-    """(rows that may go on, rows with leaks and their types). Nothing that leaks ever passes, whoever reads it."""
+    """(rows that may go on, rows with leaks and their types). Nothing that leaks ever passes, whoever reads it; nor does a row without matches to check, whose leaks are null."""
     checked = df.withColumn("leaks", leaks(F.col(text), F.col(matches)))
-    return checked.where(F.size("leaks") == 0).drop("leaks"), checked.where(F.size("leaks") > 0)
+    clean = F.coalesce(F.size("leaks") == 0, F.lit(False))
+    return checked.where(clean).drop("leaks"), checked.where(~clean)
 
 
 def token_census(df: DataFrame, text: str = "masked_text") -> DataFrame:
