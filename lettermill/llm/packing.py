@@ -46,10 +46,10 @@ def _encoder(name: str):
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    careful = re.compile("|".join([*map(re.escape, special), rf"\s{{{LONG_SPACE}}}"]))
+    space = re.compile(rf"\s{{{LONG_SPACE}}}")
 
     def encode(text: str) -> list[int]:
-        if careful.search(text):
+        if any(s in text for s in special) or len(text) >= LONG_SPACE and space.search(text):
             return whole.encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
