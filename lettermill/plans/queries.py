@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import binary, dates, jsonx, residue, text, tolerance, vault
-from ..operators import evals, joins, masking, store
-from ..sources import sinks, tables
+from ..functions import binary, dates, jsonx, residue, schedule, text, tolerance, vault
+from ..operators import evals, joins, masking, partitions, store
+from ..sources import scratch, sinks, tables
 from ..streaming import events as ev
+from ..streaming import timed
 from . import letters as ltr
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -255,7 +256,7 @@ def known_words_in_documents(spark, sf_dir):
     return found.groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""
+@query(rf"""
     WITH s AS (SELECT c_custkey, {_list(ltr.STREETS)}[c_custkey % 5 + 1] || ' ' || (c_custkey % 90 + 1) AS street, {_list(ltr.GIVEN)}[c_nationkey % 5 + 1] || ' ' || {_list(ltr.FAMILY)}[(c_nationkey // 5) % 5 + 1] AS name FROM customer),
     t AS (SELECT *, 'Herrn [[NAME_1]], Ihr Antrag aus der ' || CASE c_custkey % 4 WHEN 0 THEN translate(street, 'ßa', 'Bo') WHEN 1 THEN reverse(street) WHEN 2 THEN substr(street, 3) ELSE replace(street, 'e', 'ee') END
             || ' vom [[DATE_1]] liegt vor. ' || CASE c_custkey % 3 WHEN 0 THEN upper(translate(name, 'l', '1')) WHEN 1 THEN substr(name, 5) ELSE '' END AS text FROM s),
@@ -409,6 +410,67 @@ def purge_expired_counts(spark, sf_dir):
     return store.purged(_purgeable(spark, sf_dir), now())[1].select("table_name", "deleted_count")
 
 
+@query(f"""
+    WITH t AS (
+        SELECT 'pii_vault' AS table_name, CAST(l_shipdate AS TIMESTAMP) AS t FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT 'drafts', l_shipdate FROM lineitem WHERE l_returnflag = 'A'
+        UNION ALL SELECT 'analyses', o_orderdate FROM orders UNION ALL SELECT 'reminders', l_shipdate FROM lineitem WHERE l_returnflag = 'N' UNION ALL SELECT 'documents', o_orderdate FROM orders WHERE o_orderstatus = 'F'
+        UNION ALL SELECT 'users', CASE WHEN c_acctbal < 0 THEN TIMESTAMP '1996-01-01' END FROM customer)
+    SELECT table_name, count(*) FILTER (t < TIMESTAMP '{NOW}') AS deleted_count, count(*) FILTER (t IS NULL OR t >= TIMESTAMP '{NOW}') AS kept_count FROM t GROUP BY table_name""")
+def purge_by_partition(spark, sf_dir):
+    """Tables laid out by the month in which rows expire: whole months go as folders, only the present one is read and written again."""
+    counts = []
+    for name, rows in _purgeable(spark, sf_dir).items():
+        path = scratch.folder(spark, f"expiring-{name}")
+        partitions.written_by_expiry(rows, path, unit="month")
+        deleted = partitions.purged_by_expiry(spark, path, now(), unit="month")
+        counts.append((name, deleted, spark.read.parquet(path).count()))
+    return spark.createDataFrame(counts, "table_name string, deleted_count long, kept_count long")
+
+
+@query("""
+    WITH d AS (SELECT o_orderstatus, c_acctbal > -500 AS known FROM orders JOIN customer ON o_custkey = c_custkey)
+    SELECT 'documents' AS table_name, 'unknown status' AS violation, count(*) FILTER (o_orderstatus = 'P') AS n, count(*) FILTER (o_orderstatus <> 'P' AND known) AS rows_after FROM d UNION ALL
+    SELECT 'documents', 'unknown user_id', count(*) FILTER (NOT known), count(*) FILTER (o_orderstatus <> 'P' AND known) FROM d UNION ALL
+    SELECT 'drafts', 'sent without approval', count(*) FILTER (o_orderstatus <> 'F'), count(*) FROM d UNION ALL
+    SELECT 'reminders', 'repeated id', (SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1)), 0""")
+def checked_write_refused(spark, sf_dir):
+    """Tables with rows that break constraints are refused in the pass that writes them, and what was there before stays."""
+    order, customer = tables.table(spark, sf_dir, "orders"), tables.table(spark, sf_dir, "customer")
+    users = customer.where("c_acctbal > -500").select(F.col("c_custkey").cast("string").alias("id"))
+    status = F.when(F.col("o_orderstatus") == "F", "analyzed").when(F.col("o_orderstatus") == "O", "received").otherwise("pending")
+    documents = order.select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("user_id"), status.alias("status"))
+    good = documents.where("status <> 'pending'").join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi").select(*documents.columns)
+    state = F.when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "O", "draft").otherwise("pending_approval")
+    drafts = order.select(F.col("o_orderkey").cast("string").alias("id"), state.alias("status"), F.when(state == "approved", now()).alias("approved_at"))
+    reminders = tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("id"), F.lit("scheduled").alias("status"))
+    out = []
+    for name, first, then, parents, before in (
+        ("documents", good, documents, {"users": users}, None), ("drafts", drafts, drafts.withColumn("status", F.lit("sent")), {}, drafts), ("reminders", reminders.limit(0), reminders, {}, None),
+    ):
+        path = scratch.folder(spark, f"checked-{name}")
+        partitions.checked_write(first, name, path, parents)
+        try:
+            partitions.checked_write(then, name, path, parents, before)
+        except partitions.RefusedError as refused:
+            after = spark.read.parquet(path).count()
+            out += [(name, what, n, after) for what, n in refused.counts.items()]
+    return spark.createDataFrame(out, "table_name string, violation string, n long, rows_after long")
+
+
+@query("""
+    WITH t AS (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey * 37 % 86400) AS at FROM orders),
+    scan AS (SELECT unnest(generate_series(TIMESTAMP '1992-01-01 00:00:00', TIMESTAMP '2005-01-08 00:00:00', INTERVAL 30 MINUTE)) AS scanned_at),
+    night AS (SELECT unnest(generate_series(TIMESTAMP '1992-01-01 03:00:00', TIMESTAMP '2005-01-08 03:00:00', INTERVAL 1 DAY)) AS purged_at),
+    week AS (SELECT purged_at + INTERVAL '5 hours 15 minutes' AS reported_at FROM night WHERE dayofweek(purged_at) IN (1, 4) AND month(purged_at) <> 8)
+    SELECT o_orderkey, scanned_at, purged_at, reported_at FROM t ASOF JOIN scan ON t.at <= scanned_at ASOF JOIN night ON t.at <= purged_at ASOF JOIN week ON t.at <= reported_at""")
+def next_scans(spark, sf_dir):
+    """When a half-hourly scan, a nightly purge and a report on Mondays and Thursdays, not in August, first come to each order."""
+    at = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("o_orderkey") * 37 % 86400).cast("decimal(18,6)"))
+    rows = tables.table(spark, sf_dir, "orders").select("o_orderkey", at.alias("at"))
+    fires = {"scanned_at": "*/30 * * * *", "purged_at": "0 3 * * *", "reported_at": "15 8 * 1-7,9-12 1,4"}
+    return rows.select("o_orderkey", *[schedule.next_fire(F.col("at"), cron).alias(c) for c, cron in fires.items()])
+
+
 def _graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     order, item = tables.table(spark, sf_dir, "orders"), tables.table(spark, sf_dir, "lineitem")
     line = F.concat_ws("-", "l_orderkey", "l_partkey", "l_linenumber")
@@ -567,6 +629,60 @@ def watch_fsm(spark, sf_dir):
     return ev.watch_states(checks).select("watch", "status", "check_count")
 
 
+@query("""
+    SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN 'approval' WHEN turn % 5 = 3 THEN 'command:draft' WHEN length(trim(text)) > 80 THEN 'document' WHEN conv_id % 2 = 0 THEN 'onboarding_answer' ELSE 'unsupported' END AS route
+    FROM conversations""")
+def updates_delivered_again(spark, sf_dir):
+    """A stream in which every update comes twice and every third one three times, routed once each."""
+    conv = tables.table(spark, sf_dir, "conversations")
+    key = F.col("conv_id") * 100_000 + F.col("turn")
+    say = lambda c: F.to_json(F.struct(key.alias("update_id"), F.struct(F.concat_ws("/", "conv_id", "turn").alias("chat_id"), c.alias("text")).alias("message")))
+    call = F.to_json(F.struct(key.alias("update_id"), F.struct(F.concat(F.lit("approve:"), F.col("conv_id").cast("string")).alias("data"), F.concat_ws("/", "conv_id", "turn").alias("chat_id")).alias("callback_query")))
+    raw = F.when(F.col("turn") % 5 == 4, call).when(F.col("turn") % 5 == 3, say(F.lit("/Entwurf@bot now"))).otherwise(say(F.col("text")))
+    updates = conv.select(key.alias("update_id"), raw.alias("value"), F.timestamp_seconds(key % 86_400 + 86_400).alias("at"))
+    stream = scratch.streamed([updates, updates.union(updates.where("update_id % 3 = 0")).repartition(4, "at")], files=2)
+    rows = ev.incoming(scratch.run_through(ev.unrepeated(stream, at="at", late="2 days").select("value")))
+    conv_id = F.split("user", "/")[0].cast("long")
+    return rows.select(conv_id.alias("conv_id"), F.split("user", "/")[1].cast("long").alias("turn"), ev.route(F.col("kind"), F.col("text"), conv_id % 2 == 0).alias("route"))
+
+
+def _batches(rows: DataFrame, key: str, n: int = 3) -> list[DataFrame]:
+    """The rows in n batches that have nothing to do with their times."""
+    return [rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) for k in range(n)]
+
+
+@query("""
+    WITH e AS (SELECT user_id AS watch, ts, event_type, CASE event_type WHEN 'purchase' THEN 'available' WHEN 'error' THEN 'error' ELSE 'none' END AS outcome FROM events),
+    b AS (SELECT *, coalesce(sum(CASE WHEN outcome <> 'none' THEN 1 ELSE 0 END) OVER (PARTITION BY watch ORDER BY ts, outcome, event_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM e)
+    SELECT CAST(watch AS VARCHAR) AS watch, coalesce(max(CASE outcome WHEN 'available' THEN 'found' WHEN 'error' THEN 'error' END), 'active') AS status, count(*) AS check_count,
+        max(ts) AS last_checked_at, max(ts) FILTER (outcome = 'available') AS found_at, max(event_type) FILTER (outcome = 'error') AS error_message
+    FROM b WHERE ended = 0 GROUP BY watch""")
+def watch_stream(spark, sf_dir):
+    """Checks that come as a stream, in batches that have nothing to do with their times, the last state of each watch."""
+    outcome = F.when(F.col("event_type") == "purchase", "available").when(F.col("event_type") == "error", "error").otherwise("none")
+    checks = tables.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("watch"), F.col("ts").cast("timestamp").alias("at"), outcome.alias("outcome"), F.col("event_type").alias("message"), "event_id")
+    clock = checks.agg(F.lit(None).cast("string").alias("watch"), (F.max("at") + F.expr("INTERVAL 500 DAYS")).alias("at"), F.lit(None).cast("string").alias("outcome"), F.lit(None).cast("string").alias("message"))
+    out = scratch.run_through(timed.watch_stream(scratch.streamed([*(b.drop("event_id") for b in _batches(checks, "event_id")), clock]), late="400 days"))
+    last = out.where("watch IS NOT NULL").groupBy("watch").agg(F.max_by(F.struct("status", "check_count", "last_checked_at", "found_at", "error_message"), "check_count").alias("x")).select("watch", "x.*")
+    return last.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("last_checked_at", "found_at")})
+
+
+@query(f"""
+    SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, CAST(any_value(l_suppkey) AS VARCHAR) AS user_id, CAST(min(l_shipdate) AS TIMESTAMP) AS due_date FROM lineitem
+    WHERE l_linestatus = 'O' GROUP BY 1 HAVING min(l_shipdate) <= TIMESTAMP '{NOW}' AND NOT bool_or(l_returnflag = 'N' AND l_linenumber = 5)""")
+def reminder_timers(spark, sf_dir):
+    """Reminders come as a stream, all of them twice and some cancelled between, then the clock moves: each that is due then fires once."""
+    line = tables.table(spark, sf_dir, "lineitem").where("l_linestatus = 'O'").withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    rows = line.groupBy("id").agg(F.any_value(F.col("l_suppkey").cast("string")).alias("user_id"), F.min(F.col("l_shipdate").cast("timestamp")).alias("due_date"), F.bool_or(F.expr("l_returnflag = 'N' AND l_linenumber = 5")).alias("off"))
+    none = lambda kind: F.lit(None).cast(kind)
+    said = lambda df, status, at: df.select("id", "user_id", "due_date", F.lit(status).alias("status"), at.cast("timestamp").alias("at"))
+    asked = said(rows, "scheduled", F.lit("1990-01-01"))
+    off = said(rows.where("off").withColumns({"user_id": none("string"), "due_date": none("timestamp")}), "cancelled", F.lit("1990-01-02"))
+    tick = said(spark.range(1).select(none("string").alias("id"), none("string").alias("user_id"), none("timestamp").alias("due_date")), "tick", now())
+    fired = scratch.run_through(timed.reminder_stream(scratch.streamed([asked, off.unionByName(asked), tick, asked], files=1000)))
+    return fired.select("id", "user_id", F.col("due_date").cast("timestamp_ntz").alias("due_date"))
+
+
 def _move(state: str) -> str:
     return f"""CASE WHEN command = 'present' AND {state} = 'draft' THEN 'pending_approval' WHEN command = 'approve' AND {state} IN ('draft', 'pending_approval', 'approved') THEN 'approved'
             WHEN command = 'reject' AND {state} IN ('draft', 'pending_approval', 'rejected') THEN 'rejected' WHEN command = 'send' AND {state} = 'approved' THEN 'sent' END"""

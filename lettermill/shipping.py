@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -12,7 +13,10 @@ _sent: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds the package to the session's Python files, once per application. Spark serves it from the driver."""
+    """Adds the package to the session's Python files, once per application. Spark serves it from the driver.
+
+    What runs Python beside the driver, for streams with state, looks at the path in the environment instead.
+    """
     app = spark.sparkContext.applicationId
     if app in _sent:
         return
@@ -22,4 +26,6 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(archive))
+    environment = spark.sparkContext.environment
+    environment["PYTHONPATH"] = os.pathsep.join(filter(None, [str(root.parent), environment.get("PYTHONPATH")]))
     _sent.add(app)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import MESSAGE_LIMIT, message_parts
 
@@ -85,6 +87,79 @@ class Channel:
         df.foreachPartition(each)
 
 
+class Outbox:
+    """A foreachBatch sink that sends rows one by one and sends again only those that failed.
+
+    Each row's outcome is written under its batch in the folder `path`, with the number of its tries. With a batch go the rows of the one before
+    that failed fewer than `tries` times. A batch whose outcomes are there already is not sent again, so a stream may repeat it. A failing
+    send never fails its task; only a task that is lost between sending and writing sends its rows again, and so send(key, row) gets the key
+    by which a receiver can tell. Of rows of one key in a batch one is sent; see events.unrepeated for repeats between batches.
+    """
+
+    MARKS = "outbox_try int, outbox_sent boolean, outbox_error string"
+
+    def __init__(self, path: str, send: Callable[[str, dict], None], key: str = "event_id", tries: int = 5) -> None:
+        self.path, self.send, self.key, self.tries = path, send, key, tries
+
+    def _done(self, spark: SparkSession) -> list[str]:
+        """Names of the batches whose outcomes are complete, in order."""
+        root = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = sorted(s.getPath().getName() for s in files.listStatus(root)) if files.exists(root) else []
+        return [n for n in names if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
+
+    def outcomes(self, spark: SparkSession) -> DataFrame | None:
+        """All outcomes, a row for each try; None before the first batch."""
+        done = self._done(spark)
+        return spark.read.parquet(*[f"{self.path}/{n}" for n in done]) if done else None
+
+    def _failed(self, spark: SparkSession, names: list[str]) -> DataFrame | None:
+        if not names:
+            return None
+        return spark.read.parquet(f"{self.path}/{names[-1]}").where(~F.col("outbox_sent") & (F.col("outbox_try") < self.tries)).drop("outbox_sent", "outbox_error")
+
+    def __call__(self, df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        names, name = self._done(spark), f"{batch:012d}-000"
+        if name in names:
+            return
+        self._sent(df.withColumn("outbox_try", F.lit(0)), self._failed(spark, [n for n in names if n < name]), name)
+
+    def again(self, spark: SparkSession) -> int:
+        """Sends what the last batch left, and returns how many rows are still to be sent."""
+        names = self._done(spark)
+        failed = self._failed(spark, names)
+        if failed is None or failed.isEmpty():
+            return 0
+        batch, _, turn = names[-1].partition("-")
+        self._sent(failed, None, f"{batch}-{int(turn) + 1:03d}")
+        return self._failed(spark, self._done(spark)).count()
+
+    def _sent(self, rows: DataFrame, failed: DataFrame | None, name: str) -> None:
+        send, key = self.send, self.key
+        rows = rows.dropDuplicates([key])
+        if failed is not None:
+            rows = rows.join(failed.select(key), key, "left_anti").select(*rows.columns).unionByName(failed)
+        plain = [c for c in rows.columns if c != "outbox_try"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                sent, errors = [], []
+                for row in b.select(plain).to_pylist():
+                    try:
+                        send(str(row[key]), row)
+                        errors.append(None)
+                    except Exception as e:  # one row's error is not the others'
+                        errors.append(f"{type(e).__name__}: {e}")
+                    sent.append(errors[-1] is None)
+                tries = pa.array([t + 1 for t in b.column("outbox_try").to_pylist()], pa.int32())
+                columns = [b.column(c) for c in plain]
+                yield pa.RecordBatch.from_arrays([*columns, tries, pa.array(sent, pa.bool_()), pa.array(errors, pa.string())], [*plain, "outbox_try", "outbox_sent", "outbox_error"])
+
+        kind = StructType([*rows.select(*plain).schema.fields, *StructType.fromDDL(self.MARKS).fields])
+        rows.select(*plain, "outbox_try").mapInArrow(run, kind).write.mode("overwrite").parquet(f"{self.path}/{name}")
+
+
 def document_messages(documents: DataFrame, caption: str = "caption") -> DataFrame:
     """What a channel needs to send documents: kind, user, name, mime, content, caption. Documents without content are no messages."""
     named = F.coalesce("name", F.concat(F.lit("document."), F.coalesce(F.element_at(F.split("mime", "/"), -1), F.lit("bin"))))
