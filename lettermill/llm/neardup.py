@@ -18,6 +18,8 @@ from .components import components
 TILE, LEAD, BINS = 1024, 16, 512
 #: Principal axes along which tiles are cut, and along which they find their neighbours.
 CUT_AXES, CELL_AXES = 6, 2
+#: Bytes of numbers that pairs are worked out with at a time, however many pairs two tiles have.
+PAIRS_BYTES = 32 << 20
 #: Rounding that the bounds allow for; the check that decides works on the given vectors in double precision.
 SLACK = 1e-9
 
@@ -77,6 +79,42 @@ def _tile_pairs(tiles: DataFrame, reach: float) -> DataFrame:
     return both.where((F.col("tile_a") <= F.col("tile_b")) & (gap <= (reach + SLACK) ** 2)).select("label", "tile_a", "tile_b").distinct()
 
 
+def _linked_rows(a: np.ndarray, b: np.ndarray, raw_a: np.ndarray, raw_b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which vectors of a block link with which of the other side: a matrix of truth values.
+
+    The leading dimensions are multiplied first; pairs whose bound reaches the threshold get further dimensions a few at a time, PAIRS_BYTES of
+    them together. Where most pairs are left the block is multiplied whole, and only pairs within SLACK of the threshold are looked at singly.
+    """
+    dims = a.shape[1]
+    lead = min(LEAD, dims)
+    head = a[:, :lead] @ b[:, :lead].T
+    near = head + np.outer(np.linalg.norm(a[:, lead:], axis=1), np.linalg.norm(b[:, lead:], axis=1)) >= threshold - SLACK
+    i, j = np.nonzero(near)
+    norm_a, norm_b = np.sqrt(np.einsum("ij,ij->i", raw_a, raw_a)), np.sqrt(np.einsum("ij,ij->i", raw_b, raw_b))
+    chunk = max(1, PAIRS_BYTES // (8 * dims))
+    if 8 * len(i) > near.size:
+        cos = raw_a @ raw_b.T
+        cos /= norm_a[:, None]
+        cos /= norm_b
+        linked = near & (cos >= threshold)
+        i, j = np.nonzero(near & (np.abs(cos - threshold) <= SLACK))
+    else:
+        linked = np.zeros(near.shape, bool)
+        kept = [(i[k : k + chunk], j[k : k + chunk]) for k in range(0, len(i), chunk)]
+        for at in range(lead, dims, LEAD):
+            stop = min(dims, at + LEAD)
+            rest_a, rest_b = np.linalg.norm(a[:, stop:], axis=1), np.linalg.norm(b[:, stop:], axis=1)
+            for k, (x, y) in enumerate(kept):
+                part = head[x, y] + np.einsum("ij,ij->i", a[x, lead:stop], b[y, lead:stop])
+                still = part + rest_a[x] * rest_b[y] >= threshold - SLACK
+                kept[k] = x[still], y[still]
+        i, j = (np.concatenate([pair[k] for pair in kept]) if kept else i for k in (0, 1))
+    for k in range(0, len(i), chunk):
+        x, y = i[k : k + chunk], j[k : k + chunk]
+        linked[x, y] = np.einsum("ij,ij->i", raw_a[x], raw_b[y]) / (norm_a[x] * norm_b[y]) >= threshold
+    return linked
+
+
 def _compare(threshold: float, dims: int):
     """Of pairs of tiles: for each vector the vectors it links with (kind 0: a, n) and links enough to join what is linked (kind 1: a, b)."""
 
@@ -88,26 +126,13 @@ def _compare(threshold: float, dims: int):
                 n_a, n_b = (np.frombuffer(row[f"n_{s}"], np.int64) for s in "ab")
                 a, b = (np.frombuffer(row[f"turned_{s}"], np.float64).reshape(-1, dims) for s in "ab")
                 raw_a, raw_b = (np.frombuffer(row[f"raw_{s}"], np.float64).reshape(-1, dims) for s in "ab")
-                lead = min(LEAD, dims)
-                rest_a, rest_b = np.linalg.norm(a[:, lead:], axis=1), np.linalg.norm(b[:, lead:], axis=1)
-                head = a[:, :lead] @ b[:, :lead].T
-                i, j = np.nonzero(head + np.outer(rest_a, rest_b) >= threshold - SLACK)
+                block = max(1, PAIRS_BYTES // (8 * len(b)))
+                linked = np.concatenate([_linked_rows(a[x : x + block], b, raw_a[x : x + block], raw_b, threshold) for x in range(0, len(a), block)])
                 if row["tile_a"] == row["tile_b"]:
-                    i, j = i[i < j], j[i < j]
-                step, at = LEAD, lead
-                while at < dims and len(i):
-                    stop = min(dims, at + step)
-                    part = head[i, j] + np.einsum("ij,ij->i", a[i, lead:stop], b[j, lead:stop])
-                    bound = part + np.linalg.norm(a[:, stop:], axis=1)[i] * np.linalg.norm(b[:, stop:], axis=1)[j]
-                    keep = bound >= threshold - SLACK
-                    i, j, at = i[keep], j[keep], stop
-                x, y = raw_a[i], raw_b[j]
-                cos = np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
-                i, j = i[cos >= threshold], j[cos >= threshold]
-                count_a = np.bincount(i, weights=n_b[j], minlength=len(a)).astype(np.int64)
-                count_b = np.bincount(j, weights=n_a[i], minlength=len(b)).astype(np.int64)
+                    linked &= np.tri(len(a), len(b), -1, dtype=bool).T  # each pair once
+                count_a, count_b = linked @ n_b, n_a @ linked
                 one, two = np.flatnonzero(count_a), np.flatnonzero(count_b)
-                u, v = _forest(len(a), i, j)
+                u, v = _forest(linked)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.repeat(np.array([0, 1], np.int32), [len(one) + len(two), len(u)])),
@@ -121,24 +146,25 @@ def _compare(threshold: float, dims: int):
     return run
 
 
-def _forest(offset: int, i: np.ndarray, j: np.ndarray) -> tuple[list[int], list[int]]:
-    """Of links between two sides, those that a spanning forest keeps: fewer than there are vectors."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.get(x, x) != x:
-            parent[x] = parent.get(parent[x], parent[x])
-            x = parent[x]
-        return x
-
-    u, v = [], []
-    for x, y in zip(i.tolist(), j.tolist(), strict=True):
-        p, q = root(x), root(offset + y)
-        if p != q:
-            parent[p] = q
-            u.append(x)
-            v.append(y)
-    return u, v
+def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links between two sides, those that a spanning forest keeps, fewer than there are vectors: each group is walked from one side to the other and back."""
+    rows_left, columns_left = linked.any(axis=1), linked.any(axis=0)
+    u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    while rows_left.any():
+        rows = np.array([int(np.argmax(rows_left))])
+        rows_left[rows] = False
+        while len(rows):
+            columns = np.flatnonzero(linked[rows].any(axis=0) & columns_left)
+            if not len(columns):
+                break
+            columns_left[columns] = False
+            u.append(rows[np.argmax(linked[np.ix_(rows, columns)], axis=0)])
+            v.append(columns)
+            rows = np.flatnonzero(linked[:, columns].any(axis=1) & rows_left)
+            rows_left[rows] = False
+            u.append(rows)
+            v.append(columns[np.argmax(linked[np.ix_(rows, columns)], axis=1)] if len(rows) else rows)
+    return np.concatenate(u), np.concatenate(v)
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, tile: int = TILE) -> DataFrame:

@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from lettermill.llm.components import components
 from lettermill.llm.neardup import near_duplicates
@@ -132,3 +133,63 @@ def test_every_link_is_counted(spark):
             count[b] += 1
     got = {r.doc_id: r.n_links for r in similar(spark.createDataFrame(rows, "doc_id long, text string, n_links string")).collect()}
     assert got == count and max(count.values()) > 20
+
+
+def test_dense_tiles_need_little_memory():
+    """Two thousand near copies of 768 dimensions, of which nearly all pairs link, and a forest that joins what all links join."""
+    import tracemalloc
+
+    from lettermill.llm import neardup
+
+    rnd = np.random.default_rng(5)
+    raw = rnd.normal(size=768) + rnd.normal(size=(2000, 768)) * np.where(np.arange(2000) % 2, 0.05, 0.12)[:, None]
+    unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+    side = {"cls": np.arange(2000).tobytes(), "n": np.ones(2000, np.int64).tobytes(), "raw": raw.tobytes(), "turned": unit.tobytes(), "tile": "x"}
+    batch = pa.RecordBatch.from_pylist([{f"{k}_{s}": v for k, v in side.items() for s in "ab"}])
+    tracemalloc.start()
+    (out,) = neardup._compare(0.98, 768)(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6
+    linked = np.triu(unit @ unit.T >= 0.98, 1)
+    rows = out.to_pandas()
+    counts = rows[rows.kind == 0].groupby("a")["n"].sum()
+    assert np.array_equal(counts.reindex(range(2000), fill_value=0).to_numpy(), (linked.sum(axis=0) + linked.sum(axis=1)))
+    assert linked.sum() > 1_000_000 and (rows.kind == 1).sum() < 4000
+    both = linked | linked.T
+    seen, todo = {0}, [0]
+    edges = rows[rows.kind == 1]
+    near = {i: set() for i in range(2000)}
+    for x, y in zip(edges.a, edges.b, strict=True):
+        near[x].add(y)
+        near[y].add(x)
+    while todo:
+        for y in near[todo.pop()] - seen:
+            seen.add(y)
+            todo.append(y)
+    want, todo = {0}, [0]
+    while todo:
+        for y in set(np.flatnonzero(both[todo.pop()]).tolist()) - want:
+            want.add(y)
+            todo.append(y)
+    assert seen == want
+
+
+def test_forests_of_sparse_links():
+    from lettermill.llm import neardup
+
+    rnd = np.random.default_rng(6)
+    for _ in range(50):
+        linked = rnd.random((rnd.integers(1, 12), rnd.integers(1, 12))) < 0.15
+        u, v = neardup._forest(linked)
+        assert linked[u, v].all()
+
+        def groups(pairs, shape=linked.shape):
+            root = list(range(sum(shape)))
+            for x, y in pairs:
+                p, q = root[x], root[shape[0] + y]
+                root = [p if r == q else r for r in root]
+            return {tuple(i for i, r in enumerate(root) if r == k) for k in set(root)}
+
+        every = list(zip(*np.nonzero(linked), strict=True))
+        assert groups(zip(u, v, strict=True)) == groups(every) and len(u) == sum(linked.shape) - len(groups(every))
