@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import io
 import json
 import struct
@@ -22,6 +24,8 @@ from .common import fresh_path, tasks_for, written
 #: Where a package has its archives and indexes, and the names of the two stored members that are written.
 ARCHIVES, INDEXES = "archive/", "indexes/"
 ARCHIVE, INDEX = f"{ARCHIVES}data.warc.gz", f"{INDEXES}index.cdxj"
+#: What is read of a record.
+RECORD = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "record_id", "url", "refers_to_id"]
 #: Shorter payloads are never revisits.
 LEAST_REVISIT = 100
 #: Bytes of neighbouring records that one range read covers, unless a record is longer.
@@ -131,19 +135,92 @@ def record(kind: str, page_id: int | None, url: str | None, payload: bytes, dige
     return made.compress("\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n") + made.flush()
 
 
+class Headers(dict):
+    """Header lines by name, in whatever case the name is asked for."""
+
+    def __getitem__(self, name: str) -> str:
+        return super().__getitem__(name.lower())
+
+    def get(self, name: str, default: str | None = None) -> str | None:
+        return super().get(name.lower(), default)
+
+
+def _fields(head: bytes) -> Headers:
+    """The lines behind the first; of repeated names the first counts, lines without a colon are none."""
+    out = Headers()
+    for line in head.decode("utf-8", "surrogatepass" if _is_text(head) else "replace").split("\r\n")[1:]:
+        name, colon, value = line.partition(":")
+        if colon:
+            out.setdefault(name.strip().lower(), value.strip())  # names are kept in lower case
+    return out
+
+
+def _is_text(data: bytes) -> bool:
+    try:
+        data.decode("utf-8", "surrogatepass")
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def unchunked(body: bytes) -> bytes:
+    """An HTTP body without its chunks' lengths; one that ends within a chunk as far as it goes."""
+    out, at = [], 0
+    while (stop := body.find(b"\r\n", at)) >= 0:
+        size = int(body[at:stop].partition(b";")[0].strip() or b"0", 16)
+        if not size:
+            break
+        out.append(body[stop + 2 : stop + 2 + size])
+        at = stop + 4 + size
+    return b"".join(out)
+
+
 def parse(raw: bytes) -> dict:
-    """A record's headers, the length its payload is said to have, and the payload itself (none in a revisit)."""
-    whole = zlib.decompress(raw, 31)
+    """A record, gzipped or not: its headers (`fields`), its payload (none in a revisit), and the length that it says its payload has.
+
+    The payload is what follows the HTTP headers where the record is of HTTP, chunks put together, and else its whole block. The length is None
+    where a revisit doesn't tell it.
+    """
+    whole = zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw
     head, _, rest = whole.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
-    http, _, payload = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
-    said = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-    return {"fields": fields, "length": said, "payload": payload if fields["WARC-Type"] != "revisit" else None}
+    if not head.startswith(b"WARC/"):
+        raise ValueError("a record does not begin with its version")
+    fields = _fields(head)
+    block = rest[: int(fields["content-length"])]
+    kind = fields["warc-type"]
+    if not fields.get("content-type", "").startswith("application/http"):
+        return {"fields": fields, "length": len(block) if kind != "revisit" else None, "payload": block if kind != "revisit" else None}
+    top, _, payload = block.partition(b"\r\n\r\n")
+    http = _fields(top)
+    if "chunked" in http.get("transfer-encoding", "").lower():
+        payload, said = unchunked(payload), None
+    else:
+        said = int(http["content-length"]) if http.get("content-length", "").isdigit() else None
+    if kind == "revisit":
+        return {"fields": fields, "length": said, "payload": None}
+    return {"fields": fields, "length": len(payload) if said is None else said, "payload": payload}
+
+
+def digest_of(fields: Headers, payload: bytes | None) -> str | None:
+    """The payload's SHA-256, after a check against the digest that the record states; of a revisit what it states, without the name of SHA-256.
+
+    Stated digests are in base 16 or 32; those of a hash that is not known here, and of payloads that were cut off, are not checked.
+    """
+    name, _, stated = fields.get("warc-payload-digest", "").partition(":")
+    if payload is None:
+        return stated.lower() if name == "sha256" and len(stated) == 64 else fields.get("warc-payload-digest")
+    own = hashlib.sha256(payload).digest()
+    if stated and name.replace("-", "") in ("sha256", "sha1", "sha512", "md5") and "warc-truncated" not in fields:
+        found = own if name.replace("-", "") == "sha256" else hashlib.new(name.replace("-", ""), payload).digest()
+        if stated.lower() not in (found.hex(), base64.b32encode(found).decode().lower(), base64.b32encode(found).decode().rstrip("=").lower()):
+            raise ValueError("it does not match its digest")
+    return own.hex()
 
 
 def _page(urn: str | None) -> int | None:
-    value = (urn or "")[len("<urn:page:") : -1]
-    return int(value) if value else None
+    """The page_id that a record's id was made of; of ids made elsewhere none."""
+    value = (urn or "").strip("<>").removeprefix("urn:page:")
+    return int(value) if value.lstrip("-").isdigit() else None
 
 
 def index_line(url: str | None, digest: str, offset: int, length: int) -> str:
@@ -172,6 +249,23 @@ def gzip_ends(f, start: int, size: int, step: int = 1 << 20) -> Iterator[int]:
         raise ValueError("an archive ends within a record")
 
 
+def plain_ends(f, start: int, size: int) -> Iterator[int]:
+    """Lengths of the records of an archive that is not compressed, by the lengths that they state."""
+    at = start
+    while at < start + size:
+        head, step = b"", 4096
+        while b"\r\n\r\n" not in head:
+            if at + len(head) >= start + size or len(head) > 1 << 24:
+                raise ValueError("an archive ends within a record")
+            head += _range(f, at + len(head), min(step, start + size - at - len(head)))
+        top = head.partition(b"\r\n\r\n")[0]
+        length = len(top) + 4 + int(_fields(top)["content-length"])
+        end = _range(f, at + length, min(4, start + size - at - length))
+        length += 4 if end == b"\r\n\r\n" else 0
+        yield length
+        at += length
+
+
 # ---- Spark jobs
 
 
@@ -257,22 +351,27 @@ def _ranges(f, size: int) -> Iterator[tuple[int, list[int]]]:
     members = directory(f, size)
     lines: dict[str, set[tuple[int, int]]] = {}
     for m in members.values():
-        if m.name.startswith(INDEXES) and m.name.endswith(".cdxj"):
+        if m.name.startswith(INDEXES) and m.name.lower().endswith(".cdxj"):
             for line in _range(f, data_start(f, m), m.size).decode("utf-8", "surrogatepass").splitlines():
-                x = json.loads(line[line.index("{") :])
-                lines.setdefault(x["filename"], set()).add((int(x["offset"]), int(x["length"])))
+                if "{" in line:  # else it is a line about the index itself
+                    x = json.loads(line[line.index("{") :])
+                    if {"filename", "offset", "length"} <= x.keys():
+                        lines.setdefault(x["filename"].rpartition("/")[2], set()).add((int(x["offset"]), int(x["length"])))
     for m in members.values():
-        if not m.name.startswith(ARCHIVES) or not m.name.endswith(".warc.gz"):
+        if not m.name.startswith(ARCHIVES) or m.name.endswith("/"):
             continue
+        if not m.name.lower().endswith((".warc.gz", ".warc")):
+            raise ValueError(f"{m.name} is no archive that can be read here")
+        ends = gzip_ends if m.name.lower().endswith(".gz") else plain_ends
         begin, at, group = data_start(f, m), 0, []
-        known = sorted(lines.get(m.name[len(ARCHIVES) :], ()))
+        known = sorted(lines.get(m.name.rpartition("/")[2], ()))
         gaps = []
         for offset, length in known:
             if offset > at:
                 gaps.append((at, offset))
             at = max(at, offset + length)
         for lo, hi in [*gaps, *([(at, m.size)] if at < m.size else [])]:
-            for length in gzip_ends(f, begin + lo, hi - lo):
+            for length in ends(f, begin + lo, hi - lo):
                 known.append((lo, length))
                 lo += length
         start = 0
@@ -288,11 +387,13 @@ def _ranges(f, size: int) -> Iterator[tuple[int, list[int]]]:
 
 
 def read_packages(spark: SparkSession, paths: DataFrame) -> DataFrame:
-    """Every record of the packages named in `path`: page_id, payload_bytes, payload_digest, record_type, refers_to, payload (null in revisits).
+    """Every record of the packages named in `path`: page_id, payload_bytes, payload_digest, record_type, refers_to, payload (null in revisits), record_id, url, refers_to_id.
 
     First each package's directory and indexes are read, which gives ranges of neighbouring records of all of its archives; these are dealt
-    out anew and read, so a large package is read by many tasks. Responses' digests are checked against their payloads. Damaged,
-    encrypted or compressed packages raise an error; no paths give no rows.
+    out anew and read, so a large package is read by many tasks. Archives may be gzipped record by record or plain, and hold records of any
+    type; page_id and refers_to are null unless ids were made here. Payloads are checked against stated digests; bytes of theirs that are no
+    UTF-8 come as U+FFFD. Damaged, encrypted or compressed packages, and members among the archives that are none, raise an error that
+    names them; no paths give no rows.
     """
 
     def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -303,8 +404,6 @@ def read_packages(spark: SparkSession, paths: DataFrame) -> DataFrame:
                     yield pd.DataFrame([(path, start, group) for start, group in _ranges(f, size)], columns=["path", "start", "lengths"])
 
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
-
         for b in batches:
             for path, start, lengths in b.itertuples(index=False):
                 f, _ = _open(path)
@@ -312,20 +411,25 @@ def read_packages(spark: SparkSession, paths: DataFrame) -> DataFrame:
                     raw = _range(f, start, int(sum(lengths)))
                 rows, at = [], 0
                 for n in lengths:
-                    r = parse(raw[at : at + n])
+                    try:
+                        r = parse(raw[at : at + n])
+                        fields, payload = r["fields"], r["payload"]
+                        digest = digest_of(fields, payload)
+                        if payload is not None and len(payload) != r["length"] and "warc-truncated" not in fields:
+                            raise ValueError("its payload has another length than it says")
+                    except (ValueError, KeyError, zlib.error) as e:
+                        raise ValueError(f"record at {start + at} of {path}: {e}") from e
                     at += n
-                    fields, payload = r["fields"], r["payload"]
-                    digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
-                    if payload is not None and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != r["length"]):
-                        raise ValueError(f"record at {start} of {path} does not match its digest")
-                    text = None if payload is None else payload.decode("utf-8", "surrogatepass")
-                    rows.append((_page(fields["WARC-Record-ID"]), r["length"], digest, fields["WARC-Type"], _page(fields.get("WARC-Refers-To")), text))
-                out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
-                yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+                    text = None if payload is None else payload.decode("utf-8", "surrogatepass" if _is_text(payload) else "replace")
+                    names = (fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-refers-to"))
+                    rows.append((_page(names[0]), r["length"], digest, fields["warc-type"], _page(names[2]), text, *names))
+                out = pd.DataFrame(rows, columns=RECORD)
+                yield out.astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
 
     found = paths.select("path").repartition(tasks_for(spark)).mapInPandas(ranges, "path string, start long, lengths array<long>")
     dealt = found.repartition(2 * tasks_for(spark))
-    return dealt.mapInPandas(records, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string")
+    kinds = ("long", "long", "string", "string", "long", "string", "string", "string", "string")
+    return dealt.mapInPandas(records, ", ".join(f"{c} {kind}" for c, kind in zip(RECORD, kinds, strict=True)))
 
 
 def classified(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
@@ -346,4 +450,4 @@ def classified(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
 def archived(pages: DataFrame) -> DataFrame:
     """Writes pages as WARC records into ZIP packages in the shared folder and reads them back (see classified and read_packages)."""
     spark = pages.sparkSession
-    return read_packages(spark, write_packages(classified(pages), fresh_path(spark, "warc")))
+    return read_packages(spark, write_packages(classified(pages), fresh_path(spark, "warc"))).select(*RECORD[:6])

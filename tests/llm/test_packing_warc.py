@@ -191,3 +191,51 @@ def test_long_runs_of_white_space(spark):
             assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
             at += r.length
         assert at == len(ids)
+
+
+def test_packages_made_elsewhere(spark, tmp_path):
+    """Records of all types, ids that are no pages, chunked bodies, digests of other hashes, plain archives and upper-case names."""
+    import base64
+    import gzip
+
+    def made(kind, number, block, more=(), content="application/http; msgtype=response", version="WARC/1.0"):
+        head = [version, f"warc-type:{kind}", f"WARC-Record-ID: <urn:uuid:{number:08}-0000-4000-8000-000000000000>", "WARC-Date: 2024-01-01T00:00:00Z", *more, f"Content-Type: {content}", f"Content-Length: {len(block)}"]
+        return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    sha1 = lambda body: "WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+    body, binary = b"hallo " * 50, bytes(range(256))
+    chunked = b"HTTP/1.1 200 OK\r\ntransfer-encoding: Chunked\r\n\r\n" + b"64;x=1\r\n" + body[:100] + b"\r\n" + b"c8\r\n" + body[100:] + b"\r\n0\r\n\r\n"
+    records = [
+        made("warcinfo", 1, b"software: x\r\n", content="application/warc-fields"),
+        made("request", 2, b"GET / HTTP/1.1\r\nHost: a.example\r\n\r\n", content="application/http; msgtype=request"),
+        made("response", 3, chunked, ["WARC-Target-URI: http://a.example/", sha1(body)]),
+        made("response", 4, b"HTTP/1.0 200 OK\r\nServer: y\r\n\r\n" + binary, [sha1(binary)]),
+        made("revisit", 5, b"HTTP/1.1 304 Not Modified\r\n\r\n", [sha1(body), "WARC-Refers-To: <urn:uuid:00000003-0000-4000-8000-000000000000>"]),
+        made("metadata", 6, b"a: b", content="text/plain"), made("response", 7, b"HTTP/1.1 200 OK\r\nContent-Length: 99\r\n\r\nabc", ["WARC-Truncated: length", "WARC-Payload-Digest: sha1:AAAA"]),
+    ]
+    with zipfile.ZipFile(tmp_path / "a.wacz", "w") as z:
+        z.writestr("archive/", b"")
+        z.writestr("archive/one.WARC.GZ", b"".join(map(gzip.compress, records)))
+        z.writestr("archive/two.warc", b"".join(records))
+        z.writestr("indexes/index.cdxj", '!meta 0 {"format": "cdxj"}\n CDX N b a\nkey 2024 ' + '{"filename": "archive/two.warc", "offset": 0, "length": "%d"}' % len(records[0]))
+        z.writestr("datapackage.json", b"{}")
+    read = lambda name: read_packages(spark, spark.createDataFrame([(str(tmp_path / name),)], "path string")).collect()
+    got = sorted(read("a.wacz"), key=lambda r: r.record_id)
+    assert [r.record_type for r in got[::2]] == [r.record_type for r in got[1::2]] == ["warcinfo", "request", "response", "response", "revisit", "metadata", "response"]
+    for one, two in zip(got[::2], got[1::2], strict=True):
+        assert one == two and one.page_id is None and one.refers_to is None
+    info, asked, page, raw, again, about, short = got[::2]
+    assert (info.payload, asked.payload, about.payload, short.payload) == ("software: x\r\n", "", "a: b", "abc")
+    assert (page.payload, page.payload_bytes, page.payload_digest, page.url) == (body.decode(), 300, hashlib.sha256(body).hexdigest(), "http://a.example/")
+    assert raw.payload == binary.decode("utf-8", "replace") and raw.payload_bytes == 256 and raw.payload_digest == hashlib.sha256(binary).hexdigest()
+    assert again.payload is None and again.payload_bytes is None and again.refers_to_id == page.record_id and again.payload_digest.startswith("sha1:")
+    for name, what in (("archive/readme.txt", "archive/readme.txt is no archive"), ("archive/x.warc", "does not match its digest")):
+        bad = made("response", 8, b"HTTP/1.1 200 OK\r\n\r\nother", [sha1(body)])
+        with zipfile.ZipFile(tmp_path / "b.wacz", "w") as z:
+            z.writestr(name, bad)
+        with pytest.raises(Exception, match=what):
+            read("b.wacz")
+    with zipfile.ZipFile(tmp_path / "c.wacz", "w") as z:
+        z.writestr("archive/x.warc", records[0][:-30])
+    with pytest.raises(Exception, match="ends"):
+        read("c.wacz")
