@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import binary, dates, jsonx, residue, schedule, text, tolerance, vault
-from ..operators import evals, joins, masking, partitions, store
+from ..functions import binary, dates, jsonx, page, residue, schedule, text, tolerance, vault
+from ..operators import evals, joins, masking, partitions, secrets, store
 from ..sources import scratch, sinks, tables
 from ..streaming import events as ev
 from ..streaming import timed
@@ -744,7 +744,7 @@ def mime_sniff(spark, sf_dir):
     t AS (SELECT page_id, trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS item FROM i)
     SELECT page_id, item, count(*) AS n FROM t WHERE item <> '' GROUP BY page_id, item""")
 def page_items(spark, sf_dir):
-    rows = tables.table(spark, sf_dir, "pages").select("page_id", F.explode(tables.page_items(F.col("html"))).alias("item"))
+    rows = tables.table(spark, sf_dir, "pages").select("page_id", F.explode(page.page_items(F.col("html"))).alias("item"))
     return rows.groupBy("page_id", "item").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -809,6 +809,38 @@ def listed_overlap(spark, sf_dir):
     return tables.table(spark, sf_dir, "orders").select("o_orderkey", want.alias("w"), got.alias("g")).select("o_orderkey", joins.listed_overlap("w", "g").alias("overlap"))
 
 
+@query("""
+    SELECT a.p_partkey, count(*) AS n_near FROM part a JOIN part b ON contains(lower(b.p_name), substr(lower(a.p_name), 1, 8)) OR contains(lower(a.p_name), substr(lower(b.p_name), 1, 8)) GROUP BY a.p_partkey""")
+def overlapping_parts(spark, sf_dir):
+    """For each part how many parts' names hold the beginning of its own, or the other way round; SQL compares all pairs."""
+    parts = tables.table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return secrets.overlap_counts(parts, parts, "p_partkey", "p_name")
+
+
+@query("""
+    SELECT 'documents' AS table_name, CAST(o_orderkey AS VARCHAR) AS key, CAST(o_custkey AS VARCHAR) AS owner, 'kunde' || o_custkey || '@mail.example' AS value FROM orders WHERE o_orderkey % 97 = 0 UNION ALL
+    SELECT 'analyses', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), 'Torstraße "' || o_custkey || '"' FROM orders WHERE o_orderkey % 89 = 0 UNION ALL
+    SELECT 'reminders', l_orderkey || '-' || l_linenumber || '-' || l_partkey, CAST(o_custkey AS VARCHAR), 'kunde' || o_custkey || '@mail.example' FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 101 = 0 UNION ALL
+    SELECT 'audit_log', CAST(event_id AS VARCHAR), CAST(c_custkey AS VARCHAR), 'Torstraße "' || c_custkey || '"' FROM events JOIN customer ON user_id = c_custkey WHERE event_id % 53 = 0""")
+def secrets_in_stored_rows(spark, sf_dir):
+    """Two secrets of every customer, looked for in all rows of four tables, some of which hold one."""
+    mail = lambda c: F.concat(F.lit("kunde"), c.cast("string"), F.lit("@mail.example"))
+    street = lambda c: F.concat(F.lit('Torstraße "'), c.cast("string"), F.lit('"'))
+    customer = tables.table(spark, sf_dir, "customer").select("c_custkey")
+    known = customer.select(F.col("c_custkey").cast("string").alias("owner"), F.explode(F.array(mail(F.col("c_custkey")), street(F.col("c_custkey")), F.lit("Ort"))).alias("value"))
+    order = tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderpriority", "o_orderdate")
+    item = tables.table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("id"), "l_orderkey", "l_partkey", "l_shipdate")
+    item = item.join(order.select(F.col("id").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    event = tables.table(spark, sf_dir, "events").join(customer, F.col("user_id") == F.col("c_custkey"), "left")
+    said = lambda when, what: F.when(when, F.concat(F.lit("Brief an "), what, F.lit(", erledigt"))).otherwise(F.lit("Brief an [[EMAIL_1]]"))
+    stored = {
+        "documents": order.withColumn("masked_text", said(F.col("id") % 97 == 0, mail(F.col("o_custkey")))), "analyses": order.withColumn("steps", F.array(F.lit("a"), said(F.col("id") % 89 == 0, street(F.col("o_custkey"))))),
+        "reminders": item.withColumn("message", said(F.col("l_partkey") % 101 == 0, mail(F.col("o_custkey")))),
+        "audit_log": event.select(F.col("event_id").alias("id"), F.create_map(F.lit("detail"), said((F.col("event_id") % 53 == 0) & F.col("c_custkey").isNotNull(), street(F.col("user_id")))).alias("detail")),
+    }
+    return secrets.stored_secrets(stored, known)
+
+
 @query("SELECT CAST(time_bucket(INTERVAL '1 hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def events_by_hour(spark, sf_dir):
     rows = tables.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))

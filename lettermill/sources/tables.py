@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from ..functions.binary import READABLE_IMAGES, mime_or_extension
-from ..functions.text import slot_texts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -57,12 +56,6 @@ def mock_reader(content: bytes, mime: str) -> str:
     return "Ausländerbehörde Berlin\nAktenzeichen: ABH-2024-000001\nBitte reichen Sie die Unterlagen bis zum 30.06.2024 ein."
 
 
-def page_items(html: Column, element: str = "li", css_class: str | None = None) -> Column:
-    """Texts of a page's elements, tags dropped and white space collapsed, without empty ones; only those of a class, if given."""
-    wanted = rf'(?is)<{element}\b[^>]*class="[^"]*\b{css_class}\b[^"]*"[^>]*>(.*?)</{element}>' if css_class else rf"(?is)<{element}\b[^>]*>(.*?)</{element}>"
-    return slot_texts(F.transform(F.regexp_extract_all(html, F.lit(wanted), F.lit(1)), lambda x: F.regexp_replace(x, "<[^>]*>", " ")))
-
-
 @dataclass(frozen=True)
 class Settings:
     """What a run is set to; blank values count as absent."""

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lettermill.functions import binary, dates, jsonx, text, vault
+from lettermill.functions.page import page_items
 from lettermill.sources import sinks, tables
 
 def one(spark, column):
@@ -85,7 +86,7 @@ def test_sources_and_sinks(spark, tmp_path):
     read = tables.transcribed(tables.images(spark, str(tmp_path / "i")), tables.mock_reader).first()
     assert read.mime == "image/jpeg" and "Ausländerbehörde" in read.text
     html = F.lit('<ul><li class="slot-item">10:00 <b>frei</b></li><li>x</li><li class="a slot-item"> </li></ul>')
-    assert one(spark, tables.page_items(html, css_class="slot-item")) == ["10:00 frei"]
+    assert one(spark, page_items(html, css_class="slot-item")) == ["10:00 frei"]
     parts = sinks.approval_requests(spark.createDataFrame([("d1", "s", "b" * 5000)], "draft_id string, subject string, body string")).orderBy("part").collect()
     assert [p.chunk for p in parts] == ["s\n", "b" * 4096, "b" * 904]  # the blank line after the title is the last line end within the limit
     assert [(p.is_last, p.approve) for p in parts] == [(False, None), (False, None), (True, "approve:d1")]
