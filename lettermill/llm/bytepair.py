@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from . import wordhash
 
 #: The vocabulary file that the query uses, the longest piece whose ids a worker remembers, and how many it does.
-VOCABULARY, SHORT, REMEMBERED = "byte_bpe_multi_50k.tiktoken", 32, 1 << 18
+VOCABULARY, SHORT, REMEMBERED = "byte_bpe_multi_50k.tiktoken", 32, 1 << 19
 #: From this many bytes on a piece's numbers are held as an array.
 LONG = 4096
 #: Children of a node: the least of a few is found faster than a binary tree of them is climbed.
