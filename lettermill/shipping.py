@@ -10,13 +10,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _sent: set[str] = set()
+#: What a batch of rows for Python holds at most, unless the session was started with another limit; a longer row is a batch of its own.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def ship(spark: SparkSession) -> None:
     """Adds the package to the session's Python files, once per application. Spark serves it from the driver.
 
-    What runs Python beside the driver, for streams with state, looks at the path in the environment instead.
+    Rows go to Python in batches of a few megabytes, so that long texts do not meet by the thousand. What runs Python beside the driver, for streams with state, looks at the path in the environment instead.
     """
+    if not spark.sparkContext.getConf().contains(BATCH[0]):
+        spark.conf.set(*BATCH)
     app = spark.sparkContext.applicationId
     if app in _sent:
         return
