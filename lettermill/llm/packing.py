@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -41,8 +42,12 @@ def _encoder(name: str):
     import tiktoken
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-    special = [t.content for t in whole.get_added_tokens_decoder().values()]
+    @lru_cache(maxsize=1)
+    def whole() -> Tokenizer:
+        return Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+
+    with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as f:
+        special = [t["content"] for t in json.load(f)["added_tokens"]]
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -50,7 +55,7 @@ def _encoder(name: str):
 
     def encode(text: str) -> list[int]:
         if any(s in text for s in special) or len(text) >= LONG_SPACE and space.search(text):
-            return whole.encode(text, add_special_tokens=False).ids
+            return whole().encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return encode
