@@ -112,13 +112,15 @@ def rotated(vault: DataFrame, old: bytes, new: bytes) -> tuple[DataFrame, DataFr
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("__plain").isNull()).alias("unreadable"),
         F.count_if(~opened(F.col("__new"), new, bound).eqNullSafe(F.col("__plain"))).alias("unverified"),
     )
-    out = again.select("user_id", "document_id", "token", "entity_type", "__new.iv", "__new.ciphertext", "__new.auth_tag", (F.col("key_version") + 1).alias("key_version"))
+    sealed = {"iv": F.col("__new.iv"), "ciphertext": F.col("__new.ciphertext"), "auth_tag": F.col("__new.auth_tag"), "key_version": F.col("key_version") + 1}
+    out = again.select(*[sealed.get(c, F.col(c)).alias(c) for c in vault.columns])
     return out, check
 
 
-def rotated_checked(vault: DataFrame, old: bytes, new: bytes, path: str) -> int:
-    """Writes the vault under the new key to path, in order of user, document and token, and returns its number of rows.
+def rotated_checked(vault: DataFrame, old: bytes, new: bytes, path: str, dry_run: bool = False) -> int:
+    """Writes the vault under the new key to path, the oldest rows first where it has created_at, then by user, document and token, and returns its number of rows.
 
+    A dry run writes nothing and returns how many rows there are, all of which open under the old key and again under the new one.
     A row that does not open under the old key stops it before anything is written; one that does not open again under the new key, as
     written, is an error as well, and the old vault is still what counts.
     """
@@ -126,7 +128,11 @@ def rotated_checked(vault: DataFrame, old: bytes, new: bytes, path: str) -> int:
     before = check.first()
     if before["unreadable"]:
         raise ValueError(f"{before['unreadable']} of {before['total']} rows do not open; nothing was written")
-    out.orderBy("user_id", "document_id", "token").write.parquet(path)
+    if before["unverified"]:
+        raise ValueError(f"{before['unverified']} rows do not open under the new key; nothing was written")
+    if dry_run:
+        return before["total"]
+    out.orderBy(*["created_at"] * ("created_at" in vault.columns), "user_id", "document_id", "token").write.parquet(path)
     made = out.sparkSession.read.parquet(path)
     keys = ["user_id", "document_id", "token"]
     side = lambda df, key, name: df.select(*[F.col(k).alias(f"{name}_{k}") for k in keys], opened(F.struct("iv", "ciphertext", "auth_tag"), key, scope(*map(F.col, keys))).alias(name))

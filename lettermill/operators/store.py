@@ -90,10 +90,6 @@ def newest_first(table: DataFrame, user: object, column: str = "created_at", the
     return table.where(F.col("user_id") == user).orderBy(F.desc(column), *([F.desc(then)] if then else []))
 
 
-def profile_rows(vault: DataFrame) -> DataFrame:
-    return vault.where(F.col("token").startswith("profile:"))
-
-
 def consented(events: DataFrame, users: DataFrame, key: str = "user_id") -> DataFrame:
     """Events of users who have consented; those of others are dropped."""
     return events.join(users.where(F.col("consent_at").isNotNull()).select(F.col("id").alias(key)), key, "left_semi")
@@ -127,9 +123,14 @@ def without(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return table.join(keys.select(key), key, "left_anti")
 
 
-def upserted(table: DataFrame, incoming: DataFrame, keys: tuple[str, ...], defaults: Mapping[str, Column]) -> DataFrame:
-    """Rows of equal keys take what incoming has for columns it names (null keeps); new ones are inserted with defaults. Of repeated incoming keys one counts."""
-    given = [c for c in incoming.columns if c not in keys]
+def upserted(table: DataFrame, incoming: DataFrame, keys: tuple[str, ...], defaults: Mapping[str, Column], order: str | None = None) -> DataFrame:
+    """Rows of equal keys take what incoming has for columns it names (null keeps); new ones are inserted with defaults.
+
+    Of repeated incoming keys the last by the column `order` counts, which is no column of the table itself; without one any of them does.
+    """
+    given = [c for c in incoming.columns if c not in keys and c != order]
+    if order:
+        incoming = incoming.groupBy(*keys).agg(F.max_by(F.struct(*given, F.lit(True).alias("__any")), order).alias("__last")).select(*keys, *[F.col(f"__last.{c}").alias(c) for c in given])
     new = incoming.dropDuplicates(list(keys)).select(*keys, *[F.col(c).alias(f"__{c}") for c in given], F.lit(True).alias("__in"))
     old = table.withColumn("__old", F.lit(True))
     both = old.join(new, list(keys), "full_outer")
@@ -160,11 +161,16 @@ def purged(tables: Mapping[str, DataFrame], now: Column, include_watches: bool =
     return kept, counts
 
 
-def cascaded(tables: Mapping[str, DataFrame], users: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+def purge_total(counts: DataFrame) -> DataFrame:
+    """total: how many rows went, of all tables."""
+    return counts.agg(F.coalesce(F.sum("deleted_count"), F.lit(0)).alias("total"))
+
+
+def cascaded(tables: Mapping[str, DataFrame], users: DataFrame, action: str | None = None, now: Column | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """(tables without those users and all that hangs on them, counts as table_name, deleted_count). users: a column `id`.
 
     Doomed keys are followed from parents to children by semi-joins, along every foreign key that a table has; audit rows stay, their
-    user_id becomes null.
+    user_id becomes null. With an action the audit log gets a row for each user there was, which tells of it without naming the user.
     """
     doomed = {"users": users.select("id")}
     out, counts = dict(tables), []
@@ -181,6 +187,10 @@ def cascaded(tables: Mapping[str, DataFrame], users: DataFrame) -> tuple[dict[st
         gone = users.select(F.col("id").alias("__gone"))
         audit = tables["audit_log"]
         out["audit_log"] = audit.join(gone, F.col("user_id") == F.col("__gone"), "left").withColumn("user_id", F.when(F.col("__gone").isNull(), F.col("user_id"))).drop("__gone")
+        if action:
+            told = tables["users"].join(doomed["users"].distinct(), "id", "left_semi").select(F.uuid().alias("id"), F.lit(action).alias("action"), (F.current_timestamp() if now is None else now).alias("created_at"))
+            told = told.select(*[F.col(c).cast(audit.schema[c].dataType) for c in told.columns if c in audit.columns])
+            out["audit_log"] = out["audit_log"].unionByName(told, allowMissingColumns=True)
     total = counts[0]
     for c in counts[1:]:
         total = total.unionAll(c)

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import binary, dates, jsonx, page, residue, schedule, text, tolerance, vault
-from ..operators import evals, joins, masking, partitions, secrets, store
+from ..operators import buckets, evals, joins, masking, partitions, secrets, store
 from ..sources import scratch, sinks, tables
 from ..streaming import events as ev
 from ..streaming import timed
@@ -390,6 +390,35 @@ def patch_update(spark, sf_dir):
     return out.withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
 
 
+@query("""
+    SELECT o_orderkey, CASE WHEN o_orderkey % 1499 = 7 THEN 'patched' ELSE o_orderpriority END AS o_orderpriority, CASE WHEN o_orderkey % 1499 = 7 THEN 'X' ELSE o_orderstatus END AS o_orderstatus
+    FROM orders WHERE o_orderkey % 1501 <> 11""")
+def changes_by_bucket(spark, sf_dir):
+    """A table in folders by its key: some keys are changed, the last of three changes counts, others are deleted, and only their folders are written."""
+    rows = tables.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    path = scratch.folder(spark, "bucketed")
+    buckets.written_by_key(rows, path, "o_orderkey", 64)
+    some = rows.where("o_orderkey % 1499 = 7").select("o_orderkey", F.explode(F.array(F.lit(2), F.lit(3), F.lit(1))).alias("at"))
+    news = some.select("o_orderkey", F.when(F.col("at") == 3, "patched").otherwise("lost").alias("o_orderpriority"), F.when(F.col("at") == 3, "X").otherwise("Y").alias("o_orderstatus"), "at")
+    buckets.changed_by_key(spark, path, news, "o_orderkey", lambda old, new: store.upserted(old, new, ("o_orderkey",), {}, order="at"), 64)
+    gone = rows.where("o_orderkey % 1501 = 11").select("o_orderkey")
+    buckets.changed_by_key(spark, path, gone, "o_orderkey", lambda old, keys: store.without(old, keys, "o_orderkey"), 64)
+    return buckets.read_by_key(spark, path)
+
+
+@query("""
+    WITH d AS (SELECT DISTINCT o_orderkey, lpad(CAST((o_orderkey * 7919 + 12345678901) % 100000000000 AS VARCHAR), 11, '0') AS d FROM orders),
+    e AS (SELECT *, [substr(d, i, 1) for i in range(1, 11)] AS first FROM d)
+    SELECT o_orderkey, 'Nummer ' || CASE WHEN substr(d, 1, 1) <> '0' AND len(list_distinct(first)) >= 8 AND len(list_filter(list_distinct(first), lambda c: len(list_filter(first, lambda x: x = c)) > 1)) <= 1
+        THEN '[[STEUERID_1]]' ELSE substr(d, 1, 2) || ' ' || substr(d, 3, 3) || ' ' || substr(d, 6, 3) || ' ' || substr(d, 9) END || ', danke' AS masked_text FROM e""")
+def bare_tax_ids(spark, sf_dir):
+    """Tax numbers without a label, in groups as they are written, masked where their digits are those of one."""
+    d = F.lpad(((F.col("o_orderkey") * 7919 + F.lit(12345678901)) % F.lit(100000000000)).cast("string"), 11, "0")
+    said = F.concat(F.lit("Nummer "), F.concat_ws(" ", F.substring(d, 1, 2), F.substring(d, 3, 3), F.substring(d, 6, 3), F.substring(d, 9, 3)), F.lit(", danke"))
+    rows = tables.table(spark, sf_dir, "orders").select("o_orderkey", said.alias("text"))
+    return masking.masked(rows, only=["STEUERID"]).select("o_orderkey", "masked_text")
+
+
 def _purgeable(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     item, order = tables.table(spark, sf_dir, "lineitem"), tables.table(spark, sf_dir, "orders")
     customer = tables.table(spark, sf_dir, "customer")

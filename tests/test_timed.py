@@ -192,3 +192,53 @@ def test_schedules(spark):
     for odd in ("* * * *", "60 * * * *", "5-2 * * * *", "*/0 * * * *", "x * * * *"):
         with pytest.raises(ValueError):
             schedule.Cron.read(odd)
+
+
+def test_changes_write_their_folders_only(spark, tmp_path):
+    from lettermill.operators import buckets, store
+
+    path = "file://" + str(tmp_path / "t")
+    rows = spark.range(5000).select("id", F.lit("a").alias("x"), F.lit("b").alias("y"))
+    buckets.written_by_key(rows, path, "id", 512)
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    before = files()
+    news = spark.createDataFrame([(7, "late", 3), (7, "early", 1), (7, None, 4), (4000, "z", 1), (9999, "new", 1)], "id long, x string, at int")
+    assert buckets.changed_by_key(spark, path, news, "id", lambda old, new: store.upserted(old, new, ("id",), {"y": F.lit("c")}, order="at"), 512) <= 3
+    after = files()
+    changed = {p for p in before.keys() | after.keys() if before.get(p) != after.get(p)}
+    assert len({p.rsplit("/", 2)[1] for p in changed}) <= 3 and len(changed & before.keys()) < 0.02 * len(before)
+    got = {r.id: (r.x, r.y) for r in buckets.read_by_key(spark, path).collect()}
+    assert len(got) == 5001 and got[7] == ("a", "b") and got[4000] == ("z", "b") and got[9999] == ("new", "c") and got[8] == ("a", "b")
+    assert sorted(r.id for r in buckets.found_by_key(spark, path, "id", [7, 8, 123456], 512).collect()) == [7, 8]
+    plan = buckets.found_by_key(spark, path, "id", [7], 512)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    gone = rows.where("id < 20").select("id")
+    assert buckets.changed_by_key(spark, path, gone, "id", lambda old, keys: store.without(old, keys, "id"), 512) <= 20
+    assert {r.id for r in buckets.read_by_key(spark, path).collect()} == {*range(20, 5000), 9999}
+    assert buckets.changed_by_key(spark, path, gone.limit(0), "id", lambda old, keys: old.limit(0), 512) == 0
+
+
+def test_deleted_users_are_told_of_without_a_name(spark):
+    from lettermill.operators import store
+
+    users = spark.createDataFrame([("u1",), ("u2",)], "id string")
+    audit = spark.createDataFrame([("a1", "u1", "seen"), ("a2", "u2", "seen")], "id string, user_id string, action string")
+    out, counts = store.cascaded({"users": users, "audit_log": audit}, spark.createDataFrame([("u1",), ("gone",)], "id string"), action="user_deleted")
+    assert sorted(((r.user_id or "", r.action) for r in out["audit_log"].collect())) == [("", "seen"), ("", "user_deleted"), ("u2", "seen")]
+    assert [tuple(r) for r in counts.collect()] == [("users", 1)] and store.purge_total(counts).first().total == 1 and store.purge_total(counts.limit(0)).first().total == 0
+
+
+def test_rotation_goes_from_the_oldest_and_can_be_tried(spark, tmp_path):
+    from lettermill.functions import vault
+
+    old, new = bytes(32), bytes([1]) * 32
+    rows = spark.createDataFrame([(f"u{i}", f"d{i}", "[[NAME_1]]", "NAME", f"wert{i}", 100 - i) for i in range(9)], "user_id string, document_id string, token string, entity_type string, value string, created_at int")
+    sealed = rows.withColumn("s", vault.seal(F.col("value"), old, vault.scope(F.col("user_id"), F.col("document_id"), F.col("token")))).select("user_id", "document_id", "token", "entity_type", "s.*", "created_at")
+    sealed.write.parquet(str(tmp_path / "old"))
+    kept = spark.read.parquet(str(tmp_path / "old"))
+    path = str(tmp_path / "new")
+    assert vault.rotated_checked(kept, old, new, path, dry_run=True) == 9 and not (tmp_path / "new").exists()
+    assert vault.rotated_checked(kept, old, new, path) == 9
+    made = spark.read.parquet(path)
+    assert sorted((r.user_id, r.original, r.created_at) for r in vault.opened_vault(made, new).collect()) == [(f"u{i}", f"wert{i}", 100 - i) for i in range(9)]
+    assert made.coalesce(1).columns == kept.columns and {r.key_version for r in made.collect()} == {2}
