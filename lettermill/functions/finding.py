@@ -85,11 +85,11 @@ def _compiled(pattern: str) -> regex.Pattern:
     return regex.compile(pattern)
 
 
-def pattern_spans(text: str, recognisers: Iterable[tuple[int, str, str, int, Callable[[str], bool] | None, tuple[str, ...]]]) -> list[Span]:
-    """Spans of recognisers given as (order, kind, pattern, group, check, hints); without one of its hints a text is not searched."""
-    out = []
-    for place, kind, pattern, group, check, hints in recognisers:
-        if hints and not any(h in text for h in hints):
+def pattern_spans(text: str, recognisers: Iterable[tuple[int, str, str, int, Callable[[str], bool] | None, tuple[str, ...], tuple[str, ...]]]) -> list[Span]:
+    """Spans of recognisers given as (order, kind, pattern, group, check, hints, signs); without one of its hints, or of its signs in lower case, a text is not searched."""
+    out, low = [], text.lower()
+    for place, kind, pattern, group, check, hints, signs in recognisers:
+        if hints and not any(h in text for h in hints) or signs and not any(h in low for h in signs):
             continue
         for m in _compiled(pattern).finditer(text):
             value = m[group]

@@ -45,13 +45,17 @@ def labels(names: str) -> str:
 
 @dataclass(frozen=True)
 class Recogniser:
-    """A kind of personal data: what matches, which group of it is the value, what the value must fulfil, and strings one of which every match holds."""
+    """A kind of personal data: what matches, which group of it is the value, what the value must fulfil, and strings one of which every match holds.
+
+    hints are held as they stand, signs in lower case by the match in lower case; a text without any is not searched.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     check: str | None = None
     hints: tuple[str, ...] = ()
+    signs: tuple[str, ...] = ()
 
 
 _ROLES = "(?:Sachbearbeiter(?:in)?|Ansprechpartner(?:in)?|Bearbeiter(?:in)?|Sachgebietsleiter(?:in)?|Rechtsanwalt|Rechtsanwältin)"
@@ -62,22 +66,22 @@ _MONTHS = "Januar|Februar|März|Maerz|April|Mai|Juni|Juli|August|September|Oktob
 #: The recognisers in order; order decides between spans of one place and length.
 RECOGNISERS: list[Recogniser] = [
     Recogniser("NAME", rf"Sehr[ \t]+geehrte[rs]?[ \t]+(?:Herr|Frau){GAP}{TITLE}({PHRASE})", 1, "plausible_name", ("Sehr",)),
-    Recogniser("NAME", rf"{_ROLES}[ \t]*[:.]?{GAP}(?:Herr|Frau)?{GAP}{TITLE}({PHRASE})", 1, "plausible_name"),
-    Recogniser("NAME", rf"(?:i\.[ \t]*[AV]\.|gez\.){GAP}{TITLE}({PHRASE})", 1, "plausible_name"),
+    Recogniser("NAME", rf"{_ROLES}[ \t]*[:.]?{GAP}(?:Herr|Frau)?{GAP}{TITLE}({PHRASE})", 1, "plausible_name", ("earbeiter", "Ansprechpartner", "Sachgebietsleiter", "Rechtsanw")),
+    Recogniser("NAME", rf"(?:i\.[ \t]*[AV]\.|gez\.){GAP}{TITLE}({PHRASE})", 1, "plausible_name", ("i.", "gez.")),
     Recogniser("NAME", rf"{WB}(?:Herrn|Herr|Frau){GAP}{TITLE}({PHRASE})", 1, "plausible_name", ("Herr", "Frau")),
-    Recogniser("NAME", rf"{_KIN}{GAP}{TITLE}({PHRASE})", 1, "plausible_name"),
+    Recogniser("NAME", rf"{_KIN}{GAP}{TITLE}({PHRASE})", 1, "plausible_name", ("Ehe", "Sohn", "Tochter", "Kind", "Vater", "Mutter")),
     Recogniser("EMAIL", rf"{WB}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}{WB}", hints=("@",)),
     Recogniser("IBAN", rf"{WB}[A-Z]{{2}}[0-9GgOoQDLlIi|SsBZzTq]{{2}}(?:[ ]?[A-Z0-9gioqdlszt|]{{4}}){{2,7}}(?:[ ]?[A-Z0-9gioqdlszt|]{{1,4}})?{WB}", 0, "readable_iban"),
-    Recogniser("AUSLNR", labels("Ausländernummer|Auslaendernummer|AZR-Nummer|ZAR-Nummer") + r"([A-Za-z0-9][A-Za-z0-9\-/ ]{4,20}[A-Za-z0-9])", 1),
-    Recogniser("AKTENZEICHEN", labels(r"Aktenzeichen|Az\.|Gesch\.-Z\.|Geschäftszeichen|Vorgangsnummer|Kundennummer") + r"([A-Za-z0-9][A-Za-z0-9\-/. ]{3,25}[A-Za-z0-9])", 1),
-    Recogniser("STEUERID", labels(r"Steuer-?ID|Steuer-?Identifikationsnummer|IdNr\.?|Steuernummer") + r"([0-9 ]{11,17})", 1),
-    Recogniser("INSURANCE", labels("Krankenversicherungsnummer|Versichertennummer|Sozialversicherungsnummer") + r"([A-Za-z]?[0-9 ]{8,14}[A-Za-z]?)", 1),
-    Recogniser("PASSPORT", labels("Passnummer|Reisepassnummer|Reisepass|Ausweisnummer") + r"([A-Za-z0-9]{6,12})", 1),
+    Recogniser("AUSLNR", labels("Ausländernummer|Auslaendernummer|AZR-Nummer|ZAR-Nummer") + r"([A-Za-z0-9][A-Za-z0-9\-/ ]{4,20}[A-Za-z0-9])", 1, signs=("nummer",)),
+    Recogniser("AKTENZEICHEN", labels(r"Aktenzeichen|Az\.|Gesch\.-Z\.|Geschäftszeichen|Vorgangsnummer|Kundennummer") + r"([A-Za-z0-9][A-Za-z0-9\-/. ]{3,25}[A-Za-z0-9])", 1, signs=("zeichen", "az.", "gesch.-z.", "nummer")),
+    Recogniser("STEUERID", labels(r"Steuer-?ID|Steuer-?Identifikationsnummer|IdNr\.?|Steuernummer") + r"([0-9 ]{11,17})", 1, signs=("steuer", "idnr")),
+    Recogniser("INSURANCE", labels("Krankenversicherungsnummer|Versichertennummer|Sozialversicherungsnummer") + r"([A-Za-z]?[0-9 ]{8,14}[A-Za-z]?)", 1, signs=("versich",)),
+    Recogniser("PASSPORT", labels("Passnummer|Reisepassnummer|Reisepass|Ausweisnummer") + r"([A-Za-z0-9]{6,12})", 1, signs=("pass", "ausweis")),
     Recogniser("STEUERID", rf"{WB}[0-9]{{2}}[ ]?[0-9]{{3}}[ ]?[0-9]{{3}}[ ]?[0-9]{{3}}{WB}", 0, "plausible_tax_id"),
-    Recogniser("PHONE", rf"(?:(?:\+|00)49|\(0\)|{WB}0)(?:{WS}|[\-/])?[0-9]{{2,5}}(?:{WS}|[\-/])?[0-9]{{3,9}}(?:(?:{WS}|[\-/])?[0-9]{{1,6}})?{WB}", 0, "phone_length"),
+    Recogniser("PHONE", rf"(?:(?:\+|00)49|\(0\)|{WB}0)(?:{WS}|[\-/])?[0-9]{{2,5}}(?:{WS}|[\-/])?[0-9]{{3,9}}(?:(?:{WS}|[\-/])?[0-9]{{1,6}})?{WB}", 0, "phone_length", ("0", "+49")),
     Recogniser("ADDRESS", rf"{WB}[0-9]{{5}}{WS}+{UPPER}{LOWER}+(?:[ -]{UPPER}{LOWER}+)*"),
-    Recogniser("ADDRESS", rf"{WB}{UPPER}{LOWER}*(?:-{UPPER}?{LOWER}+)*-?{_STREET}{WS}+(?:[0-9{GLYPH}]{{0,3}}[0-9][0-9{GLYPH}]{{0,3}}|[{GLYPH}])[a-zA-Z]?(?![A-Za-z0-9])"),
-    Recogniser("DATE", rf"{WB}[0-9]{{1,2}}\.{WS}?[0-9]{{1,2}}\.{WS}?[0-9]{{2,4}}{WB}"),
+    Recogniser("ADDRESS", rf"{WB}{UPPER}{LOWER}*(?:-{UPPER}?{LOWER}+)*-?{_STREET}{WS}+(?:[0-9{GLYPH}]{{0,3}}[0-9][0-9{GLYPH}]{{0,3}}|[{GLYPH}])[a-zA-Z]?(?![A-Za-z0-9])", hints=("str", "Str", "eg", "llee", "latz", "asse", "ing", "amm", "fer")),
+    Recogniser("DATE", rf"{WB}[0-9]{{1,2}}\.{WS}?[0-9]{{1,2}}\.{WS}?[0-9]{{2,4}}{WB}", hints=(".",)),
     Recogniser("DATE", rf"{WB}[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}{WB}", hints=("-",)),
     Recogniser("DATE", rf"{WB}[0-9]{{1,2}}\.{WS}?(?:{_MONTHS}){WS}+[0-9]{{4}}{WB}", hints=tuple(_MONTHS.split("|"))),
 ]

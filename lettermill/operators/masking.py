@@ -56,7 +56,7 @@ def has_tokens(text: Column) -> Column:
 def _chosen(types: Sequence[str] | None) -> list[tuple]:
     """The recognisers there are now, of those types if given, as the helpers take them."""
     check = {None: None} | {f.__name__: f for f in (finding.plausible_name, finding.plausible_tax_id, finding.readable_iban, finding.phone_length)}
-    return [(i, r.kind, r.pattern, r.group, check[r.check], r.hints) for i, r in enumerate(RECOGNISERS) if types is None or r.kind in types]
+    return [(i, r.kind, r.pattern, r.group, check[r.check], r.hints, r.signs) for i, r in enumerate(RECOGNISERS) if types is None or r.kind in types]
 
 
 def pattern_spans(text: Column, types: Sequence[str] | None = None) -> Column:

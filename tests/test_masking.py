@@ -254,3 +254,26 @@ def test_rows_without_matches_never_pass(spark):
 def test_labels_in_any_case_but_not_with_odd_letters(spark):
     got = mask_all(spark, ["AKTENZEICHEN: AB-77123", "aktenzeichen AB-77123", "AUSLÄNDERNUMMER: X1234567", "a\u212atenzeichen: AB-77123", "ver\u017fichertennummer: 123456789", "Ge\u017fch.-Z.: AB-77123"])
     assert [r.n_masked for r in got] == [1, 1, 1, 0, 0, 0]
+
+
+def test_hints_leave_no_span_out():
+    """Texts of pieces that recognisers look for, searched with and without the strings that spare a search."""
+    import random
+
+    from lettermill.functions import finding
+
+    rnd = random.Random(12)
+    pieces = (
+        "Sehr geehrter Herr", "Sachbearbeiterin:", "BEARBEITER", "Rechtsanwältin", "Ansprechpartner", "i. A.", "i.V.", "gez.", "Ehemann", "Kindes", "Vater", "Frau", "Dr.", "Anna Berg", "Müller-Lüdenscheidt", "AKTENZEICHEN:", "az.", "Gesch.-Z.",
+        "geschäftszeichen", "kundennummer", "AusländerNummer", "ZAR-NUMMER", "AB-12 34/5", "Steuer-ID", "steueridentifikationsnummer", "IDNR.", "12 345 678 903", "12345678903", "VERSICHERTENNUMMER", "X123456789", "Reisepass", "ausweisnummer", "C01X00T47",
+        "+49 30 1234567", "0171/123456", "(0) 30 99999", "10115 Berlin", "Torstraße 5", "Lindenweg 3b", "Kurfürstendamm l2", "Parkallee 7", "Am Ring 1", "Spreeufer 2", "Schloßplatz ı", "1.1.2024", "03. 04. 24", "2024-05-06", "7. März 2024", "a@b.de", "DE89370400440532013000", "\n", " ", ",", "und",
+    )
+    chosen = masking._chosen(None)
+    bare = [(*r[:5], (), ()) for r in chosen]
+    found = set()
+    for _ in range(1500):
+        text = "".join(rnd.choice(pieces) + rnd.choice([" ", "\n", ""]) for _ in range(rnd.randrange(1, 7)))
+        spans = finding.pattern_spans(text, bare)
+        assert finding.pattern_spans(text, chosen) == spans, text
+        found |= {s.ord for s in spans}
+    assert len(found) == len(chosen)
