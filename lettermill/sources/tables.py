@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from ..functions.binary import READABLE_IMAGES, mime_or_extension
+from ..functions.schedule import Cron
+from ..functions.vault import master_key
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -66,12 +68,16 @@ class Settings:
     reader: str = "mock"
     skip_schedules: bool = False
     master_key: str | None = field(default=None, repr=False)
+    deletion_cron: str = "0 3 * * *"
 
     @classmethod
     def of(cls, values: dict[str, str]) -> Settings:
         v = {k: x.strip() for k, x in values.items() if x and x.strip()}
         flag = lambda k, d: {"true": True, "1": True, "false": False, "0": False}[v[k].lower()] if k in v else d
-        out = cls(v.get("ENVIRONMENT", "development"), int(v.get("RETENTION_DAYS", 30)), flag("MOCK_MODEL", True), v.get("READER", "mock"), flag("SKIP_SCHEDULES", False), v.get("MASTER_KEY"))
+        out = cls(v.get("ENVIRONMENT", "development"), int(v.get("RETENTION_DAYS", 30)), flag("MOCK_MODEL", True), v.get("READER", "mock"), flag("SKIP_SCHEDULES", False), v.get("MASTER_KEY"), v.get("DELETION_CRON", cls.deletion_cron))
+        Cron.read(out.deletion_cron)
+        if out.master_key:
+            master_key(out.master_key)
         if out.retention_days <= 0:
             raise ValueError("RETENTION_DAYS must be positive")
         if out.environment == "production" and (out.mock_model or not out.master_key):

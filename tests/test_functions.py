@@ -93,3 +93,7 @@ def test_sources_and_sinks(spark, tmp_path):
     with pytest.raises(ValueError):
         tables.Settings.of({"ENVIRONMENT": "production"})
     assert tables.Settings.of({"RETENTION_DAYS": " "}).retention_days == 30
+    for odd in ({"DELETION_CRON": "0 25 * * *"}, {"MASTER_KEY": "ab"}, {"RETENTION_DAYS": "0"}):
+        with pytest.raises(ValueError):
+            tables.Settings.of(odd)
+    assert tables.Settings.of({"DELETION_CRON": "30 2 * * 1-5", "MASTER_KEY": "ab" * 32}).deletion_cron == "30 2 * * 1-5"
