@@ -11,7 +11,9 @@ from pyspark.sql import SparkSession
 
 _sent: set[str] = set()
 #: What a batch of rows for Python holds at most, unless the session was started with another limit; a longer row is a batch of its own.
-BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+#: Lets workers give freed memory back at once: large pieces are mapped singly, few arenas are kept, and Arrow takes its memory the same way.
+FREEING = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def ship(spark: SparkSession) -> None:
@@ -31,5 +33,6 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(archive))
     environment = spark.sparkContext.environment
+    environment.update({k: v for k, v in FREEING.items() if k not in environment})
     environment["PYTHONPATH"] = os.pathsep.join(filter(None, [str(root.parent), environment.get("PYTHONPATH")]))
     _sent.add(app)
