@@ -12,8 +12,8 @@ from pyspark.sql import SparkSession
 _sent: set[str] = set()
 #: What a batch of rows for Python holds at most, unless the session was started with another limit; a longer row is a batch of its own.
 BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
-#: Lets workers give freed memory back at once: large pieces are mapped singly, few arenas are kept, and Arrow takes its memory the same way.
-FREEING = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Lets workers give freed memory back: what is free at the end beyond 64 MB goes, few arenas are kept, and Arrow takes its memory the same way. Pieces of a few MB are taken again without a fault for each page.
+FREEING = {"MALLOC_MMAP_THRESHOLD_": "33554432", "MALLOC_TRIM_THRESHOLD_": "67108864", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def ship(spark: SparkSession) -> None:
