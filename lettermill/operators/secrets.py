@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -9,41 +10,69 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a secret that are looked up: its first ones, as many as it has between these.
-SHORT, LONG = 4, 8
-#: Bits of the filter for each secret, and its most bits: 16 MB, however many secrets there are.
-BITS_EACH, MOST_BITS = 16, 1 << 27
-#: Bytes of rows that are held against the filter at a time.
-STRETCH = 1 << 20
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of the filter for each of its entries, and its most bits: 32 MB, however many secrets there are.
+BITS_EACH, MOST_BITS = 16, 1 << 28
+#: Bytes of rows that are held against the filter at a time, or as many as the longest secret has.
+STRETCH = 1 << 18
+_MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), 0xD1342543DE82EF95
+_BACK = pow(_STEP, -1, 1 << 64)
+#: A number for each byte.
+_BYTES = np.frombuffer(hashlib.shake_256(b"bytes").digest(256 * 8), np.uint64)
 
 
-def _places(code: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The two bits of each code."""
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 to base ** (n - 1), modulo 2 ** 64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
     with np.errstate(over="ignore"):
-        x = (code ^ (code >> np.uint64(31))) * _MIX
-        return [((x >> np.uint64(s)) & np.uint64(bits - 1)).astype(np.int64) for s in (3, 35)]
-
-
-def _codes(data: np.ndarray, length: int) -> np.ndarray:
-    """Numbers for the pieces of `length` bytes that begin at each place; they tell the length too."""
-    n = len(data) - length + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for k in range(length):
-        out |= data[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+        return np.cumprod(out)
+
+
+def _mixed(raw: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+    """Numbers of pieces from their sums; they tell the length too, which is negative for heads."""
     with np.errstate(over="ignore"):
-        return out + np.uint64(length) * _MIX
+        x = raw + np.asarray(length).astype(np.uint64) * _MIX
+        return (x ^ (x >> np.uint64(32))) * _MIX
+
+
+def _places(code: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each number."""
+    return tuple(((code >> np.uint64(s)) & np.uint64(bits - 1)).astype(np.int64) for s in (3, 35))
+
+
+def _passed(code: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Where numbers have both of their bits in the filter."""
+    last = np.uint64((len(marks) << 6) - 1)
 
+    def bit(code: np.ndarray, shift: int) -> np.ndarray:
+        place = (code >> np.uint64(shift)) & last
+        return np.flatnonzero((marks[(place >> np.uint64(6)).view(np.int64)] >> (place & np.uint64(63))) & np.uint64(1))
 
-def _code_of(secret: str) -> int:
-    data = np.frombuffer(secret.encode("utf-8", "surrogatepass"), np.uint8)[:LONG]
-    return int(_codes(data, len(data))[0].astype(np.int64))
+    at = bit(code, 3)
+    return at[bit(code[at], 35)]
+
+
+def _head(length: int) -> int:
+    """How many first bytes of a secret of so many bytes are looked up alone: the largest power of two in it."""
+    return 1 << (length.bit_length() - 1)
+
+
+def _numbers(values: pa.Array) -> pa.Array:
+    """Of each value its number (code), that of its head, and its length in bytes."""
+    texts = values.cast(pa.large_binary())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if len(texts) else np.empty(0, np.uint8)
+    first, length = (ends[:-1] - ends[0], np.diff(ends)) if len(texts) else (np.empty(0, np.int64), np.empty(0, np.int64))
+    head = np.array([_head(n) for n in length.tolist()], np.int64)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * _powers(_STEP, len(data)))])
+        raw = [(sums[first + n] - sums[first]) * _powers(_BACK, len(data) + 1)[first] for n in (length, head)]
+        whole = [_mixed(r, n.astype(np.uint64)) for r, n in zip(raw, (length, -head), strict=True)]
+    return pa.StructArray.from_arrays([*(pa.array(x.view(np.int64)) for x in whole), pa.array(length.astype(np.int32))], ["code", "head", "length"])
 
 
 def _filter(coded: DataFrame, bits: int) -> np.ndarray:
-    """Bits of all codes, put together by Spark: at most MOST_BITS reach the driver."""
+    """Bits of all numbers, put together by Spark: at most MOST_BITS reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -61,39 +90,51 @@ def _filter(coded: DataFrame, bits: int) -> np.ndarray:
 def stored_secrets(tables: Mapping[str, DataFrame], secrets: DataFrame, key: str = "id") -> DataFrame:
     """table_name, key, owner, value: secrets (owner, value) of more than three characters that stand somewhere in stored rows, written as JSON.
 
-    The first bytes of all secrets make a filter of fixed size. Each row's pieces are held against it in one pass, whatever the number of
-    secrets; pieces that pass are joined with the secrets that begin so, and these are looked for in the row. Values that JSON escapes
-    are looked for as it writes them. Null keys, owners and columns do no harm; a secret of several owners is found for each.
+    The numbers of all secrets and of their heads, the longest beginnings whose length is a power of two, make a filter of fixed size. Each
+    row is held against it in one pass, whatever the number of secrets: where a head may stand, whole secrets are tried, in all lengths that
+    there are. Pieces that pass are joined with the secrets of the same number, so a beginning that many secrets share costs no more than
+    another, and these are looked for in the row. Values that JSON escapes are looked for as it writes them. Null keys, owners and columns
+    do no harm; a secret of several owners is found for each.
     """
     spark = secrets.sparkSession
     known = secrets.select("owner", F.col("value").cast("string").alias("value")).where(F.length("value") > 3).distinct()
     known = known.withColumn("escaped", F.expr("substring(to_json(named_struct('x', value)), 7, length(to_json(named_struct('x', value))) - 8)"))
 
-    @F.arrow_udf("long")
-    def code(values: pa.Array) -> pa.Array:
-        return pa.array([_code_of(v) for v in values.to_pylist()], pa.int64())
-
-    known = known.withColumn("code", code("escaped"))
-    bits = 1 << min(MOST_BITS.bit_length() - 1, max(10, (BITS_EACH * known.count()).bit_length()))
-    shared = spark.sparkContext.broadcast(_filter(known, bits))
+    numbers = F.arrow_udf(_numbers, "struct<code:long,head:long,length:int>")
+    known = known.withColumn("numbers", numbers("escaped")).select("owner", "value", "escaped", "numbers.*")
+    lengths: dict[int, list[int]] = {}
+    for r in known.select("length").distinct().collect():
+        lengths.setdefault(_head(r.length), []).append(r.length)
+    longest = max((n for many in lengths.values() for n in many), default=1)
+    bits = 1 << min(MOST_BITS.bit_length() - 1, max(10, (2 * BITS_EACH * known.count()).bit_length()))
+    shared = spark.sparkContext.broadcast(_filter(known.select(F.explode(F.array("code", "head")).alias("code")).distinct(), bits))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = shared.value
+        marks, stretch = shared.value, max(STRETCH, longest)
+        powers, back = (_powers(base, stretch + longest) for base in (_STEP, _BACK))
         for b in batches:
             texts = b.column("row").cast(pa.large_binary())
             ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
             data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-            at, codes = [], []
-            for lo in range(int(ends[0]), int(ends[-1]), STRETCH):  # all texts of a batch side by side, a stretch at a time
-                for length in range(SHORT, LONG + 1):
-                    own = _codes(data[lo : min(lo + STRETCH + length - 1, int(ends[-1]))], length)
-                    one, two = (marks[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1) for p in _places(own, bits))
-                    hit = np.flatnonzero(one & two)
-                    row = np.searchsorted(ends, lo + hit, "right") - 1
-                    whole = lo + hit + length <= ends[row + 1]  # not from one text into the next
-                    at.append(row[whole])
-                    codes.append(own[hit[whole]])
-            pairs = np.unique(np.stack([np.concatenate(at), np.concatenate(codes).view(np.int64)]), axis=1) if at else np.empty((2, 0), np.int64)
+            at, codes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+            for lo in range(int(ends[0]), int(ends[-1]), stretch):  # all texts of a batch side by side, a stretch at a time
+                own = _BYTES[data[lo : min(lo + stretch + longest - 1, int(ends[-1]))]]
+                own *= powers[: len(own)]
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own)])
+                for head, many in lengths.items():
+                    n = min(len(own) - head + 1, stretch)
+                    if n <= 0:
+                        continue
+                    likely = _passed(_mixed((sums[head : head + n] - sums[:n]) * back[:n], -head), marks)
+                    row = np.searchsorted(ends, lo + likely, "right") - 1
+                    for length in many:
+                        whole = np.flatnonzero(lo + likely + length <= ends[row + 1])  # not from one text into the next
+                        first = likely[whole]
+                        code = _mixed((sums[first + length] - sums[first]) * back[first], length)
+                        hit = _passed(code, marks)
+                        at.append(row[whole[hit]])
+                        codes.append(code[hit])
+            pairs = np.unique(np.stack([np.concatenate(at), np.concatenate(codes).view(np.int64)]), axis=1)
             taken = b.take(pa.array(pairs[0]))
             yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(pairs[1])], [*b.schema.names, "code"])
 
@@ -102,7 +143,7 @@ def stored_secrets(tables: Mapping[str, DataFrame], secrets: DataFrame, key: str
         one = table.select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("key"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in table.columns])).alias("row"))
         rows = one if rows is None else rows.unionAll(one)
     likely = rows.mapInArrow(hits, "table_name string, key string, row string, code long")
-    return likely.join(known, "code").where(F.contains("row", "escaped")).select("table_name", "key", "owner", "value")
+    return likely.join(known.select("owner", "value", "escaped", "code"), "code").where(F.contains("row", "escaped")).select("table_name", "key", "owner", "value")
 
 
 def overlap_counts(wanted: DataFrame, got: DataFrame, key: str, text: str, width: int = 8) -> DataFrame:

@@ -3,10 +3,11 @@
 import json
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lettermill.functions.page import elements, page_items
-from lettermill.operators.secrets import overlap_counts, stored_secrets
+from lettermill.operators.secrets import _numbers, overlap_counts, stored_secrets
 
 
 def test_nested_and_odd_markup():
@@ -76,6 +77,15 @@ def test_secrets_against_all_pairs(spark):
     assert stored_secrets({"one": table}, secrets.limit(0)).count() == 0
 
 
+def test_secrets_that_begin_alike(spark):
+    values = [f'Torstraße "{i}"' for i in range(3000)] + [f"Torstraße {'x' * i}" for i in range(1, 200)]
+    codes = _numbers(pa.array(values)).field("code").to_pylist()
+    assert len(set(codes)) == len(values), "no number is shared, so no join pairs a row with secrets that it does not hold"
+    rows = spark.createDataFrame([(i, f"aus der {values[i]}, erledigt") for i in range(len(values))], "id int, text string")
+    got = stored_secrets({"t": rows}, spark.createDataFrame([(f"u{i}", v) for i, v in enumerate(values)], "owner string, value string"))
+    assert {(int(r.key), r.owner) for r in got.collect()} == {(i, f"u{i}") for i in range(3000)} | {(3000 + i, f"u{3000 + j}") for i in range(199) for j in range(i + 1)}
+
+
 def test_overlaps_against_all_pairs(spark):
     rnd = random.Random(3)
     texts = ["".join(rnd.choices("abAB ", k=rnd.randrange(0, 14))) for _ in range(120)] + ["Reisepass Kopie", "kopie vom Reisepass", "Mietvert", "MIETVERTRAG (Original)", None, "", "a"] + ["gemeinsam am Anfang"] * 30
