@@ -79,6 +79,15 @@ def test_reminders_fire_once(spark):
     assert fired == [("r1", "u", 5, 8), ("r2", "u", 9, 10), ("r4", "v", 7, 8), ("r5", "w", 3, 8)]
 
 
+def test_streams_call_for_buckets_not_for_keys(spark):
+    rows = spark.range(3000).select(F.concat(F.lit("r"), "id").alias("id"), F.lit("u").alias("user_id"), F.timestamp_seconds(F.lit(86_400) + F.col("id")).alias("due_date"), F.lit("scheduled").alias("status"), F.timestamp_seconds(F.lit(1)).alias("at"))
+    tick = rows.limit(1).select(F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("user_id"), F.lit(None).cast("timestamp").alias("due_date"), F.lit("tick").alias("status"), F.timestamp_seconds(F.lit(86_400 + 1500)).alias("at"))
+    off = rows.where("id LIKE 'r%7'").withColumn("status", F.lit("cancelled"))
+    out = scratch.run_through(timed.reminder_stream(scratch.streamed([rows.coalesce(1), off.unionByName(rows).coalesce(1), tick, rows.coalesce(1)], files=1), buckets=5))
+    assert sorted(r.id for r in out.collect()) == sorted(f"r{i}" for i in range(1501) if i % 10 != 7)
+    assert "bucket" in timed.reminder_stream(spark.readStream.format("rate").load().select(F.col("value").cast("string").alias("id"), F.lit("u").alias("user_id"), F.col("timestamp").alias("due_date"), F.lit("scheduled").alias("status"), F.col("timestamp").alias("at")))._jdf.queryExecution().analyzed().toString()
+
+
 def test_repeated_deliveries(spark):
     rows = [(1, "a", 100), (1, "a", 101), (2, "b", 102), (None, "c", 103), (None, "c", 104)]
     df = at(spark.createDataFrame(rows, "update_id long, value string, t long"))
