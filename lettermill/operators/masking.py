@@ -56,7 +56,7 @@ def has_tokens(text: Column) -> Column:
 def _chosen(types: Sequence[str] | None) -> list[tuple]:
     """The recognisers there are now, of those types if given, as the helpers take them."""
     check = {None: None} | {f.__name__: f for f in (finding.plausible_name, finding.plausible_tax_id, finding.readable_iban, finding.phone_length)}
-    return [(i, r.kind, r.pattern, r.group, check[r.check], r.hints, r.signs) for i, r in enumerate(RECOGNISERS) if types is None or r.kind in types]
+    return [(i, r.kind, r.pattern, r.group, check[r.check], r.hints, r.signs, (r.starts, r.low_starts, r.digits, r.behind, r.core, r.lead, r.head, r.quick)) for i, r in enumerate(RECOGNISERS) if types is None or r.kind in types]
 
 
 def pattern_spans(text: Column, types: Sequence[str] | None = None) -> Column:
@@ -203,11 +203,13 @@ def unmasked_deep(value: Column, kind: object, matches: Column) -> Column:
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def _left(texts: pa.Array, matches: pa.Array) -> pa.Array:
+    ends, there = matches.offsets.to_pylist(), matches.is_valid().to_pylist()
+    originals, kinds = (matches.values.field(k).to_pylist() for k in ("original", "type"))
     out = []
-    for text, many in zip(texts.to_pylist(), matches.to_pylist(), strict=True):
+    for text, given, a, b in zip(texts.to_pylist(), there, ends[:-1], ends[1:], strict=True):
         hay = finding.folded(text or "")
-        wanted = {(m["type"], finding.folded(m["original"] or "")): None for m in many or ()}
-        out.append(None if many is None else list(dict.fromkeys(kind for kind, value in wanted if len(value) > 3 and value in hay)))
+        wanted = {(kind, finding.folded(original or "")): None for kind, original in zip(kinds[a:b], originals[a:b], strict=True)}
+        out.append(list(dict.fromkeys(kind for kind, value in wanted if len(value) > 3 and value in hay)) if given else None)
     return pa.array(out, pa.list_(pa.string()))
 
 

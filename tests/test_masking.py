@@ -1,6 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from lettermill.functions import finding
 from lettermill.functions.residue import Text, residue, residues
 from lettermill.functions.tolerance import similarity, tolerant_pattern
 from lettermill.operators import masking
@@ -42,6 +45,32 @@ def test_literal_cases(spark):
         assert r.leaks == [] and r.back == (text or "")
 
 
+def test_quicker_ways_find_the_same():
+    rnd = random.Random(5)
+    pieces = [
+        "Sehr geehrter Herr ", "Frau Prof. med. ", "Herrn ", "Bearbeiter", "Rechtsanwältin ", "i. A. ", "gez. ", "Ehefrau ", "Müller-Vogt", "Öztürk", "a@b.de", "%x@y.zz.", "@", "DE89 3704 0044 0532 0130 00", "GB12", "AZR-Nummer 12345678",
+        "AKTENZEICHEN: ", "az. ", "Kundennummer:KD-77123", "KD-77123", "Steuer-ID: 12 345 678 901", "IdNr. ", "98765432101", "01234567890", "Reisepassnummer C1234567", "Versichertennummer  99999", "+49 30 1234567", "0049 30/1234567", "(0)30-12345",
+        "x00491712345678", "10119 Berlin", "10119\nBad Homburg", "TorstraBe 1S", "Am-Alten-Weg 3b", "Ringstr. 5", "Weg Straße 5", "Uferring\n8", "1.1.2020", "12024-07-01", "30. Juni 2024", "ss", "ß", "0", "O", "\n", " ", "\xa0", ". ", "-", "_", "é",
+    ]
+    quick = masking._chosen(None)
+    plain = [(*r[:-1], ()) for r in quick]
+    assert any(any(r[-1]) for r in quick)
+    for _ in range(3000):
+        text = rnd.choice(["", " "]).join(rnd.choices(pieces, k=rnd.randrange(1, 20)))
+        text += " " + "".join(rnd.choice("0Oo1lSs5ß") if rnd.random() < 0.1 else c for c in text[rnd.randrange(len(text)) :][:30])
+        assert finding.pattern_spans(text, quick) == finding.pattern_spans(text, plain), text
+        # a character that is not Latin-1 has the whole text searched in the plain way
+        assert finding.masked(text, quick, [])[1] == finding.masked(text + "\u2603", plain, [])[1], text
+
+
+def test_values_that_stand_once_cost_no_pattern():
+    before = finding.readings.cache_info().misses
+    for i in range(200):
+        new, tokens = finding.masked(f"Herrn Ahmet Yilmaz\nTorstraße {i + 1}\n{10000 + 7 * i} Berlin\nKontakt: kunde{i}@mail.example bis 01.02.2024", masking._chosen(None), [])
+        assert new == "Herrn [[NAME_1]]\n[[ADDRESS_1]]\n[[ADDRESS_2]]\nKontakt: [[EMAIL_1]] bis [[DATE_1]]" and len(tokens) == 5
+    assert finding.readings.cache_info().misses - before < 50
+
+
 def test_one_value_many_times(spark):
     (r,) = mask_all(spark, [" ".join(["a@example.com"] * 100)])
     assert r.n_masked == 1 and r.masked_text.count("[[EMAIL_1]]") == 100
