@@ -13,7 +13,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +28,30 @@ from . import wordhash
 VOCABULARY, SHORT, REMEMBERED = "byte_bpe_multi_50k.tiktoken", 32, 1 << 19
 #: From this many bytes on a piece's numbers are held as an array.
 LONG = 4096
+#: Up to this many bytes a piece is merged without a tree.
+BRIEF = 64
+#: Characters of a text whose pieces are held at the same time.
+AT_ONCE = 1 << 20
 #: Children of a node: the least of a few is found faster than a binary tree of them is climbed.
 FAN = 16
 #: Above every rank: there is no such pair.
 NONE = 0x7FFFFFFF
 
 
+def _merged_brief(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """As `merged`, in plain lists that shrink with each merge, which for a few parts is faster than a tree."""
+    rank, at = ranks.get, list(range(len(piece) + 1))  # where parts begin
+    pairs = [rank(piece[i : i + 2], NONE) for i in range(len(piece) - 1)]
+    while pairs and (least := min(pairs)) != NONE:
+        i = pairs.index(least)
+        del pairs[i], at[i + 1]
+        if i < len(pairs):
+            pairs[i] = rank(piece[at[i] : at[i + 2]], NONE)
+        if i:
+            pairs[i - 1] = rank(piece[at[i - 1] : at[i + 1]], NONE)
+    return [ranks[piece[a:b]] for a, b in pairwise(at)]
+
+
 def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one piece: of all neighbouring parts whose bytes together have a rank, those of the least, the leftmost of equal ones, are joined until none has.
 
@@ -42,6 +60,8 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if (whole := ranks.get(piece)) is not None:
         return [whole]
     n, rank = len(piece), ranks.get
+    if n <= BRIEF:
+        return _merged_brief(piece, ranks)
     numbers = list if n < LONG else lambda x: array("i", x)
     leaves = numbers([rank(piece[i : i + 2], NONE) for i in range(n - 1)])
     leaves.append(NONE)
@@ -110,6 +130,21 @@ def _classes() -> tuple[dict[str, str], set[str]]:
     return sets, differ
 
 
+class _Pieces(dict):
+    """Ids of pieces, worked out when they are first asked for; short ones are remembered, anew from nothing when there are REMEMBERED of them."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+
+    def __missing__(self, piece: str) -> list[int]:
+        ids = merged(piece.encode(), self.ranks)
+        if len(piece) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class BytePairs:
     """Encoder and decoder of a vocabulary file of ranks; texts are first split by a pattern into pieces that no merge crosses."""
 
@@ -123,19 +158,17 @@ class BytePairs:
         self.suspect = re.compile(f"[{_ranges({c for c in differ if c < chr(0x10000)})}\\U00010000-\\U0010FFFF]")
         self.differ = re.compile(f"[{_ranges(differ)}]" if differ else "(?!)")
         self.parts = {v: k for k, v in self.ranks.items()}
-        self._remembered = lru_cache(REMEMBERED)(lambda piece: merged(piece.encode(), self.ranks))
+        self._remembered = _Pieces(self.ranks)
 
     def splitter(self, text: str) -> regex.Pattern:
         """The pattern as it is, unless the text has a character that the two libraries class differently: then one with exact sets, which is slower."""
         return self.exact if not text.isascii() and self.suspect.search(text) and self.differ.search(text) else self.plain
 
-    def _pieces(self, text: str) -> Iterator[list[int]]:
-        for m in self.splitter(text).finditer(text):
-            piece = m[0]
-            yield self._remembered(piece) if len(piece) <= SHORT else merged(piece.encode(), self.ranks)
-
     def encode(self, text: str) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(self._pieces(text)), np.uint32)
+        pattern = self.splitter(text)
+        # pieces of most texts are split off at once; of a very long one they come one by one, as a list of them takes many times its bytes
+        pieces = pattern.findall(text) if len(text) <= AT_ONCE else (m[0] for m in pattern.finditer(text))
+        return np.fromiter(chain.from_iterable(map(self._remembered.__getitem__, pieces)), np.uint32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.parts.__getitem__, ids.tolist()))

@@ -10,6 +10,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+from lettermill.llm import bytepair
 from lettermill.llm.bytepair import VOCABULARY, BytePairs, _codec, decoded, digests, encoded, merged
 from lettermill.llm.centroids import Tree, clustered, with_inertia
 from lettermill.llm.middle import SENTINELS, count_units, ends, fill_in_middle, restored
@@ -167,3 +168,23 @@ def test_boxes_settle_most_vectors_of_apart_clusters():
     assert sorted(order.tolist()) == list(range(4000))
     whole = sum(int(tree.end[n] - tree.first[n]) for n, square, _ in tree.groups(centres) if square is None)
     assert whole > 3000
+
+
+def test_brief_pieces_merge_as_long_ones(monkeypatch):
+    rnd = random.Random(8)
+    ranks = {bytes([b]): b for b in range(256)}
+    for _ in range(400):
+        ranks.setdefault(bytes(rnd.choices(b"abc", k=rnd.randrange(2, 7))), len(ranks))
+    pieces = [bytes(rnd.choices(b"abcd", k=n)) for n in range(1, bytepair.BRIEF + 1) for _ in range(5)]
+    brief = [bytepair.merged(p, ranks) for p in pieces]
+    monkeypatch.setattr(bytepair, "BRIEF", 0)
+    assert brief == [bytepair.merged(p, ranks) for p in pieces]
+
+
+def test_pieces_remembered_are_bounded(monkeypatch):
+    monkeypatch.setattr(bytepair, "REMEMBERED", 10)
+    ranks = {bytes([b]): b for b in range(256)}
+    seen = bytepair._Pieces(ranks)
+    for i in range(100):
+        assert seen[f"x{i}"] == list(f"x{i}".encode()) and len(seen) <= 10
+    assert seen["y" * 100] == [121] * 100 and "y" * 100 not in seen
