@@ -74,7 +74,9 @@ def _cut(name: str, window: int):
             none = b.column("doc_id").type
             at, kinds, starts, sizes, crcs, totals, rest = [], [], [], [], [], [], []
             for i, text in enumerate(b.column("text")):
-                ids = np.array([*encode(text.as_py() or ""), END], "<u4")
+                found = encode(text.as_py() or "")
+                found.append(END)
+                ids = np.fromiter(found, "<u4", len(found))
                 full = len(ids) // window * window
                 for k in range(0, len(ids), window):
                     piece = ids[k : k + window]
@@ -86,7 +88,7 @@ def _cut(name: str, window: int):
                     totals.append(len(ids))
                     rest.append(None if k < full else piece.astype("<u2" if ids.max() < 1 << 16 else "<u4").tobytes())
                     if k >= full:
-                        held = _added(held, np.unique(piece))
+                        held = _added(held, piece)
             docs = b.column("doc_id").take(pa.array(at, pa.int64()))
             longs = [pa.array(x, pa.int64()) for x in (starts, sizes, crcs, totals)]
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), docs, *longs, pa.array(rest, pa.binary())], names)
@@ -100,10 +102,10 @@ def _cut(name: str, window: int):
 
 
 def _added(held: np.ndarray, terms: np.ndarray) -> np.ndarray:
-    """held with one more for each of the distinct terms."""
+    """held with one more for each distinct one of the terms."""
     if len(terms) and terms.max() >= len(held):
         held = np.concatenate([held, np.zeros(int(terms.max()) + 1 - len(held), np.int64)])
-    held[terms] += 1
+    held[terms] += 1  # a term that comes again is set to the same number again
     return held
 
 

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
+from lettermill.llm import packing
 from lettermill.llm.packing import Bm25, fill, pack
 from lettermill.llm.warczip import _store, archived, data_start, directory, index_line, parse, read_packages, record
 
@@ -239,3 +240,8 @@ def test_packages_made_elsewhere(spark, tmp_path):
         z.writestr("archive/x.warc", records[0][:-30])
     with pytest.raises(Exception, match="ends"):
         read("c.wacz")
+
+
+def test_repeated_terms_count_once():
+    held = packing._added(np.zeros(0, np.int64), np.array([3, 1, 3, 3], "<u4"))
+    assert packing._added(held, np.array([1, 5, 5], "<u4")).tolist() == [0, 2, 0, 1, 0, 1]
