@@ -125,7 +125,7 @@ def masked(df: DataFrame, text: str = "text", profile: str | None = None, only:
     def run(texts: pa.Array, values: pa.Array) -> pa.Array:
         ends = values.offsets.to_numpy()
         kinds = list(zip(*(values.values.field(k).to_pylist() for k in ("value", "type")), strict=True))
-        rows = [finding.masked(t, chosen, kinds[a:b]) for t, a, b in zip(texts.to_pylist(), ends[:-1], ends[1:], strict=True)]
+        rows = finding.masked_many(texts.to_pylist(), chosen, [kinds[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
         matches, sizes = _lists((tokens for _, tokens in rows), ("token", "original", "type", "strategy"))
         return pa.StructArray.from_arrays([pa.array([new for new, _ in rows], pa.string()), matches, sizes], ["masked_text", "matches", "n_masked"])
 
@@ -219,10 +219,14 @@ def leaks(text: Column, matches: Column) -> Column:
 
 
 def gated(df: DataFrame, text: str = "masked_text", matches: str = "matches") -> tuple[DataFrame, DataFrame]:
-    """(rows that may go on, rows with leaks and their types). Nothing that leaks ever passes, whoever reads it; nor does a row without matches to check, whose leaks are null."""
-    checked = df.withColumn("leaks", leaks(F.col(text), F.col(matches)))
-    clean = F.coalesce(F.size("leaks") == 0, F.lit(False))
-    return checked.where(clean).drop("leaks"), checked.where(~clean)
+    """(rows that may go on, rows with leaks and their types), see gate. Each of the two goes over df; who needs both at once takes gate."""
+    checked = gate(df, text, matches)
+    return checked.where("passes").drop("leaks", "passes"), checked.where("NOT passes").drop("passes")
+
+
+def gate(df: DataFrame, text: str = "masked_text", matches: str = "matches") -> DataFrame:
+    """df with leaks and passes. Nothing that leaks ever passes, whoever reads it; nor does a row without matches to check, whose leaks are null."""
+    return df.withColumn("leaks", leaks(F.col(text), F.col(matches))).withColumn("passes", F.coalesce(F.size("leaks") == 0, F.lit(False)))
 
 
 def token_census(df: DataFrame, text: str = "masked_text") -> DataFrame:

@@ -306,3 +306,37 @@ def test_hints_leave_no_span_out():
         assert finding.pattern_spans(text, chosen) == spans, text
         found |= {s.ord for s in spans}
     assert len(found) == len(chosen)
+
+
+def test_many_texts_at_once_are_masked_like_each_alone():
+    rnd = random.Random(7)
+    pieces = [
+        "Herrn ", "Frau ", "Sehr geehrter Herr Dr. ", "Ahmet Yilmaz", "AHMET YILMAZ", "Torstraße 15", "TorstraBe 1S", "10119 Berlin", "Aktenzeichen: ", "AB-77123", "1.2.2024", "01.02.2024", "2024-02-01", "3. Mai 2024", "a@b.de", "kunde1@mail.example",
+        "+49 30 1234567", "01711234567", "98 765 432 101", "DE89 3704 0044 0532 0130 00", "Reisepass C1234567", "\n", " ", ", ", "\xa0", "﻿", "\x1c", "\x85", "\0", "☃", "ß", "ss", "ﬁ", "²",
+    ]
+    texts = ["".join(rnd.choices(pieces, k=rnd.randrange(0, 16))) for _ in range(2000)] + ["", "Herrn ", "Ahmet Yilmaz", "1", "0", "30 1234567", "x" * 140_000 + " a@b.de"]
+    known = [[] if rnd.random() < 0.7 else [("Ahmet Yilmaz", "NAME"), ("10119 Berlin", "ADDRESS")] for _ in texts]
+    chosen = masking._chosen(None)
+    added = (len(chosen), "PASSPORT", "Berlin", 0, None, (), (), ("", "", (), "", None, "", "", None))  # registered without quicker ways
+    for own in (chosen, [*chosen, added], [added]):
+        assert finding.masked_many(texts, own, known) == [finding.masked(t, own, k) for t, k in zip(texts, known, strict=True)]
+    calls = []
+    counted = [(*r[:4], lambda v, c=r[4]: calls.append(v) or c is None or c(v), *r[5:]) for r in chosen]
+    assert finding.masked_many(["Herrn Ahmet Yilmaz"] * 100, counted, [[]] * 100) == [("Herrn [[NAME_1]]", [("[[NAME_1]]", "Ahmet Yilmaz", "NAME", "pattern")])] * 100 and len(calls) == 100
+
+
+def test_folded_is_what_the_pattern_makes_of_it():
+    for c in map(chr, range(0x10000)):
+        text = f"{c}A {c}\t{c}ß  b{c}"
+        want = finding._SPACES.sub(" ", (text if text.isascii() else finding.unicodedata.normalize("NFKC", text)).lower()).strip(" ")
+        assert finding.folded(text) == want, hex(ord(c))
+
+
+def test_the_gate_reads_rows_once(spark):
+    df = spark.createDataFrame([("x [[NAME_1]]", "Ahmet Yilmaz"), ("AHMET  YILMAZ", "Ahmet Yilmaz")], "text string, original string")
+    df = df.select("text", F.array(F.struct(F.lit("[[NAME_1]]").alias("token"), "original", F.lit("NAME").alias("type"), F.lit("pattern").alias("strategy"))).alias("matches"))
+    rows = masking.gate(df, "text")
+    assert sorted((r.text, r.passes, r.leaks) for r in rows.collect()) == [("AHMET  YILMAZ", False, ["NAME"]), ("x [[NAME_1]]", True, [])]
+    assert [r.text for r in masking.gated(df, "text")[0].collect()] == ["x [[NAME_1]]"] and [r.leaks for r in masking.gated(df, "text")[1].collect()] == [["NAME"]]
+    plan = rows.groupBy("passes").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
