@@ -179,9 +179,7 @@ def leak_gate_fullwidth(spark, sf_dir):
     wide = F.translate(F.upper("name"), plain, "".join(chr(ord(c) + 0xFEE0) for c in plain))
     rows = masking.masked(ltr.letters(spark, sf_dir)).withColumn("slipped", F.col("o_orderkey") % 2 == 0)
     rows = rows.withColumn("masked_text", F.concat("masked_text", F.when(F.col("slipped"), F.concat(F.lit(" "), wide)).otherwise("")))
-    good, bad = masking.gated(rows)
-    both = good.select("slipped", F.lit(True).alias("passes")).unionAll(bad.select("slipped", F.lit(False).alias("passes")))
-    return both.groupBy("slipped", "passes").agg(F.count(F.lit(1)).alias("n"))
+    return masking.gate(rows).groupBy("slipped", "passes").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""
