@@ -97,6 +97,11 @@ def known_values(profile: Column, fields: Sequence[str]) -> Column:
     return F.transform(F.array_sort(ranked), lambda r: r["e"])
 
 
+def _strings(array: pa.Array) -> list[str | None]:
+    """What to_pylist gives for an array of strings, without an object of Arrow's for each."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 def _lists(rows: Iterable[Sequence[tuple[str, ...]]], names: Sequence[str]) -> tuple[pa.Array, pa.Array]:
     """Lists of tuples of strings as an array of lists of structs, and their lengths."""
     rows = list(rows)
@@ -124,8 +129,8 @@ def masked(df: DataFrame, text: str = "text", profile: str | None = None, only:
     @F.arrow_udf(f"struct<masked_text:string,matches:{MATCHES},n_masked:int>")
     def run(texts: pa.Array, values: pa.Array) -> pa.Array:
         ends = values.offsets.to_numpy()
-        kinds = list(zip(*(values.values.field(k).to_pylist() for k in ("value", "type")), strict=True))
-        rows = finding.masked_many(texts.to_pylist(), chosen, [kinds[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
+        kinds = list(zip(*(_strings(values.values.field(k)) for k in ("value", "type")), strict=True))
+        rows = finding.masked_many(_strings(texts), chosen, [kinds[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
         matches, sizes = _lists((tokens for _, tokens in rows), ("token", "original", "type", "strategy"))
         return pa.StructArray.from_arrays([pa.array([new for new, _ in rows], pa.string()), matches, sizes], ["masked_text", "matches", "n_masked"])
 
@@ -204,12 +209,12 @@ def unmasked_deep(value: Column, kind: object, matches: Column) -> Column:
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def _left(texts: pa.Array, matches: pa.Array) -> pa.Array:
     ends, there = matches.offsets.to_pylist(), matches.is_valid().to_pylist()
-    originals, kinds = (matches.values.field(k).to_pylist() for k in ("original", "type"))
-    out = []
-    for text, given, a, b in zip(texts.to_pylist(), there, ends[:-1], ends[1:], strict=True):
+    originals, kinds = (_strings(matches.values.field(k)) for k in ("original", "type"))
+    folds = {x: finding.folded(x or "") for x in set(originals)}  # values come again in other rows
+    values, out = [folds[x] for x in originals], []
+    for text, given, a, b in zip(_strings(texts), there, ends[:-1], ends[1:], strict=True):
         hay = finding.folded(text or "")
-        wanted = {(kind, finding.folded(original or "")): None for kind, original in zip(kinds[a:b], originals[a:b], strict=True)}
-        out.append(list(dict.fromkeys(kind for kind, value in wanted if len(value) > 3 and value in hay)) if given else None)
+        out.append(list(dict.fromkeys(kind for kind, value in zip(kinds[a:b], values[a:b], strict=True) if len(value) > 3 and value in hay)) if given else None)
     return pa.array(out, pa.list_(pa.string()))
 
 

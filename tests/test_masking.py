@@ -340,3 +340,26 @@ def test_the_gate_reads_rows_once(spark):
     assert [r.text for r in masking.gated(df, "text")[0].collect()] == ["x [[NAME_1]]"] and [r.leaks for r in masking.gated(df, "text")[1].collect()] == [["NAME"]]
     plan = rows.groupBy("passes").count()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_leaks_fold_a_value_once_for_all_its_rows(monkeypatch):
+    import pyarrow as pa
+
+    calls, real = [], finding.folded
+    monkeypatch.setattr(finding, "folded", lambda t: calls.append(t) or real(t))
+    matches = pa.array([[{"original": "Ahmet Yilmaz", "type": "NAME"}, {"original": "ab", "type": "PHONE"}]] * 50 + [None, []])
+    texts = pa.array(["ab AHMET  YILMAZ"] * 49 + ["ab", "ab", None])
+    assert masking._left.func(texts, matches).to_pylist() == [["NAME"]] * 49 + [[], None, []]
+    assert len(calls) == 52 + 2
+
+
+def test_rows_of_one_file_are_masked_by_all_cores(spark):
+    from lettermill import catalogue
+    from lettermill.sources import tables
+
+    customers = tables.table(spark, "/root/testdata/sf0.001", "customer")
+    assert customers.rdd.getNumPartitions() == 1
+    dealt = tables.dealt(customers, "c_custkey")
+    assert dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and dealt.count() == customers.count()
+    for name in ("letter_numbers", "name_trigger_stoplist", "token_injection_neutralised"):
+        assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism, name
