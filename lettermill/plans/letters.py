@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import escalated, german_date, reminder_dates
 from ..functions.jsonx import analysis_errors, stand_in_analysis
 from ..operators.masking import leaks, masked
-from ..sources.tables import table
+from ..sources.tables import dealt, table
 
 #: What letters are made of. Names are no words of the stop list, streets and cities no parts of mail addresses.
 GIVEN = ("Ahmet", "Leyla", "Mehmet", "Elif", "Kemal")
@@ -35,9 +35,7 @@ def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("o_orderdate", "dd.MM.yyyy").alias("deadline_text"),
         F.concat(F.lit("kunde"), F.col("c_custkey").cast("string"), F.lit("@mail.example")).alias("email"),
     )
-    # a letter costs far more to read than its row, so rows are spread over all cores however few files they come from
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(parts, "o_orderkey").withColumn("text", letter(*[F.col(c) for c in ("name", "street", "town", "file_number", "deadline_text", "email")]))
+    return dealt(rows, "o_orderkey").withColumn("text", letter(*[F.col(c) for c in ("name", "street", "town", "file_number", "deadline_text", "email")]))
 
 
 def letter(name: Column, street: Column, town: Column, file_number: Column, deadline: Column, email: Column) -> Column:

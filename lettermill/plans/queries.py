@@ -196,7 +196,7 @@ def letter_numbers(spark, sf_dir):
         ("Telefon ", F.concat(F.lit("+49 30 "), F.lpad(key, 7, "4"))), ("Geboren am ", F.concat((F.col("c_custkey") % 28 + 1).cast("string"), F.lit(". Juni 1984"))), ("Konto ", F.lit("DE89 3704 0044 0532 0130 00")),
         ("Steuer-ID: ", F.concat(F.lit("98 765 432 1"), F.lpad((F.col("c_custkey") % 90).cast("string"), 2, "0"))),
     ]
-    rows = tables.table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws("\n", *[F.concat(F.lit(label), v) for label, v in values]).alias("text"))
+    rows = tables.dealt(tables.table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select("c_custkey", F.concat_ws("\n", *[F.concat(F.lit(label), v) for label, v in values]).alias("text"))
     return masking.masked(rows).select("c_custkey", "masked_text", F.array_join(F.transform("matches", lambda m: m["original"]), "|").alias("originals"))
 
 
@@ -215,7 +215,7 @@ def propagated_case_number(spark, sf_dir):
 @query(r"""SELECT o_orderkey, 'Siehe ⟦⟧NAME_' || (o_orderkey % 10) || '⟦⟧ und ⟦⟧DATE_1⟦⟧.' AS masked_text, 0 AS n_masked FROM orders""")
 def token_injection_neutralised(spark, sf_dir):
     said = F.concat(F.lit("Siehe [[NAME_"), (F.col("o_orderkey") % 10).cast("string"), F.lit("]] und [[DATE_1]]."))
-    return masking.masked(tables.table(spark, sf_dir, "orders").select("o_orderkey", said.alias("text"))).select("o_orderkey", "masked_text", "n_masked")
+    return masking.masked(tables.dealt(tables.table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", said.alias("text"))).select("o_orderkey", "masked_text", "n_masked")
 
 
 @query("""
@@ -223,7 +223,7 @@ def token_injection_neutralised(spark, sf_dir):
         WHEN 3 THEN 'i. A. [[NAME_1]]' WHEN 4 THEN 'Ihre Ehefrau [[NAME_1]] kommt.' ELSE 'gez. SCHULZ' END AS masked_text FROM customer""")
 def name_trigger_stoplist(spark, sf_dir):
     forms = ("Sehr geehrte Damen und Herren,", "Sehr geehrter Herr Dr. Schulz,", "Sachbearbeiterin: Frau Meier-Vogt", "i. A. Brandt", "Ihre Ehefrau Leyla Kaplan kommt.", "gez. SCHULZ")
-    rows = tables.table(spark, sf_dir, "customer").select("c_custkey", ltr.pick(forms, F.col("c_custkey")).alias("text"))
+    rows = tables.dealt(tables.table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select("c_custkey", ltr.pick(forms, F.col("c_custkey")).alias("text"))
     return masking.masked(rows).select("c_custkey", F.replace("masked_text", F.lit("Dr. "), F.lit("")).alias("masked_text"))
 
 

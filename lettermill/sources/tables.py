@@ -26,6 +26,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df dealt over all cores by a key, however few files or row groups it comes from: for rows that cost far more to work on than to move."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def letters(spark: SparkSession, pattern: str) -> DataFrame:
     """file, text: one row per text file."""
     return spark.read.text(pattern, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("text"))
