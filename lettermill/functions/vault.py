@@ -4,13 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-import os
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.masking import PROFILE_FIELDS
 from .tolerance import nfkc
@@ -35,15 +32,6 @@ def scope(user: Column, document: Column, token: Column) -> Column:
     return F.concat_ws(":", F.lit("vault:v1"), F.coalesce(user.cast("string"), F.lit("-")), F.coalesce(document.cast("string"), F.lit("-")), token)
 
 
-def _random(values: pa.Array) -> pa.Array:
-    drawn = os.urandom(12 * len(values))
-    return pa.array([drawn[i : i + 12] for i in range(0, len(drawn), 12)], pa.binary())
-
-
-#: Twelve random bytes a row. Not deterministic, so that no plan works it out twice for one row or once for two.
-_fresh = F.arrow_udf(_random, T.BinaryType()).asNondeterministic()
-
-
 def once(value: Column) -> Column:
     """value, worked out once for a row however often a plan uses it: Spark repeats nothing that depends on the task, and lets no filter on it sink."""
     return F.when(F.spark_partition_id() >= 0, value)
@@ -51,7 +39,8 @@ def once(value: Column) -> Column:
 
 def seal(value: Column, key: bytes, bound: Column) -> Column:
     """struct(iv, ciphertext, auth_tag, key_version), in base64; a new random iv for each value, drawn where and when its row is made."""
-    raw = F.aes_encrypt(value.cast("binary"), F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), _fresh(value), bound.cast("binary"))
+    # for an empty iv Spark draws twelve bytes from the secure source; as it depends on the task, not even equal constants are sealed but once for two rows
+    raw = F.aes_encrypt(value.cast("binary"), F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), once(F.lit(b"")), bound.cast("binary"))
     part = lambda r, start, n: F.base64(F.substr(r, start if isinstance(start, Column) else F.lit(start), n if isinstance(n, Column) else F.lit(n)))
     cut = lambda r: F.struct(part(r, 1, 12).alias("iv"), part(r, 13, F.octet_length(r) - 28).alias("ciphertext"), part(r, F.octet_length(r) - 15, 16).alias("auth_tag"), F.lit(KEY_VERSION).alias("key_version"))
     return F.transform(F.array(once(raw)), cut)[0]  # the array names the sealed bytes

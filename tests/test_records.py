@@ -204,3 +204,19 @@ def test_differences_and_residues(spark):
     r = evals.name_differences(cases).first()
     assert (r.missed, r.spurious) == (["Max"], ["Otto"])
     assert evals.residue_total(spark.createDataFrame([("a",), (None,)], "residue string")).first().total == 1
+
+
+def test_two_vaults_from_letters_mask_each_letter_once(spark):
+    from lettermill import catalogue
+
+    plan = catalogue.QUERIES["vault_nonce_unique"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan
+
+
+def test_even_constants_are_sealed_apart(spark):
+    from lettermill.functions import vault
+
+    rows = spark.range(200).select(vault.seal(F.lit("one"), bytes(32), F.lit("bound")).alias("s"))
+    assert rows.select("s.iv").distinct().count() == 200
+    assert "EvalPython" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert {r.v for r in rows.select(vault.opened(F.col("s"), bytes(32), F.lit("bound")).alias("v")).collect()} == {"one"}
