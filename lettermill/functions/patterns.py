@@ -52,6 +52,7 @@ class Recogniser:
     of texts of Latin-1 characters in a way that is found faster: strings one of which every match begins with (as they stand, or by
     low_starts in lower case), a digit run of one of those lengths, followed by one of those characters if given, that every other match begins
     with, or a core that every match holds behind nothing but characters of lead, the first of them one of head, or a pattern with the same matches.
+    Texts are put together with a NUL behind each for these, so such a pattern neither takes a NUL nor asks for a text's beginning or end.
     """
 
     kind: str
